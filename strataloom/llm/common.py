@@ -43,7 +43,7 @@ def small_batches(spark: SparkSession) -> None:
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return to_arrow_type(kind, timezone="UTC")
+    return to_arrow_type(kind)
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, lines, rules
 from .common import table
 
 
@@ -14,6 +14,81 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.apply_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op8_lines": op8_lines, "op9_rules": op9_rules}
+
+SPACE = r"[\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_lines": rf"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k
+            FROM documents),
+        keyed AS (SELECT *, {LOWER.format(rf"regexp_replace(regexp_replace(line, '^{SPACE}+', ''), '{SPACE}+$', '')")} AS key FROM lines),
+        common AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (SELECT l.*, c.key IS NOT NULL AND l.doc_id <> c.keep AS gone FROM keyed l LEFT JOIN common c USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op9_rules": rf"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, k, (w[k], w[k + 1], w[k + 2]) AS g
+            FROM (SELECT doc_id, words AS w, unnest(range(1, len(words) - 1)) AS k FROM docs)),
+        again AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n >= 2),
+        repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again) GROUP BY doc_id),
+        stats AS (
+            SELECT doc_id, lang, source, len(words) AS n_words, length(regexp_replace(text, '{SPACE}', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))
+                     - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
+                   coalesce(n, 0) AS n_repeat_words,
+                   length(regexp_replace(text, '[^!]', '', 'g')) AS shouts, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS uppers,
+                   length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
+            FROM docs LEFT JOIN repeated USING (doc_id)),
+        rated AS (
+            SELECT *, CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS r1,
+                   CASE WHEN n_words > 0 THEN 1000 * shouts // n_words ELSE 0 END AS r2,
+                   CASE WHEN letters > 0 THEN 1000 * uppers // letters ELSE 0 END AS r3 FROM stats),
+        long AS (
+            SELECT lang, source, 1 AS s, r1 AS v FROM rated WHERE n_words > 0
+            UNION ALL SELECT lang, source, 2, r2 FROM rated WHERE n_words > 0
+            UNION ALL SELECT lang, source, 3, r3 FROM rated WHERE n_words > 0),
+        sketch AS (
+            SELECT lang, source, s, CASE WHEN v < {rules.SUB} THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS b, count(*) AS n
+            FROM long GROUP BY ALL),
+        levels AS (
+            SELECT 0 AS level, lang, source, s, b, n FROM sketch
+            UNION ALL SELECT 1, lang, '', s, b, sum(n) FROM sketch GROUP BY ALL
+            UNION ALL SELECT 2, '', '', s, b, sum(n) FROM sketch GROUP BY ALL),
+        ranked AS (
+            SELECT *, sum(n) OVER (PARTITION BY level, lang, source, s ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, s) AS docs FROM levels),
+        mids AS (
+            SELECT level, lang, source, s, docs, min(b) FILTER (WHERE below >= ceil(docs * 0.5)) AS mid, min(b) FILTER (WHERE below >= ceil(docs * {rules.LOW})) AS low
+            FROM ranked GROUP BY ALL),
+        limits AS (SELECT level, lang, source, s, docs, mid + greatest([{", ".join(map(str, rules.SIGNALS.values()))}][s], {rules.SPREAD} * (mid - low)) AS most FROM mids),
+        chosen AS (
+            SELECT o.lang, o.source, o.s, CASE WHEN o.docs >= {rules.MIN_DOCS} THEN o.most WHEN l.docs >= {rules.MIN_DOCS} THEN l.most ELSE e.most END AS most
+            FROM (SELECT * FROM limits WHERE level = 0) o
+            LEFT JOIN (SELECT * FROM limits WHERE level = 1) l ON o.lang = l.lang AND o.s = l.s
+            LEFT JOIN (SELECT * FROM limits WHERE level = 2) e ON o.s = e.s),
+        failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM rated)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND r1 <= coalesce(a.most, r1) AND r2 <= coalesce(b.most, r2) AND r3 <= coalesce(c.most, r3) AS kept
+        FROM failed f
+        LEFT JOIN chosen a ON f.lang = a.lang AND f.source = a.source AND a.s = 1
+        LEFT JOIN chosen b ON f.lang = b.lang AND f.source = b.source AND b.s = 2
+        LEFT JOIN chosen c ON f.lang = c.lang AND f.source = c.source AND c.s = 3""",
+}
