@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lines, pii, quality, rules, simhash, wordpiece
+from . import bpe, decontam, lines, lm, pii, quality, rules, simhash, wordpiece
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece}
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
