@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, lines, lm, pii, quality, rules, simhash, wordpiece
+from . import bpe, decontam, html, lines, lm, pii, quality, rules, simhash, wordpiece
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,7 +53,7 @@ def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece}
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
