@@ -84,34 +84,31 @@ def verify_plan(plan: DataFrame, probe: DataFrame, keys: list[str], p: Framing |
     measured = last_wins(probe.select(*keys, "in_frame", "out_frame", "ord", "cam", "cam_face", "full_face_x", "n_faces", "void"), [*keys, "in_frame", "out_frame"], "ord").drop("ord").withColumn("_probed", F.lit(True))
     rows = plan.join(measured, [*keys, "in_frame", "out_frame"], "left")
     W, H = F.col("width").cast("double"), F.col("height").cast("double")
-    mode = F.coalesce("mode", F.lit("full"))
-    hand = F.coalesce(F.col("rects_from") == "still", F.lit(False))
-    has_cam, has_face = F.col("cam").isNotNull(), F.col("cam").isNotNull() & F.col("cam_face").isNotNull()
-    cam_share = Rect.of(F.col("cam"))
-    cam, face = to_px(cam_share, W, H), to_px(Rect.of(F.col("cam_face")), W, H)
-    inset, zone = Rect.of(F.col("inset")), Rect.of(F.col("zone"))
-    void = F.coalesce("void", F.lit(False))
+    rect = lambda c: Rect.of(F.col(c))
+    whole_frame = F.array(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)])
+    # Each step's columns are used many times by the next, so they are columns: an expression of all steps would repeat them.
+    rows = rows.withColumns({
+        "_mode": F.coalesce("mode", F.lit("full")), "_hand": F.coalesce(F.col("rects_from") == "still", F.lit(False)), "_has_cam": F.col("cam").isNotNull(), "_has_face": F.col("cam").isNotNull() & F.col("cam_face").isNotNull(),
+        "_cam": to_px(rect("cam"), W, H).array(), "_face": to_px(rect("cam_face"), W, H).array(), "_inset": to_px(rect("inset"), W, H).array(), "_zone": to_px(rect("zone"), W, H).array(),
+        "_content": to_px(Rect.of(F.coalesce("content", whole_frame)), W, H).array(), "_agree": iou(rect("inset"), rect("cam")), "_zone_agree": iou(rect("zone"), rect("cam")), "void": F.coalesce("void", F.lit(False)), "_probed": F.coalesce("_probed", F.lit(False)),
+    })
+    hand, has_cam, has_face, void, mode = (F.col(c) for c in ("_hand", "_has_cam", "_has_face", "void", "_mode"))
     split, crop, zoom = mode == "split", mode == "crop", mode == "zoom"
-
-    # split
-    blind = ~has_cam & (F.coalesce("n_faces", F.lit(0)) == 0)
-    split_out = split & ~hand & (void | blind)
-    measured_cam = has_cam & ~hand
-    agree = iou(inset, cam_share)
-    structural = split & ~split_out & measured_cam & (agree < 0.05)
-    seed = Rect(*[F.when(measured_cam, c).otherwise(i) for c, i in zip(cam, to_px(inset, W, H), strict=True)])
+    agree, measured_cam = F.col("_agree"), F.col("_has_cam") & ~F.col("_hand")
+    cam, face = rect("_cam"), rect("_face")
     fcx, fcy = face.centre()
-    elsewhere = hand & has_face & ~F.coalesce(point_in(fcx, fcy, to_px(inset, W, H)), F.lit(False))
-    seed_face = has_face & ~elsewhere
-    window = inset_window(seed, face, seed_face, W, H, p.pane)
-    whole = lambda r: to_share(Rect(*[F.floor(c) for c in r]), W, H).array()
-    seen = F.coalesce(point_in(fcx, fcy, visible_after_cover(window, p.pane), 0.06), F.lit(False))
-    face_lost = split & ~split_out & ~structural & has_face & ~elsewhere & ~seen
-    content = to_px(Rect.of(F.coalesce("content", F.array(*[F.lit(v) for v in (0.0, 0.0, 1.0, 1.0)]))), W, H)
-    grown = expand_to_aspect(content, p.pane, W, H)
-    grew = F.lit(False)
-    for a, b in zip(grown, content, strict=True):
-        grew = grew | (F.bround(a) != F.bround(b))
+    rows = rows.withColumns({
+        "_split_out": split & ~hand & (void | (~has_cam & (F.coalesce("n_faces", F.lit(0)) == 0))),
+        "_seed": F.when(measured_cam, F.col("_cam")).otherwise(F.col("_inset")), "_elsewhere": hand & has_face & ~F.coalesce(point_in(fcx, fcy, rect("_inset")), F.lit(False)),
+        "_grown": expand_to_aspect(rect("_content"), p.pane, W, H).array(), "_grown_zone": expand_to_aspect(rect("_zone"), 1.0, W, H).array(), "_cam_window": inset_window(cam, face, has_face, W, H, p.pane).array(),
+    })
+    split_out, elsewhere = F.col("_split_out"), F.col("_elsewhere")
+    rows = rows.withColumn("_window", inset_window(rect("_seed"), face, has_face & ~elsewhere, W, H, p.pane).array())
+    rows = rows.withColumn("_seen", F.coalesce(point_in(fcx, fcy, visible_after_cover(rect("_window"), p.pane), 0.06), F.lit(False)))
+    structural = split & ~split_out & measured_cam & (agree < 0.05)
+    face_lost = split & ~split_out & ~structural & has_face & ~elsewhere & ~F.col("_seen")
+    grew = F.exists(F.arrays_zip("_grown", "_content"), lambda z: F.bround(z["_grown"]) != F.bround(z["_content"]))
+    whole = lambda c: to_share(Rect(*[F.floor(x) for x in rect(c)]), W, H).array()
 
     # crop
     column = H * p.column
@@ -121,14 +118,15 @@ def verify_plan(plan: DataFrame, probe: DataFrame, keys: list[str], p: Framing |
     crop_out = crop & F.col("full_face_x").isNull()
 
     # zoom
-    zone_px = to_px(zone, W, H)
-    on_cam = zoom & ~hand & has_cam & ((iou(zone, cam_share) >= 0.5) | contains(zone_px, cam, 0.7))
+    zone_px = rect("_zone")
+    on_cam = zoom & ~hand & has_cam & ((F.col("_zone_agree") >= 0.5) | contains(zone_px, cam, 0.7))
     zoom_out = zoom & ~hand & ~on_cam & void
     tall = zoom & ~on_cam & ~zoom_out & (zone_px.w / zone_px.h < 1.0)
-    cam_window = inset_window(cam, face, has_face, W, H, p.pane)
+    rows = rows.withColumns({"_structural": structural, "_face_lost": face_lost, "_grew": grew, "_crop_out": crop_out, "_leaving": F.coalesce(leaving, F.lit(False)), "_on_cam": F.coalesce(on_cam, F.lit(False)), "_zoom_out": F.coalesce(zoom_out, F.lit(False)), "_tall": F.coalesce(tall, F.lit(False))})
+    structural, face_lost, grew, crop_out, leaving, on_cam, zoom_out, tall = (F.col(c) for c in ("_structural", "_face_lost", "_grew", "_crop_out", "_leaving", "_on_cam", "_zoom_out", "_tall"))
 
     demoted = split_out | face_lost | crop_out | zoom_out
-    probed = F.coalesce("_probed", F.lit(False))
+    probed = F.col("_probed")
     text = lambda r: F.concat(F.lit("["), F.array_join(r.cast("array<string>"), ", "), F.lit("]"))
     notes = F.array_compact(F.array(
         F.when(split_out & void, "content pane is VOID (screen idle)"), F.when(split_out & ~void, "no cam / no face measured"),
@@ -148,7 +146,7 @@ def verify_plan(plan: DataFrame, probe: DataFrame, keys: list[str], p: Framing |
     stays = ~(act & demoted)
     return rows.select(
         *keys, "region", "in_frame", "out_frame", out_mode.alias("mode"), F.when(act & (demoted | leaving), F.col("full_face_x")).otherwise(F.col("face_x")).alias("face_x"),
-        F.when(sharing, whole(window)).otherwise(keep(F.col("inset"), stays)).alias("inset"), F.when(sharing, to_share(grown, W, H).array()).otherwise(keep(F.col("content"), stays)).alias("content"),
-        F.when(act & on_cam, whole(cam_window)).when(act & tall, to_share(expand_to_aspect(zone_px, 1.0, W, H), W, H).array()).otherwise(keep(F.col("zone"), stays)).alias("zone"),
+        F.when(sharing, whole("_window")).otherwise(keep(F.col("inset"), stays)).alias("inset"), F.when(sharing, to_share(rect("_grown"), W, H).array()).otherwise(keep(F.col("content"), stays)).alias("content"),
+        F.when(act & on_cam, whole("_cam_window")).when(act & tall, to_share(rect("_grown_zone"), W, H).array()).otherwise(keep(F.col("zone"), stays)).alias("zone"),
         keep(F.col("rects_from"), stays).alias("rects_from"), "width", "height", verdict.alias("verdict"), F.when(~probed, F.array(F.lit("no probe data for this region"))).otherwise(notes).alias("notes"),
     )

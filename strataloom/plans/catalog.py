@@ -1,4 +1,663 @@
-"""Every query by name, and the SQL it is compared with."""
+"""Every query by name, and the SQL each is compared with. IDs in the comments are those of the operator inventory."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import media, text
+from ..operators import bands, compiling, greedy, intervals, layout, registry, tracking
+from ..params import Captions
+from . import proxies as P
+from .proxies import BASE, BLOCKS, HOUR, RECTS, WORDS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+U = ["user_id"]
+DAY = 24 * HOUR
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# -- blocks and windows ------------------------------------------------------------------------------------------------
+
+SPANS = f"""seg AS (SELECT user_id, i, s, e, max(i) OVER (PARTITION BY user_id) AS last FROM w),
+    sj AS (SELECT a.user_id, a.i, a.s, min(j.i) AS j FROM seg a JOIN seg j ON a.user_id = j.user_id AND j.i >= a.i LEFT JOIN seg k ON k.user_id = j.user_id AND k.i = j.i + 1
+           WHERE j.e - a.s >= {DAY} OR j.i = j.last OR k.e - a.s > {DAY * 5 // 4} GROUP BY ALL),
+    step AS (SELECT sj.user_id, sj.i, sj.s, sj.j, e.e AS j_end, e.last, coalesce((SELECT min(k.i) FROM seg k WHERE k.user_id = sj.user_id AND k.i > sj.i AND k.s >= e.e - {8 * HOUR}), sj.j + 1) AS nxt
+             FROM sj JOIN seg e ON e.user_id = sj.user_id AND e.i = sj.j),
+    spans AS (SELECT user_id, i, s, j_end, j, last, nxt, 1 AS n FROM step WHERE i = 1
+              UNION ALL SELECT t.user_id, t.i, t.s, t.j_end, t.j, t.last, t.nxt, p.n + 1 FROM spans p JOIN step t ON t.user_id = p.user_id AND t.i = p.nxt WHERE p.j < p.last)"""
+
+
+def _windows(w: DataFrame) -> DataFrame:
+    return greedy.snapped_windows(w, U, ["i"], "s", "e", length=DAY, overlap=8 * HOUR)
+
+
+@query(f"WITH RECURSIVE {WORDS}, {SPANS} SELECT user_id, n AS \"window\", s AS start, j_end AS \"end\" FROM spans")
+def snapped_windows(spark, sf):  # INT-02
+    return _windows(P.words(spark, sf))
+
+
+def _stats(w: DataFrame) -> DataFrame:
+    spans = _windows(w).select("user_id", "window", F.col("start").alias("w0"), F.col("end").alias("w1"))
+    hits = bands.band_join(w, spans, U, "s", "w0", "w1", DAY, before=10)
+    speech = F.sum(F.greatest(F.lit(0), F.least("e", "w1") - F.col("s")))
+    stats = hits.groupBy("user_id", "window", "w0", "w1").agg(F.count("*").alias("n_words"), F.min("i").alias("first_word"), F.max("i").alias("last_word"), speech.alias("speech_ms"), bands.ordered_text("i", "w").alias("text"))
+    seconds = F.greatest(F.col("w1") - F.col("w0"), F.lit(1)) / HOUR
+    return stats.withColumn("density", media.density(F.col("n_words"), F.col("speech_ms") / HOUR, seconds))
+
+
+STATS = f"""{WORDS}, {SPANS},
+    stats AS (SELECT p.user_id, n AS "window", p.s AS w0, j_end AS w1, count(*) AS n_words, min(w.i) AS first_word, max(w.i) AS last_word,
+              sum(greatest(0, least(w.e, j_end) - w.s))::BIGINT AS speech_ms, string_agg(w.w, ' ' ORDER BY w.i) AS text
+              FROM spans p JOIN w ON w.user_id = p.user_id AND w.s >= p.s - 10 AND w.s < j_end GROUP BY ALL),
+    dense AS (SELECT *, least(n_words / (greatest(w1 - w0, 1) / {HOUR}::DOUBLE) / 3.2::DOUBLE, 1.3::DOUBLE) * 45 + least((speech_ms / {HOUR}::DOUBLE) / (greatest(w1 - w0, 1) / {HOUR}::DOUBLE), 1.0::DOUBLE) * 45 AS density FROM stats)"""
+
+
+@query(f"WITH RECURSIVE {STATS} SELECT * FROM dense")
+def window_stats(spark, sf):  # JON-04 AGG-02 AGG-12 SCL-19
+    return _stats(P.words(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {STATS}, {BLOCKS}, wb AS (SELECT w.user_id, w.i, coalesce(min(b.b), -1) AS b FROM w LEFT JOIN b ON w.user_id = b.user_id AND w.s >= b0 - 150 AND w.s < b1 + 50 GROUP BY ALL),
+    inside AS (SELECT d.user_id, d."window", count(*) FILTER (WHERE wb.b >= 0) AS n_in_blocks FROM dense d JOIN wb ON wb.user_id = d.user_id AND wb.i BETWEEN first_word AND last_word GROUP BY ALL)
+    SELECT d.*, n_in_blocks FROM dense d JOIN inside USING (user_id, "window") ORDER BY density DESC, user_id, "window" LIMIT 10""")
+def ranked_windows(spark, sf):  # the flagship: JON-01 INT-02 AGG-02 SRT-01
+    w = P.words(spark, sf)
+    top = _stats(w).orderBy(F.desc("density"), "user_id", "window").limit(10)  # a top-k report
+    tagged = bands.first_block(w.select("user_id", "i", "s"), P.blocks(w), U, "s", "b0", "b1", "b", "in_b", DAY, before=150, after=50).select("user_id", "i", "in_b")
+    spread = F.broadcast(top.select("user_id", "window", F.explode(F.sequence("first_word", "last_word")).alias("i")))  # ten windows
+    inside = tagged.join(spread, ["user_id", "i"]).groupBy("user_id", "window").agg(F.sum((F.col("in_b") >= 0).cast("long")).alias("n_in_blocks"))
+    return top.join(inside, ["user_id", "window"])
+
+
+@query(f"WITH {WORDS}, {BLOCKS} SELECT w.user_id, w.i, w.s, coalesce(min(b.b), -1) AS in_b FROM w LEFT JOIN b ON w.user_id = b.user_id AND w.s >= b0 - 150 AND w.s < b1 + 50 GROUP BY ALL")
+def word_blocks(spark, sf):  # JON-01
+    w = P.words(spark, sf)
+    return bands.first_block(w.select("user_id", "i", "s"), P.blocks(w), U, "s", "b0", "b1", "b", "in_b", DAY, before=150, after=50)
+
+
+@query(f"WITH {WORDS}, {BLOCKS} SELECT b.user_id, b.b, coalesce(string_agg(w.w, ' ' ORDER BY w.i), '') AS text FROM b LEFT JOIN w ON w.user_id = b.user_id AND w.s >= b0 - 150 AND w.s < b1 + 50 GROUP BY ALL")
+def block_texts(spark, sf):  # JON-02 AGG-12
+    w = P.words(spark, sf)
+    return bands.block_text(w, P.blocks(w), U, "s", "i", "w", "b0", "b1", "b", DAY, before=150, after=50)
+
+
+@query(f"WITH {WORDS}, {BLOCKS} SELECT b.*, coalesce((SELECT min(o.s) FROM w o WHERE o.user_id = b.user_id AND o.w = 'click' AND o.s BETWEEN b0 - 50 AND b1), b0) AS onset FROM b")
+def block_onsets(spark, sf):  # JON-03
+    w = P.words(spark, sf)
+    return bands.first_onset(P.blocks(w), w.where("w = 'click'").select("user_id", F.col("s").alias("onset")), U, "b0", "b1", "onset", DAY, before=50)
+
+
+def _silences(w: DataFrame) -> tuple[DataFrame, DataFrame]:
+    events = w.select("user_id", (F.col("s") - BASE).alias("at"), F.when(F.col("w").isin("click", "view", "purchase"), "s").otherwise("e").alias("kind"))
+    return events, events.groupBy("user_id").agg((F.max("at") + HOUR).alias("duration"))
+
+
+def _speech(w: DataFrame) -> DataFrame:
+    events, durations = _silences(w)
+    return intervals.speech_blocks(events, U, "at", "kind", durations, "duration", least=HOUR)
+
+
+SPEECH = f"""{WORDS}, ev AS (SELECT user_id, s - {BASE} AS tm, CASE WHEN w IN ('click', 'view', 'purchase') THEN 's' ELSE 'e' END AS kind FROM w),
+    du AS (SELECT user_id, max(tm) + {HOUR} AS duration FROM ev GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tm, kind) AS k FROM ev UNION ALL SELECT user_id, duration, 'z', (SELECT count(*) + 1 FROM ev WHERE ev.user_id = du.user_id) FROM du),
+    fold AS (SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS cur, false AS quiet, NULL::BIGINT AS start, NULL::BIGINT AS "end" FROM du
+             UNION ALL SELECT f.user_id, o.k, CASE WHEN kind = 'e' THEN tm ELSE cur END, CASE kind WHEN 's' THEN true WHEN 'e' THEN false ELSE quiet END,
+                              CASE WHEN kind <> 'e' AND NOT quiet AND tm - cur > {HOUR} THEN cur END, CASE WHEN kind <> 'e' AND NOT quiet AND tm - cur > {HOUR} THEN tm END
+                       FROM fold f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1),
+    sp AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS block, start, "end" FROM fold WHERE start IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SPEECH} SELECT * FROM sp")
+def speech_blocks(spark, sf):  # INT-01 SET-02 SRT-09
+    return _speech(P.words(spark, sf))
+
+
+@query(f'WITH RECURSIVE {SPEECH} SELECT *, lead(start) OVER (PARTITION BY user_id ORDER BY block) - "end" AS gap_after FROM sp')
+def block_gaps(spark, sf):  # WIN-01
+    return intervals.gap_after(_speech(P.words(spark, sf)), U)
+
+
+@query(f"""WITH RECURSIVE {SPEECH}, f AS (SELECT user_id, count(*) AS n, sum("end" - start) AS speech, count(*) FILTER (WHERE "end" - start < {8 * HOUR}) AS tiny FROM sp GROUP BY 1)
+    SELECT user_id, coalesce(n IS NULL OR speech > duration * 0.4::DOUBLE OR (n > 10 AND tiny > n * 0.2::DOUBLE), true) AS degenerate FROM du LEFT JOIN f USING (user_id)""")
+def degenerate_maps(spark, sf):  # FLT-13
+    w = P.words(spark, sf)
+    return intervals.degenerate(_speech(w), U, _silences(w)[1], "duration", most_speech=0.4, tiny=8 * HOUR, tiny_share=0.2)
+
+
+@query(f"""WITH RECURSIVE {SPEECH}, f AS (SELECT user_id, count(*) AS n, sum("end" - start) AS speech, count(*) FILTER (WHERE "end" - start < {8 * HOUR}) AS tiny FROM sp GROUP BY 1),
+    v AS (SELECT user_id, coalesce(n IS NULL OR speech > duration * 0.4::DOUBLE OR (n > 10 AND tiny > n * 0.2::DOUBLE), true) AS bad FROM du LEFT JOIN f USING (user_id)), {BLOCKS}
+    SELECT user_id, block, start, "end", false AS rescued FROM sp JOIN v USING (user_id) WHERE NOT bad
+    UNION ALL SELECT user_id, b, b0 - {BASE}, b1 - {BASE}, true FROM b JOIN v USING (user_id) WHERE bad""")
+def rescued_maps(spark, sf):  # FLT-14
+    w = P.words(spark, sf)
+    other = P.blocks(w).select("user_id", F.col("b").cast("int").alias("block"), (F.col("b0") - BASE).alias("start"), (F.col("b1") - BASE).alias("end"))
+    return intervals.choose_map(_speech(w), other, degenerate_maps(spark, sf), U)
+
+
+@query(f"""WITH {WORDS}, v AS (SELECT user_id, list_sort(list(-value)) AS v FROM w GROUP BY 1), p AS (SELECT user_id, len(v) AS n, v[1 + floor(len(v) * 0.9::DOUBLE)::INT] AS hi, v[1 + floor(len(v) * 0.1::DOUBLE)::INT] AS lo FROM v),
+    o AS (SELECT *, greatest(hi - 22, lo + 10) AS o FROM p)
+    SELECT user_id, CASE WHEN n < 20 THEN -30 ELSE greatest(hi - 14, o + 6) END AS in_db, CASE WHEN n < 20 THEN -38 ELSE o END AS out_db FROM o""")
+def calibrated_thresholds(spark, sf):  # AGG-06b SCL-25
+    return intervals.thresholds(P.words(spark, sf).select("user_id", (-F.col("value")).alias("level")), U, "level")
+
+
+def _ranges(w: DataFrame) -> DataFrame:
+    return w.where("w = 'signup'").select("user_id", F.col("event_id").alias("r"), F.col("s").alias("t0"), F.col("e").alias("t1"))
+
+
+GAPS = f"""{WORDS}, {BLOCKS}, rg AS (SELECT user_id, event_id AS r, s AS t0, e AS t1 FROM w WHERE w = 'signup'),
+    c AS (SELECT rg.user_id, r, t0, t1, greatest(b0, t0) AS b0, least(b1, t1) AS b1 FROM rg JOIN b ON b.user_id = rg.user_id AND b1 > t0 AND b0 < t1 UNION ALL SELECT user_id, r, t0, t1, t1, t1 FROM rg),
+    m AS (SELECT *, coalesce(max(b1) OVER (PARTITION BY user_id, r ORDER BY b0, b1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t0) AS cur FROM c),
+    gp AS (SELECT DISTINCT user_id, r, cur + 600000 AS start, b0 - 600000 AS "end" FROM m WHERE b0 - cur >= {HOUR} + 1200000)"""
+
+
+def _gaps(w: DataFrame) -> DataFrame:
+    return intervals.gaps(_ranges(w), P.blocks(w).select("user_id", F.col("b0").alias("start"), F.col("b1").alias("end")), U, "r", DAY, least=HOUR, margin=600000)
+
+
+@query(f"WITH {GAPS} SELECT * FROM gp")
+def range_gaps(spark, sf):  # INT-03 JON-09 WIN-06
+    return _gaps(P.words(spark, sf))
+
+
+@query(f"""WITH {GAPS}, g AS (SELECT user_id, sum("end" - start)::BIGINT AS total, sum(CASE WHEN r % 3 <> 0 THEN "end" - start END)::BIGINT AS known, sum(CASE WHEN r % 3 <> 0 THEN ("end" - start) * (-20 - r % 40) END)::BIGINT AS weighted FROM gp GROUP BY 1),
+    src AS (SELECT DISTINCT user_id, user_id % 7 = 0 AS rescued FROM w)
+    SELECT user_id, coalesce(total, 0) AS total, weighted / known::DOUBLE AS mean_db, CASE WHEN (coalesce(total, 0) >= {HOUR} AND coalesce(weighted / known::DOUBLE > -38, false)) OR rescued THEN 'skip' ELSE 'ok' END AS bed FROM src LEFT JOIN g USING (user_id)""")
+def bed_verdicts(spark, sf):  # AGG-04 AGG-13
+    w = P.words(spark, sf)
+    levels = _gaps(w).withColumn("db", F.when(F.col("r") % 3 != 0, -20 - F.col("r") % 40))
+    return intervals.bed_verdict(levels, w.select("user_id", (F.col("user_id") % 7 == 0).alias("rescued")).distinct(), U, evidence=HOUR)
+
+
+@query(f"""WITH RECURSIVE {WORDS}, raw AS (SELECT user_id, i, CASE WHEN event_id % 5 NOT IN (0, 1) THEN s END AS s, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 1 THEN e END AS e, s - 1000 AS seg FROM w),
+    x AS (SELECT *, min(s) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM raw),
+    f AS (SELECT user_id, i, coalesce(s, seg) AS s, coalesce(e, CASE WHEN nxt IS NOT NULL THEN least(nxt, coalesce(s, seg) + 500000) ELSE coalesce(s, seg) + 300000 END) AS e FROM x WHERE i = 1
+          UNION ALL SELECT x.user_id, x.i, coalesce(x.s, f.e), coalesce(x.e, CASE WHEN nxt IS NOT NULL THEN least(nxt, coalesce(x.s, f.e) + 500000) ELSE coalesce(x.s, f.e) + 300000 END) FROM f JOIN x ON x.user_id = f.user_id AND x.i = f.i + 1)
+    SELECT * FROM (SELECT user_id, i, s, min(e) AS e FROM f GROUP BY ALL)""")
+def imputed_times(spark, sf):  # WIN-03
+    w = P.words(spark, sf)
+    first = Window.partitionBy("user_id")
+    raw = w.select("user_id", "i", F.when(~(F.col("event_id") % 5).isin(0, 1), F.col("s")).alias("s"), F.when((F.col("event_id") % 3 != 0) & (F.col("event_id") % 5 != 1), F.col("e")).alias("e"), (F.col("s") - 1000).alias("seg_start"))
+    return intervals.impute_times(raw, U, "i", cap=500000, last_cap=300000).drop("seg_start")
+
+
+# -- greedy ------------------------------------------------------------------------------------------------------------
+
+SPACED = f"""{WORDS}, nx AS (SELECT a.user_id, a.s, min(b.s) AS nxt FROM w a LEFT JOIN w b ON b.user_id = a.user_id AND b.s >= a.s + {3 * DAY} GROUP BY ALL),
+    k AS (SELECT user_id, min(s) AS s FROM w GROUP BY 1 UNION ALL SELECT k.user_id, nxt FROM k JOIN nx USING (user_id, s) WHERE nxt IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {SPACED} SELECT * FROM k")
+def spaced_events(spark, sf):  # INT-06
+    return greedy.minimum_spacing(P.words(spark, sf), U, "s", 3 * DAY)
+
+
+@query(f"""WITH RECURSIVE {SPACED}, o AS (SELECT user_id, 0::BIGINT AS r, {BASE} AS a, {BASE} + 40 * {DAY}::BIGINT AS b FROM (SELECT DISTINCT user_id FROM w)), p AS (SELECT user_id, r, a AS tm FROM o UNION ALL SELECT user_id, r, b FROM o UNION ALL SELECT user_id, 0, s FROM k)
+    SELECT * FROM (SELECT user_id, r, tm AS in_frame, lead(tm) OVER (PARTITION BY user_id ORDER BY tm) AS out_frame FROM p) WHERE out_frame IS NOT NULL""")
+def tiled_regions(spark, sf):  # INT-07
+    w = P.words(spark, sf)
+    ranges = w.select("user_id").distinct().select("user_id", F.lit(0).cast("long").alias("r"), F.lit(BASE).alias("in_frame"), F.lit(BASE + 40 * DAY).alias("out_frame"))
+    cuts = greedy.minimum_spacing(w, U, "s", 3 * DAY).select("user_id", F.lit(0).cast("long").alias("r"), F.col("s").alias("cut"))
+    return intervals.tile(ranges, cuts, U, "r")
+
+
+@query(f"""WITH RECURSIVE {WORDS}, o AS (SELECT user_id, event_id, s, s + {6 * HOUR} AS e, row_number() OVER (PARTITION BY user_id ORDER BY -floor(value * 100), event_id) AS k FROM w),
+    f AS (SELECT user_id, k, [{{'n': event_id, 'a': s, 'b': e}}] AS kept, event_id AS n, NULL::BIGINT AS winner FROM o WHERE k = 1
+          UNION ALL SELECT o.user_id, o.k, CASE WHEN len(list_filter(kept, lambda x: x.a <= o.e AND o.s <= x.b)) = 0 THEN list_append(kept, {{'n': o.event_id, 'a': o.s, 'b': o.e}}) ELSE kept END, o.event_id, list_filter(kept, lambda x: x.a <= o.e AND o.s <= x.b)[1].n
+                    FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+    SELECT user_id, n AS event_id, winner FROM f""")
+def suppressed_overlaps(spark, sf):  # INT-05 SRT-03
+    w = P.words(spark, sf).select("user_id", "event_id", F.floor(F.col("value") * 100).alias("score"), F.col("s").alias("a"), (F.col("s") + 6 * HOUR).alias("b"))
+    return greedy.suppress_overlaps(w, U, "score", "event_id", "a", "b").select("user_id", "event_id", "winner")
+
+
+CUES = f"""{WORDS}, n AS (SELECT user_id, i, CASE WHEN event_id % 4 = 0 THEN w || '.' WHEN event_id % 4 = 1 THEN 'the' ELSE w END AS t, s, e, lead(s) OVER (PARTITION BY user_id ORDER BY i) AS nxt FROM w)"""
+
+
+def _said(w: DataFrame) -> DataFrame:
+    return w.withColumn("t", F.when(F.col("event_id") % 4 == 0, F.concat("w", F.lit("."))).when(F.col("event_id") % 4 == 1, "the").otherwise(F.col("w")))
+
+
+@query(f"""WITH RECURSIVE {CUES},
+    f AS (SELECT user_id, i, s AS a, e AS b, nxt, t, 1 AS k, t AS txt FROM n WHERE i = 1
+          UNION ALL SELECT n.user_id, n.i, CASE WHEN brk THEN n.s ELSE g.a END, n.e, n.nxt, n.t, CASE WHEN brk THEN 1 ELSE g.k + 1 END, CASE WHEN brk THEN n.t ELSE g.txt || ' ' || n.t END
+                    FROM (SELECT *, k >= CASE WHEN t = 'the' THEN 10 ELSE 7 END OR b - a >= {2 * DAY} OR nxt - b > {12 * HOUR} OR (t LIKE '%.' AND k >= 3) AS brk FROM f) g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1),
+    c AS (SELECT *, k >= CASE WHEN t = 'the' THEN 10 ELSE 7 END OR b - a >= {2 * DAY} OR nxt IS NULL OR nxt - b > {12 * HOUR} OR (t LIKE '%.' AND k >= 3) AS brk FROM f),
+    d AS (SELECT user_id, i, a AS start, least(CASE WHEN b - a < {HOUR} THEN a + {HOUR} ELSE b END, coalesce(nxt, 9000000000000000)) AS "end", txt FROM c WHERE brk)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i)::INT AS cue, start, "end", txt AS text FROM d WHERE "end" > start""")
+def caption_cues(spark, sf):  # INT-10 SCL-08
+    return greedy.build_cues(_said(P.words(spark, sf)), U, ["i"], "t", "s", "e", Captions(max_seconds=2 * DAY, pause=12 * HOUR, min_seconds=HOUR))
+
+
+@query(f"""WITH RECURSIVE {CUES},
+    f AS (SELECT user_id, i, s AS a, e AS b, nxt, t, 1 AS k, t AS txt FROM n WHERE i = 1
+          UNION ALL SELECT n.user_id, n.i, CASE WHEN brk THEN n.s ELSE g.a END, n.e, n.nxt, n.t, CASE WHEN brk THEN 1 ELSE g.k + 1 END, CASE WHEN brk THEN n.t ELSE g.txt || ' ' || n.t END
+                    FROM (SELECT *, k >= 3 OR b - a >= {DAY} OR t LIKE '%.' AS brk FROM f) g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i)::INT AS cue, lead(a) OVER (PARTITION BY user_id ORDER BY i) AS after FROM f WHERE k >= 3 OR b - a >= {DAY} OR t LIKE '%.' OR nxt IS NULL),
+    d AS (SELECT *, CASE WHEN b <= a THEN a + 450 ELSE b END AS own FROM c)
+    SELECT user_id, cue, a AS start, CASE WHEN after IS NULL THEN own ELSE least(after, greatest(own, a + 350)) END AS "end", txt AS text FROM d""")
+def short_cues(spark, sf):  # INT-11 WIN-08
+    return greedy.short_cues(_said(P.words(spark, sf)), U, ["i"], "t", "s", "e", seconds=DAY, blank=450, shown=350)
+
+
+@query()
+def thought_units(spark, sf):  # INT-12 INT-13
+    return greedy.thoughts(P.spoken(spark, sf), ["conv_id"], ["i"])
+
+
+@query()
+def thought_windows(spark, sf):  # INT-14 FLT-11 FLT-12
+    w = P.spoken(spark, sf)
+    return greedy.thought_windows(greedy.thoughts(w, ["conv_id"], ["i"]), ["conv_id"], w.groupBy("conv_id").agg(F.max("end").alias("duration")))
+
+
+# -- joins -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT a.event_id, abs(a.s - b.s) AS d, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.s - b.s), b.event_id) AS k
+    FROM w a JOIN w b ON a.user_id = b.user_id AND a.w = 'error' AND b.w = 'click' AND abs(a.s - b.s) <= {12 * HOUR})
+    SELECT w.user_id, w.event_id, w.s, c.other, c.d AS distance FROM w LEFT JOIN c ON c.event_id = w.event_id AND k = 1 WHERE w.w = 'error'""")
+def nearest_clicks(spark, sf):  # JON-10
+    w = P.words(spark, sf)
+    clicks = w.where("w = 'click'").select("user_id", "s", "event_id", F.col("event_id").alias("other"))
+    return bands.nearest(w.where("w = 'error'").select("user_id", "event_id", "s"), clicks, U, "s", "s", 12 * HOUR, "event_id", "other")
+
+
+@query(f"""WITH {WORDS}, rg AS (SELECT user_id, event_id AS r, s AS t0, e AS t1 FROM w WHERE w = 'signup'), pu AS (SELECT user_id, event_id AS p, s AS p0, e AS p1 FROM w WHERE w = 'purchase')
+    SELECT rg.user_id, r, t0, t1, p, p0, p1 FROM rg JOIN pu ON rg.user_id = pu.user_id AND p1 > t0 AND p0 < t1""")
+def overlapping_spans(spark, sf):  # JON-12
+    w = P.words(spark, sf)
+    return bands.overlap_join(_ranges(w), w.where("w = 'purchase'").select("user_id", F.col("event_id").alias("p"), F.col("s").alias("p0"), F.col("e").alias("p1")), U, ("t0", "t1"), ("p0", "p1"), DAY)
+
+
+@query(f"""WITH {WORDS}, rg AS (SELECT user_id, s AS t0, e AS t1 FROM w WHERE w = 'signup')
+    SELECT user_id, i, s, e FROM w WHERE EXISTS (SELECT 1 FROM rg WHERE rg.user_id = w.user_id AND w.s >= t0 - 50 AND w.s <= t1)""")
+def contained_words(spark, sf):  # JON-11
+    w = P.words(spark, sf)
+    return bands.band_join(w.select("user_id", "i", "s", "e"), _ranges(w), U, "s", "t0", "t1", DAY, before=50, closed=True, how="left_semi")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_orders(spark, sf):  # AGG-07 SRT-04
+    o = P.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return bands.last_wins(o, ["o_custkey"], "at").drop("at")
+
+
+@query(f"""WITH {WORDS}, p AS (SELECT user_id, s // {DAY} AS d, w AS k, max(event_id) AS last FROM w GROUP BY ALL)
+    SELECT a.event_id, p.last, p.last IS NULL AS unmatched FROM w a LEFT JOIN p ON p.user_id = a.user_id AND p.d = a.s // {DAY} AND p.k = 'view' AND a.w = 'click' WHERE a.w = 'click'""")
+def composite_lookup(spark, sf):  # JON-08
+    w = P.words(spark, sf).withColumn("d", F.floor(F.col("s") / DAY).cast("long"))
+    last = bands.last_wins(w.where("w = 'view'").select("user_id", "d", F.col("event_id").alias("last"), F.col("event_id").alias("o")), ["user_id", "d"], "o").drop("o")
+    return w.where("w = 'click'").join(last, ["user_id", "d"], "left").select("event_id", "last", F.col("last").isNull().alias("unmatched"))
+
+
+@query(f"""WITH {WORDS}, a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS k FROM w WHERE w = 'view'), b AS (SELECT user_id, event_id AS best, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM w WHERE w = 'click')
+    SELECT a.user_id, event_id, best FROM a LEFT JOIN b ON a.user_id = b.user_id AND a.k = b.k""")
+def zipped_by_position(spark, sf):  # JON-14
+    w = P.words(spark, sf)
+    b = w.where("w = 'click'").select("user_id", F.col("event_id").alias("best"), F.col("value").alias("v"))
+    return bands.zip_by_position(w.where("w = 'view'").select("user_id", "event_id", "s"), b, U, [F.col("s"), F.col("event_id")], [F.desc("v"), F.col("best")]).select("user_id", "event_id", "best")
+
+
+@query(f"""WITH {WORDS}, {BLOCKS}, f AS (SELECT w.user_id, w.event_id, min(b.b) AS hit FROM w LEFT JOIN b ON b.user_id = w.user_id AND w.s >= b0 AND w.s < b1 GROUP BY ALL), l AS (SELECT user_id, max(b) AS last FROM b GROUP BY 1)
+    SELECT user_id, event_id, coalesce(hit, last) AS b FROM f LEFT JOIN l USING (user_id)""")
+def track_segments(spark, sf):  # JON-16
+    w = P.words(spark, sf)
+    track = P.blocks(w).withColumn("o", F.col("b"))
+    return bands.as_of_segment(w.select("user_id", "event_id", "s"), track, U, "s", "b0", "b1", "b", "o", DAY).select("user_id", "event_id", "b")
+
+
+@query(f"""WITH {WORDS}, rg AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS r, i AS a, least(i + 4, max(i) OVER (PARTITION BY user_id)) AS b FROM w)
+    SELECT rg.user_id, r, string_agg(w.w, ' ' ORDER BY w.i) AS text FROM rg JOIN w ON w.user_id = rg.user_id AND w.i BETWEEN a AND b GROUP BY ALL""")
+def range_texts(spark, sf):  # JON-07
+    w = P.words(spark, sf)
+    last = F.max("i").over(Window.partitionBy("user_id"))
+    ranges = w.select("user_id", F.col("i").alias("r"), F.col("i").alias("start_word"), F.least(F.col("i") + 4, last).alias("end_word"))
+    return compiling.range_text(ranges, w, U, ["r"])
+
+
+# -- ordered rows ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {WORDS} SELECT user_id, i, coalesce(sum(e - s) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS timeline_start, sum(e - s) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS timeline_end FROM w")
+def timeline_offsets(spark, sf):  # WIN-04 WIN-05 AGG-15
+    return intervals.running_offsets(P.words(spark, sf), U, "i", F.col("e") - F.col("s")).select("user_id", "i", "timeline_start", "timeline_end")
+
+
+@query(f"""WITH {WORDS}, m AS (SELECT *, sum(CASE WHEN w IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY i) AS p FROM w))
+    SELECT user_id, min(w) AS w, min(s) AS s, max(e) AS e FROM m GROUP BY user_id, g""")
+def merged_runs(spark, sf):  # WIN-09
+    return intervals.merge_equal(P.words(spark, sf), U, "i", "w", "s", "e")
+
+
+@query(f"WITH {WORDS} SELECT user_id, i, w FROM (SELECT *, lag(w) OVER (PARTITION BY user_id ORDER BY i) AS p FROM w) WHERE w IS DISTINCT FROM p")
+def changed_values(spark, sf):  # WIN-10
+    return intervals.drop_repeats(P.words(spark, sf).select("user_id", "i", "w"), U, "i", "w")
+
+
+@query(f"WITH {WORDS} SELECT user_id, i, s - lag(e) OVER (PARTITION BY user_id ORDER BY i) AS gap, lead(s) OVER (PARTITION BY user_id ORDER BY i) AS next_start FROM w")
+def word_gaps(spark, sf):  # WIN-02 WIN-07
+    w = Window.partitionBy("user_id").orderBy("i")
+    return P.words(spark, sf).select("user_id", "i", (F.col("s") - F.lag("e").over(w)).alias("gap"), F.lead("s").over(w).alias("next_start"))
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT user_id, i, (s - {BASE}) / 1000.0::DOUBLE AS a, (e - {BASE}) / 1000.0::DOUBLE AS b FROM w), y AS (SELECT *, greatest(0, floor(a * 30)::BIGINT) AS start_f, lead(a) OVER o AS na FROM x WINDOW o AS (PARTITION BY user_id ORDER BY i)),
+    z AS (SELECT *, greatest(start_f + 1, floor(b * 30 + 0.5::DOUBLE)::BIGINT) AS end_f, lead(start_f) OVER (PARTITION BY user_id ORDER BY i) AS nf FROM y)
+    SELECT user_id, i, start_f, end_f, CASE WHEN coalesce(na - b < 1.0, false) THEN greatest(start_f + 1, nf) ELSE least(end_f + 6, coalesce(nf, end_f + 6)) END AS visible_f FROM z""")
+def caption_holds(spark, sf):  # WIN-11
+    w = P.words(spark, sf).select("user_id", "i", ((F.col("s") - BASE) / 1000.0).alias("start"), ((F.col("e") - BASE) / 1000.0).alias("end"))
+    return intervals.caption_holds(w, U, "i", 30.0).select("user_id", "i", "start_f", "end_f", "visible_f")
+
+
+@query(f"WITH {WORDS}, v AS (SELECT user_id, list_sort(list(value)) AS v FROM w GROUP BY 1) SELECT user_id, v[1 + round_even((len(v) - 1) * 0.9::DOUBLE, 0)::INT] AS p90 FROM v")
+def nearest_rank_p90(spark, sf):  # AGG-06
+    return intervals.percentile(P.words(spark, sf), U, "value", 0.9, "p90")
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT user_id, i, value, row_number() OVER (PARTITION BY user_id ORDER BY i) AS k FROM w), m AS (SELECT a.user_id, a.i, list_sort(list(b.value)) AS v FROM x a JOIN x b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 4 AND a.k GROUP BY ALL)
+    SELECT user_id, i, CASE WHEN len(v) % 2 = 1 THEN v[len(v) // 2 + 1] ELSE (v[len(v) // 2] + v[len(v) // 2 + 1]) * 0.5::DOUBLE END AS med FROM m""")
+def rolling_medians(spark, sf):  # WIN-12
+    v = F.array_sort(F.collect_list("value").over(Window.partitionBy("user_id").orderBy("i").rowsBetween(-4, 0)))
+    rows = P.words(spark, sf).select("user_id", "i", v.alias("v")).withColumn("h", F.floor(F.size("v") / 2).cast("int"))
+    return rows.select("user_id", "i", F.when(F.size("v") % 2 == 1, F.get("v", F.col("h"))).otherwise((F.get("v", F.col("h") - 1) + F.get("v", F.col("h"))) * 0.5).alias("med"))
+
+
+@query(f"""WITH {WORDS}, sh AS (SELECT user_id, event_id AS short, s AS a, e AS b FROM w WHERE w = 'signup'), cu AS (SELECT user_id, s AS c0, e AS c1, i FROM w WHERE w = 'click'),
+    l AS (SELECT sh.user_id, short, b - a AS len, greatest(0, c0 - a) AS x, least(b - a, greatest(greatest(0, c0 - a) + 180, c1 - a)) AS y, c0, c1, i FROM sh JOIN cu ON sh.user_id = cu.user_id AND c1 > a AND c0 < b),
+    o AS (SELECT *, coalesce(lag(y) OVER q, 0) AS p, lead(y) OVER q IS NULL AS final FROM l WHERE y > 0 AND x < len WINDOW q AS (PARTITION BY user_id, short ORDER BY c0, c1, i)),
+    s AS (SELECT user_id, short, x AS start, y AS "end", i::VARCHAR AS text FROM o UNION ALL SELECT user_id, short, p, x, NULL FROM o WHERE x > p UNION ALL SELECT user_id, short, y, len, NULL FROM o WHERE final AND y < len)
+    SELECT user_id, short, start::DOUBLE AS start, "end"::DOUBLE AS "end", text FROM s WHERE "end" - start > 20""")
+def local_cues(spark, sf):  # INT-08
+    w = P.words(spark, sf)
+    cues = w.where("w = 'click'").select("user_id", F.col("s").cast("double").alias("start"), F.col("e").cast("double").alias("end"), F.col("i").cast("string").alias("text"))
+    shorts = w.where("w = 'signup'").select("user_id", F.col("event_id").alias("short"), F.col("s").cast("double").alias("a"), F.col("e").cast("double").alias("b"))
+    return intervals.local_cues(cues, shorts, U, float(DAY), shortest=180.0, least=20.0)
+
+
+# -- compiling ---------------------------------------------------------------------------------------------------------
+
+
+def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """words, blocks, sources and candidates from conversations: a candidate for every tenth word, of one or two segments."""
+    w = P.spoken(spark, sf).select("conv_id", (F.col("i") + 1).alias("i"), F.col("text").alias("w"), F.col("start").alias("s"), F.col("end").alias("e"))
+    b = F.floor((F.col("i") - 1) / 25).cast("long")
+    w = w.withColumn("b", F.when(F.col("i") % 50 == 0, F.lit(-1).cast("long")).otherwise(b))
+    blocks = w.where("b >= 0").groupBy("conv_id", "b").agg(F.min("s").alias("onset"), F.max("e").alias("end")).withColumnRenamed("b", "i")
+    sources = w.select("conv_id").distinct().withColumn("fps", F.lit(30.0))
+    r = lambda a, z: F.struct(a.cast("long").alias("start_word"), z.cast("long").alias("end_word"))
+    i = F.col("i")
+    opening = F.concat_ws(" ", F.col("w"), F.lead("w").over(Window.partitionBy("conv_id").orderBy("i")), F.lead("w", 2).over(Window.partitionBy("conv_id").orderBy("i")))
+    cands = w.withColumn("o", opening).where("i % 10 = 1").select(
+        "conv_id", F.floor(i / 10).cast("int").alias("n"), F.format_string("clip %d", i).alias("title"), F.when(i % 30 == 1, "teaser").otherwise("natural").alias("hook_mode"), F.when(i % 40 == 31, "nothing like it").otherwise(F.col("o")).alias("hook_quote"),
+        F.when(i % 30 == 1, r(i + 5, i + 9)).alias("teaser"), F.when(i % 70 == 11, F.array(r(i, i + 40))).when(i % 70 == 21, F.array(r(i, i + 30), r(i + 25, i + 60))).otherwise(F.array(r(i, i + 30), r(i + 31, i + 60))).alias("segments"),
+        F.create_map(F.lit("hook"), (i % 25).cast("int"), F.lit("value"), (i % 11).cast("int")).alias("scores"),
+    )
+    return w, blocks, sources, cands
+
+
+@query()
+def compiled_candidates(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 SET-05 SRT-02
+    w, blocks, sources, cands = _transcript(spark, sf)
+    return compiling.compile_candidates(cands, w, blocks, sources, ["conv_id"])[0]
+
+
+@query()
+def compiled_captions(spark, sf):  # JON-05 INT-09 SET-01 FLT-10
+    w, blocks, sources, cands = _transcript(spark, sf)
+    cuts = compiling.compile_candidates(cands, w, blocks, sources, ["conv_id"])[1]
+    return compiling.caption_words(cuts.withColumn("fps", F.lit(30.0)), w, ["conv_id"], ["n"])
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT user_id, i, s // 60000 AS a, greatest(e // 60000, s // 60000 + 1) AS b FROM w), y AS (SELECT *, greatest(a, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY i), a)) AS p FROM x),
+    z AS (SELECT *, p > a AND b - p < 3 AS collapsed FROM y) SELECT user_id, i, p AS in_frame, b AS out_frame, p - a AS clamped, collapsed, max(collapsed::INT) OVER (PARTITION BY user_id ORDER BY i) = 1 AS dropped FROM z""")
+def clamped_joins(spark, sf):  # WIN-15
+    m = lambda c: F.floor(F.col(c) / 60000).cast("long")
+    return compiling.clamp_joins(P.words(spark, sf).select("user_id", "i", m("s").alias("in_frame"), F.greatest(m("e"), m("s") + 1).alias("out_frame")), U, "i")
+
+
+@query(f"WITH {WORDS}, {BLOCKS}, wb AS (SELECT w.user_id, w.i, min(b.b) AS b FROM w JOIN b ON w.user_id = b.user_id AND w.s >= b0 AND w.s < b1 GROUP BY ALL) SELECT user_id, b, min(i) AS first_word, max(i) AS last_word FROM wb GROUP BY ALL")
+def block_edges(spark, sf):  # AGG-01
+    w = P.words(spark, sf)
+    tagged = bands.first_block(w.select("user_id", "i", "s"), P.blocks(w), U, "s", "b0", "b1", "b", "_b", DAY, before=0, after=0)
+    return compiling.block_edges(tagged.withColumnRenamed("_b", "b"), U)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, string_split_regex(regexp_replace(lower(text), '[^a-z0-9'' ]', ' ', 'g'), ' +') AS v FROM conversations), u AS (SELECT conv_id, turn, list_filter(v, lambda x: x <> '') AS v FROM t)
+    SELECT conv_id, turn, len(v) AS n, array_to_string(v[1:3], ' ') AS opening, coalesce(v[1] IN ('and','but','so','because','or','that','which','if','when','while','though','since','as','for','also','plus','then','actually','basically','like','really','just','maybe','cause','uh','um','yeah','okay','ok','right','well'), false) AS banned FROM u""")
+def openings(spark, sf):  # SCL-01 FLT-05 FLT-06
+    from ..params import BANNED_OPENERS
+
+    v = P.table(spark, sf, "conversations").select("conv_id", "turn", text.norm_words(F.col("text")).alias("v"))
+    return v.select("conv_id", "turn", F.size("v").cast("long").alias("n"), F.array_join(F.slice("v", 1, 3), " ").alias("opening"), F.coalesce(F.array_contains(text.strings(BANNED_OPENERS), F.get("v", F.lit(0))), F.lit(False)).alias("banned"))
+
+
+def _list(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _topic_sql() -> str:
+    from ..params import CONTINUE_START, INCOMPLETE_TAILS, MORE_STOPWORDS, TOPIC_START
+
+    pattern = lambda p: p.replace("(?i)", "").replace("'", "''")
+    return rf"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS v FROM conversations),
+        u AS (SELECT *, list_filter(list_distinct(list_transform(v, lambda x: regexp_replace(lower(x), '[^a-z0-9'']+', '', 'g'))), lambda x: length(x) > 2 AND NOT list_contains([{_list(dict.fromkeys(INCOMPLETE_TAILS + MORE_STOPWORDS))}], x)) AS c,
+              CASE WHEN len(v) = 0 THEN false WHEN regexp_matches(v[-1], '[.?!]$') THEN true ELSE len(v) >= 6 AND NOT list_contains([{_list(INCOMPLETE_TAILS)}], regexp_replace(lower(v[-1]), '[^a-z0-9'']+', '', 'g')) END AS done FROM t),
+        p AS (SELECT *, lead(text) OVER o AS nt, lead(c) OVER o AS nc FROM u WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+        j AS (SELECT *, CASE WHEN len(c) = 0 OR len(nc) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(c, nc)) / len(list_distinct(list_concat(c, nc)))::DOUBLE END AS sim FROM p WHERE nt IS NOT NULL)
+        SELECT conv_id, turn, done AS complete, (CASE WHEN turn % 3 = 0 THEN 2.2::DOUBLE ELSE 0 END) + (CASE WHEN turn % 9 = 0 THEN 2.5::DOUBLE ELSE 0 END) + (CASE WHEN regexp_matches(nt, '{pattern(TOPIC_START)}', 'i') THEN 2.4::DOUBLE ELSE 0 END)
+               - (CASE WHEN regexp_matches(nt, '{pattern(CONTINUE_START)}', 'i') THEN 2.2::DOUBLE ELSE 0 END) + (CASE WHEN sim < 0.08 AND len(c) > 0 AND len(nc) > 0 THEN 2.0::DOUBLE WHEN sim < 0.16 THEN 1.0::DOUBLE ELSE 0 END) + (CASE WHEN done THEN 0.6::DOUBLE ELSE -2.8::DOUBLE END) AS shift FROM j"""
+
+
+@query(_topic_sql())
+def topic_shifts(spark, sf):  # SCL-02..07 SET-03 SET-04
+    t = P.table(spark, sf, "conversations").withColumn("nt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    gap = F.when(F.col("turn") % 9 == 0, 9.0).when(F.col("turn") % 3 == 0, 3.0).otherwise(1.0)
+    return t.where("nt IS NOT NULL").select("conv_id", "turn", text.thought_complete(F.col("text")).alias("complete"), text.topic_shift(F.col("text"), F.col("nt"), gap).alias("shift"))
+
+
+@query(f"""WITH {WORDS}, t AS (SELECT event_id, s - {BASE} AS ms FROM w) SELECT event_id, lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 3600000)::VARCHAR))::INT, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS srt FROM t""")
+def srt_times(spark, sf):  # SCL-09 SCL-10
+    return P.words(spark, sf).select("event_id", text.srt_time(F.col("s") - BASE).alias("srt"))
+
+
+@query(r"""SELECT page_id, substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS slug, CASE WHEN length(url) > 30 THEN substr(url, 1, 30) || '...' ELSE url END AS preview,
+    replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages""")
+def page_names(spark, sf):  # SCL-11 SCL-28 SCL-33
+    u = F.col("url")
+    return P.table(spark, sf, "pages").select("page_id", text.slug(u).alias("slug"), text.preview(u, 30).alias("preview"), text.xml_escape(u).alias("escaped"))
+
+
+@query(r"""WITH f AS (SELECT p_partkey, (p_partkey % 13 + 1)::VARCHAR || CASE WHEN p_size % 5 = 0 THEN ' LONG ' ELSE ' CLIP ' END || p_size::VARCHAR || ' - ' || replace(p_name, ' ', '-') || CASE WHEN p_size % 7 = 0 THEN '.txt' ELSE '.mp4' END AS file FROM part)
+    SELECT p_partkey, file, try_cast(nullif(regexp_extract(file, '^(\d+) (CLIP|LONG) (\d+) - (.+?)\.mp4$', 1), '') AS INT) AS rank, nullif(regexp_extract(file, '^(\d+) (CLIP|LONG) (\d+) - (.+?)\.mp4$', 2), '') AS kind,
+           try_cast(nullif(regexp_extract(file, '^(\d+) (CLIP|LONG) (\d+) - (.+?)\.mp4$', 3), '') AS INT) AS score, replace(nullif(regexp_extract(file, '^(\d+) (CLIP|LONG) (\d+) - (.+?)\.mp4$', 4), ''), '-', ' ') AS title FROM f""")
+def clip_names(spark, sf):  # SCL-12 PRS-09
+    name = F.concat((F.col("p_partkey") % 13 + 1).cast("string"), F.when(F.col("p_size") % 5 == 0, " LONG ").otherwise(" CLIP "), F.col("p_size").cast("string"), F.lit(" - "), F.replace("p_name", F.lit(" "), F.lit("-")), F.when(F.col("p_size") % 7 == 0, ".txt").otherwise(".mp4"))
+    rows = P.table(spark, sf, "part").select("p_partkey", name.alias("file"))
+    return rows.select("p_partkey", "file", *[c.alias(k) for k, c in media.clip_name(F.col("file")).items()])
+
+
+@query(f"""WITH {WORDS}, h AS (SELECT event_id, s, lpad(to_hex(s), 12, '0') AS h, CASE WHEN event_id % 3 = 0 THEN '4' ELSE '7' END AS v FROM w)
+    SELECT event_id, 'chan' || (event_id % 9)::VARCHAR AS handle, CASE WHEN v = '7' THEN s END AS created_ms FROM h""")
+def video_urls(spark, sf):  # SCL-13 SCL-14
+    h = F.lower(F.lpad(F.hex("s"), 12, "0"))
+    uuid = F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.when(F.col("event_id") % 3 == 0, "4").otherwise("7"), F.lit("abc-8def-0123456789ab"))
+    u = P.words(spark, sf).select("event_id", F.concat(F.lit("https://www.video.example/chan"), (F.col("event_id") % 9).cast("string"), F.lit("/videos/"), uuid, F.lit("?t=1")).alias("url"))
+    parts = media.video_url(F.col("url"))
+    return u.select("event_id", parts["handle"].alias("handle"), parts["created_ms"].alias("created_ms"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000000 * 1000 AS plain_ms FROM events")
+def iso_times(spark, sf):  # SCL-15
+    e = P.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t"))
+    return e.select("event_id", media.iso_millis(F.concat("t", F.lit("Z"))).alias("ms"), media.iso_millis(F.translate(F.substring("t", 1, 19), "T", " ")).alias("plain_ms"))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 2 = 0 THEN p_size END, 0) + coalesce(CASE WHEN p_size % 3 = 0 THEN p_size * 2 END, 0) AS total, CASE WHEN p_size % 4 = 0 THEN 24 WHEN p_size % 4 = 1 THEN 30 ELSE p_size END::BIGINT AS timebase, p_size % 4 < 2 AS ntsc, (p_size // 2 * 2)::BIGINT AS even FROM part")
+def scores_and_rates(spark, sf):  # AGG-03 SCL-16 SCL-17 SCL-26
+    p = P.table(spark, sf, "part").withColumn("scores", F.create_map(F.lit("hook"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.lit("value"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") * 2)))
+    fps = media.rational(F.when(F.col("p_size") % 4 == 0, "24000/1001").when(F.col("p_size") % 4 == 1, "30000/1001").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("/1"))))
+    base, ntsc = media.rate_class(fps)
+    return p.select("p_partkey", compiling.total_score(F.col("scores")).alias("total"), base.alias("timebase"), ntsc.alias("ntsc"), media.even_down(F.col("p_size")).cast("long").alias("even"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, p_name, 0 AS k, 0::BIGINT AS h FROM part UNION ALL SELECT p_partkey, p_name, k + 1, (h * 33 + ascii(substr(p_name, k + 1, 1))) % 4294967296 FROM c WHERE k < length(p_name)) SELECT p_partkey, h % 7 AS pick FROM c WHERE k = length(p_name)""")
+def rolling_picks(spark, sf):  # SCL-20
+    return P.table(spark, sf, "part").select("p_partkey", text.rolling_pick(F.col("p_name"), 7).alias("pick"))
+
+
+# -- geometry ----------------------------------------------------------------------------------------------------------
+
+INTER = "greatest(0.0::DOUBLE, least(a[1] + a[3], b[1] + b[3]) - greatest(a[1], b[1])) * greatest(0.0::DOUBLE, least(a[2] + a[4], b[2] + b[4]) - greatest(a[2], b[2]))"
+
+
+@query(f"WITH {RECTS}, q AS (SELECT *, {INTER} AS x FROM r) SELECT vec_id, CASE WHEN a[3] * a[4] + b[3] * b[4] - x <> 0 THEN x / (a[3] * a[4] + b[3] * b[4] - x) ELSE 0 END AS iou, x / (b[3] * b[4]) >= 0.8::DOUBLE AS inside FROM q")
+def rect_pairs(spark, sf):  # GEO-01 GEO-02
+    a, b = G.Rect.of(F.col("a")), G.Rect.of(F.col("b"))
+    return P.rects(spark, sf).select("vec_id", G.iou(a, b).alias("iou"), G.contains(a, b).alias("inside"))
+
+
+@query(f"""WITH {RECTS}, v AS (SELECT vec_id, a, a[3] / a[4] > 1.125::DOUBLE AS wide FROM r)
+    SELECT vec_id, CASE WHEN wide THEN a[1] + (a[3] - a[4] * 1.125::DOUBLE) / 2 ELSE a[1] END AS x, CASE WHEN wide THEN a[2] ELSE a[2] + (a[4] - a[3] / 1.125::DOUBLE) / 2 END AS y, CASE WHEN wide THEN a[4] * 1.125::DOUBLE ELSE a[3] END AS w, CASE WHEN wide THEN a[4] ELSE a[3] / 1.125::DOUBLE END AS h,
+           a[1] < 20 OR a[1] + a[3] > 980 AS hugs, least(sqrt((a[1] + a[3] / 2) * (a[1] + a[3] / 2) + (a[2] + a[4] / 2) * (a[2] + a[4] / 2)), sqrt((a[1] + a[3] / 2 - 1000) * (a[1] + a[3] / 2 - 1000) + (a[2] + a[4] / 2) * (a[2] + a[4] / 2)),
+                 sqrt((a[1] + a[3] / 2) * (a[1] + a[3] / 2) + (a[2] + a[4] / 2 - 600) * (a[2] + a[4] / 2 - 600)), sqrt((a[1] + a[3] / 2 - 1000) * (a[1] + a[3] / 2 - 1000) + (a[2] + a[4] / 2 - 600) * (a[2] + a[4] / 2 - 600))) AS corner FROM v""")
+def visible_rects(spark, sf):  # GEO-05 FLT-16 SRT-06
+    a = G.Rect.of(F.col("a"))
+    v = G.visible_after_cover(a, 1.125)
+    return P.rects(spark, sf).select("vec_id", *[c.alias(n) for n, c in zip("xywh", v, strict=True)], ((a.x < 20) | (a.x + a.w > 980)).alias("hugs"), G.corner_distance(a, F.lit(1000.0), F.lit(600.0)).alias("corner"))
+
+
+@query(f"""WITH {RECTS}, t AS (SELECT vec_id, a, a[3] / a[4] AS ar FROM r),
+    s AS (SELECT *, 1.125::DOUBLE * a[4] AS w2, a[3] / 1.125::DOUBLE AS h2, a[4] * 1.125::DOUBLE AS w1 FROM t)
+    SELECT vec_id, CASE WHEN ar < 1.125 THEN CASE WHEN w1 <= 1000 THEN least(greatest(a[1] - (w1 - a[3]) * 0.5::DOUBLE, 0), 1000 - w1) ELSE 0 END
+                        WHEN ar > 1.125 THEN CASE WHEN h2 <= 600 THEN a[1] ELSE least(greatest(a[1] + a[3] / 2 - 675.0::DOUBLE / 2, 0), 1000 - 675.0::DOUBLE) END ELSE a[1] END AS x,
+           CASE WHEN ar < 1.125 THEN w1 WHEN ar > 1.125 THEN CASE WHEN h2 <= 600 THEN a[3] ELSE 675 END ELSE a[3] END AS w,
+           CASE WHEN ar < 1.125 THEN a[4] WHEN ar > 1.125 THEN least(h2, 600) ELSE a[4] END AS h FROM s""")
+def expanded_rects(spark, sf):  # GEO-04
+    g = G.expand_to_aspect(G.Rect.of(F.col("a")), 1.125, F.lit(1000.0), F.lit(600.0))
+    return P.rects(spark, sf).select("vec_id", g.x.alias("x"), g.w.alias("w"), g.h.alias("h"))
+
+
+@query(f"""WITH {RECTS}, h AS (SELECT vec_id, a, b, greatest(greatest(132.0::DOUBLE, least(b[4] * 3.3::DOUBLE, 216.0::DOUBLE)), a[4]) AS h FROM r)
+    SELECT vec_id, least(h * 1.125::DOUBLE, 1000) AS w, least(h, 600) AS h, CASE WHEN a[2] + a[4] >= 576 THEN 600 - h ELSE greatest(0, least(b[2] + b[4] / 2 - h * 0.42::DOUBLE, greatest(0, 600 - h))) END AS y FROM h""")
+def inset_windows(spark, sf):  # GEO-03 GEO-06 GEO-07
+    w = G.inset_window(G.Rect.of(F.col("a")), G.Rect.of(F.col("b")), F.lit(True), F.lit(1000.0), F.lit(600.0), 1.125)
+    return P.rects(spark, sf).select("vec_id", w.w.alias("w"), w.h.alias("h"), w.y.alias("y"))
+
+
+@query(f"""WITH RECURSIVE {RECTS}, o AS (SELECT label, vec_id, a, row_number() OVER (PARTITION BY label ORDER BY -a[3] * a[4], vec_id) AS k FROM r),
+    f AS (SELECT label, k, vec_id, true AS keep, [a] AS kept FROM o WHERE k = 1
+          UNION ALL SELECT o.label, o.k, o.vec_id, ok, CASE WHEN ok THEN list_append(kept, o.a) ELSE kept END FROM f JOIN o ON o.label = f.label AND o.k = f.k + 1,
+          LATERAL (SELECT len(list_filter(list_transform(f.kept, lambda b: {{'x': {INTER.replace('a[', 'o.a[')}, 'u': o.a[3] * o.a[4] + b[3] * b[4]}}), lambda z: z.x / (z.u - z.x) > 0.35)) = 0 AS ok) t)
+    SELECT label, vec_id FROM f WHERE keep""")
+def merged_boxes(spark, sf):  # GEO-08 SRT-07
+    return greedy.merge_boxes(P.rects(spark, sf), ["label"], "vec_id", "a")
+
+
+@query()
+def clustered_boxes(spark, sf):  # GEO-09
+    r = P.rects(spark, sf)
+    return greedy.cluster_boxes(r.withColumn("frame", F.floor(F.col("vec_id") / 50)), ["label"], "frame", "vec_id", "a")
+
+
+def _plan(spark, sf) -> tuple[DataFrame, DataFrame]:
+    share = lambda c: F.array(*[F.get(c, F.lit(k)) / (1000.0 if k % 2 == 0 else 600.0) for k in range(4)])
+    r = P.rects(spark, sf).select("label", "vec_id", share("a").alias("a"), share("b").alias("b"))
+    frame = F.col("vec_id") * 100
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("split", "crop", "zoom", "full")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    plan = r.select("label", F.col("vec_id").alias("region"), frame.alias("in_frame"), (frame + 100).alias("out_frame"), mode.alias("mode"), F.lit(0.4).alias("face_x"), F.col("a").alias("inset"), F.col("b").alias("content"), F.col("a").alias("zone"), F.when(F.col("vec_id") % 9 == 0, "still").alias("rects_from"), F.lit(1000).alias("width"), F.lit(600).alias("height"))
+    near = F.transform("a", lambda x: x + 0.01)
+    probe = r.where("vec_id % 17 <> 3").select("label", F.col("vec_id").alias("ord"), frame.alias("in_frame"), (frame + 100).alias("out_frame"), F.when(F.col("vec_id") % 5 != 0, F.when(F.col("vec_id") % 3 == 0, F.col("b")).otherwise(near)).alias("cam"), F.when(F.col("vec_id") % 7 != 0, near).alias("cam_face"), F.when(F.col("vec_id") % 2 == 0, F.lit(0.7)).alias("full_face_x"), (F.col("vec_id") % 3).cast("int").alias("n_faces"), (F.col("vec_id") % 11 == 0).alias("void"))
+    return plan, probe
+
+
+@query()
+def verified_plans(spark, sf):  # GEO-12 JON-08 SNK-08
+    return layout.verify_plan(*_plan(spark, sf), ["label"])
+
+
+@query(f"""WITH {WORDS}, s AS (SELECT user_id, i, 100 * i AS c, 100 * i + 60 AS d FROM w WHERE i <= 3)
+    SELECT user_id, 'starts' AS fault FROM s WHERE user_id % 4 = 1 GROUP BY 1 UNION ALL SELECT user_id, 'uncovered' FROM s WHERE user_id % 4 = 2 GROUP BY 1 UNION ALL SELECT user_id, 'extra' FROM s WHERE user_id % 4 = 3 GROUP BY 1""")
+def tiling_faults(spark, sf):  # FLT-15
+    segs = P.words(spark, sf).where("i <= 3").select("user_id", "i", (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + 60).alias("out_frame"))
+    segs = segs.withColumn("last", F.col("i") == F.max("i").over(Window.partitionBy("user_id")))
+    last = F.col("last")
+    kind, mid = F.col("user_id") % 4, F.col("in_frame") + 25
+    r = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    first = F.when((kind == 1) & last, F.array(r(F.col("in_frame") + 1, mid), r(mid, F.col("out_frame")))).when((kind == 2) & last, F.array(r(F.col("in_frame"), mid))).when((kind == 3) & last, F.array(r(F.col("in_frame"), mid), r(mid, F.col("out_frame")), r(F.col("out_frame"), F.col("out_frame") + 5))).otherwise(F.array(r(F.col("in_frame"), mid), r(mid, F.col("out_frame"))))
+    regions = segs.select("user_id", F.explode(first).alias("x")).select("user_id", F.col("x.a").alias("in_frame"), F.col("x.b").alias("out_frame"), F.struct("x.a", "x.b").alias("o"))
+    return intervals.tiling_faults(regions, segs.drop("last"), U, "o", "i")
+
+
+# -- framing -----------------------------------------------------------------------------------------------------------
+
+
+def _detections(spark, sf) -> DataFrame:
+    """A short for each user: a sample for each event, with 0 to 3 faces whose places follow the event's number."""
+    w = P.words(spark, sf)
+    n, calm = F.col("event_id"), F.col("user_id") % 3 == 0
+    face = lambda k: F.struct(F.when(calm, 500.0 + F.pmod(n, F.lit(20)) + 5.0 * k).otherwise(F.pmod(n * (31 + 7 * k), F.lit(700)) + 100.0 * k).alias("x"), F.lit(100.0).alias("y"), (60.0 + F.pmod(n, F.lit(40))).cast("double").alias("w"), (70.0 + 10 * k + F.pmod(n, F.lit(25))).cast("double").alias("h"), F.lit(0.9).alias("conf"))
+    faces = F.slice(F.array(face(0), face(1), face(2)), 1, F.pmod(n, F.lit(3)).cast("int") + F.when(F.col("user_id") % 2 == 0, 0).otherwise(1))
+    return w.select("user_id", (F.col("i") - 1).alias("frame"), F.lit(1280.0).alias("width"), F.lit(720.0).alias("height"), faces.alias("faces"), F.array().cast(f"array<{tracking.BOX}>").alias("humans"), F.lit(1280).alias("src_w"), F.lit(720).alias("src_h"))
+
+
+@query(f"""WITH {WORDS}, n AS (SELECT user_id, event_id, event_id % 3 + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS c, 60.0::DOUBLE + event_id % 40 AS fw FROM w),
+    f AS (SELECT user_id, event_id, k, CASE WHEN user_id % 3 = 0 THEN 500.0::DOUBLE + event_id % 20 + 5 * k ELSE (event_id * (31 + 7 * k)) % 700 + 100.0::DOUBLE * k END + fw / 2 AS cx FROM n, (SELECT unnest([0, 1, 2]) AS k) WHERE k < c),
+    s AS (SELECT n.user_id, n.event_id, c, count(DISTINCT floor(cx / (1280 * 0.18::DOUBLE))) AS g, coalesce((max(cx) - min(cx)) / 1280, 0) AS span FROM n LEFT JOIN f USING (user_id, event_id) GROUP BY user_id, event_id, c)
+    SELECT user_id, avg((c > 0)::INT) AS hit_rate, avg(c) AS mean_faces, avg(g) AS mean_clusters, avg((g >= 2)::INT) AS multi_share, avg((g >= 3)::INT) AS three_share, avg((span >= 0.52)::INT) AS wide_share, count(*) AS samples, 1280 AS src_w, 720 AS src_h FROM s GROUP BY 1""")
+def framing_stats(spark, sf):  # AGG-05 AGG-10 AGG-11 TRK-05 JON-17
+    return tracking.framing_stats(tracking.samples(_detections(spark, sf)), U)
+
+
+@query()
+def framing_plans(spark, sf):  # TRK-01..03 TRK-06 FLT-17 WIN-12 WIN-13
+    d = _detections(spark, sf)
+    return tracking.plan_framing(tracking.samples(d), U, d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration")))
+
+
+@query()
+def crop_commands(spark, sf):  # SNK-16 WIN-10
+    return tracking.crop_commands(framing_plans(spark, sf).withColumn("src_h", F.lit(720)), U)
+
+
+# -- registry ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT p_brand AS package, p_partkey, p_name AS t, p_size, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part), m AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY p_size DESC, p_partkey) AS k FROM f WHERE rank % 2 = 0)
+    SELECT f.package, f.rank::INT AS rank, f.p_size AS score, coalesce(m.t, f.t) AS title, CASE WHEN max((f.p_size % 50 = 0)::INT) OVER (PARTITION BY f.package) = 1 THEN 'longform' ELSE 'shorts' END AS mode FROM f LEFT JOIN m ON m.package = f.package AND m.k = f.rank""")
+def scanned_packages(spark, sf):  # SRC-11 JON-14 WIN-14
+    p = P.table(spark, sf, "part").withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    name = F.concat(F.col("rank").cast("string"), F.when(F.col("p_size") % 50 == 0, " LONG ").otherwise(" CLIP "), F.col("p_size").cast("string"), F.lit(" - "), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(".mp4"))
+    manifest = p.where("rank % 2 = 0").select(F.col("p_brand").alias("package"), F.col("p_name").alias("title"), F.col("p_size").alias("total_score"), F.col("p_partkey").alias("n"))
+    return registry.scan_packages(p.select(F.col("p_brand").alias("package"), name.alias("file")), manifest).drop("file")
+
+
+@query(f"""WITH {WORDS} SELECT user_id, count(*) AS n, greatest(2, least(6, floor(count(*) * 1000 / 60::DOUBLE / 15)))::INT AS long_clips, string_agg(DISTINCT w, '+' ORDER BY w) AS modes FROM w GROUP BY 1""")
+def package_counts(spark, sf):  # PRS-03 AGG-14
+    g = P.words(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("w")), "+").alias("modes"))
+    return g.select("user_id", "n", registry.long_form_count(F.col("n") * 1000).alias("long_clips"), "modes")
+
+
+@query("SELECT coalesce(CASE WHEN max(event_id) > 0 THEN '#000000' END, '#7C5CFF') AS caption_color, 'default' AS caption_font, 'shorts' AS default_mode, 'auto' AS clip_count FROM events")
+def merged_settings(spark, sf):  # SCL-29 SET-07 SRC-10
+    saved = P.table(spark, sf, "events").agg(F.max("event_id").alias("m")).select(F.create_map(F.lit("caption_color"), F.when(F.col("m") > 0, "#000000"), F.lit("unknown"), F.lit("x")).alias("settings"))
+    return registry.settings(saved)
+
+
+@query(f"""WITH RECURSIVE {STATS} SELECT user_id, "window", density FROM dense WHERE n_words > 2 AND NOT EXISTS (SELECT 1 FROM (SELECT user_id AS u, "window" AS n FROM dense WHERE density >= 55) x WHERE u = user_id AND n = "window")""")
+def unread_windows(spark, sf):  # PRS-01 PRS-10
+    s = _stats(P.words(spark, sf))
+    return registry.unread(s.where("n_words > 2"), s.where("density >= 55").select("user_id", "window"), ["user_id", "window"]).select("user_id", "window", "density")
