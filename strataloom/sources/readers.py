@@ -10,12 +10,12 @@ from .. import schemas
 from ..functions.media import rational
 
 
-def documents(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def documents(spark: SparkSession, path, schema: str) -> DataFrame:
     """One row for each JSON document, with source_id (its file)."""
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("source_id", F.col("_metadata.file_path"))
 
 
-def json_lines(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path, schema: str) -> DataFrame:
     """Rows of line-delimited JSON; blank lines are skipped, malformed ones give nulls."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path).withColumn("source_id", F.col("_metadata.file_path"))
 
@@ -52,10 +52,10 @@ def candidates(spark: SparkSession, path) -> DataFrame:
     return documents(spark, path, schemas.CANDIDATES).select("source_id", F.posexplode("clips").alias("k", "c")).select("source_id", (F.col("k") + 1).alias("n"), "c.*")
 
 
-def exploded(spark: SparkSession, path, schema: T.StructType, field: str) -> DataFrame:
+def exploded(spark: SparkSession, path, schema: str, field: str) -> DataFrame:
     """source_id, ord, the document's other fields, and those of each entry of its list `field`: cuts, scenes, plans, probes."""
     docs = documents(spark, path, schema)
-    rest = [c for c in schema.names if c != field]
+    rest = [c for c in T.StructType.fromDDL(schema).names if c != field]
     return docs.select("source_id", *rest, F.posexplode(field).alias("ord", "x")).select("source_id", *rest, "ord", "x.*")
 
 
