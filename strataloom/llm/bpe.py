@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, once
 
 #: Words, and chunks between white space, kept with their encodings in one Python worker; twice that for a while.
 CACHE_WORDS, CACHE_CHUNKS = 150_000, 100_000
@@ -231,15 +231,9 @@ def decode(automaton: BpeAutomaton, ids: list[int]) -> str:
     return " ".join(names[i] for i in ids)
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder_of(shared) -> Encoder:
     """The worker's one Encoder for a broadcast automaton: its cache outlasts a task."""
-    if shared.value is not None and (key := id(shared.value)) not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[id(shared.value)]
+    return once("bpe", shared.value, Encoder)
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -87,3 +87,14 @@ def with_text_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *extra.fields]))
+
+
+_made: dict[str, tuple] = {}
+
+
+def once(kind: str, value, make: Callable):
+    """make(value), made once in a Python worker for as long as this kind's value is the same object."""
+    held = _made.get(kind)
+    if held is None or held[0] is not value:
+        held = _made[kind] = value, make(value)
+    return held[1]

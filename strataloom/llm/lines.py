@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, arrow_type, checkpointed, small_batches
+from .common import SPACE, arrow_type, checkpointed, once, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 50_000
@@ -199,19 +199,13 @@ def drop_common_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows
 
 
-_shards: dict[int, Shards] = {}
-
-
 def probe_wave(rows: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     schema = rows.schema
     where = {n: rows.columns.index(n) for n in (id_col, text_col, "_lines_total", "_lines_dropped")}
     text_type = arrow_type(schema[text_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (key := id(shared.value)) not in _shards:
-            _shards.clear()
-            _shards[key] = Shards(*shared.value)
-        index = _shards[key]
+        index = once("lines", shared.value, lambda v: Shards(*v))
         for batch in batches:
             ids = batch.column(where[id_col]).to_pylist()
             texts = batch.column(where[text_col]).cast(pa.binary()).to_pylist()

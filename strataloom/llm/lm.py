@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts, small_batches
+from .common import checkpointed, map_texts, once, small_batches
 
 WORD_CLASSES, SUFFIX_CLASSES = 1024, 512
 FREQUENT = 100_000
@@ -211,14 +211,8 @@ class Worker:
         return tokens, known, base, float(self.table[cls[:-1], cls[1:]].sum(dtype=np.float64) + self.inside[at].sum())
 
 
-_workers: dict[int, Worker] = {}
-
-
 def worker_of(shared) -> Worker:
-    if (key := id(shared.value)) not in _workers:
-        _workers.clear()
-        _workers[key] = Worker(shared.value)
-    return _workers[key]
+    return once("lm", shared.value, Worker)
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

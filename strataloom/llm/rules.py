@@ -120,15 +120,15 @@ def thresholds(stats: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
     """rows with the columns base_failed and kept (names after prefix), by a join with their group's limits."""
-    limits = checkpointed(limits.select(F.col("lang").alias("limit_lang"), F.col("source").alias("limit_source"), *[f"limit_{k}" for k in SIGNALS]))
+    limits = checkpointed(limits.select(F.col("lang").alias("_rules_limit_lang"), F.col("source").alias("_rules_limit_source"), *[F.col(f"limit_{k}").alias(f"_rules_limit_{k}") for k in SIGNALS]))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     c = lambda name: F.col(prefix + name)
-    out = rows.join(limits, F.col(lang).eqNullSafe(F.col("limit_lang")) & F.col(source).eqNullSafe(F.col("limit_source")), "left")
+    out = rows.join(limits, F.col(lang).eqNullSafe(F.col("_rules_limit_lang")) & F.col(source).eqNullSafe(F.col("_rules_limit_source")), "left")
     failed = base_failed(c("n_words"), c("n_repeat_words"))
     passes = F.lit(True)
     for k in SIGNALS:
-        passes = passes & (c(k) <= F.coalesce(F.col(f"limit_{k}"), F.lit(2**62)))
+        passes = passes & (c(k) <= F.coalesce(F.col(f"_rules_limit_{k}"), F.lit(2**62)))
     return out.select(*rows.columns, failed.alias(prefix + "base_failed"), (~failed & passes).alias(prefix + "kept"))
 
 

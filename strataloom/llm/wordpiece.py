@@ -14,7 +14,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 
 from .bpe import byte_symbols
-from .common import map_texts
+from .common import map_texts, once
 
 CACHE_WORDS = 200_000
 #: Longer words count as one unknown piece, as is usual for word pieces.
@@ -102,9 +102,6 @@ def compile_vocabulary(path: str) -> PieceAutomaton:
     return PieceAutomaton({p[1:] for p in pieces if p[:1] == b" " and len(p) > 1}, {p for p in pieces if p[:1] != b" "})
 
 
-_counts: dict[int, dict[bytes, int]] = {}
-
-
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id_col, n_words, n_pieces and n_unknown for each row of df.
 
@@ -115,10 +112,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def make():
         automaton = shared.value
-        if id(automaton) not in _counts:
-            _counts.clear()
-            _counts[id(automaton)] = {}
-        cache = _counts[id(automaton)]
+        cache: dict[bytes, int] = once("wordpiece", automaton, lambda _: {})
 
         def work(texts: list[bytes]):
             for t in texts:
