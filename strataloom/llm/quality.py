@@ -17,7 +17,7 @@ from .common import CONTINUATION, SPACE, map_texts
 
 #: The bound of the training sample, in rows.
 MAX_TRAIN = 4000
-BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 2048, 8, 12, 64, 0.05, 1e-4
+BUCKETS, FACTORS, STEPS, BATCH, RATE, DECAY = 2048, 8, 1000, 64, 0.05, 1e-4
 THRESHOLD, FOLDS = 0.3, 5
 CACHE_WORDS = 200_000
 UPPER, LETTERS, DIGITS = bytes(range(65, 91)), bytes(range(65, 91)) + bytes(range(97, 123)), b"0123456789"
@@ -70,7 +70,7 @@ class FactorisationMachine:
         self.w, self.v = np.zeros(d, np.float32), rng.normal(0, 0.02, (d, FACTORS)).astype(np.float32)
         x = self.scaled(x)
         gw, gv, gb = np.full(d, 1e-2, np.float32), np.full((d, FACTORS), 1e-2, np.float32), 1e-2
-        for _ in range(EPOCHS if len(x) else 0):
+        for _ in range(-(-STEPS * BATCH // len(x)) if len(x) else 0):
             order = rng.permutation(len(x))
             for k in range(0, len(x), BATCH):
                 a, t = x[order[k : k + BATCH]], y[order[k : k + BATCH]]
