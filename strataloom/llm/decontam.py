@@ -7,13 +7,16 @@ row for each document and one for each hit leave the map side; nothing else of t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 
 WINDOW = 10
-#: Distinct windows that are broadcast at most (some 200 bytes each); beyond, the join is shuffled.
+#: Distinct windows that are broadcast at once (some 200 bytes each). More are looked up in waves of so many, each a pass
+#: over the documents: their windows are never shuffled.
 BROADCAST_WINDOWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z is lower-cased.
@@ -51,8 +54,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     known = checkpointed(benchmark_windows(benchmark, item_col, item_text, window))
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # window different values at most
-    if known.count() <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
+    waves = max(1, -(-known.count() // BROADCAST_WINDOWS))
     docs = documents.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("doc_words"))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "id", "doc_words", F.size("doc_words").alias("n_words"))
     at = docs.select("row", "id", "n_words", "doc_words", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)))).alias("pos"))
@@ -62,7 +64,13 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         each = F.array(*[F.when(F.col("pos") + n <= F.col("n_words"), window_hash(F.col("doc_words"), F.col("pos"), n)) for n in sizes])
         seen = at.withColumn("doc_hash", F.explode(each))
     same = (F.col("doc_hash") == F.col("hash")) & (F.slice("doc_words", F.col("pos") + 1, F.col("size")) == F.col("words"))
-    found = seen.join(known, same, "left").where(F.col("hash").isNotNull() | (F.col("pos") == 0))
+    parts = []
+    for wave in range(waves):
+        some = F.broadcast(known.where(F.pmod(F.col("hash"), F.lit(waves)) == wave) if waves > 1 else known)
+        looked = seen.join(some, same, "left")
+        kept = looked.where(F.col("hash").isNotNull() | (F.col("pos") == 0)) if wave == 0 else looked.where(F.col("hash").isNotNull())
+        parts.append(kept.select("row", "id", "n_words", "pos", "hash", "size", "items"))
+    found = reduce(DataFrame.unionByName, parts)
     hit = F.when(F.col("hash").isNotNull(), F.struct("pos", "size"))
     by_doc = found.groupBy("row", "id", "n_words").agg(F.array_sort(F.collect_set(hit)).alias("hits"), F.collect_set("items").alias("items"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

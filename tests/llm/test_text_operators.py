@@ -298,9 +298,9 @@ def test_decontamination(spark, odd):
     assert cut[20] == "x k10" and cut[21] == ""
 
 
-def test_decontamination_without_broadcast(spark, monkeypatch):
+def test_decontamination_in_waves(spark, monkeypatch):
     want = sorted(map(tuple, queries.op4_decontam(spark, SF).collect()))
-    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 300)
     assert sorted(map(tuple, queries.op4_decontam(spark, SF).collect())) == want
 
 
