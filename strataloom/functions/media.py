@@ -75,3 +75,21 @@ def even_down(x: Column) -> Column:
 def density(n: Column, speech: Column, seconds: Column, full_rate: float = 3.2) -> Column:
     """45 points for the rate of words (to 1.3 of full_rate) and 45 for the share of speech."""
     return F.least(n / seconds / full_rate, F.lit(1.3)) * 45 + F.least(speech / seconds, F.lit(1.0)) * 45
+
+
+def start_frame(seconds: Column, fps) -> Column:
+    return F.floor(seconds * fps).cast("long")
+
+
+def end_frame(seconds: Column, fps) -> Column:
+    return F.ceil(seconds * fps).cast("long")
+
+
+def nearest_frame(seconds: Column, fps) -> Column:
+    """Half to even."""
+    return F.bround(seconds * fps).cast("long")
+
+
+def flipped_box(box: Column, width: Column, height: Column) -> Column:
+    """A box of shares with y from the bottom, as pixels from the top."""
+    return F.struct((box["x"] * width).alias("x"), ((1 - box["y"] - box["h"]) * height).alias("y"), (box["w"] * width).alias("w"), (box["h"] * height).alias("h"), box["conf"].alias("conf"))

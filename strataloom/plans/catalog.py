@@ -661,3 +661,93 @@ def merged_settings(spark, sf):  # SCL-29 SET-07 SRC-10
 def unread_windows(spark, sf):  # PRS-01 PRS-10
     s = _stats(P.words(spark, sf))
     return registry.unread(s.where("n_words > 2"), s.where("density >= 55").select("user_id", "window"), ["user_id", "window"]).select("user_id", "window", "density")
+
+
+@query(f"WITH {WORDS}, x AS (SELECT event_id, event_id * 10 AS a, event_id * 10 + event_id % 20 AS b FROM w) SELECT event_id, CASE WHEN b - a <= 8 THEN [(a + b) // 2] ELSE list_sort(list_distinct([a + 2, (a + b) // 2, b - 3])) END AS points FROM x")
+def sample_points(spark, sf):  # SET-06
+    n = F.col("event_id")
+    return P.words(spark, sf).select("event_id", layout.sample_points(n * 10, n * 10 + n % 20).alias("points"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN [p_size * 5 % 256, p_size * 7 % 256, p_size * 11 % 256] ELSE [p_size % 16 * 17, p_size * 3 % 16 * 17, p_size * 5 % 16 * 17] END AS v FROM part)
+    SELECT p_partkey, 0.2126::DOUBLE * (v[1] / 255::DOUBLE) + 0.7152::DOUBLE * (v[2] / 255::DOUBLE) + 0.0722::DOUBLE * (v[3] / 255::DOUBLE) AS luminance, CASE WHEN length(p_name) > 10 THEN (1080 * 0.076::DOUBLE) * (10 / length(p_name)::DOUBLE) ELSE 1080 * 0.076::DOUBLE END AS chip,
+           upper(trim(regexp_replace(' ' || replace(p_name, ' ', '   '), '\s+', ' ', 'g'))) AS caption FROM c""")
+def caption_looks(spark, sf):  # SCL-21 SCL-22 SCL-24
+    s = F.col("p_size")
+    hex2 = lambda c: F.lpad(F.hex(c), 2, "0")
+    colour = F.when(s % 2 == 0, F.concat(F.lit("#"), hex2(s * 5 % 256), hex2(s * 7 % 256), hex2(s * 11 % 256))).otherwise(F.concat(F.lit("#"), F.hex(s % 16), F.hex(s * 3 % 16), F.hex(s * 5 % 16)))
+    return P.table(spark, sf, "part").select("p_partkey", media.luminance(colour).alias("luminance"), media.chip_size(F.col("p_name"), F.lit(1080), F.lit(1920)).alias("chip"), text.caption_upper(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("   ")))).alias("caption"))
+
+
+@query(f"""WITH {RECTS}, x AS (SELECT vec_id, a[1] + a[3] / 2 AS cx, greatest(1.0::DOUBLE, a[3] * a[4]) AS area FROM r)
+    SELECT vec_id, cx, area, greatest(0, least(662, round_even(cx - 337.5::DOUBLE / 2, 0)::BIGINT)) AS crop_x FROM x""")
+def box_stats(spark, sf):  # SCL-27
+    r = P.rects(spark, sf)
+    box = F.struct(*[F.get("a", F.lit(k)).alias(n) for k, n in enumerate("xywh")])
+    return r.select("vec_id", *[c.alias(k) for k, c in tracking.box_stats(box, F.lit(1000), F.lit(337.5)).items()])
+
+
+@query(f"""WITH {RECTS} SELECT vec_id, a[1] + a[3] * 0.25::DOUBLE AS head_x, a[3] * 0.5::DOUBLE AS head_w, greatest(12.0::DOUBLE, a[4] * 0.28::DOUBLE) AS head_h, (1 - b[2] / 600 - b[4] / 600) * 600 AS flipped_y FROM r""")
+def head_and_flipped_boxes(spark, sf):  # SCL-31 SCL-32
+    box = lambda c, w, h: F.struct(*[(F.get(c, F.lit(k)) / s).alias(n) for k, (n, s) in enumerate(zip("xywh", (w, h, w, h), strict=True))], F.lit(0.9).alias("conf"))
+    rows = P.rects(spark, sf).select("vec_id", tracking.head_box(box("a", 1.0, 1.0)).alias("h"), media.flipped_box(box("b", 1000.0, 600.0), F.lit(1000.0), F.lit(600.0)).alias("f"))
+    return rows.select("vec_id", F.col("h.x").alias("head_x"), F.col("h.w").alias("head_w"), F.col("h.h").alias("head_h"), F.col("f.y").alias("flipped_y"))
+
+
+@query(f"WITH {WORDS}, x AS (SELECT event_id, (s - {BASE}) / 1000.0::DOUBLE AS t FROM w) SELECT event_id, floor(t * 29.97::DOUBLE)::BIGINT AS f0, ceil(t * 29.97::DOUBLE)::BIGINT AS f1, round_even(t * 29.97::DOUBLE, 0)::BIGINT AS f FROM x")
+def frame_numbers(spark, sf):  # SCL-18
+    t = P.words(spark, sf).select("event_id", ((F.col("s") - BASE) / 1000.0).alias("t"))
+    return t.select("event_id", media.start_frame(F.col("t"), 29.97).alias("f0"), media.end_frame(F.col("t"), 29.97).alias("f1"), media.nearest_frame(F.col("t"), 29.97).alias("f"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_type, p_name, p_size, CASE WHEN p_size % 10 = 0 THEN 'X, ALL' ELSE ' ' || p_name || ', ,' || p_type END AS v FROM part)
+    SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'a|b' ELSE lower(trim(p_name)) || '|' || lower(p_type) END AS platforms, coalesce(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END, 99) AS place FROM x""")
+def platform_lists(spark, sf):  # SCL-30 SRT-05
+    v = F.when(F.col("p_size") % 10 == 0, "X, ALL").otherwise(F.concat(F.lit(" "), "p_name", F.lit(", ,"), "p_type"))
+    return P.table(spark, sf, "part").select("p_partkey", F.array_join(text.comma_list(v, ("a", "b")), "|").alias("platforms"), F.coalesce(F.when(F.col("p_size") % 3 != 0, F.col("p_size")), F.lit(99)).alias("place"))
+
+
+@query(r"""WITH x AS (SELECT conv_id, turn, substr(text, 1, 40) AS title, text AS why FROM conversations), y AS (SELECT *, list_filter(string_split_regex(title, '\s+'), lambda x: x <> '') AS w FROM x)
+    SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(title) > 38 THEN 'title over 38' END, CASE WHEN NOT len(w) BETWEEN 3 AND 5 THEN 'headline not 3-5 words' END, CASE WHEN title <> upper(title) THEN 'headline not upper case' END,
+        CASE WHEN length(why) > 80 THEN 'why over 80' END, CASE WHEN contains(lower(title || ' ' || title || ' ' || why), 'the on') THEN 'banned phrase' END], lambda x: x IS NOT NULL), ';') AS faults FROM y""")
+def copy_faults(spark, sf):  # PRS-05 PRS-06
+    t = P.table(spark, sf, "conversations").withColumn("title", F.substring("text", 1, 40))
+    return t.select("conv_id", "turn", F.array_join(registry.copy_faults(F.col("title"), F.col("title"), F.col("text"), F.array(*[F.lit(x) for x in "abc"]), ("the on",)), ";").alias("faults"))
+
+
+@query()
+def probe_choices(spark, sf):  # GEO-11 GEO-13 JON-13 AGG-09 SRT-06 SRT-08
+    r = P.rects(spark, sf)
+    k = ["label"]
+    size = lambda d: d.withColumn("width", F.lit(1000)).withColumn("height", F.lit(600))
+    faces = size(r.select("label", F.col("a").alias("box"), (F.col("vec_id") % 3 + 1).alias("hits"), F.lit(3).alias("frames"), (F.col("vec_id") % 7 / 10).alias("motion")))
+    blobs = size(r.where("vec_id % 3 = 0").select("label", F.col("vec_id").alias("number"), F.col("b").alias("box")))
+    cams = layout.choose_camera(faces, blobs, k)
+    motion = layout.choose_motion(blobs, cams, k)
+    panels = blobs.where(G.is_panel(G.Rect.of(F.col("box")), F.col("width"), F.col("height"))).select("label", "number", "box")
+    return layout.choose_content(cams.join(motion, k, "full"), panels, k)
+
+
+@query()
+def resampled_paths(spark, sf):  # TRK-04
+    d = _detections(spark, sf)
+    durations = d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration"))
+    return tracking.resampled(tracking.plan_framing(tracking.samples(d), U, durations).join(durations, U), U)
+
+
+@query()
+def srt_documents(spark, sf):  # SNK-10 SNK-11
+    from ..sinks.writers import srt
+
+    cues = short_cues(spark, sf).withColumns({"start": (F.col("start") - BASE) / 1000.0, "end": (F.col("end") - BASE) / 1000.0})
+    return srt(cues, U)
+
+
+@query()
+def timeline_documents(spark, sf):  # SNK-12
+    from ..sinks.writers import timeline_xml
+
+    w = P.words(spark, sf).where("i <= 20")
+    cuts = w.select("user_id", F.col("i").alias("ord"), (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + F.pmod("event_id", F.lit(90)) + 5).alias("out_frame"))
+    sources = w.select("user_id").distinct().select("user_id", F.concat(F.lit("user & "), F.col("user_id").cast("string")).alias("name"), F.lit("file:///a.mp4").alias("pathurl"), F.lit(29.97).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(48000).alias("samplerate"), F.lit(2).alias("channels"), F.lit(600.0).alias("duration"))
+    return timeline_xml(cuts, sources, U)
