@@ -3,14 +3,32 @@
 from collections import Counter
 
 from conftest import DATA
-from test_text_operators import DOCS, brute_hits, brute_simhash, odd_rows, sha, tokenizer
+from test_text_operators import DOCS, brute_hits, odd_rows, sha, tokenizer
 
 import corpus_pipeline
 from strataloom.llm import rules
+from strataloom.llm.simhash import COPY_RADIUS, copy_print
+
+MASK = (1 << 64) - 1
 
 SF = f"{DATA}/sf0.001"
 
 
+def brute_copies(docs):
+    """The least id of each group of texts whose fingerprints, made bit by bit, are within the radius and that share an anchor."""
+    prints = {i: copy_print(t.encode()) for i, t in docs.items()}
+    label = {i: i for i in docs}
+    ids = sorted(docs)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            (a, x), (b, y) = prints[i], prints[j]
+            near = sum(((p ^ q) & MASK).bit_count() for p, q in zip(a, b, strict=True)) <= COPY_RADIUS
+            if label[i] != label[j] and (near and any(p == q for p, q in zip(x, y, strict=True)) or not x and not y):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
 def brute(rows, items, kept_ids):
     """rows: (doc_id, text); kept_ids: what the first stage keeps (its own tests compare it with SQL)."""
     docs = {i: t or "" for i, t in rows if i in kept_ids}
@@ -21,8 +39,8 @@ def brute(rows, items, kept_ids):
                 holders.setdefault(low(x), set()).add(i)
     common = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     docs = {i: "\n".join(x for x in t.split("\n") if common.get(low(x), i) == i) for i, t in docs.items()}
-    first = brute_simhash(list(docs.items()))
-    docs = {i: t for i, t in docs.items() if first[i][1] == i}
+    first = brute_copies(docs)
+    docs = {i: t for i, t in docs.items() if first[i] == i}
     bad = {r[0] for r in brute_hits(list(docs.items()), items) if r[-1]}
     t = tokenizer()
     out = []

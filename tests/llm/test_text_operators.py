@@ -234,8 +234,8 @@ def test_links_whole_chains_and_parts(spark):
         chain.append(x)
     prints = list(dict.fromkeys([*chain, *(r.getrandbits(64) for _ in range(300))]))
     df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
-    want = simhash.linked(np.array(prints, np.uint64), None, 4)
-    whole = {int(m): int(c) for m, c in zip(*want, strict=True)}
+    places = simhash.linked(np.array(prints, np.uint64), np.zeros(len(prints), int), 4)
+    whole = {prints[m]: prints[c] for m, c in zip(*places, strict=True)}
     for most in (8192, 2):
         got = {c.node % (1 << 64): c.label % (1 << 64) for c in components.connected_components(simhash.links(df, shard_most=most)).collect()}
         groups, own = {}, {}
@@ -245,6 +245,37 @@ def test_links_whole_chains_and_parts(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+def similar(a, b):
+    w = [t.split() for t in (a, b)]
+    x, y = (set(zip(*(v[k:] for k in range(5)), strict=False)) for v in w)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most", [8192, 7])
+def test_near_copies(spark, most):
+    """Copies with a few words changed are found at 0.8 and more; texts that share a third of their words, or a long passage, are not."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(r.choice([80, 250, 900]))] for _ in range(40)]
+    passage = [word() for _ in range(60)]
+    rows, copies = [(k, " ".join(b)) for k, b in enumerate(base)], []
+    for k, b in enumerate(base):
+        for _ in range(4):
+            c = list(b)
+            while len(copies) == len(rows) - 40:
+                c = list(b)
+                for _ in range(r.randint(0, max(1, len(c) // 60))):
+                    c[r.randrange(len(c))] = word()
+                if similar(" ".join(b), " ".join(c)) >= 0.82:
+                    copies.append((k, len(rows)))
+                    rows.append((len(rows), " ".join(c)))
+                    break
+    shared = [(1000 + k, " ".join([word() for _ in range(120)] + passage)) for k in range(60)]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame([*rows, *shared], "doc_id long, text string"), shard_most=most).collect()}
+    assert all(got[i] == i for i, _ in shared)
+    assert sum(got[c] == k for k, c in copies) >= 0.97 * len(copies) and all(got[c] in (k, c) for k, c in copies)
+
+
 def test_bk_tree():
     r = random.Random(6)
     p = np.array(list({r.getrandbits(12) for _ in range(300)}), np.uint64)
