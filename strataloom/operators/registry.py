@@ -71,3 +71,25 @@ def copy_faults(title: Column, headline: Column, why: Column, hashtags: Column,
 def unread(windows: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
     """Windows that no one read."""
     return windows.join(read, keys, "left_anti")
+
+
+def music_folder(configured: Column, default: Column) -> Column:
+    """The configured folder ("disabled" is an answer too; blank is none), else the default folder if there is one, else "unconfigured"."""
+    return F.coalesce(F.nullif(F.trim(configured), F.lit("")), default, F.lit("unconfigured"))
+
+
+def pick_tracks(clips: DataFrame, tracks: DataFrame, keys: list[str], clip: str, draw: str) -> DataFrame:
+    """clips with a track each, none twice in a package: tracks in the order of their draw (a seeded random number), ties by track."""
+    from .bands import zip_by_position
+
+    return zip_by_position(clips, tracks, keys, [F.col(clip)], [F.col(draw), F.col("track")])
+
+
+def enough(counts: Column, target: int = 6, floor: int = 4) -> Column:
+    """Whether a package has its clips: full, short or too few."""
+    return F.when(counts >= target, "full").when(counts >= floor, "short").otherwise("too few")
+
+
+def revived(candidates: DataFrame, number: int) -> DataFrame:
+    """One candidate from the saved stage, to be compiled again."""
+    return candidates.where(F.col("n") == number)

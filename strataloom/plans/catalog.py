@@ -663,10 +663,10 @@ def unread_windows(spark, sf):  # PRS-01 PRS-10
     return registry.unread(s.where("n_words > 2"), s.where("density >= 55").select("user_id", "window"), ["user_id", "window"]).select("user_id", "window", "density")
 
 
-@query(f"WITH {WORDS}, x AS (SELECT event_id, event_id * 10 AS a, event_id * 10 + event_id % 20 AS b FROM w) SELECT event_id, CASE WHEN b - a <= 8 THEN [(a + b) // 2] ELSE list_sort(list_distinct([a + 2, (a + b) // 2, b - 3])) END AS points FROM x")
+@query(f"WITH {WORDS}, x AS (SELECT event_id, event_id * 10 AS a, event_id * 10 + event_id % 20 AS b FROM w) SELECT event_id, array_to_string(CASE WHEN b - a <= 8 THEN [(a + b) // 2] ELSE list_sort(list_distinct([a + 2, (a + b) // 2, b - 3])) END, ',') AS points FROM x")
 def sample_points(spark, sf):  # SET-06
     n = F.col("event_id")
-    return P.words(spark, sf).select("event_id", layout.sample_points(n * 10, n * 10 + n % 20).alias("points"))
+    return P.words(spark, sf).select("event_id", F.array_join(layout.sample_points(n * 10, n * 10 + n % 20), ",").alias("points"))
 
 
 @query(r"""WITH c AS (SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN [p_size * 5 % 256, p_size * 7 % 256, p_size * 11 % 256] ELSE [p_size % 16 * 17, p_size * 3 % 16 * 17, p_size * 5 % 16 * 17] END AS v FROM part)
@@ -751,3 +751,14 @@ def timeline_documents(spark, sf):  # SNK-12
     cuts = w.select("user_id", F.col("i").alias("ord"), (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + F.pmod("event_id", F.lit(90)) + 5).alias("out_frame"))
     sources = w.select("user_id").distinct().select("user_id", F.concat(F.lit("user & "), F.col("user_id").cast("string")).alias("name"), F.lit("file:///a.mp4").alias("pathurl"), F.lit(29.97).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(48000).alias("samplerate"), F.lit(2).alias("channels"), F.lit(600.0).alias("duration"))
     return timeline_xml(cuts, sources, U)
+
+
+@query("""WITH f AS (SELECT p_brand AS package, p_partkey AS track, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * 37 % 101, p_partkey) AS k FROM part), c AS (SELECT p_brand AS package, p_partkey AS clip, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size % 2 = 0)
+    SELECT c.package, clip, track, CASE WHEN clip % 4 = 0 THEN 'disabled' WHEN clip % 4 = 1 THEN 'own' WHEN clip % 4 = 2 THEN 'default' ELSE 'unconfigured' END AS folder FROM c LEFT JOIN f USING (package, k)""")
+def music_choices(spark, sf):  # PRS-07 PRS-08
+    p = P.table(spark, sf, "part").select(F.col("p_brand").alias("package"), "p_partkey", "p_size")
+    tracks = p.select("package", F.col("p_partkey").alias("track"), (F.col("p_size") * 37 % 101).alias("draw"))
+    clips = p.where("p_size % 2 = 0").select("package", F.col("p_partkey").alias("clip"))
+    n = F.col("clip") % 4
+    folder = registry.music_folder(F.when(n == 0, "disabled").when(n == 1, "own").when(n == 2, ""), F.when(n == 2, "default"))
+    return registry.pick_tracks(clips, tracks, ["package"], "clip", "draw").select("package", "clip", "track", folder.alias("folder"))
