@@ -118,15 +118,17 @@ def compile_candidates(candidates: DataFrame, words: DataFrame, blocks: DataFram
     manifest: keys, n, title, status (kept or rejected), reasons, warnings, total_score, core_frames, teaser_frames and the hull of the words.
     cuts: keys, n, ord (0: the teaser), in_frame, out_frame and text of the kept ones. words: i, w, s, e, b; blocks: i, onset, end;
     sources: fps. Reasons come by stages: structure, then order, then content and durations; a stage is looked at if those before found nothing.
-    Each stage's rows are only those that passed the one before, so nothing indexes a malformed range.
+    Ranges are looked up only for candidates that passed the first two, so nothing indexes a malformed one; the facts
+    found are then joined to all candidates, of which each takes the reasons of its first failing stage.
     """
     p = p or Clips()
     by = [*keys, "n"]
     counts = words.groupBy(*keys).agg(F.count("*").alias("_words"))
     base = candidates.join(sources.select(*keys, "fps"), keys).join(counts, keys, "left").withColumn("_words", F.coalesce("_words", F.lit(0)))
     base = base.withColumn("hook_mode", F.coalesce("hook_mode", F.lit("natural"))).withColumn("_structure", structural_reasons(F.col("_words"), p))
-    sound = base.where(F.size("_structure") == 0).withColumn("_order", ordering_reasons())
-    good = sound.where(F.size("_order") == 0)
+    nothing = F.array().cast("array<string>")
+    staged = base.withColumn("_order", F.when(F.size("_structure") == 0, ordering_reasons()).otherwise(nothing))
+    good = staged.where((F.size("_structure") == 0) & (F.size("_order") == 0))
     teased = F.col("hook_mode") == "teaser"
     ranges = good.select(*by, "fps", F.explode(F.concat(F.when(teased, F.array(F.struct(F.lit(0).alias("ord"), F.col("teaser").alias("r")))).otherwise(F.array().cast(f"array<struct<ord:int,r:{RANGE}>>")), F.transform("segments", lambda r, k: F.struct((k + 1).alias("ord"), r.alias("r"))))).alias("x"))
     ranges = ranges.select(*by, "fps", "x.ord", F.col("x.r.start_word").alias("start_word"), F.col("x.r.end_word").alias("end_word"))
@@ -139,14 +141,15 @@ def compile_candidates(candidates: DataFrame, words: DataFrame, blocks: DataFram
         F.array_sort(F.collect_list(F.when(F.col("collapsed"), F.format_string("segment starting at word %d collapses after a %d-frame join clamp", "start_word", "clamped")))).alias("collapses"),
         F.array_sort(F.collect_list(F.when((F.col("clamped") > 0) & ~F.col("dropped"), F.format_string("join clamped %d frame(s): segment starting at word %d", "clamped", "start_word")))).alias("warnings"),
     )
-    checked = good.join(facts.drop("fps"), by)
+    checked = staged.join(facts.drop("fps"), by, "left")
     core, tease = F.col("core_frames") / F.col("fps"), F.col("teaser_frames") / F.col("fps")
     content = F.concat(
         opening_reasons(norm_words(F.col("opening")), norm_words(F.col("hook_quote"))), _reasons((teased & ~tease.between(*p.teaser), F.format_string("teaser is %.1fs", tease))), F.slice("collapses", 1, 1),
         _reasons((core < p.min_dur * p.under, F.format_string("core %.1fs under min %.0fs", core, F.lit(p.min_dur))), (core > p.max_dur * p.over, F.format_string("core %.1fs over max %.0fs", core, F.lit(p.max_dur)))),
     )
-    shape = lambda d, reasons, **more: d.select(*by, "title", reasons.alias("reasons"), *[F.col(c).alias(c) if c in d.columns else F.lit(None).cast(t).alias(c) for c, t in (("warnings", "array<string>"), ("core_frames", "bigint"), ("teaser_frames", "bigint"))], total_score(F.col("scores")).alias("total_score"), F.array_min(F.transform("segments", lambda r: r["start_word"])).alias("first_word"), F.array_max(F.transform("segments", lambda r: r["end_word"])).alias("last_word"))
-    manifest = shape(base.where(F.size("_structure") > 0), F.col("_structure")).unionByName(shape(sound.where(F.size("_order") > 0), F.col("_order"))).unionByName(shape(checked, content))
+    reasons = F.when(F.size("_structure") > 0, F.col("_structure")).when(F.size("_order") > 0, F.col("_order")).otherwise(content)
+    hull = F.array_min(F.transform("segments", lambda r: r["start_word"])).alias("first_word"), F.array_max(F.transform("segments", lambda r: r["end_word"])).alias("last_word")
+    manifest = checked.select(*by, "title", reasons.alias("reasons"), "warnings", "core_frames", "teaser_frames", total_score(F.col("scores")).alias("total_score"), *hull)
     if p.longform:
         from .greedy import suppress_overlaps
 

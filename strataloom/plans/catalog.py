@@ -732,7 +732,13 @@ def resampled_paths(spark, sf):  # TRK-04
     return tracking.resampled(tracking.plan_framing(tracking.samples(d), U, durations).join(durations, U), U)
 
 
-@query()
+def _srt_sql(ms: str) -> str:
+    part = lambda d, w: f"lpad(({ms} // {d})::VARCHAR, greatest({w}, length(({ms} // {d})::VARCHAR))::INT, '0')" if d == 3600000 else f"lpad(({ms} // {d} % {1000 if d == 1 else 60})::VARCHAR, {w}, '0')"
+    return f"{part(3600000, 2)} || ':' || {part(60000, 2)} || ':' || {part(1000, 2)} || ',' || {part(1, 3)}"
+
+
+@query(f"""WITH sc AS ({ORACLE_SQL["short_cues"]}), m AS (SELECT user_id, cue, text, start - {BASE} AS a, "end" - {BASE} AS b FROM sc)
+    SELECT user_id, string_agg(cue::VARCHAR || chr(10) || {_srt_sql("a")} || ' --> ' || {_srt_sql("b")} || chr(10) || text || chr(10), chr(10) ORDER BY cue) AS value FROM m GROUP BY 1""")
 def srt_documents(spark, sf):  # SNK-10 SNK-11
     from ..sinks.writers import srt
 
@@ -759,3 +765,38 @@ def music_choices(spark, sf):  # PRS-07 PRS-08
     n = F.col("clip") % 4
     folder = registry.music_folder(F.when(n == 0, "disabled").when(n == 1, "own").when(n == 2, ""), F.when(n == 2, "default"))
     return registry.pick_tracks(clips, tracks, ["package"], "clip", "draw").select("package", "clip", "track", folder.alias("folder"))
+
+
+def _verdict_sql() -> str:
+    from ..params import BANNED_OPENERS
+
+    norm = lambda x: f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9'' ]', ' ', 'g'), ' +'), lambda x: x <> '')"
+    return rf"""
+    WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS v FROM conversations),
+    k AS (SELECT conv_id, turn, unnest(v) AS w, generate_subscripts(v, 1) AS k FROM t),
+    o AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS z FROM k),
+    w AS (SELECT conv_id, z + 1 AS i, w, (z * 4 + turn * 30 + turn // 4 * 60) / 10::DOUBLE AS s, (z * 4 + turn * 30 + turn // 4 * 60 + 3) / 10::DOUBLE AS e, CASE WHEN (z + 1) % 50 = 0 THEN -1 ELSE z // 25 END AS b FROM o),
+    bl AS (SELECT conv_id, b, min(s) AS onset, max(e) AS fin FROM w WHERE b >= 0 GROUP BY ALL),
+    near AS (SELECT w.*, coalesce(lag(e) OVER p, 0) AS pe, coalesce(lead(s) OVER p, e + 1) AS ns, b >= 0 AND row_number() OVER q = 1 AS fst, b >= 0 AND lead(i) OVER q IS NULL AS lst FROM w
+             WINDOW p AS (PARTITION BY conv_id ORDER BY i), q AS (PARTITION BY conv_id, b ORDER BY i)),
+    ed AS (SELECT conv_id, i, CASE WHEN fst THEN onset ELSE greatest(s - 0.06::DOUBLE, pe, 0) END AS t_in, CASE WHEN lst THEN fin ELSE least(e + 0.1::DOUBLE, greatest(ns - 0.02::DOUBLE, e)) END AS t_out, lst FROM near LEFT JOIN bl USING (conv_id, b)),
+    c AS (SELECT conv_id, i, (i // 10)::INT AS n, i % 30 = 1 AS teased, CASE WHEN i % 40 = 31 THEN 'nothing like it' ELSE concat_ws(' ', w, lead(w) OVER p, lead(w, 2) OVER p) END AS quote, count(*) OVER (PARTITION BY conv_id) AS words,
+          CASE WHEN i % 70 = 11 THEN [[i, i + 40]] WHEN i % 70 = 21 THEN [[i, i + 30], [i + 25, i + 60]] ELSE [[i, i + 30], [i + 31, i + 60]] END AS segs FROM w WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
+    d AS (SELECT *, (i % 25 + i % 11)::INT AS total_score, [x[1] FOR x IN segs] AS a, [x[2] FOR x IN segs] AS z, len(list_filter(segs, lambda x: x[2] > words)) + CASE WHEN teased AND i + 9 > words THEN 1 ELSE 0 END AS bad FROM c WHERE i % 10 = 1),
+    r AS (SELECT conv_id, n, 0 AS ord, i + 5 AS x, i + 9 AS y FROM d WHERE bad = 0 AND i % 70 <> 21 AND teased UNION ALL SELECT conv_id, n, unnest(range(1, len(segs) + 1)), unnest(a), unnest(z) FROM d WHERE bad = 0 AND i % 70 <> 21),
+    f AS (SELECT r.*, floor(p.t_in * 30)::BIGINT AS fi, greatest(ceil(q.t_out * 30)::BIGINT + q.lst::INT, floor(p.t_in * 30)::BIGINT + 1) AS fo FROM r JOIN ed p ON p.conv_id = r.conv_id AND p.i = x JOIN ed q ON q.conv_id = r.conv_id AND q.i = y),
+    g AS (SELECT *, CASE WHEN ord = 0 THEN fi ELSE greatest(fi, coalesce(lag(fo) OVER (PARTITION BY conv_id, n, ord = 0 ORDER BY ord), fi)) END AS ci FROM f),
+    h AS (SELECT *, ci > fi AND fo - ci < 3 AS gone FROM g), m AS (SELECT *, max(gone::INT) OVER (PARTITION BY conv_id, n ORDER BY ord) = 1 AS cut FROM h),
+    fr AS (SELECT conv_id, n, coalesce(sum(fo - ci) FILTER (WHERE ord > 0 AND NOT cut), 0)::BIGINT AS core_frames, coalesce(sum(fo - ci) FILTER (WHERE ord = 0), 0)::BIGINT AS teaser_frames, max(gone::INT) AS collapsed, min_by(x, ord) AS ox, min_by(y, ord) AS oy FROM m GROUP BY ALL),
+    op AS (SELECT fr.*, {norm("string_agg(w.w, ' ' ORDER BY w.i)")} AS opening FROM fr JOIN w ON w.conv_id = fr.conv_id AND w.i BETWEEN ox AND oy GROUP BY ALL),
+    j AS (SELECT d.*, {norm("quote")} AS q, core_frames, teaser_frames, collapsed, opening FROM d LEFT JOIN op USING (conv_id, n)),
+    v AS (SELECT *, CASE WHEN bad > 0 THEN bad WHEN i % 70 = 21 THEN 1 ELSE
+            (least(3, len(q), len(opening)) = 0 OR opening[1:least(3, len(q), len(opening))] <> q[1:least(3, len(q), len(opening))])::INT + coalesce(list_contains([{_list(BANNED_OPENERS)}], opening[1]), false)::INT
+            + coalesce((opening[1] = 'i' AND opening[2] = 'mean') OR (opening[1] = 'you' AND opening[2] = 'know'), false)::INT + (teased AND NOT teaser_frames / 30::DOUBLE BETWEEN 1 AND 4)::INT + collapsed + (core_frames / 30::DOUBLE < 15 * 0.9::DOUBLE)::INT + (core_frames / 30::DOUBLE > 60 * 1.08::DOUBLE)::INT END AS n_reasons FROM j)
+    SELECT conv_id, n, CASE WHEN n_reasons = 0 THEN 'kept' ELSE 'rejected' END AS status, n_reasons::INT AS n_reasons, total_score, core_frames, teaser_frames, a[1] AS first_word, list_max(z) AS last_word FROM v"""
+
+
+@query(_verdict_sql())
+def candidate_verdicts(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 JON-07
+    m = compiled_candidates(spark, sf)
+    return m.select("conv_id", "n", "status", F.size("reasons").alias("n_reasons"), "total_score", "core_frames", "teaser_frames", "first_word", "last_word")
