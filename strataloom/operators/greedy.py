@@ -193,7 +193,7 @@ def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[t
             cuts.append(k)
             first = k
     out: list[tuple] = []
-    for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=False):  # no words: no cuts
         text = " ".join(said[a:b])
         if len(text.split()) < p.min_words:
             continue
