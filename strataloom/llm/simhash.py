@@ -118,14 +118,17 @@ class Groups:
             self.of[np.isin(self.of, own)] = least
 
 
-def linked(prints: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(prints: np.ndarray, role: np.ndarray, radius: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A star for each group of two or more that links of radius make: the places of (members, centres).
 
-    role 0 all: each fingerprint is searched for among all. Else those of role 1 among those of role -1.
+    role 0 all: each fingerprint is searched for among all. Else those of role 1 among those of role -1. Pairs whose rows
+    of seen agree anywhere are no links.
     """
     trees, asked = (np.flatnonzero(role < 0), np.flatnonzero(role > 0)) if role.any() else (np.arange(len(prints)),) * 2
     groups = Groups(len(prints))
     for root, near in BKTree(prints[trees]).search(prints[asked], radius):
+        if seen is not None:
+            near = near[~(seen[asked[near]] == seen[trees[root]]).any(1)]
         groups.join(np.append(asked[near], trees[root]))
     rest = np.flatnonzero(groups.of != np.arange(len(prints)))
     return rest, groups.of[rest]
@@ -150,22 +153,45 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_m
     return shard_links(keyed.select("shard", F.col("fp").alias("node"), F.array("fp").alias("bits")), 1, radius, shard_most)
 
 
-def shard_links(keyed: DataFrame, words: int, radius: int, shard_most: int = SHARD_MOST) -> DataFrame:
-    """Edges a, b between nodes that connect all within radius of each other in some shard. keyed: shard, node, bits (array of words)."""
+def units_of(keyed: DataFrame, shard_most: int) -> DataFrame:
+    """keyed (shard, node and more) with role: 0 in a shard to search whole; a larger shard is cut, and in each pair of parts -1 is the tree's and 1 the queries'."""
     large = checkpointed(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_most))
-    units = keyed.select("shard", "node", F.lit(0).alias("role"), "bits")
+    more = [c for c in keyed.columns if c not in ("shard", "node")]
+    units = keyed.select("shard", "node", F.lit(0).alias("role"), *more)
     if not large.isEmpty():
         parts = large.select("shard", F.ceil(F.col("n") / shard_most).cast("int").alias("parts"))
         dealt = keyed.join(parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(node, 7), parts) as int)"))
-        pairs = dealt.select("node", "bits", "shard", "parts", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+        pairs = dealt.select("node", *more, "shard", "parts", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
         name = F.when(F.col("parts") == 1, F.col("shard")).otherwise(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
-        units = pairs.select(name.alias("shard"), "node", F.signum(F.col("part") - F.col("other")).cast("int").alias("role"), "bits")
+        units = pairs.select(name.alias("shard"), "node", F.signum(F.col("part") - F.col("other")).cast("int").alias("role"), *more)
+    return units
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows sorted by the first of them, in runs that hold all rows of each of its values."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        if held is not None:
+            rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if last:
+            yield tuple(x[:last] for x in rows)
+        held = tuple(x[last:].copy() for x in rows)
+    if held is not None:
+        yield held
+
+
+def shard_links(keyed: DataFrame, words: int, radius: int, shard_most: int = SHARD_MOST) -> DataFrame:
+    """Edges a, b between nodes that connect all within radius of each other in some shard. keyed: shard, node, bits (array of words)."""
+    units = units_of(keyed, shard_most)
     flat = units.select("shard", "node", "role", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(words)])
     names = flat.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard; one that goes on in the next batch waits for it. role: 0 tree and query, -1 tree, 1 query."""
-        held = None
+        """Rows come by shard. role: 0 tree and query, -1 tree, 1 query."""
 
         def give(shard: np.ndarray, node: np.ndarray, role: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
@@ -180,19 +206,8 @@ def shard_links(keyed: DataFrame, words: int, radius: int, shard_most: int = SHA
             a, b = (np.concatenate([x[i] for x in out]) for i in range(2))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard, node, role, *bits = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
-            rows = shard, node, role, bits[0].view(np.uint64) if words == 1 else np.stack(bits, axis=1).view(np.uint64)
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                yield give(*(x[:last] for x in rows))
-            held = tuple(x[last:].copy() for x in rows)
-        if held is not None:
-            yield give(*held)
+        for shard, node, role, *bits in whole_groups(batches, names):
+            yield give(shard, node, role, bits[0].view(np.uint64) if words == 1 else np.stack(bits, axis=1).view(np.uint64))
 
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return flat.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long")
@@ -216,19 +231,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # -- near copies by similarity -------------------------------------------------------------------------------------------
 
-#: Five-word shingles; 256 bits in 4 words; the radius holds nearly all pairs of similarity (Jaccard) 0.8 or more: at 0.8
-#: the cosine is 0.89, which makes 39 bits differ, give or take 6.
-COPY_SHINGLE, COPY_WORDS, COPY_RADIUS = 5, 4, 50
+#: Near copies are texts whose sets of five-word shingles have a similarity (Jaccard) of COPY_SIMILARITY hundredths or more.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 80
+#: 256 bits in 4 words. COPY_RADIUS is what about 97 of 100 pairs at 0.8 keep to; candidates are taken from the wider SEARCH_RADIUS
+#: and then compared exactly. At 0.8 the cosine is 0.89, which makes 39 bits differ, give or take 6; with four and five shingles 48.
+COPY_WORDS, COPY_RADIUS, SEARCH_RADIUS = 4, 50, 80
 #: Anchors of a text: the least of its shingle hashes under as many mixings. Two texts of similarity 0.8 share one but for 0.2 ** 6.
 ANCHORS = 6
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(ANCHORS)], np.uint64)
 
 
-def copy_print(text: bytes) -> tuple[list[int], list[int]]:
-    """(four words of the 256-bit fingerprint, anchors), signed. A text of fewer than five words has one shingle; one without words none and no anchors."""
+def copy_hashes(text: bytes) -> np.ndarray:
+    """A row of 8 * COPY_WORDS bytes for each distinct shingle. A text of fewer than five words has one shingle; one without words none."""
     words = text.lower().split()
     if not words:
-        return [0] * COPY_WORDS, []
+        return np.zeros((0, 8 * COPY_WORDS), np.uint8)
     n = len(words)
     joined = b" ".join(words)
     if n <= COPY_SHINGLE:
@@ -239,33 +256,143 @@ def copy_print(text: bytes) -> tuple[list[int], list[int]]:
         pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends[COPY_SHINGLE - 1 :].tolist(), strict=True)]
     pieces = list(set(pieces))  # similarity is of sets
     digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join([digest(p, 1) + digest(p, 2) for p in pieces]), np.uint8).reshape(len(pieces), 8 * COPY_WORDS)
-    if len(pieces) < 64:
+    return np.frombuffer(b"".join([digest(p, 1) + digest(p, 2) for p in pieces]), np.uint8).reshape(len(pieces), 8 * COPY_WORDS)
+
+
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """The shingles' first words, sorted."""
+    return np.sort(np.ascontiguousarray(h[:, :8]).view(np.uint64)[:, 0])
+
+
+def _print_of(h: np.ndarray) -> tuple[list[int], list[int]]:
+    if not len(h):
+        return [0] * COPY_WORDS, []
+    if len(h) < 64:
         ones = np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
     else:
         ones = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BITS for k in range(h.shape[1])])
-    bits = np.packbits(ones * 2 > len(pieces), bitorder="little").view(np.int64)
+    bits = np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)
     first = np.ascontiguousarray(h[:, :8]).view(np.uint64)[:, 0]
     mixed = (first[:, None] ^ (first[:, None] >> np.uint64(29))) * _MIX
     return bits.tolist(), (mixed ^ (mixed >> np.uint64(32))).min(0).view(np.int64).tolist()
 
 
+def copy_print(text: bytes) -> tuple[list[int], list[int]]:
+    """(four words of the 256-bit fingerprint, anchors), signed. A text without words has no anchors."""
+    return _print_of(copy_hashes(text))
+
+
 def _make_copies():
-    return lambda texts: map(copy_print, texts)
+    def work(texts: list[bytes]):
+        for t in texts:
+            h = copy_hashes(t)
+            yield *_print_of(h), _signed(xxhash.xxh64_intdigest(shingle_set(h).tobytes())), _signed(xxhash.xxh64_intdigest(t, SEED))
+
+    return work
+
+
+def _make_sets():
+    def work(texts: list[bytes]):
+        for t in texts:
+            s = shingle_set(copy_hashes(t)).tobytes()
+            yield _signed(xxhash.xxh64_intdigest(s)), s
+
+    return work
+
+
+def alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets are near copies of the first. All are sorted and not empty."""
+    sizes = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= COPY_SIMILARITY * (len(one) + sizes - both)
+
+
+def copies_among(prints: np.ndarray, role: np.ndarray, sets: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As linked, but links are the pairs within radius that are alike; pairs already in one group are not compared."""
+    groups, sizes = Groups(len(prints)), np.array([len(x) for x in sets])
+    cut = bool(role.any())
+    for root in np.flatnonzero(role < 0) if cut else range(len(prints)):
+        asked = np.flatnonzero((role > 0) & (groups.of != groups.of[root])) if cut else root + 1 + np.flatnonzero(groups.of[root + 1 :] != groups.of[root])
+        least, most = np.minimum(sizes[asked], sizes[root]), np.maximum(sizes[asked], sizes[root])
+        asked = asked[100 * least >= COPY_SIMILARITY * most]
+        asked = asked[distance(prints[asked], prints[root]) <= radius]
+        if len(asked) and (same := alike(sets[root], [sets[k] for k in asked])).any():
+            groups.join(np.append(asked[same], root))
+    rest = np.flatnonzero(groups.of != np.arange(len(prints)))
+    return rest, groups.of[rest]
+
 
+def copy_candidates(prints: DataFrame, radius: int, shard_most: int) -> DataFrame:
+    """unit, node and role: nodes that links of radius join in a shard of one anchor. A pair meets in the shard of the first anchor that it shares.
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = COPY_RADIUS, shard_most: int = SHARD_MOST) -> DataFrame:
-    """id_col and component_id for each row of df: texts whose five-word shingles are alike (similarity 0.8 or more) are linked.
+    prints: node, bits, anchors.
+    """
+    keyed = prints.select("node", "bits", "anchors", F.posexplode("anchors").alias("k", "anchor")).select(F.xxhash64("k", "anchor").alias("shard"), "node", "k", "bits", "anchors")
+    part = lambda c, name, n: [F.get(c, F.lit(k)).alias(f"{name}{k}") for k in range(n)]
+    flat = units_of(keyed, shard_most).select("shard", "node", "role", "k", *part("bits", "w", COPY_WORDS), *part("anchors", "a", ANCHORS))
+    names = flat.columns
 
-    As near_duplicates, with what a radius of four bits in 64 is too small for: 256 bits, and shards of texts that share an
-    anchor, a shingle whose hash is least, in the place of shared bits. In a shard the BK-tree is searched as before. Texts without words
-    are all linked. SimHash estimates the similarity: of pairs at 0.8 it finds about 97 of 100, and some down to 0.65.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, node, role, at, *words in whole_groups(batches, names):
+            prints, anchors = np.stack(words[:COPY_WORDS], axis=1).view(np.uint64), np.stack(words[COPY_WORDS:], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
+            sizes = np.diff(cuts)
+            pairs = cuts[:-1][sizes == 2]
+            met = ((anchors[pairs] == anchors[pairs + 1]) & (np.arange(ANCHORS) < at[pairs][:, None])).any(1)
+            pairs = pairs[~met & (distance(prints[pairs], prints[pairs + 1]) <= radius)]
+            out = [(np.concatenate([pairs, pairs + 1]), np.concatenate([pairs, pairs]))]
+            for k in np.flatnonzero(sizes > 2):
+                s = slice(cuts[k], cuts[k + 1])
+                members, centres = linked(prints[s], role[s], radius, anchors[s, : at[cuts[k]]])
+                ends = np.unique(centres)
+                out.append((cuts[k] + np.concatenate([members, ends]), cuts[k] + np.concatenate([centres, ends])))
+            members, centres = (np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shard[members], node[centres], node[members], role[members])], names=["shard", "centre", "node", "role"])
+
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = flat.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "shard long, centre long, node long, role int")
+    return found.select(F.xxhash64("shard", "centre").alias("unit"), "node", "role")
+
+
+def copy_links(units: DataFrame, radius: int) -> DataFrame:
+    """Edges a, b that connect the near copies of each unit. units: unit, node, role, bits, shingles (a sorted set, as bytes)."""
+    flat = units.select("unit", "node", "role", "shingles", *[F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(COPY_WORDS)])
+    names = flat.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, node, role, sets, *words in whole_groups(batches, names):
+            prints = np.stack(words, axis=1).view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]))
+            out = [(node[:0], node[:0])]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    members, centres = copies_among(prints[a:b], role[a:b], [np.frombuffer(x, np.uint64) for x in sets[a:b]], radius)
+                    out.append((node[a:b][members], node[a:b][centres]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(2)], names=["a", "b"])
+
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return flat.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SEARCH_RADIUS, shard_most: int = SHARD_MOST) -> DataFrame:
+    """id_col and component_id for each row of df: texts whose sets of five-word shingles have a similarity of 0.8 or more are linked.
+
+    As near_duplicates, with what a radius of four bits in 64 is too small for. Texts with the same set are one node. Candidates
+    are pairs within radius in 256 bits, found by BK-trees in shards of texts that share an anchor, a shingle whose hash is
+    least. Only their shingles are then brought together, and each link is a similarity counted exactly. Texts without words
+    are all linked. A pair at 0.8 shares no anchor once in 16,000 times; it is more than radius apart far less often.
     """
-    docs = checkpointed(map_texts(df, id_col, text_col, _make_copies, "bits array<long>, anchors array<long>").withColumn("node", F.xxhash64("bits", F.size("anchors") > 0)))
-    prints = docs.groupBy("node").agg(F.min(id_col).alias("first"), F.min("bits").alias("bits"), F.min("anchors").alias("anchors"))
+    docs = checkpointed(map_texts(df, id_col, text_col, _make_copies, "bits array<long>, anchors array<long>, node long, key long"))
+    prints = docs.groupBy("node").agg(F.min(id_col).alias("first"), F.min("bits").alias("bits"), F.min("anchors").alias("anchors"), F.min("key").alias("key"))
     prints = checkpointed(prints)
-    keyed = prints.select("node", "bits", F.posexplode("anchors").alias("k", "anchor")).select(F.xxhash64("k", "anchor").alias("shard"), "node", "bits")
-    found = connected_components(shard_links(keyed, COPY_WORDS, radius, shard_most))
+    units = checkpointed(copy_candidates(prints.select("node", "bits", "anchors"), radius, shard_most))
+    asked = prints.join(units.select("node").distinct(), "node", "left_semi")
+    texts = df.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
+    texts = texts.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    sets = map_texts(texts, "key", "text", _make_sets, "node long, shingles binary").select("node", "shingles")
+    found = connected_components(copy_links(units.join(asked.select("node", "bits"), "node").join(sets, "node"), radius))
     labelled = checkpointed(prints.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = labelled.join(least, "label").select("node", "component_id")

@@ -58,6 +58,27 @@ def test_run_against_brute_force(spark):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
 
 
+def exact_copies(docs):
+    """The least id of each group of texts whose sets of five-word shingles have a similarity of 0.8 or more: every pair is compared."""
+    def shingles(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets, label, ids = {i: shingles(t) for i, t in docs.items()}, {i: i for i in docs}, sorted(docs)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            x, y = sets[i], sets[j]
+            if label[i] != label[j] and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_run_against_exact_similarity(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "brute_copies", exact_copies)
+    test_run_against_brute_force(spark)
+
+
 def test_stages_on_odd_rows(spark):
     rows = odd_rows()
     for data in (rows, rows[:0]):

@@ -276,6 +276,31 @@ def test_near_copies(spark, most):
     assert sum(got[c] == k for k, c in copies) >= 0.97 * len(copies) and all(got[c] in (k, c) for k, c in copies)
 
 
+@pytest.mark.parametrize("most", [8192, 5])
+def test_near_copies_are_compared_exactly(spark, most):
+    """Groups are those of the pairs at 0.8 or more and no others, though many are between 0.6 and 0.8 or just at 0.8."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(25):
+        b = [word() for _ in range(r.choice([8, 40, 120, 400]))]
+        for k in range(8):
+            c = list(b)
+            for _ in range(round(k * len(c) / 140)):
+                c[r.randrange(len(c))] = word()
+            rows.append((len(rows), " ".join(c)))
+    label = {i: i for i, _ in rows}
+    between = 0
+    for i, s in rows:
+        for j, t in rows[i + 1 : i // 8 * 8 + 8]:
+            between += 0.6 <= similar(s, t) < 0.8
+            if similar(s, t) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert between > 100 and len(set(label.values())) < len(rows) - 40
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), shard_most=most).collect()} == label
+
+
 def test_bk_tree():
     r = random.Random(6)
     p = np.array(list({r.getrandbits(12) for _ in range(300)}), np.uint64)
