@@ -17,8 +17,8 @@ from .bpe import byte_symbols
 from .common import map_texts, once
 
 CACHE_WORDS = 200_000
-#: Longer words count as one unknown piece, as is usual for word pieces.
-MOST_BYTES = 400
+#: Longer words are counted like others, but not kept in the cache.
+CACHED_BYTES = 400
 
 
 class PieceAutomaton:
@@ -105,7 +105,7 @@ def compile_vocabulary(path: str) -> PieceAutomaton:
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id_col, n_words, n_pieces and n_unknown for each row of df.
 
-    Words stand between white space. A word that has no split, or more than MOST_BYTES, is unknown and counts as one piece.
+    Words stand between white space. A word that has no split is unknown and counts as one piece.
     Null and empty texts have none of either. The automaton is broadcast; its size is that of the vocabulary.
     """
     shared = df.sparkSession.sparkContext.broadcast(compile_vocabulary(path or default_vocabulary()))
@@ -121,10 +121,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for w in words:
                     n = cache.get(w)
                     if n is None:
-                        n = automaton.count(w) if len(w) <= MOST_BYTES else 0
+                        n = automaton.count(w)
                         if len(cache) >= CACHE_WORDS:
                             cache.clear()
-                        if len(w) <= MOST_BYTES:
+                        if len(w) <= CACHED_BYTES:
                             cache[w] = n
                     if n:
                         pieces += n

@@ -1,6 +1,7 @@
 """The text operators against brute force, and on nulls, empty, long, tied and repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 from collections import Counter
@@ -135,6 +136,30 @@ def test_wordpiece_against_greedy(spark, odd):
     assert len(got) == 11 and {x.doc_id: x.n_pieces for x in got}[0] == 0 and {x.doc_id: x.n_words for x in got}[4] == 60_000
 
 
+def greedy_pieces(words):
+    """Pieces of each word by the greedy loop over the default vocabulary, the space before the word included; 0 if there is no split."""
+    with open(wordpiece.default_vocabulary(), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    symbols, most, out = bpe.byte_symbols(), max(map(len, vocab)), []
+    for w in words:
+        s, n, i = "".join(symbols[b] for b in b" " + w.encode()), 0, 0
+        while i < len(s):
+            j = next((j for j in range(min(len(s), i + most), i, -1) if s[i:j] in vocab), None)
+            if j is None:
+                n = 0
+                break
+            n, i = n + 1, j
+        out.append(n)
+    return out
+
+
+def test_wordpiece_of_long_words(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh0123456789") for _ in range(n)) for n in (399, 400, 401, 5_000, 300_000)] + ["文字" * 200, "a" * 1000]
+    got = {x.k: (x.n_words, x.n_pieces, x.n_unknown) for x in wordpiece.count_tokens(spark.createDataFrame(list(enumerate(words)), "k long, text string"), "k").collect()}
+    assert got == {k: (1, n, 0) for k, n in enumerate(greedy_pieces(words))}
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 
