@@ -48,6 +48,8 @@ class PieceAutomaton:
                         parent[to] = at, b
                     at = to
                 ends[at] = ends[at] or bool(piece)
+        if b"" in initial:  # a piece of nothing but what stands before the word
+            self.link[self.first], self.popped[self.first] = self.rest, 1
         below: dict[int, list[int]] = {}
         for k, (p, _) in enumerate(parent):
             if p >= 0:
@@ -93,13 +95,16 @@ def default_vocabulary() -> str:
 
 
 def compile_vocabulary(path: str) -> PieceAutomaton:
-    """The automaton of a byte-level vocabulary: entries that begin with the space's symbol begin words, others go on with them."""
+    """The automaton of a byte-level vocabulary: entries that begin with the space's symbol begin words, others go on with them.
+
+    The bare space is a piece too, so a word has a split even where no entry joins the space to its first byte.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     byte = {c: b for b, c in enumerate(byte_symbols())}
     added = {a["content"] for a in spec["added_tokens"]}
     pieces = {bytes(byte[c] for c in x) for x in spec["model"]["vocab"] if x not in added and all(c in byte for c in x)}
-    return PieceAutomaton({p[1:] for p in pieces if p[:1] == b" " and len(p) > 1}, {p for p in pieces if p[:1] != b" "})
+    return PieceAutomaton({p[1:] for p in pieces if p[:1] == b" "}, {p for p in pieces if p[:1] != b" "})
 
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -160,6 +160,12 @@ def test_wordpiece_of_long_words(spark):
     assert got == {k: (1, n, 0) for k, n in enumerate(greedy_pieces(words))}
 
 
+def test_wordpiece_of_any_first_byte(spark):
+    words = ["рост", "страна", "тут", "умный", "хлеб", "Հայաստան", "գիրք", "한국어", "텍스트", "학교", "中国", "䀀䀁", "丁", "ꀀ", "école", "😀", "word", "а", *(chr(c) for c in range(0xA1, 0x3000, 37) if not chr(c).isspace())]
+    got = {x.k: (x.n_words, x.n_pieces, x.n_unknown) for x in wordpiece.count_tokens(spark.createDataFrame(list(enumerate(words)), "k long, text string"), "k").collect()}
+    assert got == {k: (1, n, 0) for k, n in enumerate(greedy_pieces(words))} and 0 not in greedy_pieces(words)
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 
