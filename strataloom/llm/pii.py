@@ -16,6 +16,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -79,8 +80,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Where an entity may be: an address, a run of digit groups, a long token with a digit, an account number.
-REGION = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}|[+(]?[0-9][0-9().\x20-]{4,60}[0-9]|(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]{0,64}[0-9])[A-Za-z0-9_/-]{16,120}|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{4}){2,7}(?:\x20?[A-Za-z0-9]{1,3})?")
+#: Where an entity may be: an address, a run of digit groups, a long token with a digit, an account number. All are maximal runs of any length.
+WIDE = (
+    r"(?<![^\s@])[^\s@]+(?:@[^\s@]+)+", r"[+(]?[0-9][0-9().\x20-]{4,}[0-9]", r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*[0-9])[A-Za-z0-9_/-]{16,}",
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]{4}){2,}(?:\x20?[A-Za-z0-9]{1,3})?",
+)
+REGION = re.compile("|".join(WIDE))
+_WIDE = [re.compile(x) for x in WIDE]
 ATOM = re.compile(r"[A-Za-z0-9]+|\S")
 CUES = {
     "token": "secret", "secret": "secret", "key": "secret", "api": "secret", "apikey": "secret", "password": "secret", "passwd": "secret", "auth": "secret", "bearer": "secret", "credential": "secret",
@@ -113,21 +119,37 @@ def _class(c: str) -> str:
     return "none" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c if c in "+(@.\"'=:-_/" else "other"
 
 
+def regions(text: str) -> list[tuple[int, int]]:
+    """The places of the wide patterns' matches, those that overlap joined, so that none cuts what another holds."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(m.span() for x in _WIDE for m in x.finditer(text)):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def segments_of(text: str, start: int, end: int) -> tuple[int, list[tuple[int, int, int, int, list[str]]]]:
     """Of one region: the number of atoms, and (first atom, atom after the last, start, end, features) of each segment that may be an entity."""
     atoms = [m.span() for m in ATOM.finditer(text, start, end)]
+    return len(atoms), list(_segments(text, start, atoms))
+
+
+def _segments(text: str, start: int, atoms: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, list[str]]]:
+    """A region's segments, one at a time. A single atom may be of any length, more atoms together of MOST_CHARS or, if they are one token, of any too."""
     cues = {CUES[w] for w in WORD.findall(text[max(0, start - 32) : start].lower()) if w in CUES}
-    out = []
     for i, (a, _) in enumerate(atoms):
         if text[a] not in "+(" and not text[a].isalnum():
             continue
+        spaced = False
         for j in range(i, min(len(atoms), i + MOST_ATOMS)):
             b = atoms[j][1]
-            if b - a > MOST_CHARS:
+            spaced = spaced or j > i and atoms[j - 1][1] < atoms[j][0]
+            if b - a > MOST_CHARS and spaced:
                 break
             if b - a >= 7 and text[b - 1].isalnum() and MARKED.search((segment := text[a:b]).encode()):
-                out.append((i, j + 1, a, b, segment_features(segment, text[a - 1 : a], text[b : b + 1], cues)))
-    return len(atoms), out
+                yield i, j + 1, a, b, segment_features(segment, text[a - 1 : a], text[b : b + 1], cues)
 
 
 class SemiMarkovField:
@@ -140,13 +162,13 @@ class SemiMarkovField:
         get = self.weights.get
         return sum([get((kind, f), 0.0) for f in features])
 
-    def decode(self, n: int, segments: list) -> list[tuple[str, int, int]]:
+    def decode(self, n: int, segments: Iterable) -> list[tuple[str, int, int]]:
         """The entities of the best encoding: (kind, start, end)."""
         by_end = defaultdict(list)
         for s in segments:
             kind, score = max(((k, self.score(k, s[4])) for k in KINDS), key=lambda x: x[1])
             if score > 0:  # else outside atoms are better
-                by_end[s[1]].append((s, kind, score))
+                by_end[s[1]].append((s[:4], kind, score))
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
             best[j] = best[j - 1]
@@ -267,15 +289,13 @@ def all_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[str, int, i
     taken = sorted((a, b) for _, a, b in base)
     added = []
     at = 0
-    for m in REGION.finditer(text):
-        start, end = m.span()
+    for start, end in regions(text):
         while at < len(taken) and taken[at][1] <= start - MOST_CHARS:
             at += 1
         if any(a <= start and end <= b for a, b in taken[at : at + 64]):
             continue
-        size, segments = segments_of(text, start, end)
-        if segments:
-            added += field.decode(size, segments)
+        atoms = [m.span() for m in ATOM.finditer(text, start, end)]
+        added += field.decode(len(atoms), _segments(text, start, atoms))
     if added and taken:
         starts = [a for a, _ in taken]
         ends, most = [], 0

@@ -425,6 +425,21 @@ def test_semi_markov_field():
     assert set(base) <= set(spans) and ("secret", 16, 56) in spans and pii.masked(text, spans) == 'in the token = "<secret>" we mail <email>'
 
 
+def test_field_in_long_lists():
+    """Nothing in a long run of numbers, records or characters is cut."""
+    r, field = random.Random(4), pii.fit()
+    digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    numbers = [f"{r.randint(100, 999)}-{digit(2)}-{digit(4)}" for _ in range(60)]
+    for text in ("ssn " + " ".join(numbers), "mail a@b," + ",".join(numbers)):
+        assert pii.regions(text)[-1][1] == len(text) and len(pii.regions(text)) == 1
+        held = {(text.index(x), text.index(x) + 11) for x in numbers}
+        assert {(a, b) for a, b in held if not any(s <= a and b <= e for s, e in pii.regions(text))} == set()
+    text = "ssn " + " ".join(numbers)
+    assert {text[a:b] for k, a, b in pii.all_spans(text, field)[1] if k == "ssn"} == set(numbers)
+    secret = "".join(r.choice("0123456789abcdef") for _ in range(300))
+    assert ("secret", 8, 308) in pii.all_spans(f"token = {secret}.", field)[1]
+
+
 def test_field_decodes_and_normalises_by_brute_force():
     """Of a small region: the best segmentation, and the gradient against finite differences of the likelihood."""
     field = pii.fit(200, 1)
