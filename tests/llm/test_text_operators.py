@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter
@@ -169,15 +170,40 @@ def test_wordpiece_of_any_first_byte(spark):
 # -- 2 -----------------------------------------------------------------------------------------------------------------
 
 
+def plain(lines):
+    return [t for t, w in lines if not w & html.MARKED]
+
+
 def test_html_lines():
     page = """<html><head><title>T</title></head><body><header>Site</header><div class="main-menu">m</div><p>Hello &amp; <b>bold</b>  x<br>next<div id=cookie-notice>c</div><ul><li>one<li>two</ul>
         <section class="comments"><p>c1</section><form>f</form><p>a < b &lt;i&gt;</p><p hidden>h</p><footer>f</footer><script>if(a<b){"</p>"}</script><!-- <p>no</p> --></body>"""
-    assert [t for t, _ in html.lines_of(page)] == ["Hello & bold x", "next", "one", "two", "a < b <i>"]
+    assert plain(html.lines_of(page)) == ["Hello & bold x", "next", "one", "two", "a < b <i>"]
+    assert [t for t, w in html.lines_of(page) if w & html.MARKED] == ["Site", "m", "c", "c1", "f", "h", "f"]
     article = "<nav><p>n</p></nav><div class=ad>ad</div><article><h1>T</h1><p>x<aside>s</aside></p><div class='comment-list'>c</div></article><footer>f</footer>"
     assert html.main_text(html.lines_of(article), []) == "T\nx"
+    assert html.main_text(html.lines_of("<main><p>intro<article><p>one</article><article class=related><p>other</article></main><p>out"), []) == "intro\none"
     assert html.lines_of("") == [] and html.lines_of("plain &lt; text") == [("plain < text", 0)] and html.lines_of("<p>x" * 3000)[-1] == ("x", 0)
 
 
+def test_html_at_any_depth():
+    deep = "<div>" * 20_000 + "<nav>n</nav><p>text" + "</div>" * 20_000 + "<p>after"
+    assert plain(html.lines_of(deep)) == ["text", "after"]
+
+
+def test_suggested_furniture_goes_only_if_shared():
+    page = "<article><p>own {0}</p><div class='share-price'>{1}</div><section id='search-results'>{2}</section><div class='related work'>{3}</div></article>"
+    one, two = html.lines_of(page.format(1, "5 up", "ten found", "as others say")), html.lines_of(page.format(2, "6 down", "ten found", "as others say"))
+    assert html.differenced(one, []) == ("own 1\n5 up\nten found\nas others say", 4, 0, 0)
+    assert html.differenced(one, [two]) == ("own 1\n5 up", 4, 2, 0)
+
+
+def test_articles_may_quote_one_another():
+    page = "<div>menu</div><article><p>own {0}</p><p>a passage that both have</p></article><footer>foot {0}</footer>"
+    one, two = (html.lines_of(page.format(k)) for k in (1, 2))
+    assert html.differenced(one, [two]) == ("own 1\na passage that both have", 4, 1, 1)
+    assert html.differenced(one, [one]) == ("own 1\na passage that both have", 4, 2, 0)
+
+
 def test_html_differencing(spark):
     page = lambda body: f"<body><p>Top of the site</p>{body}<p>All rights reserved</p></body>"
     rows = [(k, f"http://h.example/{k // 70}/{k:04}", page(f"<p>the long and winding story {k}</p><p>more {k} words here than in the frame</p>")) for k in range(150)]
@@ -197,24 +223,55 @@ def test_html_differencing(spark):
 
 
 def test_html_on_the_pages(spark):
+    """The whole table: the text is the article's, and the counts are those of a plain table of the alignment of each page with its neighbour."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r.page_id: r for r in queries.op2_html(spark, SF).collect()}
-    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+    assert len(got) == len(pages)
+    for r in pages:
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = "\n".join(y for y in (" ".join(unescape(re.sub("</?b>", "", z)).split()) for z in re.split("</?(?:p|h1|br)>", body)) if y)
         assert (got[r.page_id].text, got[r.page_id].n_chars) == (want, len(want))
+    hosts = {}
+    for r in pages:
+        host, path = re.match(r"[a-z]+://([^/?#]*)(.*)", r.url).groups()
+        hosts.setdefault(host.lower(), []).append((path, str(r.page_id), r.url, html.lines_of(r.html), r.page_id))
+    aligned = 0
+    for own in hosts.values():
+        own.sort(key=lambda x: x[:3])
+        for k, (path, *_, lines, page_id) in enumerate(own):
+            near = [own[m] for m in (k - 1, k + 1) if 0 <= m < len(own)]
+            near.sort(key=lambda x: -len(os.path.commonprefix([x[0], path])))
+            most = table_lcs([t for t, _ in lines], [t for t, _ in near[0][3]]) if near else 0
+            r = got[page_id]
+            assert r.n_lines == len(lines) and r.n_shared <= most and r.n_lines == r.n_shared + r.n_marked + (r.text.count("\n") + 1 if r.text else 0)
+            if not near or not {t for t, w in lines if w == html.IN} & {t for t, _ in near[0][3]}:
+                assert r.n_shared == most  # all that a page shares goes, but for its article's own lines
+            aligned += bool(near)
+    assert aligned > len(pages) / 2
+
+
+def table_lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_chunks_are_cut_by_bytes(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted(map(tuple, html.extract(df).collect()))
+    assert want == sorted(map(tuple, html.extract(df, chunk_bytes=20_000).collect()))
 
 
 def test_lcs():
     r = random.Random(4)
     for _ in range(500):
         a, b = ([r.choice("abcd") for _ in range(r.randint(0, 9))] for _ in range(2))
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        got = sorted(html.shared_lines(a, b))
-        rest = iter(b)
-        assert len(got) == table[-1][-1] and all(a[k] in rest for k in got)
+        got = sorted(html.shared_lines(a, b).items())
+        assert len(got) == table_lcs(a, b) and all(a[i] == b[j] for i, j in got) and [j for _, j in got] == sorted({j for _, j in got})
+    many = [str(k % 7) for k in range(6000)]
+    assert len(html.shared_lines(["x", *many], [*many[3:], "y"])) == 5997
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------------
