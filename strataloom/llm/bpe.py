@@ -19,12 +19,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from .common import map_texts, once
+from .unicode import char_class, lower, nfc
 
 #: Words, and chunks between white space, kept with their encodings in one Python worker; twice that for a while.
 CACHE_WORDS, CACHE_CHUNKS = 150_000, 100_000
@@ -152,15 +152,8 @@ def compile_tokenizer(path: str) -> BpeAutomaton:
 
 
 def word_pattern() -> re.Pattern:
-    """The pre-tokenizer's pattern; its classes of letters and numbers are built from the Unicode database."""
-    kinds: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(0x110000):
-        if (k := unicodedata.category(chr(c))[0]) in kinds:
-            if (runs := kinds[k]) and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in kinds[k]) for k in "LN")
+    """The pre-tokenizer's pattern, with the tokenizer's classes of letters and numbers."""
+    letters, numbers = char_class("L"), char_class("N")
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{BLANK}{letters}{numbers}]+")
 
 
@@ -202,7 +195,7 @@ class Encoder:
         return self.word(words[0]) if len(words) == 1 else join(list(map(self.word, words)))
 
     def _plain(self, text: str) -> Iterator[tuple[str, str, int]]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # σ: without the rule for a word's end
+        text = text.lower() if text.isascii() else lower(nfc(text))
         odd = re.search("[\x1c-\x1f]", text)  # split() takes these for white space
         return map(self.chunk, re.split(f"[{BLANK}]+", text) if odd else text.split())
 
