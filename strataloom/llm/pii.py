@@ -15,8 +15,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +26,7 @@ from .common import map_texts
 
 #: Kinds in order: the first four have base patterns, the others come from the field alone.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
+#: The field's entities are bounded: at most MOST_ATOMS runs of letters and digits or single marks, and, if white space parts them, MOST_CHARS characters. A single run may be of any length.
 MOST_ATOMS, MOST_CHARS = 16, 120
 
 # Patterns of the contract; (?<![0-9]) changes no match, since a run of digits that fails from its start fails from within.
@@ -219,7 +222,9 @@ def synthetic(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int
     """Sentences with entities of every kind and with look-alikes (years, sums, versions, dates, order numbers)."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(2, 9)))
-    digit = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    mixed = lambda k, of: "".join(r.choice(of) for _ in range(k))
+    digit = lambda k: mixed(k, "0123456789")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def card() -> str:
         d = r.choice("3456") + digit(14)
@@ -235,11 +240,12 @@ def synthetic(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str, int, int
         "email": lambda: f"{word()}{r.choice(['.', '_', ''])}{r.choice([word(), digit(2)])}@{word()}{r.choice(['', digit(1)])}.{r.choice(['example.com', 'org', 'co.uk'])}",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card,
         "phone": lambda: r.choice([f"+{r.randint(1, 99)} ({digit(3)}) {digit(3)}-{digit(4)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"+{r.randint(1, 99)} {digit(3)} {digit(4)} {digit(3)}", f"{digit(3)}-{digit(3)}-{digit(4)}"]),
-        "secret": lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), "".join(r.choice("ABCDEFGHJKLMNPQRSTabcdefghijkmnpqrst23456789_") for _ in range(r.randint(24, 44))) + "A1a"]),
-        "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", "iban": lambda: r.choice(["DE", "FR", "ES"]) + digit(2) + r.choice(["", " "]).join(["", *(digit(4) for _ in range(4)), digit(2)]),
+        "secret": lambda: r.choice([mixed(r.choice([32, 40, 64]), "0123456789abcdef"), mixed(r.randint(24, 60), upper + upper.lower() + "0123456789") + "aA1", "".join(r.choice("ABCDEFGHJKLMNPQRSTabcdefghijkmnpqrst23456789_") for _ in range(r.randint(24, 44))) + "A1a"]),
+        "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}", "iban": lambda: r.choice(["DE", "FR", "ES", "IT", "NL", "GB", "CH"]) + digit(2) + r.choice(["", " "]).join(["", r.choice([digit(4), mixed(4, upper)]), *(digit(4) for _ in range(r.randint(2, 4))), *([] if r.random() < 0.4 else [digit(r.randint(1, 3))])]),
     }
     cue = {"email": ["mail", "contact:"], "ip": ["host", "from ip"], "card": ["card", "visa"], "phone": ["call", "phone:", "tel"], "secret": ["token =", "api_key:", "password ="], "ssn": ["ssn", "social security"], "iban": ["iban", "account"]}
     other = [lambda: f"{r.randint(1900, 2030)} {r.randint(1, 28)}.{r.randint(1, 12)}", lambda: f"{digit(3)}.{digit(3)}.{digit(2)}", lambda: f"v{r.randint(0, 9)}.{digit(2)}.{digit(1)}", lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}",
+             lambda: f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: " ".join(digit(r.randint(2, 4)) for _ in range(r.randint(3, 8))), lambda: f"{digit(2)}.{digit(6)} {digit(2)}.{digit(6)}",
              bad_card, lambda: digit(r.randint(7, 14)), lambda: f"{digit(4)}-{digit(4)}", lambda: f"{digit(5)} {digit(5)}", lambda: f"{r.randint(256, 999)}.{digit(3)}.{digit(3)}.{digit(3)}", lambda: f"{word()}-{word()}-{word()}-{digit(4)}", lambda: f"{word()}/{word()}/{word()}{digit(2)}"]
     out = []
     for k in range(n):
@@ -287,24 +293,15 @@ def all_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[str, int, i
     """The base spans, and all spans: the base ones and those of the field that overlap none of them."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    starts = [a for a, _ in taken]
+    ends = list(accumulate([b for _, b in taken], max))  # how far the spans up to each reach
     added = []
-    at = 0
     for start, end in regions(text):
-        while at < len(taken) and taken[at][1] <= start - MOST_CHARS:
-            at += 1
-        if any(a <= start and end <= b for a, b in taken[at : at + 64]):
-            continue
+        if (k := bisect_right(starts, start)) and ends[k - 1] >= end:
+            continue  # within base spans, or one
         atoms = [m.span() for m in ATOM.finditer(text, start, end)]
         added += field.decode(len(atoms), _segments(text, start, atoms))
-    if added and taken:
-        starts = [a for a, _ in taken]
-        ends, most = [], 0
-        for _, b in taken:
-            most = max(most, b)
-            ends.append(most)
-        from bisect import bisect_left
-
-        added = [x for x in added if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[1]]
+    added = [x for x in added if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[1]]
     return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
