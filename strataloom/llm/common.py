@@ -25,19 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """A copy of df in the cluster's shared folder, which survives the loss of any executor.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests, one machine) is the warehouse used.
+    The folder is the session's checkpoint folder, or that of shared_folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset: on one machine (a local master, as in tests) a folder of the warehouse; on a cluster an error, since no folder is known to be shared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, since one text may be as long as ten thousand others."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound Arrow batches by bytes as well as rows, since one text may be as long as ten thousand others.
+
+    The setting is read when a plan runs, so it stays set on the session; a smaller bound that the caller has set is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name) or "").rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as df has such a column (case doesn't matter to Spark)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A key with more rows than this, and more than one in MOST_HUBS, is a hub.
+HUB_ROWS, MOST_HUBS = 256, 100_000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with the row of unique that has their key (none has it twice), with no task that gets all rows of a frequent key.
+
+    Hubs, of which there can be MOST_HUBS at most, are broadcast, and their rows stay where they are; the others meet by a shuffle.
+    n_rows: how many rows there are, about.
+    """
+    hub = max(HUB_ROWS, n_rows // MOST_HUBS)
+    named = "_hub_" + key
+    counts = rows.groupBy(key).agg(F.count("*").alias("_hub_n")).where(F.col("_hub_n") > hub)
+    others = [c for c in unique.columns if c != key]
+    hubs = counts.join(unique, key).select(F.col(key).alias(named), F.struct(*others).alias("_hub_row"))
+    marked = rows.join(F.broadcast(hubs), F.col(key) == F.col(named), "left")
+    here = marked.where(F.col(named).isNotNull()).select(*rows.columns, *[F.col(f"_hub_row.{c}").alias(c) for c in others])
+    there = marked.where(F.col(named).isNull()).select(*rows.columns).join(unique, key).select(*rows.columns, *others)
+    return here.unionByName(there)
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str, salts: int = 32) -> DataFrame:
+    """rows left-joined with few, whose keys are distinct and each of which many rows may have: broadcast if they are MOST_HUBS at most, else salted."""
+    if few.count() <= MOST_HUBS:
+        return rows.join(F.broadcast(few), key, "left")
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(spread, [key, "_salt"], "left").drop("_salt")
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_unique
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,18 +18,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large stars (each node sends its larger neighbours to its least one) and small stars (each node sends
     its smaller neighbours and itself to the least) until no edge changes: logarithmically many rounds. Each is a
-    pre-aggregated minimum and a join, so that no task gets all edges of a node; each round's edges go to the shared
-    folder. Only a count and a checksum come to the driver.
+    pre-aggregated minimum and a join that broadcasts the minima of nodes with many edges, so that no task gets all of
+    these; each round's edges go to the shared folder. Only a count and a checksum come to the driver.
     """
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    mark, n = None, now.count()
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(_least(large), "u")
+        large = join_unique(both, _least(both), "u", 2 * n).where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpointed(large)
+        small = join_unique(large, _least(large), "u", n)
         now = checkpointed(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, n = tuple(seen), seen[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

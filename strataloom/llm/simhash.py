@@ -9,13 +9,15 @@ all pairs; stars are then joined to components.
 
 The trees are not broadcast from the driver: together they hold the fingerprints of all documents, which may not be
 gathered there and have no bound. The shuffle brings each tree the queries of its shard instead. A shard with
-more than SHARD_MOST fingerprints is cut into parts, and each pair of parts is a shard of its own: a tree of one part
-searched for the fingerprints of the other.
+more than SHARD_MOST fingerprints is sharded again, RESHARD times at most, by its other bits: cut into one block more than the
+radius, linked fingerprints agree on one of these too, so nothing is lost. What is still too large, being alike in nearly all bits, is
+cut into parts, and each pair of parts is a shard of its own: a tree of one part searched for the fingerprints of the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_texts
+from .common import checkpointed, free_names, join_few, join_unique, map_texts
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS, BLOCKS = 4, 42, 4, 6
-SHARD_MOST = 8192
+SHARD_MOST, RESHARD = 8192, 2
 
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.float64)
 
@@ -145,22 +147,46 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def finer_masks(mask: int, pieces: int) -> list[int]:
+    """mask with, in turn, each of as many pieces of the bits that it lacks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [round(len(free) * k / pieces) for k in range(pieces + 1)]
+    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def large_shards(keyed: DataFrame, shard_most: int) -> DataFrame:
+    """shard and n of the shards with more rows than shard_most."""
+    return checkpointed(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_most))
+
+
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard_most: int = SHARD_MOST) -> DataFrame:
     """Edges a, b that connect all of the distinct fingerprints fp within radius of each other."""
     masks = block_masks(blocks, radius)
-    bits = F.col("fp").bitwiseAND(F.col("mask"))
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("choice", "mask")).select("fp", F.xxhash64("choice", bits).alias("shard"))
+    literal = lambda ms: F.array(*[F.lit(_signed(m)) for m in ms])
+    keyed = prints.select("fp", F.posexplode(literal(masks)).alias("way", "mask")).select("fp", "way", F.xxhash64("way", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
+    done: list[DataFrame] = []
+    for level in range(1, RESHARD + 1):
+        large = large_shards(keyed, shard_most)
+        if large.isEmpty():
+            break
+        masks = [f for m in masks for f in finer_masks(m, radius + 1)]
+        marked = checkpointed(join_few(keyed, large, "shard"))
+        done.append(marked.where("n IS NULL").select("fp", "shard"))
+        ways = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda k: F.col("way") * (radius + 1) + k)
+        keyed = marked.where("n IS NOT NULL").select("fp", F.explode(ways).alias("way"))
+        keyed = keyed.select("fp", "way", F.xxhash64(F.lit(level), "way", F.col("fp").bitwiseAND(F.get(literal(masks), F.col("way")))).alias("shard"))
+    keyed = reduce(DataFrame.unionByName, done, keyed.select("fp", "shard"))
     return shard_links(keyed.select("shard", F.col("fp").alias("node"), F.array("fp").alias("bits")), 1, radius, shard_most)
 
 
 def units_of(keyed: DataFrame, shard_most: int) -> DataFrame:
     """keyed (shard, node and more) with role: 0 in a shard to search whole; a larger shard is cut, and in each pair of parts -1 is the tree's and 1 the queries'."""
-    large = checkpointed(keyed.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard_most))
+    large = large_shards(keyed, shard_most)
     more = [c for c in keyed.columns if c not in ("shard", "node")]
     units = keyed.select("shard", "node", F.lit(0).alias("role"), *more)
     if not large.isEmpty():
         parts = large.select("shard", F.ceil(F.col("n") / shard_most).cast("int").alias("parts"))
-        dealt = keyed.join(parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(node, 7), parts) as int)"))
+        dealt = join_few(keyed, parts, "shard").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(node, 7), parts) as int)"))
         pairs = dealt.select("node", *more, "shard", "parts", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
         name = F.when(F.col("parts") == 1, F.col("shard")).otherwise(F.xxhash64("shard", F.least("part", "other"), F.greatest("part", "other")))
         units = pairs.select(name.alias("shard"), "node", F.signum(F.col("part") - F.col("other")).cast("int").alias("role"), *more)
@@ -219,26 +245,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have fingerprint 0, which is linked like any other. Rows with a null id are linked too; if a
     component has no other rows its component_id is null. Rows that share an id are rows of their own.
     """
-    docs = checkpointed(map_texts(df, id_col, text_col, _make, "fp long"))
-    prints = checkpointed(docs.groupBy("fp").agg(F.min(id_col).alias("first")))
-    found = connected_components(links(prints.select("fp"), radius))
-    labelled = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    labelled = checkpointed(labelled)
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "label").select(F.col("fp").alias("class_fp"), "component_id")
-    return docs.join(classes, docs["fp"] == classes["class_fp"]).select(id_col, "fp", "component_id")
+    docs = checkpointed(map_texts(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", _make, "fp long"))
+    prints = checkpointed(docs.groupBy("fp").agg(F.min("id").alias("first")))
+    classes = component_firsts(prints.withColumnRenamed("fp", "node"), links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
+    return join_unique(docs, classes, "fp", docs.count()).select(F.col("id").alias(id_col), "fp", F.col("least").alias("component_id"))
+
+
+def component_firsts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and least (the least `first` of its component) for each row of nodes (node, first). Components, and groups of copies, may be of any size."""
+    found = connected_components(edges)
+    labelled = checkpointed(nodes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
+    least = labelled.groupBy("label").agg(F.min("first").alias("least"))
+    return join_unique(labelled, least, "label", labelled.count()).select("node", "least")
 
 
 # -- near copies by similarity -------------------------------------------------------------------------------------------
 
 #: Near copies are texts whose sets of five-word shingles have a similarity (Jaccard) of COPY_SIMILARITY hundredths or more.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 80
-#: 256 bits in 4 words. COPY_RADIUS is what about 97 of 100 pairs at 0.8 keep to; candidates are taken from the wider SEARCH_RADIUS
-#: and then compared exactly. At 0.8 the cosine is 0.89, which makes 39 bits differ, give or take 6; with four and five shingles 48.
-COPY_WORDS, COPY_RADIUS, SEARCH_RADIUS = 4, 50, 80
+#: 256 bits in 4 words. Candidates are taken within SEARCH_RADIUS and then compared exactly. At 0.8 the cosine is 0.89, which makes
+#: 39 bits differ, give or take 6; with four and five shingles 48.
+COPY_WORDS, SEARCH_RADIUS = 4, 80
 #: Anchors of a text: the least of its shingle hashes under as many mixings. Two texts of similarity 0.8 share one but for 0.2 ** 6.
+#: A shard of one anchor that is too large is sharded again by as many others.
 ANCHORS = 6
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(ANCHORS)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(2 * ANCHORS)], np.uint64)
 
 
 def copy_hashes(text: bytes) -> np.ndarray:
@@ -286,7 +317,7 @@ def _make_copies():
     def work(texts: list[bytes]):
         for t in texts:
             h = copy_hashes(t)
-            yield *_print_of(h), _signed(xxhash.xxh64_intdigest(shingle_set(h).tobytes())), _signed(xxhash.xxh64_intdigest(t, SEED))
+            yield *_print_of(h), _signed(xxhash.xxh64_intdigest(shingle_set(h).tobytes())), _signed(xxhash.xxh64_intdigest(t, 42))
 
     return work
 
@@ -329,7 +360,13 @@ def copy_candidates(prints: DataFrame, radius: int, shard_most: int) -> DataFram
 
     prints: node, bits, anchors.
     """
-    keyed = prints.select("node", "bits", "anchors", F.posexplode("anchors").alias("k", "anchor")).select(F.xxhash64("k", "anchor").alias("shard"), "node", "k", "bits", "anchors")
+    first, finer = F.slice("anchors", 1, ANCHORS), F.slice("anchors", ANCHORS + 1, ANCHORS)
+    keyed = prints.select("node", "bits", first.alias("anchors"), F.posexplode(first).alias("k", "anchor")).select(F.xxhash64("k", "anchor").alias("shard"), "node", "k", "bits", "anchors")
+    large = large_shards(keyed, shard_most)
+    if not large.isEmpty():
+        marked = checkpointed(join_few(keyed, large, "shard"))
+        again = marked.where("n IS NOT NULL").drop("n").join(prints.select("node", F.posexplode(finer).alias("j", "anchor")), "node")
+        keyed = marked.where("n IS NULL").drop("n").unionByName(again.withColumn("shard", F.xxhash64("shard", "j", "anchor")).drop("j", "anchor"))
     part = lambda c, name, n: [F.get(c, F.lit(k)).alias(f"{name}{k}") for k in range(n)]
     flat = units_of(keyed, shard_most).select("shard", "node", "role", "k", *part("bits", "w", COPY_WORDS), *part("anchors", "a", ANCHORS))
     names = flat.columns
@@ -376,32 +413,46 @@ def copy_links(units: DataFrame, radius: int) -> DataFrame:
     return flat.repartition(n, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
 
 
+def copy_classes(df: DataFrame, id_col: str, text_col: str, radius: int, shard_most: int) -> tuple[DataFrame, DataFrame]:
+    """docs (id, key: a hash of the text, node: one of its set of shingles) for each row of df, and node and least (the least id and key of its group)."""
+    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = checkpointed(map_texts(source, "id", "text", _make_copies, "bits array<long>, anchors array<long>, node long, key long"))
+    prints = docs.groupBy("node").agg(F.min(F.struct("id", "key")).alias("first"), F.min("bits").alias("bits"), F.min("anchors").alias("anchors"))
+    prints = checkpointed(prints)
+    units = checkpointed(copy_candidates(prints.select("node", "bits", "anchors"), radius, shard_most))
+    asked = prints.join(units.select("node").distinct(), "node", "left_semi")
+    # one text of each node: that of its least id, so that many copies don't meet; rows that share id and text give one set
+    wanted = asked.select("node", F.col("first.id").alias("w_id"), F.col("first.key").alias("w_key"))
+    keyed = source.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = checkpointed(docs.select("id", "key", "node").distinct().join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi"))
+    texts = keyed.join(named.select(F.col("id").alias("w_id"), F.col("key").alias("w_key")), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi").dropDuplicates(["id", "key"])
+    sets = map_texts(texts, "key", "text", _make_sets, "node long, shingles binary").select("node", "shingles").dropDuplicates(["node"])
+    edges = copy_links(units.join(asked.select("node", "bits"), "node").join(sets, "node"), radius)
+    return docs, component_firsts(prints.select("node", "first"), edges)
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = SEARCH_RADIUS, shard_most: int = SHARD_MOST) -> DataFrame:
     """id_col and component_id for each row of df: texts whose sets of five-word shingles have a similarity of 0.8 or more are linked.
 
     As near_duplicates, with what a radius of four bits in 64 is too small for. Texts with the same set are one node. Candidates
     are pairs within radius in 256 bits, found by BK-trees in shards of texts that share an anchor, a shingle whose hash is
     least. Only their shingles are then brought together, and each link is a similarity counted exactly. Texts without words
-    are all linked. A pair at 0.8 shares no anchor once in 16,000 times; it is more than radius apart far less often.
+    (null and empty ones among them) are all linked. Rows that share an id are rows of their own; a null id is a group's only if it has no other.
+    A pair at 0.8 shares no anchor once in 16,000 times; it is more than radius apart far less often.
     """
-    docs = checkpointed(map_texts(df, id_col, text_col, _make_copies, "bits array<long>, anchors array<long>, node long, key long"))
-    prints = docs.groupBy("node").agg(F.min(id_col).alias("first"), F.min("bits").alias("bits"), F.min("anchors").alias("anchors"), F.min("key").alias("key"))
-    prints = checkpointed(prints)
-    units = checkpointed(copy_candidates(prints.select("node", "bits", "anchors"), radius, shard_most))
-    asked = prints.join(units.select("node").distinct(), "node", "left_semi")
-    texts = df.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).alias("text"))
-    texts = texts.join(asked.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = map_texts(texts, "key", "text", _make_sets, "node long, shingles binary").select("node", "shingles")
-    found = connected_components(copy_links(units.join(asked.select("node", "bits"), "node").join(sets, "node"), radius))
-    labelled = checkpointed(prints.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "label").select("node", "component_id")
-    return docs.join(classes, "node").select(id_col, "component_id")
+    docs, classes = copy_classes(df, id_col, text_col, radius, shard_most)
+    return join_unique(docs.select("id", "node"), classes, "node", docs.count()).select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group of near copies: that with the least id. Rows with a null id stay."""
-    found = near_copies(df.select(id_col, text_col).where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = df.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+    """df with one row of each group of near copies: that with the least id, and of several texts with that id one of them.
+
+    Different texts with the same id stay, unless they are near copies. Rows that share id and text are copies like others: one stays. Rows with a null id all stay.
+    """
+    docs, classes = copy_classes(df.select(id_col, text_col).where(F.col(id_col).isNotNull()), id_col, text_col, SEARCH_RADIUS, SHARD_MOST)
+    i, k = free_names(df, "kept_id", "kept_key")
+    kept = classes.select(F.col("least.id").alias(i), F.col("least.key").alias(k)).distinct()
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = df.where(F.col(id_col).isNotNull())
+    rows = rows.join(kept, (rows[id_col] == kept[i]) & (key == kept[k]))
+    return rows.dropDuplicates([i, k]).select(*[rows[c] for c in df.columns]).unionByName(df.where(F.col(id_col).isNull()))

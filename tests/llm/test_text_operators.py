@@ -354,6 +354,41 @@ def test_links_whole_chains_and_parts(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, own.values()))
 
 
+def test_large_shards_are_cut_finely(spark):
+    """Fingerprints that agree in most bits: a few at a distance of four and less of others, in shards far over the bound."""
+    r = random.Random(8)
+    base = r.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in r.sample(range(40), 12)) for _ in range(400)}
+    prints |= {p ^ 1 << 50 for p in list(prints)[:50]} | {p ^ 3 << 61 for p in list(prints)[50:80]}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    want = {p: p for p in prints}
+    for i, p in enumerate(prints):
+        for q in prints[i + 1 :]:
+            if (p ^ q).bit_count() <= 4 and want[p] != want[q]:
+                low, high = sorted((want[p], want[q]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    for most in (8192, 40, 3):
+        got = {c.node % (1 << 64): c.label % (1 << 64) for c in components.connected_components(simhash.links(df, shard_most=most)).collect()}
+        own, groups = {}, {}
+        for p in prints:
+            own.setdefault(want[p], set()).add(p)
+            groups.setdefault(got.get(p, p), set()).add(p)
+        assert sorted(map(sorted, own.values())) == sorted(map(sorted, groups.values()))
+
+
+def test_hubs_are_joined_whole(spark, monkeypatch):
+    from strataloom.llm import common
+
+    monkeypatch.setattr(common, "HUB_ROWS", 5)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 3, k) for k in range(200)] + [(None, -1), (50, 1)], "key int, v int")
+    unique = spark.createDataFrame([(k, k * 10) for k in range(40)], "key int, w int")
+    want = sorted((r.key, r.v, r.key * 10) for r in rows.collect() if r.key is not None and r.key < 40)
+    assert sorted(map(tuple, common.join_unique(rows, unique, "key", 202).collect())) == want
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, k + 100) for k in range(1, 30)] + [(500, 501)], "a long, b long")
+    assert {r.node: r.label for r in components.connected_components(edges).collect()} == {**{k: 0 for k in [*range(60), *range(101, 130)]}, 500: 500, 501: 500}
+
+
 def similar(a, b):
     w = [t.split() for t in (a, b)]
     x, y = (set(zip(*(v[k:] for k in range(5)), strict=False)) for v in w)
