@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_names
 
 WINDOW = 10
 #: Distinct windows that are broadcast at once (some 200 bytes each). More are looked up in waves of so many, each a pass
@@ -90,8 +90,9 @@ def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
     """documents without those that hold least_words hit words or more. Rows with a null id are judged as one document."""
     found = find_hits(documents.select(id_col, text_col), benchmark, id_col, text_col)
-    bad = found.where(F.col("n_hit") >= least_words).select(F.col(id_col).alias("_hit_id")).distinct()
-    return documents.join(bad, documents[id_col].eqNullSafe(F.col("_hit_id")), "left_anti")
+    (hit,) = free_names(documents, "_hit_id")
+    bad = found.where(F.col("n_hit") >= least_words).select(F.col(id_col).alias(hit)).distinct()
+    return documents.join(bad, documents[id_col].eqNullSafe(F.col(hit)), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,11 +102,12 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     found = find_hits(documents.select(id_col, text_col).where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).where("n_hit > 0")
     gone = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["size"] - 1))))
-    cut = found.select(F.col(id_col).alias("_cut_id"), gone.alias("_cut")).dropDuplicates(["_cut_id"])
+    cut_id, gone_col = free_names(documents, "_cut_id", "_cut")
+    cut = found.select(F.col(id_col).alias(cut_id), gone.alias(gone_col)).dropDuplicates([cut_id])
     word, other = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({word}+{other}*)"), F.lit(1))
     lead = F.regexp_extract(F.col(text_col), f"^({other}*)", 1)
-    kept = F.filter(pieces, lambda x, k: ~F.array_contains(F.col("_cut"), k))
-    out = documents.join(cut, documents[id_col] == F.col("_cut_id"), "left")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
+    kept = F.filter(pieces, lambda x, k: ~F.array_contains(F.col(gone_col), k))
+    out = documents.join(cut, documents[id_col] == F.col(cut_id), "left")
+    text = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
     return out.withColumn(text_col, text).select(*documents.columns)

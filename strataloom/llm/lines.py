@@ -6,8 +6,10 @@ arrays in which a key stands at the first level where no other key shares its pl
 set bits before it. The index points into arrays of fingerprints (the second half of the hash, which tells a line
 that isn't in the shard), counts, and the ids that keep the line. A second pass probes the arrays for every line.
 
-The arrays are broadcast in waves: shards go together up to WAVE_BYTES, whose size is known from a count before
-anything is gathered. Commonly there is one wave; with more, the documents pass through them one by one.
+The arrays of up to WAVE_BYTES are broadcast, and every document probes them where it is. That is all of them if they are so few, which is known from a
+count before anything is gathered; else those of the lines found most often. The other lines' shards are then probed where they are: the hashes
+of the documents' remaining lines go to them by a shuffle, dealt to as many tasks a shard as it has lines, and only the numbers of the lines to drop
+come back. Either way the texts are rewritten once, and no line is so frequent that its hashes meet in one task.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, arrow_type, checkpointed, once, small_batches
+from .common import SPACE, arrow_type, checkpointed, free_names, once, small_batches
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 50_000
+#: Lines of a shard that one task probes, about.
+TASK_LINES = 2_000_000
 #: Of a key in the arrays: fingerprint, count, id, and its share of the bit arrays.
 KEY_BYTES = 24
 WAVE_BYTES = 48 << 20
@@ -116,7 +120,7 @@ SHARD = "shard long, levels array<binary>, prints binary, counts binary, keeps b
 
 
 class Shards:
-    """The shards of one wave, probed by hash."""
+    """Shards, probed by hash."""
 
     def __init__(self, rows: list, n_shards: int):
         self.n_shards, self.shards, self.extra = n_shards, {}, {}
@@ -174,61 +178,143 @@ def common_lines(df: DataFrame, id_col: str, text_col: str, min_docs: int) -> Da
     return found.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
 
 
+def shards_of(common: DataFrame, n_shards: int) -> DataFrame:
+    numbered = common.withColumn("shard", F.expr(f"cast(pmod(cast(conv(hex(h1), 16, 10) as decimal(20)), {n_shards}) as long)"))
+    return numbered.groupBy("shard").applyInPandas(build_shard, SHARD)
+
+
+def broadcast_bound(common: DataFrame, most: int) -> int:
+    """The least number of documents such that no more than `most` lines are found in so many: from the lines' numbers by size, some hundreds of rows."""
+    bucket = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    total, least = 0, 1 << 62
+    for r in common.groupBy(bucket.alias("b")).agg(F.count("*").alias("lines"), F.min("n").alias("n")).orderBy(F.desc("b")).collect():
+        total += r.lines
+        if total > most:
+            break
+        least = r.n
+    return least
+
+
 def drop_common_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """df with its texts' common lines dropped, and the columns _lines_total and _lines_dropped.
+    """df with its texts' common lines dropped, and two columns after its own: _lines_total and _lines_dropped (with more underscores if df has these).
 
     A line whose key (white space at its ends stripped, A-Z lower-cased) has MIN_CHARS code points or more and is found in
     min_docs documents stays only in the one with the largest id. A null or empty text is one empty line and stays
-    as it is, and so do rows with a null id, which count for no line.
+    as it is, and so do rows with a null id, which count for no line. Rows that share an id are one document, each with its own lines; an empty table gives none.
     """
     spark = df.sparkSession
-    common = checkpointed(common_lines(df, id_col, text_col, min_docs))
-    total = common.count()
-    n_shards = max(1, -(-total // SHARD_KEYS))
-    shards = common.withColumn("shard", F.expr(f"cast(pmod(cast(conv(hex(h1), 16, 10) as decimal(20)), {n_shards}) as long)")).groupBy("shard").applyInPandas(build_shard, SHARD)
-    waves = max(1, -(-total * KEY_BYTES // WAVE_BYTES))
-    if total:
-        shards = checkpointed(shards)
     small_batches(spark)
-    rows = df.withColumns({"_lines_total": F.lit(0).cast("long"), "_lines_dropped": F.lit(0).cast("long")})
-    for wave in range(waves):
-        part = shards.where(F.col("shard") % waves == wave).collect() if total else []  # at most WAVE_BYTES, by the count above
-        rows = probe_wave(rows, spark.sparkContext.broadcast(([r.asDict() for r in part], n_shards)), id_col, text_col)
-        if wave < waves - 1:
-            rows = checkpointed(rows)
-    return rows
-
-
-def probe_wave(rows: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
-    schema = rows.schema
-    where = {n: rows.columns.index(n) for n in (id_col, text_col, "_lines_total", "_lines_dropped")}
-    text_type = arrow_type(schema[text_col].dataType)
+    common = checkpointed(common_lines(df, id_col, text_col, min_docs))
+    total, most = common.count(), WAVE_BYTES // KEY_BYTES
+    least = 0 if total <= most else broadcast_bound(common, most)
+    often = common.where(F.col("n") >= least)
+    n_often = often.count() if least else total
+    n_shards = max(1, -(-n_often // SHARD_KEYS))
+    held = [r.asDict() for r in shards_of(often, n_shards).collect()] if n_often else []  # at most WAVE_BYTES, by the bound
+    shared = spark.sparkContext.broadcast((held, n_shards))
+    rows = df
+    (gone,) = free_names(df, "_lines_gone")
+    if n_often < total:
+        rare = checkpointed(common.where(F.col("n") < least))
+        found = probe_shards(df, id_col, text_col, shared, rare, total - n_often, rare.agg(F.sum("n")).first()[0])
+        i, k = free_names(df, "_lines_id", "_lines_key")
+        found = found.select(F.col("id").alias(i), F.col("key").alias(k), F.col("gone").alias(gone))
+        rows = df.join(found, (df[id_col].cast("long") == F.col(i)) & (F.xxhash64(df[text_col].cast("string")) == F.col(k)), "left").select(*[df[c] for c in df.columns], gone)
+    else:
+        rows = df.withColumn(gone, F.lit(None).cast("array<int>"))
+    return cut_lines(rows, shared, id_col, text_col, gone)
+
+
+def probe_shards(df: DataFrame, id_col: str, text_col: str, shared, rare: DataFrame, n_rare: int, n_lines: int) -> DataFrame:
+    """id, key (a hash of the text) and gone (numbers of lines to drop, by the shards of the rare lines) for each id and text that has any."""
+    n_shards = max(1, -(-n_rare // SHARD_KEYS))
+    parts = max(1, -(-n_lines // (n_shards * TASK_LINES)))
+    source = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    line = T.StructType.fromDDL("id long, key long, line int, h1 long, h2 long")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines that count and aren't broadcast."""
+        index = once("lines", shared.value, lambda v: Shards(*v))
+        for batch in batches:
+            ids, keys, at, hashes = [], [], [], []
+            for i, k, t in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if t and len(t) >= MIN_CHARS:
+                    _, own, h = line_hashes(t)
+                    ids += [i] * len(own)
+                    keys += [k] * len(own)
+                    at += own
+                    hashes += h
+            h1, h2 = halves(hashes)
+            rest = pa.array(index.probe(h1, h2)[0] == 0)
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=line.names).filter(rest)
+
+    lines = source.mapInArrow(hashed, line)
+    shard = F.expr(f"cast(pmod(cast(conv(hex(h1), 16, 10) as decimal(20)), {n_shards}) as long)")
+    lines = lines.select(shard.alias("shard"), F.pmod(F.xxhash64("id", "key"), F.lit(parts)).cast("int").alias("part"), *line.names)
+    arrays = checkpointed(shards_of(rare, n_shards)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    fields = [c.split()[0] for c in SHARD.split(", ")[1:]]
+    both = arrays.unionByName(lines, allowMissingColumns=True).withColumn("is_line", F.col("h1").isNotNull().cast("int"))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_shards * parts)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shard and part: the arrays, then the lines."""
+        index, held = None, None
+        for batch in batches:
+            shard, is_line = batch.column("shard").to_pylist(), batch.column("is_line").to_pylist()
+            at = 0
+            while at < len(shard):
+                if not is_line[at]:
+                    row = batch.slice(at, 1).to_pylist()[0]
+                    index, held = Shards([{"shard": 0, **{c: row[c] for c in fields}}], 1), shard[at]
+                    at += 1
+                    continue
+                end = at
+                while end < len(shard) and is_line[end] and shard[end] == shard[at]:
+                    end += 1
+                some = batch.slice(at, end - at)
+                if held == shard[at]:
+                    count, keep = index.probe(*(some.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")))
+                    yield some.filter(pa.array((count > 0) & (keep != some.column("id").to_numpy()))).select(["id", "key", "line"])
+                at = end
+
+    gone = both.repartition(n, "shard", "part").sortWithinPartitions("shard", "part", "is_line").mapInArrow(probe, "id long, key long, line int")
+    return gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
+
+
+def cut_lines(rows: DataFrame, shared, id_col: str, text_col: str, gone_col: str) -> DataFrame:
+    """rows without the lines that the broadcast shards drop and those numbered in gone_col, which goes; with the two counts."""
+    plain = rows.drop(gone_col)
+    counts = free_names(plain, "_lines_total", "_lines_dropped")
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    where = {n: rows.columns.index(n) for n in (id_col, text_col, gone_col)}
+    text_type = arrow_type(rows.schema[text_col].dataType)
+    others = [k for k, c in enumerate(rows.columns) if c != gone_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = once("lines", shared.value, lambda v: Shards(*v))
         for batch in batches:
             ids = batch.column(where[id_col]).to_pylist()
             texts = batch.column(where[text_col]).cast(pa.binary()).to_pylist()
-            before, dropped = (batch.column(where[c]).to_pylist() for c in ("_lines_total", "_lines_dropped"))
+            numbered = batch.column(where[gone_col]).to_pylist()
             found = [line_hashes(t) if t and i is not None and len(t) >= MIN_CHARS else None for i, t in zip(ids, texts, strict=True)]
             count, keep = index.probe(*halves([h for x in found if x for h in x[2]]))
-            common = count > 0
-            at, totals = 0, []
+            at, totals, dropped = 0, [], []
             for k, x in enumerate(found):
-                lines = 1 if not texts[k] else texts[k].count(b"\n") + 1
+                totals.append(1 if not texts[k] else texts[k].count(b"\n") + 1)
+                gone: set[int] = set()
                 if x:
                     n = len(x[1])
-                    if common[at : at + n].any():
-                        gone = {j for j, c, d in zip(x[1], common[at : at + n].tolist(), keep[at : at + n].tolist(), strict=True) if c and d != ids[k]}
-                        if gone:
-                            texts[k] = b"\n".join([line for j, line in enumerate(x[0]) if j not in gone])
-                            dropped[k] += len(gone)
+                    if (count[at : at + n] > 0).any():
+                        gone = {j for j, c, d in zip(x[1], count[at : at + n].tolist(), keep[at : at + n].tolist(), strict=True) if c and d != ids[k]}
+                    gone.update(numbered[k] or ())
                     at += n
-                totals.append(max(before[k], lines))
+                if gone:
+                    texts[k] = b"\n".join([line for j, line in enumerate(x[0]) if j not in gone])
+                dropped.append(len(gone))
             columns = list(batch.columns)
             columns[where[text_col]] = pa.array(texts, pa.binary()).cast(text_type)
-            columns[where["_lines_total"]], columns[where["_lines_dropped"]] = pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(columns[k] for k in others), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -236,4 +322,5 @@ def probe_wave(rows: DataFrame, shared, id_col: str, text_col: str) -> DataFrame
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_lines, n_dropped and kept_sha256 of drop_common_lines, for each row."""
     rows = drop_common_lines(df.select(id_col, text_col), id_col, text_col)
-    return rows.select(id_col, F.col("_lines_total").alias("n_lines"), F.col("_lines_dropped").alias("n_dropped"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    total, dropped = rows.columns[-2:]
+    return rows.select(id_col, F.col(total).alias("n_lines"), F.col(dropped).alias("n_dropped"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -11,8 +11,9 @@ classes' log-probabilities after all contexts is one batched matrix product and
 Within a suffix class a word has the share (c + 0.1) / (sum of c + 0.1 of its known words + 0.1), the last 0.1 being
 what an unknown word gets, so that the probabilities of a class, and of all tokens, sum to one.
 
-Counts of words are over the whole corpus and not bounded. Words that make up at least one token in FREQUENT number
-FREQUENT at most: their counts are broadcast. The others' counts are joined by word, and none of them can be hot.
+Counts of words are over the whole corpus and not bounded. The most frequent words of all rows, held-out ones too, FREQUENT at
+most, are broadcast with their training counts (which may be 0). The others' counts are joined by word, once for each row that has it, and
+none of them can be hot: each makes up less than one token in FREQUENT.
 """
 
 from __future__ import annotations
@@ -44,28 +45,45 @@ def suffix_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % SUFFIX_CLASSES
 
 
-def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (bytes; the end of a text is the empty word) and c, over all rows."""
-    small_batches(texts.sparkSession)
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (bytes; the end of a text is the empty word), c (in training rows) and a (in all rows). rows: held_out and text."""
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        every: Counter = Counter()
+        held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
+            trained = [n - held.get(w, 0) for w, n in every.items()] if held else list(every.values())
+            out = pa.RecordBatch.from_arrays([pa.array(list(every), pa.binary()), pa.array(trained, pa.int64()), pa.array(list(every.values()), pa.int64())], names=["word", "c", "a"])
+            every.clear()
+            held.clear()
             return out
 
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                counts[b""] += 1
-                if t:
-                    counts.update(t.lower().split())
-                if len(counts) > COUNTED:
+            for out, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                words = [*(t or b"").lower().split(), b""]
+                every.update(words)
+                if out:
+                    held.update(words)
+                if len(every) > COUNTED:
                     yield flush()
         yield flush()
 
-    return texts.select(F.col(text_col).cast("string")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("held_out", "text").mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+
+
+def frequency_bound(counts: DataFrame, most: int) -> int:
+    """The least a such that no more than `most` words are that frequent: from the words' numbers by size, in buckets of a few hundred."""
+    bucket = F.floor(F.log2(F.col("a").cast("double")) * 8).cast("int")
+    sizes = counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("a").alias("a")).orderBy(F.desc("b")).collect()
+    total, least = 0, 1 << 62
+    for r in sizes:
+        total += r.n
+        if total > most:
+            break
+        least = r.a
+    return least
 
 
 class Vocabulary(dict):
@@ -154,27 +172,27 @@ class Model:
         self.vocabulary, self.net, self.frequent, self.shares, self.tokens, self.known = vocabulary, net, frequent, shares, tokens, known
 
 
-def train(texts: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all rows of texts, and the counts (word, lc = log10(c + 0.1)) of the words that it doesn't hold."""
-    counts = checkpointed(word_counts(texts, text_col))
-    tokens, known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1, -(-tokens // FREQUENT))
-    often = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()  # FREQUENT at most in any case
-    frequent = {bytes(r.word): r.c for r in often}
-    own = [b"", *[w for w in frequent if w][: WORD_CLASSES - 1]]
+def train(rows: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the rows that aren't held out (columns held_out and text), and the counts (word, lc = log10(c + 0.1)) of the training words that it doesn't hold."""
+    counts = checkpointed(word_counts(rows))
+    tokens, known = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
+    least = frequency_bound(counts, FREQUENT)
+    often = counts.where((F.col("a") >= least) | (F.col("word") == b"")).collect()  # FREQUENT at most, by the bound, and the end
+    frequent = {bytes(r.word): r.c for r in sorted(often, key=lambda r: (-r.c, r.word))}
+    own = [b"", *[w for w, c in frequent.items() if w and c][: WORD_CLASSES - 1]]
     vocabulary = Vocabulary(own)
     pairs = np.zeros(vocabulary.classes**2, np.int64)
-    got = class_pairs(texts.select(F.col(text_col).cast("string")), vocabulary).toArrow()  # classes ** 2 rows at most
+    got = class_pairs(rows.where("NOT held_out").select("text"), vocabulary).toArrow()  # classes ** 2 rows at most
     pairs[got["pair"].to_numpy()] = got["n"].to_numpy()
     net = LogBilinear(vocabulary.classes)
     net.fit(pairs.reshape(vocabulary.classes, -1))
     shares = np.full(SUFFIX_CLASSES, SMOOTH)
-    by_class = counts.groupBy((F.crc32(F.substring("word", -3, 3)) % SUFFIX_CLASSES).alias("k")).agg((F.sum("c") + SMOOTH * F.count("*")).alias("s"))
+    by_class = counts.where("c > 0").groupBy((F.crc32(F.substring("word", -3, 3)) % SUFFIX_CLASSES).alias("k")).agg((F.sum("c") + SMOOTH * F.count("*")).alias("s"))
     for r in by_class.collect():
         shares[r.k] += r.s
     for w in own:
-        shares[suffix_class(w)] -= frequent[w] + SMOOTH if w in frequent else 0
-    rare = counts.where(F.col("c") < least).select("word", F.log10(F.col("c") + SMOOTH).alias("lc"))
+        shares[suffix_class(w)] -= frequent[w] + SMOOTH if frequent.get(w) else 0
+    rare = counts.where((F.col("a") < least) & (F.col("c") > 0)).select("word", F.log10(F.col("c") + SMOOTH).alias("lc"))
     return Model(own, net, frequent, np.maximum(shares, SMOOTH), tokens, known), rare
 
 
@@ -195,20 +213,23 @@ class Worker:
         self.cls = np.array(cls + [own + k for k in rare], np.int64)
         share = np.log10(model.shares)
         self.inside = np.array([0.0 if c < own else lg - share[c - own] for lg, c in zip(logs, cls, strict=True)] + [-share[k] for k in rare])
+        self.seen = np.array([c > 0 for c in model.frequent.values()] + [False for _ in rare])
         self.end = self.classes[b""]
+        self.end_known = int(model.frequent.get(b"", 0) > 0)
         self.end_log = np.log10(model.frequent.get(b"", 0) + SMOOTH)
         self.all = np.log10(model.tokens + SMOOTH * (model.known + 1)) if model.tokens else np.log10(SMOOTH)
 
-    def text(self, t: bytes) -> tuple[int, int, float, float]:
-        """n_tokens; frequent tokens; sums without the rare words' counts: of the base's logs, and of the model's."""
+    def text(self, t: bytes) -> tuple[int, int, int, float, float]:
+        """n_tokens; tokens whose words are held here, and of those the known ones; sums without the rare words' counts: of the base's logs, and of the model's."""
         of, n = self.of, self.n
         words = t.lower().split()
         at = np.fromiter([of[w] if w in of else n + zlib.crc32(w[-3:]) % SUFFIX_CLASSES for w in words], np.int64, len(words))
         cls = np.concatenate(([self.end], self.cls[at], [self.end]))
         tokens = len(words) + 1
-        known = int((at < n).sum()) + (b"" in of)
+        held = int((at < n).sum()) + 1
+        known = int(self.seen[at].sum()) + self.end_known
         base = float(self.log[at].sum()) + self.end_log - tokens * self.all
-        return tokens, known, base, float(self.table[cls[:-1], cls[1:]].sum(dtype=np.float64) + self.inside[at].sum())
+        return tokens, held, known, base, float(self.table[cls[:-1], cls[1:]].sum(dtype=np.float64) + self.inside[at].sum())
 
 
 def worker_of(shared) -> Worker:
@@ -222,38 +243,37 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is unknown. Rows that share an id, or have none, are each scored by themselves.
     """
     spark = df.sparkSession
-    model, rare_counts = train(df.where(~is_held_out(F.col(id_col))).select(text_col), text_col)
+    text = F.col(text_col).cast("string")
+    model, rare_counts = train(df.select(is_held_out(F.col(id_col)).alias("held_out"), text.alias("text")))
     shared = spark.sparkContext.broadcast(model)
-    rows = df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), text.alias("text"))
 
     def make():
         work = worker_of(shared).text
         return lambda texts: map(work, texts)
 
-    docs = map_texts(rows, "key", "text", make, "n_tokens long, known long, base double, model double")
-    small_batches(spark)
+    docs = map_texts(rows, "key", "text", make, "n_tokens long, held long, known long, base double, model double")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = worker_of(shared).of
         for batch in batches:
             words: list[bytes] = []
             numbers: list[int] = []
+            times: list[int] = []
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if t:
-                    own = [w for w in t.lower().split() if w not in of]
+                    own = Counter([w for w in t.lower().split() if w not in of])
                     words += own
+                    times += own.values()
                     numbers += [row] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(words, pa.binary())], names=["row", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())], names=["row", "word", "n"])
 
-    tokens = rows.select("key.row", "text").mapInArrow(rare, "row long, word binary")
+    tokens = rows.select("key.row", "text").mapInArrow(rare, "row long, word binary, n int")
     unknown = float(np.log10(SMOOTH))
     # a rare word of no training text has log10(0.1); adding what its count gives beyond that needs only an inner join
-    more = tokens.join(rare_counts, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.col("lc") - unknown).alias("more"))
-    frequent = F.col("known").cast("double")
-    out = docs.select("key.row", F.col("key.id").alias("id"), "n_tokens", "known", "base", "model").join(more, "row", "left")
-    ended = 1 if b"" in model.frequent else 0
-    others = F.col("n_tokens") - 1 - (frequent - ended)  # tokens whose counts come from the join, or from nowhere
-    extra = F.coalesce("more", F.lit(0.0)) + others * unknown
+    more = tokens.join(rare_counts, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * (F.col("lc") - unknown)).alias("more"))
+    out = docs.select("key.row", F.col("key.id").alias("id"), "n_tokens", "held", "known", "base", "model").join(more, "row", "left")
+    extra = F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("held")) * unknown  # tokens whose counts come from the join, or from nowhere
     return out.select(
         F.col("id").alias(id_col), is_held_out(F.col("id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"),

@@ -2,7 +2,7 @@
 
 The score of a feature vector x is sigmoid(w0 + w.x + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise
 interactions at low rank, in time linear in x by the sum-of-squares identity. Weights come from at most MAX_TRAIN
-labelled rows, those whose ids hash lowest; every text is scored.
+labelled documents, those whose ids hash lowest; every text is scored.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def fold(doc_id):
 
 
 def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> FactorisationMachine:
-    """From labelled rows that aren't held out. Rows without a label or an id don't count; of several labels of an id, the lowest does."""
+    """From labelled documents that aren't held out, max_train at most. Rows without a label or an id don't count; of several labels of an id the
+    lowest does, and of several texts of an id one."""
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").select(F.struct("doc_id", "quality").alias("key"), "text")
@@ -115,13 +116,18 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
         buckets = Buckets()
         return lambda texts: ((features(t, buckets).tobytes(),) for t in texts)
 
-    got = sorted(map_texts(rows, "key", "text", make, "x binary").collect(), key=lambda r: (r.key.doc_id, r.x))[: 2 * max_train]  # repeated rows could double it
+    one = map_texts(rows, "key", "text", make, "x binary").groupBy("key").agg(F.min("x").alias("x"))  # of rows that share an id, one
+    got = sorted(one.collect(), key=lambda r: r.key.doc_id)  # max_train at most
     x = np.array([np.frombuffer(r.x, np.float32) for r in got]).reshape(-1, BUCKETS + STATISTICS)
     return FactorisationMachine(x, np.array([r.key.quality for r in got], np.float32))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of documents; a null text is scored as an empty one."""
+    """doc_id, held_out, score and predicted for each row of documents.
+
+    A null text is scored as an empty one, a text of any length whole. Repeated rows give repeated results; a null id is held out or not as the empty one.
+    Without labelled rows every score is 0.5; an empty table gives none. Other columns are left out.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, max_train))
 
     def make():

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CONTINUATION, SPACE, checkpointed, map_texts, with_text_columns
+from .common import CONTINUATION, SPACE, checkpointed, free_names, map_texts, with_text_columns
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -120,15 +120,16 @@ def thresholds(stats: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", prefix: str = "") -> DataFrame:
     """rows with the columns base_failed and kept (names after prefix), by a join with their group's limits."""
-    limits = checkpointed(limits.select(F.col("lang").alias("_rules_limit_lang"), F.col("source").alias("_rules_limit_source"), *[F.col(f"limit_{k}").alias(f"_rules_limit_{k}") for k in SIGNALS]))
+    by_lang, by_source, *names = free_names(rows, "_limit_lang", "_limit_source", *[f"_limit_{k}" for k in SIGNALS])
+    limits = checkpointed(limits.select(F.col("lang").alias(by_lang), F.col("source").alias(by_source), *[F.col(f"limit_{k}").alias(n) for k, n in zip(SIGNALS, names, strict=True)]))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     c = lambda name: F.col(prefix + name)
-    out = rows.join(limits, F.col(lang).eqNullSafe(F.col("_rules_limit_lang")) & F.col(source).eqNullSafe(F.col("_rules_limit_source")), "left")
+    out = rows.join(limits, F.col(lang).eqNullSafe(F.col(by_lang)) & F.col(source).eqNullSafe(F.col(by_source)), "left")
     failed = base_failed(c("n_words"), c("n_repeat_words"))
     passes = F.lit(True)
-    for k in SIGNALS:
-        passes = passes & (c(k) <= F.coalesce(F.col(f"_rules_limit_{k}"), F.lit(2**62)))
+    for k, n in zip(SIGNALS, names, strict=True):
+        passes = passes & (c(k) <= F.coalesce(F.col(n), F.lit(2**62)))
     return out.select(*rows.columns, failed.alias(prefix + "base_failed"), (~failed & passes).alias(prefix + "kept"))
 
 
@@ -152,6 +153,8 @@ def filter_documents(df: DataFrame, text_col: str = "text", lang_col: str = "lan
     slim = with_text_columns(df.select(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")), "text", _make, FIELDS)
     limits = thresholds(slim.drop("text"))
     prefix = "_rules_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
     fields = ", ".join(prefix + f for f in FIELDS.split(", "))
     rows = with_text_columns(df, text_col, _make, fields)
     return judged(rows, limits, lang_col, source_col, prefix).where(F.col(prefix + "kept")).select(*df.columns)

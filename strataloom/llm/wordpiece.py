@@ -111,7 +111,8 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id_col, n_words, n_pieces and n_unknown for each row of df.
 
     Words stand between white space. A word that has no split is unknown and counts as one piece.
-    Null and empty texts have none of either. The automaton is broadcast; its size is that of the vocabulary.
+    Null and empty texts have none of either; words and texts of any length are read whole. Repeated rows give repeated results, an empty table
+    none, and other columns are left out. The automaton is broadcast; its size is that of the vocabulary.
     """
     shared = df.sparkSession.sparkContext.broadcast(compile_vocabulary(path or default_vocabulary()))
 

@@ -672,17 +672,36 @@ def test_lm(spark):
 
 def test_lm_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(k, f"the cat w{k} sat on the mat v{k % 3}") for k in range(40)], "doc_id long, text string")
-    model, rare = lm.train(df)
+    model, rare = lm.train(df.withColumn("held_out", F.lit(False)))
     worker = lm.Worker(model)
     assert np.allclose((10.0 ** worker.table.astype(float)).sum(1), 1, atol=1e-4)
     inside = np.zeros(lm.SUFFIX_CLASSES)
     own = worker.classes.own
-    for w, c in [*model.frequent.items(), *((bytes(r.word), 10**r.lc - 0.1) for r in rare.collect())]:
+    for w, c in [*((w, c) for w, c in model.frequent.items() if c), *((bytes(r.word), 10**r.lc - 0.1) for r in rare.collect())]:
         if worker.classes[w] >= own:
             inside[worker.classes[w] - own] += (c + 0.1) / model.shares[worker.classes[w] - own]
     assert np.allclose(inside + 0.1 / model.shares, 1)
 
 
+def test_lm_counts_whatever_is_frequent(spark, monkeypatch):
+    """The same scores with nearly all counts broadcast and with nearly all joined; a word that only held-out texts have, often, is unknown."""
+    import zlib
+
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    rows = [(k, f"the cat w{k % 9} sat on the mat v{k % 3}" + (" onlyhere" * 50 if held(k) else "")) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "WORD_CLASSES", 3)
+    got = {}
+    for most in (100_000, 2):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        got[most] = {r.doc_id: r for r in lm.score_documents(df).collect()}
+    for k, t in rows:
+        a, b = got[100_000][k], got[2][k]
+        assert (a.n_tokens, a.n_known) == (b.n_tokens, b.n_known) == (len(t.split()) + 1, len([w for w in t.split() if w != "onlyhere"]) + 1)
+        assert a.base_score == pytest.approx(b.base_score, rel=1e-9)
+    assert lm.frequency_bound(spark.createDataFrame([(n,) for n in (1, 1, 2, 3, 500, 9000)], "a long"), 3) == 3
+
+
 def test_lm_odd(spark, odd):
     got = lm.score_documents(odd).collect()
     assert len(got) == 11 and {r.doc_id: r.n_tokens for r in got}[0] == 1 and all(r.score < 0 for r in got)
@@ -733,10 +752,11 @@ def brute_lines(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("wave", [lines.WAVE_BYTES, 40])
+@pytest.mark.parametrize("wave", [lines.WAVE_BYTES, 40, 24 * 12])
 def test_lines(spark, odd, monkeypatch, wave):
     monkeypatch.setattr(lines, "WAVE_BYTES", wave)
     monkeypatch.setattr(lines, "SHARD_KEYS", 3)
+    monkeypatch.setattr(lines, "TASK_LINES", 20)
     r = random.Random(8)
     pool = [f" Line {k} {'é' * 20} {'x' * r.randint(5, 30)}\t" for k in range(30)]
     rows = [(k, "\n".join(r.choice([*pool, "", "short"]).replace("Line", r.choice(["Line", "LINE"])) for _ in range(r.randint(0, 12)))) for k in range(60)]
@@ -776,6 +796,24 @@ def test_rules_adapt_to_the_group(spark):
     assert all(got[k] for k in range(600)) and not got[900] and got[901]
 
 
+def test_clashing_names(spark):
+    """Columns named as the operators name their own stay as they are."""
+    text = "\n".join(" ".join(f"w{k}of{j}" for j in range(8)) for k in range(12))
+    names = ["_lines_total", "_lines_dropped", "_lines_gone", "_lines_id", "_hit_id", "_cut", "_cut_id", "_rules_kept", "_limit_lang", "kept_id", "kept_key", "_hub_n", "id", "key"]
+    rows = [(k, text if k < 6 else text.replace("of0", f"of0v{k}"), "en", "s", *range(len(names))) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, " ".join(text.replace("of0", "of0v7").split()[:10]))], "item_id int, text string")
+    own = lambda d: sorted((r.doc_id, *(r[n] for n in names)) for r in d.select(*df.columns).collect())
+    every = [(k, *range(len(names))) for k in range(9)]
+    out = lines.drop_common_lines(df)
+    assert out.columns == [*df.columns, "__lines_total", "__lines_dropped"] and own(out) == every
+    assert {r.doc_id: r["__lines_dropped"] for r in out.collect()} == {k: 12 if k < 5 else 0 for k in range(9)}
+    assert own(rules.filter_documents(df)) == every
+    assert own(simhash.keep_one(df)) == [every[0], *every[6:]]
+    assert own(decontam.drop_contaminated(df, bench)) == [x for x in every if x[0] != 7]
+    assert own(decontam.remove_spans(df, bench)) == every
+
+
 def test_oracles_match(spark):
     from test_oracles import rows, sql_rows
 
