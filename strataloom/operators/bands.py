@@ -35,14 +35,11 @@ def band_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 
 
 def first_block(points: DataFrame, blocks: DataFrame, keys: list[str], at: str, start: str, end: str, number: str, out: str, width: float, before: float = 0.15, after: float = 0.05) -> DataFrame:
-    """points with column out: the least number of the blocks that hold them, or -1.
-
-    The least number is taken over the join by pre-aggregation on the point's own columns, so repeated points share a row's
-    answer and are then kept apart by the join back.
-    """
+    """points with column out: the least number of the blocks that hold them, or -1. Repeated points are rows of their own."""
     tagged = points.withColumn("_point", F.monotonically_increasing_id())
     hit = band_join(tagged, blocks.select(*keys, start, end, number), keys, at, start, end, width, before, after, how="left")
-    return hit.groupBy(*tagged.columns).agg(F.coalesce(F.min(number), F.lit(-1)).alias(out)).drop("_point")
+    best = hit.groupBy("_point").agg(F.first(F.struct(*points.columns)).alias("_row"), F.coalesce(F.min(number), F.lit(-1)).alias(out))
+    return best.select(*[F.col(f"_row.{c}").alias(c) for c in points.columns], out)
 
 
 def block_text(points: DataFrame, blocks: DataFrame, keys: list[str], at: str, order: str, word: str, start: str, end: str, number: str, width: float, before: float = 0.15, after: float = 0.05) -> DataFrame:

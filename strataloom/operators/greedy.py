@@ -1,7 +1,6 @@
 """Operators whose next step depends on the last: greedy choices and segmentations.
 
-Each works on one ordered group (a recording) at a time. Short states with a fixed shape are folds in SQL (`aggregate`); the rest is a
-grouped map over one recording's rows, which is as far as the work can be parted: one recording doesn't parallelise
+Each works on one ordered group (a recording) at a time, as a grouped map over its rows, which is as far as the work can be parted: one recording doesn't parallelise
 within itself, any number of recordings do. Every order has a unique tie-break.
 """
 
@@ -9,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,48 +36,53 @@ def per_source(df: DataFrame, keys: list[str], order: list[str], columns: list[s
 
 
 def minimum_spacing(points: DataFrame, keys: list[str], at: str, spacing, low=None, high=None) -> DataFrame:
-    """keys and at: the points kept when, in order, each must be spacing or more after the last kept, within [low, high].
-
-    A fold with the kept points as its state, over a group's sorted distinct points.
-    """
-    ok = F.lit(True)
+    """keys and at: the points kept when, in order, each must be spacing or more after the last kept, within [low, high]."""
+    ok = F.col(at).isNotNull()
     if low is not None:
         ok = ok & (F.col(at) >= low)
     if high is not None:
         ok = ok & (F.col(at) <= high)
-    sorted_points = points.where(ok).groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("_p"))
-    kind = points.schema[at].dataType
-    start = F.array().cast(T.ArrayType(kind))
-    keep = F.aggregate("_p", start, lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= spacing), F.array_append(kept, x)).otherwise(kept))
-    return sorted_points.select(*keys, F.explode(keep).alias(at))
+
+    def run(values: list) -> Iterable[tuple]:
+        last = None
+        for x in values:
+            if last is None or x - last >= spacing:
+                last = x
+                yield (x,)
+
+    return per_source(points.where(ok).select(*keys, at).distinct(), keys, [at], [at], run, f"{at} {points.schema[at].dataType.simpleString()}")
+
+
+def beaten_by(numbers: list, starts: list, ends: list) -> list:
+    """For each clip, best first, the number of the kept clip (closed overlap) that beats it, or None: kept ones are disjoint and sorted, so each is placed by bisection."""
+    kept: list[tuple] = []
+    out: list = []
+    for n, a, b in zip(numbers, starts, ends, strict=True):
+        k = bisect_left(kept, (a,))
+        near = [kept[k - 1]] if k and kept[k - 1][1] >= a else []
+        m = k
+        while m < len(kept) and kept[m][0] <= b:
+            near.append(kept[m])
+            m += 1
+        if not near:
+            kept.insert(k, (a, b, n, len(kept)))
+        out.append(min(near, key=lambda x: x[3])[2] if near else None)
+    return out
 
 
 def suppress_overlaps(clips: DataFrame, keys: list[str], score: str, number: str, start: str, end: str) -> DataFrame:
     """clips with winner: null for those kept, else the number of the kept clip (closed overlap) that beat it.
 
-    By falling score, then number; a clip goes if it meets one already kept. One group's hulls are kept sorted and
-    disjoint, so each is placed by bisection.
+    By falling score, then number; a clip goes if it meets one already kept. Every row comes back once, those with null keys as a group and repeated numbers too.
     """
+    schema = T.StructType([*clips.schema.fields, T.StructField("winner", clips.schema[number].dataType)])
 
-    def run(numbers: list, starts: list, ends: list) -> Iterable[tuple]:
-        kept: list[tuple] = []
-        for n, a, b in zip(numbers, starts, ends, strict=True):
-            k = bisect_left(kept, (a,))
-            near = [kept[k - 1]] if k and kept[k - 1][1] >= a else []
-            m = k
-            while m < len(kept) and kept[m][0] <= b:
-                near.append(kept[m])
-                m += 1
-            if near:
-                yield n, min(near, key=lambda x: x[3])[2]
-            else:
-                kept.insert(k, (a, b, n, len(kept)))
-                yield n, None
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, number, start, end], ascending=[False, True, True, True], kind="stable")
+        winner = beaten_by(*(pdf[c].tolist() for c in (number, start, end)))
+        return pdf.assign(winner=pd.Series(winner, index=pdf.index, dtype=object))
 
-    ranked = clips.withColumn("_fall", -F.col(score))
-    kind = clips.schema[number].dataType.simpleString()
-    found = per_source(ranked, keys, ["_fall", number], [number, start, end], run, f"{number} {kind}, winner {kind}")
-    return clips.join(found, [*keys, number])
+    return clips.groupBy(*keys).applyInPandas(run, schema)
 
 
 # -- windows ---------------------------------------------------------------------------------------------------------
@@ -166,14 +171,11 @@ def short_cues(words: DataFrame, keys: list[str], order: list[str], text: str =
 # -- thoughts --------------------------------------------------------------------------------------------------------
 
 
-def complete(text: str) -> bool:
-    """As functions.text.thought_complete, for one text."""
+def finished(last: str, tokens: int) -> bool:
+    """As functions.text.thought_complete, for a text by its last token and the number of them."""
     from ..params import INCOMPLETE_TAILS
 
-    words = (text or "").split()
-    if not words:
-        return False
-    return words[-1][-1] in ".?!" or len(words) >= 6 and "".join(c for c in words[-1].lower() if c.isascii() and (c.isalnum() or c == "'")) not in INCOMPLETE_TAILS
+    return last[-1] in ".?!" or tokens >= 6 and "".join(c for c in last.lower() if c.isascii() and (c.isalnum() or c == "'")) not in INCOMPLETE_TAILS
 
 
 def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[tuple]:
@@ -181,27 +183,33 @@ def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[t
 
     A thought ends at a pause of `scene`, or one of `breath` once it is complete. Thoughts of under min_words words go. A long one is
     parted where a new topic begins in it: from its sixth word to its fourth last, after what is complete, eight or more words apart.
+    Whether words a to k are complete depends on their number and the last of them only, so nothing is joined again at each word.
     """
     import re
 
     topic = re.compile(p.topic_start)
     said = [(t or "").strip() for t in texts]
+    tokens, last = [0], [""]  # of the words before each
+    for x in said:
+        own = x.split()
+        tokens.append(tokens[-1] + len(own))
+        last.append(own[-1] if own else last[-1])
+    done = lambda a, k: tokens[k] > tokens[a] and finished(last[k], tokens[k] - tokens[a])
     cuts, first = [0] if texts else [], 0
     for k in range(1, len(texts)):
         gap = starts[k] - ends[k - 1]
-        if gap >= p.scene or gap >= p.breath and complete(" ".join(said[first:k])):
+        if gap >= p.scene or gap >= p.breath and done(first, k):
             cuts.append(k)
             first = k
     out: list[tuple] = []
     for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=False):  # no words: no cuts
-        text = " ".join(said[a:b])
-        if len(text.split()) < p.min_words:
+        if tokens[b] - tokens[a] < p.min_words:
             continue
         gap = starts[b] - ends[b - 1] if b < len(texts) else 0.0
         inner = [a]
         if b - a >= 12:
             for k in range(a + 5, b - 3):
-                if k - inner[-1] >= 8 and topic.search(" ".join(texts[k : min(b, k + 8)])) and complete(" ".join(texts[a:k])):
+                if k - inner[-1] >= 8 and done(a, k) and topic.search(" ".join(texts[k : min(b, k + 8)])):
                     inner.append(k)
         for x, y in zip(inner, [*inner[1:], b], strict=True):
             if len(inner) == 1 or y - x >= p.min_words:
@@ -261,7 +269,9 @@ def choose_windows(starts: list, ends: list, gaps: list, done: list, topics: lis
 def thought_windows(units: DataFrame, keys: list[str], durations: DataFrame, duration: str = "duration", p: Thoughts | None = None) -> DataFrame:
     """keys, window, start and end: the shorts of each recording."""
     p = p or Thoughts()
-    rows = scored_thoughts(units, keys, p).join(durations.select(*keys, F.col(duration).cast("double").alias("_duration")), keys)
+    own = durations.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(duration).cast("double").alias("_duration"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    rows = scored_thoughts(units, keys, p).join(own, same)
     return per_source(rows, keys, ["unit"], ["start", "end", "gap", "complete", "next_topic", "shift", "_duration"], lambda a, b, g, c, t, s, d: choose_windows(a, b, [float("-inf") if x is None or x != x else x for x in g], c, t, [0.0 if x is None or x != x else x for x in s], d[0], p), "window int, start double, end double")
 
 

@@ -56,8 +56,10 @@ def choose_motion(blobs: DataFrame, cams: DataFrame, keys: list[str], width: str
 
 
 def choose_content(regions: DataFrame, panels: DataFrame, keys: list[str]) -> DataFrame:
-    """regions (cam, motion, full_face_x) with panel, content, content_source, void and suggest. panels: number, box, outside the camera."""
-    m = regions.join(panels.select(*keys, "number", F.col("box").alias("_p")), keys, "left").withColumn("_holds", F.coalesce(contains(Rect.of(F.col("_p")), Rect.of(F.col("motion"))), F.lit(False)))
+    """regions (cam, motion, full_face_x) with panel, content, content_source, void and suggest. panels: number, box; those whose middle the camera holds don't count."""
+    own = panels.join(regions.select(*keys, "cam"), keys, "left")
+    outside = F.col("cam").isNull() | ~point_in(*Rect.of(F.col("box")).centre(), Rect.of(F.col("cam")))
+    m = regions.join(own.where(outside).select(*keys, "number", F.col("box").alias("_p")), keys, "left").withColumn("_holds", F.coalesce(contains(Rect.of(F.col("_p")), Rect.of(F.col("motion"))), F.lit(False)))
     first = m.groupBy(*keys).agg(F.min_by("_p", F.when(F.col("_p").isNotNull(), F.struct(~F.col("_holds"), "number"))).alias("panel"))
     out = regions.join(first, keys, "left")
     use = F.col("panel").isNotNull() & (F.col("motion").isNull() | F.coalesce(contains(Rect.of(F.col("panel")), Rect.of(F.col("motion"))), F.lit(False)))

@@ -1,8 +1,9 @@
 """Candidates, plans and framing: hand-made cases, one for each rule."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from strataloom.operators import compiling, layout, registry, tracking
+from strataloom.operators import compiling, greedy, layout, registry, tracking
 from strataloom.params import Clips, Framing
 
 FPS = 30.0
@@ -138,19 +139,72 @@ def test_camera_choice(spark):
     assert {r.k: r.motion for r in layout.choose_motion(blobs, cams, ["k"]).collect()}[1] == [600.0, 200.0, 500.0, 400.0]
 
 
-def test_subject_holds(spark):
+def _followed(frames, jumps, p=None):
+    """t, centre and epoch of the followed faces. frames: (t, [(centre, size), ...])."""
+    p = p or Framing()
+    faces = [f for _, fs in frames for f in fs]
+    t = np.array([x for x, _ in frames])
+    first = np.concatenate(([0], np.cumsum([len(fs) for _, fs in frames])))
+    centre, size = (np.array([f[k] for f in faces], float) for k in range(2))
+    picked, epoch = tracking.follow(t, first, size, (centre / (1920 * p.cluster)).astype(int), jumps, p)
+    seen = picked >= 0
+    return t[seen], centre[picked[seen]], epoch[seen]
+
+
+def test_subject_holds():
+    p = Framing()
+    still = [(n / 3, [(600 + n % 2, 100)]) for n in range(30)]
+    assert len(tracking.retargets(*_followed(still, False), 1920, 607.5, p)) == 1
+    jump = [(n / 3, [(300, 100), (1500, 130 if n >= 10 else 80)]) for n in range(30)]
+    t, c, e = _followed(jump, True)
+    assert e.tolist() == [0] * 10 + [1] * 20 and c[9] == 300 and c[10] == 1500
+    assert _followed(jump, False)[2].max() == 0
+    early = [(n / 3, [(300, 100), (1500, 130)] if n % 2 else [(300, 100), (1500, 80)]) for n in range(30)]  # each change has to last hold seconds
+    assert all(b - a >= p.hold for a, b in zip(*(lambda x: (x, x[1:]))(_followed(early, True)[0][np.flatnonzero(np.diff(_followed(early, True)[2])) + 1].tolist()), strict=False))
+    assert _followed([(0.0, []), (1.0, [(5, 1)]), (2.0, [])], False)[0].tolist() == [1.0]
+
+
+def test_retargets_are_the_first_places_where_the_median_leaves():
+    p, rng = Framing(), np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 300))
+        t, c = np.arange(n) / 3, np.clip(np.cumsum(rng.normal(0, 60, n)) + 900, 0, 1919)
+        epoch = np.sort(rng.integers(0, 4, n))
+        median = tracking.rolling_medians(c, epoch)
+        for k in range(n):
+            own = [c[m] for m in range(max(0, k - 4), k + 1) if epoch[m] == epoch[k]]
+            assert median[k] == np.median(own)
+        goals, at, held, want = tracking.retargets(t, c, epoch, 1920, 607.5, p), None, None, []
+        for k in range(n):  # by the definition, place by place
+            leaves = at is None or k and epoch[k] != epoch[k - 1] or abs(median[k] - held) >= p.dead_zone * 607.5 and abs(median[k] - at - 303.75) >= p.sticky * 607.5
+            if leaves:
+                held, at = median[k], tracking.crop_at(median[k], 1920, 607.5)
+                want += [(t[k], at)] if not want or abs(want[-1][1] - at) >= 2 else []
+        assert goals == want
+
+
+def test_camera_path():
     p = Framing()
-    face = lambda x, size=100.0: {"x": x - size / 2, "y": 0.0, "w": size, "h": size, "conf": 1.0}
-    still = [(n / 3, [face(600 + n % 2)]) for n in range(30)]
-    goals, changes = tracking.targets(still, 1920, 607.5, False, p)
-    assert len(goals) == 1 and changes == 0
-    jump = [(n / 3, [face(300, 100), face(1500, 130 if n >= 10 else 80)]) for n in range(30)]
-    assert tracking.targets(jump, 1920, 607.5, True, p)[1] == 1
-    assert tracking.targets(jump, 1920, 607.5, False, p)[1] == 0
     path = tracking.camera_path([(0.0, 100), (1.0, 800)], 12.0, 1920, 607.5, p)
     speed = [abs(b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(path, path[1:], strict=False) if b[0] - a[0] > 0.04]
-    assert path[0] == (0.0, 100) and path[-1][1] > 600 and max(speed) <= 607.5 * p.max_speed + 25
-    assert list(tracking.resample_keys([(0.0, 0), (1.0, 10)], 1.0, 0.5)) == [(0.0, 0), (0.5, 5), (1.0, 10)]
+    assert path[0] == (0.0, 100) and path[-1][1] > 600 and path[-1][0] == 12.0 and max(speed) <= 607.5 * p.max_speed + 25
+    assert tracking.camera_path([], 3.0, 1920, 607.5, p) == [] and tracking.camera_path([(5.0, 9)], 1.0, 1920, 607.5, p) == [(0.0, 9), (1.0, 9)]
+    assert tracking.resample_keys([(0.0, 0), (1.0, 10)], 1.0, 0.5) == [(0.0, 0), (0.5, 5), (1.0, 10)]
+    assert tracking.resample_keys([(0.4, 10), (0.8, 20)], 1.3, 0.5) == [(0.0, 10), (0.5, 12), (1.0, 20)]
+    assert tracking.resample_keys([(0.0, 0), (1.0, 10)], 1.0, 0.5, snap=10) == [(0.0, 0), (0.5, 0), (1.0, 10)] and tracking.resample_keys([], 1.0) == []
+
+
+def test_shorts_without_samples(spark):
+    none = spark.createDataFrame([], f"k int, frame long, width double, height double, faces array<{tracking.BOX}>, humans array<{tracking.BOX}>, src_w int, src_h int")
+    sized = spark.createDataFrame([(1, 9.0, 1920, 1080), (2, 9.0, 1080, 1920), (None, 9.0, None, None)], "k int, duration double, src_w int, src_h int")
+    got = {r.k: (r["mode"], r.reason, [tuple(x) for x in r.crop_keys]) for r in tracking.plan_framing(tracking.samples(none), ["k"], sized).collect()}
+    assert got == {1: ("letterbox", "no-samples", []), 2: ("track", "no-samples-center", [(0.0, 0)]), None: ("letterbox", "no-samples", [])}
+
+
+def test_suppressed_clips_keep_their_rows(spark):
+    rows = [(None, 1, 5, 0, 10), (None, 2, 4, 5, 20), (1, 1, 5, 0, 10), (1, 1, 5, 0, 10), (1, 3, 2, 11, 12)]
+    got = greedy.suppress_overlaps(spark.createDataFrame(rows, "k int, n int, score int, a int, b int"), ["k"], "score", "n", "a", "b").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(*r, w) for r, w in zip(rows, (None, 1, None, 1, None), strict=True)]))
 
 
 def test_registry(spark):
