@@ -389,8 +389,8 @@ def local_cues(spark, sf):  # INT-08
 
 
 def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """words, blocks, sources and candidates from conversations: a candidate for every tenth word, of one or two segments."""
-    w = P.spoken(spark, sf).select("conv_id", (F.col("i") + 1).alias("i"), F.col("text").alias("w"), F.col("start").alias("s"), F.col("end").alias("e"))
+    """words, blocks, sources and candidates from conversations: a candidate for each turn, from its first word, of one or two segments."""
+    w = P.spoken(spark, sf).select("conv_id", "turn", "opens", (F.col("i") + 1).alias("i"), F.col("text").alias("w"), F.col("start").alias("s"), F.col("end").alias("e"))
     b = F.floor((F.col("i") - 1) / 25).cast("long")
     w = w.withColumn("b", F.when(F.col("i") % 50 == 0, F.lit(-1).cast("long")).otherwise(b))
     blocks = w.where("b >= 0").groupBy("conv_id", "b").agg(F.min("s").alias("onset"), F.max("e").alias("end")).withColumnRenamed("b", "i")
@@ -398,9 +398,10 @@ def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     r = lambda a, z: F.struct(a.cast("long").alias("start_word"), z.cast("long").alias("end_word"))
     i = F.col("i")
     opening = F.concat_ws(" ", F.col("w"), F.lead("w").over(Window.partitionBy("conv_id").orderBy("i")), F.lead("w", 2).over(Window.partitionBy("conv_id").orderBy("i")))
-    cands = w.withColumn("o", opening).where("i % 10 = 1").select(
-        "conv_id", F.floor(i / 10).cast("int").alias("n"), F.format_string("clip %d", i).alias("title"), F.when(i % 30 == 1, "teaser").otherwise("natural").alias("hook_mode"), F.when(i % 40 == 31, "nothing like it").otherwise(F.col("o")).alias("hook_quote"),
-        F.when(i % 30 == 1, r(i + 5, i + 9)).alias("teaser"), F.when(i % 70 == 11, F.array(r(i, i + 40))).when(i % 70 == 21, F.array(r(i, i + 30), r(i + 25, i + 60))).otherwise(F.array(r(i, i + 30), r(i + 31, i + 60))).alias("segments"),
+    t = F.col("turn")
+    cands = w.withColumn("o", opening).where("opens").select(
+        "conv_id", t.cast("int").alias("n"), F.format_string("clip %d", i).alias("title"), F.when(t % 3 == 0, "teaser").otherwise("natural").alias("hook_mode"), F.when(t % 4 == 3, "nothing like it").otherwise(F.col("o")).alias("hook_quote"),
+        F.when(t % 3 == 0, r(i + 5, i + 9)).alias("teaser"), F.when(t % 7 == 1, F.array(r(i, i + 40))).when(t % 7 == 2, F.array(r(i, i + 30), r(i + 25, i + 60))).otherwise(F.array(r(i, i + 30), r(i + 31, i + 60))).alias("segments"),
         F.create_map(F.lit("hook"), (i % 25).cast("int"), F.lit("value"), (i % 11).cast("int")).alias("scores"),
     )
     return w, blocks, sources, cands
@@ -564,10 +565,18 @@ def merged_boxes(spark, sf):  # GEO-08 SRT-07
     return greedy.merge_boxes(P.rects(spark, sf), ["label"], "vec_id", "a")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RECTS}, o AS (SELECT label, [x::BIGINT FOR x IN a] AS a, row_number() OVER (PARTITION BY label ORDER BY floor(vec_id / 50::DOUBLE), vec_id) AS k FROM r),
+    f AS (SELECT label, k, [{{'b': a, 'n': 1}}] AS st FROM o WHERE k = 1
+          UNION ALL SELECT o.label, o.k, CASE WHEN j = 0 THEN list_append(f.st, {{'b': o.a, 'n': 1}})
+              ELSE list_transform(f.st, lambda c, m: CASE WHEN m = j THEN {{'b': [(c.b[1] * c.n + o.a[1]) // (c.n + 1), (c.b[2] * c.n + o.a[2]) // (c.n + 1), (c.b[3] * c.n + o.a[3]) // (c.n + 1), (c.b[4] * c.n + o.a[4]) // (c.n + 1)], 'n': c.n + 1}} ELSE c END) END
+          FROM f JOIN o ON o.label = f.label AND o.k = f.k + 1,
+          LATERAL (SELECT coalesce(list_position(list_transform(list_transform(f.st, lambda c: {{'x': {INTER.replace('a[', 'o.a[').replace('b[', 'c.b[')}, 'u': o.a[3] * o.a[4] + c.b[3] * c.b[4]}}), lambda z: z.x / (z.u - z.x) > 0.3), true), 0) AS j) t),
+    l AS (SELECT label, st FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY k DESC) = 1), u AS (SELECT label, unnest(st) AS c, generate_subscripts(st, 1) AS m FROM l)
+    SELECT label, (row_number() OVER (PARTITION BY label ORDER BY -c.n, -(c.b[3] * c.b[4]), m) - 1)::INT AS cluster, c.b[1] AS x, c.b[2] AS y, c.b[3] AS w, c.b[4] AS h, c.n::INT AS hits FROM u""")
 def clustered_boxes(spark, sf):  # GEO-09
     r = P.rects(spark, sf)
-    return greedy.cluster_boxes(r.withColumn("frame", F.floor(F.col("vec_id") / 50)), ["label"], "frame", "vec_id", "a")
+    out = greedy.cluster_boxes(r.withColumn("frame", F.floor(F.col("vec_id") / 50)), ["label"], "frame", "vec_id", "a")
+    return out.select("label", "cluster", *[F.get("box", F.lit(k)).alias(n) for k, n in enumerate("xywh")], "hits")
 
 
 def _plan(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -586,10 +595,10 @@ def verified_plans(spark, sf):  # GEO-12 JON-08 SNK-08
     return layout.verify_plan(*_plan(spark, sf), ["label"])
 
 
-@query(f"""WITH {WORDS}, s AS (SELECT user_id, i, 100 * i AS c, 100 * i + 60 AS d FROM w WHERE i <= 3)
+@query(f"""WITH {WORDS}, s AS (SELECT user_id, i, 100 * i AS c, 100 * i + 60 AS d FROM w)
     SELECT user_id, 'starts' AS fault FROM s WHERE user_id % 4 = 1 GROUP BY 1 UNION ALL SELECT user_id, 'uncovered' FROM s WHERE user_id % 4 = 2 GROUP BY 1 UNION ALL SELECT user_id, 'extra' FROM s WHERE user_id % 4 = 3 GROUP BY 1""")
 def tiling_faults(spark, sf):  # FLT-15
-    segs = P.words(spark, sf).where("i <= 3").select("user_id", "i", (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + 60).alias("out_frame"))
+    segs = P.words(spark, sf).select("user_id", "i", (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + 60).alias("out_frame"))
     segs = segs.withColumn("last", F.col("i") == F.max("i").over(Window.partitionBy("user_id")))
     last = F.col("last")
     kind, mid = F.col("user_id") % 4, F.col("in_frame") + 25
@@ -625,9 +634,18 @@ def framing_plans(spark, sf):  # TRK-01..03 TRK-06 FLT-17 WIN-12 WIN-13
     return tracking.plan_framing(tracking.samples(d), U, d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration")))
 
 
-@query()
+def _paths(spark, sf) -> DataFrame:
+    """A crop path for each user: a key for each event, 0.37 s apart."""
+    w = P.words(spark, sf)
+    keys = F.transform(F.array_sort(F.collect_list(F.struct("i", F.struct((F.col("i") * 0.37).alias("t"), (F.col("event_id") % 900).cast("int").alias("x")).alias("k")))), lambda x: x["k"])
+    return w.groupBy("user_id").agg(keys.alias("crop_keys"), (F.max("i") * 0.37 + 1.3).alias("duration")).withColumn("src_h", F.when(F.col("user_id") % 2 == 0, 720).otherwise(1080))
+
+
+@query(f"""WITH {WORDS}, x AS (SELECT user_id, i - 1 AS n, i * 0.37::DOUBLE AS t, round_even((event_id % 900) * (1920 / CASE WHEN user_id % 2 = 0 THEN 720 ELSE 1080 END::DOUBLE), 0)::BIGINT AS x FROM w),
+    y AS (SELECT user_id, n, t, x - x % 2 AS x FROM x), z AS (SELECT *, lag(x) OVER (PARTITION BY user_id ORDER BY n) AS p FROM y)
+    SELECT user_id, n::INT AS n, printf('%.3f crop x %d;', t, x) AS command FROM z WHERE x IS DISTINCT FROM p""")
 def crop_commands(spark, sf):  # SNK-16 WIN-10
-    return tracking.crop_commands(framing_plans(spark, sf).withColumn("src_h", F.lit(720)), U)
+    return tracking.crop_commands(_paths(spark, sf), U)
 
 
 # -- registry ----------------------------------------------------------------------------------------------------------
@@ -704,12 +722,16 @@ def platform_lists(spark, sf):  # SCL-30 SRT-05
     return P.table(spark, sf, "part").select("p_partkey", F.array_join(text.comma_list(v, ("a", "b")), "|").alias("platforms"), F.coalesce(F.when(F.col("p_size") % 3 != 0, F.col("p_size")), F.lit(99)).alias("place"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, substr(text, 1, 40) AS title, text AS why FROM conversations), y AS (SELECT *, list_filter(string_split_regex(title, '\s+'), lambda x: x <> '') AS w FROM x)
-    SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(title) > 38 THEN 'title over 38' END, CASE WHEN NOT len(w) BETWEEN 3 AND 5 THEN 'headline not 3-5 words' END, CASE WHEN title <> upper(title) THEN 'headline not upper case' END,
-        CASE WHEN length(why) > 80 THEN 'why over 80' END, CASE WHEN contains(lower(title || ' ' || title || ' ' || why), 'the on') THEN 'banned phrase' END], lambda x: x IS NOT NULL), ';') AS faults FROM y""")
+@query(r"""WITH x AS (SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN upper(p_name || ' ' || p_type) ELSE p_type END AS headline, p_name || ' ' || p_type || ' ' || p_brand || repeat(' and more', p_size % 9) AS why, p_size % 7 AS tags FROM part),
+    y AS (SELECT *, len(list_filter(string_split_regex(headline, '\s+'), lambda x: x <> '')) AS w FROM x)
+    SELECT p_partkey, array_to_string(list_filter([CASE WHEN length(title) > 38 THEN 'title over 38' END, CASE WHEN NOT w BETWEEN 3 AND 5 THEN 'headline not 3-5 words' END, CASE WHEN headline <> upper(headline) THEN 'headline not upper case' END,
+        CASE WHEN length(why) > 80 THEN 'why over 80' END, CASE WHEN NOT tags BETWEEN 3 AND 5 THEN 'hashtags not 3-5' END, CASE WHEN contains(lower(title || ' ' || headline || ' ' || why), 'an') THEN 'banned phrase' END], lambda x: x IS NOT NULL), ';') AS faults FROM y""")
 def copy_faults(spark, sf):  # PRS-05 PRS-06
-    t = P.table(spark, sf, "conversations").withColumn("title", F.substring("text", 1, 40))
-    return t.select("conv_id", "turn", F.array_join(registry.copy_faults(F.col("title"), F.col("title"), F.col("text"), F.array(*[F.lit(x) for x in "abc"]), ("the on",)), ";").alias("faults"))
+    p, size = P.table(spark, sf, "part"), F.col("p_size")
+    headline = F.when(size % 2 == 0, F.upper(F.concat_ws(" ", "p_name", "p_type"))).otherwise(F.col("p_type"))
+    why = F.concat(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.repeat(F.lit(" and more"), (size % 9).cast("int")))
+    tags = F.slice(F.array(*[F.lit(f"#{k}") for k in range(7)]), 1, (size % 7).cast("int"))
+    return p.select("p_partkey", F.array_join(registry.copy_faults(F.col("p_name"), headline, why, tags, ("An",)), ";").alias("faults"))
 
 
 @query()
@@ -718,18 +740,22 @@ def probe_choices(spark, sf):  # GEO-11 GEO-13 JON-13 AGG-09 SRT-06 SRT-08
     k = ["label"]
     size = lambda d: d.withColumn("width", F.lit(1000)).withColumn("height", F.lit(600))
     faces = size(r.select("label", F.col("a").alias("box"), (F.col("vec_id") % 3 + 1).alias("hits"), F.lit(3).alias("frames"), (F.col("vec_id") % 7 / 10).alias("motion")))
-    blobs = size(r.where("vec_id % 3 = 0").select("label", F.col("vec_id").alias("number"), F.col("b").alias("box")))
+    blobs = size(r.select("label", F.col("vec_id").alias("number"), F.col("b").alias("box")))
     cams = layout.choose_camera(faces, blobs, k)
     motion = layout.choose_motion(blobs, cams, k)
     panels = blobs.where(G.is_panel(G.Rect.of(F.col("box")), F.col("width"), F.col("height"))).select("label", "number", "box")
     return layout.choose_content(cams.join(motion, k, "full"), panels, k)
 
 
-@query()
+@query(f"""WITH RECURSIVE {WORDS}, d AS (SELECT user_id, max(i) * 0.37::DOUBLE + 1.3::DOUBLE AS duration FROM w GROUP BY 1),
+    p AS (SELECT user_id, i AS n, i * 0.37::DOUBLE AS a, (event_id % 900)::DOUBLE AS x FROM w UNION ALL SELECT user_id, 0, 0::DOUBLE, event_id % 900 FROM w WHERE i = 1
+          UNION ALL SELECT user_id, max(i) + 1, max(i) * 0.37::DOUBLE + 1.3::DOUBLE, max_by(event_id % 900, i) FROM w GROUP BY 1),
+    q AS (SELECT *, lead(a) OVER o AS b, lead(x) OVER o AS y FROM p WINDOW o AS (PARTITION BY user_id ORDER BY n)),
+    g AS (SELECT user_id, duration, 0::DOUBLE AS t FROM d UNION ALL SELECT user_id, duration, t + 0.12::DOUBLE FROM g WHERE t + 0.12::DOUBLE <= duration + 1e-6::DOUBLE)
+    SELECT g.user_id, round(g.t, 3) AS t, CASE WHEN b IS NULL THEN x ELSE round_even(x + (y - x) * ((g.t - a) / (b - a)), 0) END::INT AS x
+    FROM g JOIN q ON q.user_id = g.user_id AND (q.a < g.t OR q.n = 0) AND (q.b IS NULL OR q.b >= g.t)""")
 def resampled_paths(spark, sf):  # TRK-04
-    d = _detections(spark, sf)
-    durations = d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration"))
-    return tracking.resampled(tracking.plan_framing(tracking.samples(d), U, durations).join(durations, U), U)
+    return tracking.resampled(_paths(spark, sf), U)
 
 
 def _srt_sql(ms: str) -> str:
@@ -746,11 +772,26 @@ def srt_documents(spark, sf):  # SNK-10 SNK-11
     return srt(cues, U)
 
 
-@query()
+def _timeline_sql() -> str:
+    rate = "'<rate><timebase>30</timebase><ntsc>TRUE</ntsc></rate>'"
+    media = f"""'<video><samplecharacteristics>' || {rate} || '<width>1920</width><height>1080</height><anamorphic>FALSE</anamorphic><pixelaspectratio>square</pixelaspectratio><fielddominance>none</fielddominance></samplecharacteristics></video>'
+        || '<audio><samplecharacteristics><samplerate>48000</samplerate><sampledepth>16</sampledepth></samplecharacteristics><channelcount>2</channelcount></audio>'"""
+    file = f"""'<file id="file-1"><name>' || name || '</name><pathurl>file:///a.mp4</pathurl>' || {rate} || '<duration>' || ceil(600.0::DOUBLE * 29.97::DOUBLE)::BIGINT::VARCHAR || '</duration><media>' || {media} || '</media></file>'"""
+    body = "'<name>' || name || '</name><enabled>TRUE</enabled><duration>' || (z - a)::VARCHAR || '</duration><start>' || (till - (z - a))::VARCHAR || '</start><end>' || till::VARCHAR || '</end><in>' || a::VARCHAR || '</in><out>' || z::VARCHAR || '</out>'"
+    link = lambda kind: f"'<link><linkclipref>clipitem-{kind}-' || i::VARCHAR || '</linkclipref><mediatype>{kind}</mediatype><trackindex>1</trackindex><clipindex>' || i::VARCHAR || '</clipindex></link>'"
+    item = lambda kind: f"""'<clipitem id="clipitem-{kind}-' || i::VARCHAR || '">' || {body} || {file} || '<sourcetrack><mediatype>{kind}</mediatype><trackindex>1</trackindex></sourcetrack>' || {link("video")} || {link("audio")} || '</clipitem>'"""
+    return f"""WITH {WORDS}, c AS (SELECT user_id, i, 'user &amp; ' || user_id::VARCHAR AS name, i * 100 AS a, i * 100 + event_id % 90 + 5 AS z FROM w),
+        t AS (SELECT *, sum(z - a) OVER (PARTITION BY user_id ORDER BY i)::BIGINT AS till FROM c),
+        v AS (SELECT user_id, any_value(name) AS name, max(till) AS till, string_agg({item("video")}, '' ORDER BY i) AS video, string_agg({item("audio")}, '' ORDER BY i) AS audio FROM t GROUP BY 1)
+        SELECT user_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE xmeml>' || chr(10) || '<xmeml version="5"><sequence id="sequence-1"><name>' || name || '</name><duration>' || till::VARCHAR || '</duration>' || {rate}
+            || '<media><video><track>' || video || '</track></video><audio><numOutputChannels>2</numOutputChannels><track>' || audio || '</track></audio></media></sequence></xmeml>' AS value FROM v"""
+
+
+@query(_timeline_sql())
 def timeline_documents(spark, sf):  # SNK-12
     from ..sinks.writers import timeline_xml
 
-    w = P.words(spark, sf).where("i <= 20")
+    w = P.words(spark, sf)
     cuts = w.select("user_id", F.col("i").alias("ord"), (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + F.pmod("event_id", F.lit(90)) + 5).alias("out_frame"))
     sources = w.select("user_id").distinct().select("user_id", F.concat(F.lit("user & "), F.col("user_id").cast("string")).alias("name"), F.lit("file:///a.mp4").alias("pathurl"), F.lit(29.97).alias("fps"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit(48000).alias("samplerate"), F.lit(2).alias("channels"), F.lit(600.0).alias("duration"))
     return timeline_xml(cuts, sources, U)
@@ -767,36 +808,54 @@ def music_choices(spark, sf):  # PRS-07 PRS-08
     return registry.pick_tracks(clips, tracks, ["package"], "clip", "draw").select("package", "clip", "track", folder.alias("folder"))
 
 
-def _verdict_sql() -> str:
+def _verdict_sql(result: str) -> str:
     from ..params import BANNED_OPENERS
 
     norm = lambda x: f"list_filter(string_split_regex(regexp_replace(lower({x}), '[^a-z0-9'' ]', ' ', 'g'), ' +'), lambda x: x <> '')"
     return rf"""
     WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS v FROM conversations),
     k AS (SELECT conv_id, turn, unnest(v) AS w, generate_subscripts(v, 1) AS k FROM t),
-    o AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS z FROM k),
-    w AS (SELECT conv_id, z + 1 AS i, w, (z * 4 + turn * 30 + turn // 4 * 60) / 10::DOUBLE AS s, (z * 4 + turn * 30 + turn // 4 * 60 + 3) / 10::DOUBLE AS e, CASE WHEN (z + 1) % 50 = 0 THEN -1 ELSE z // 25 END AS b FROM o),
+    o AS (SELECT conv_id, turn, k, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS z FROM k),
+    w AS (SELECT conv_id, turn, k = 1 AS opens, z + 1 AS i, w, (z * 4 + turn * 30 + turn // 4 * 60) / 10::DOUBLE AS s, (z * 4 + turn * 30 + turn // 4 * 60 + 3) / 10::DOUBLE AS e, CASE WHEN (z + 1) % 50 = 0 THEN -1 ELSE z // 25 END AS b FROM o),
     bl AS (SELECT conv_id, b, min(s) AS onset, max(e) AS fin FROM w WHERE b >= 0 GROUP BY ALL),
     near AS (SELECT w.*, coalesce(lag(e) OVER p, 0) AS pe, coalesce(lead(s) OVER p, e + 1) AS ns, b >= 0 AND row_number() OVER q = 1 AS fst, b >= 0 AND lead(i) OVER q IS NULL AS lst FROM w
              WINDOW p AS (PARTITION BY conv_id ORDER BY i), q AS (PARTITION BY conv_id, b ORDER BY i)),
     ed AS (SELECT conv_id, i, CASE WHEN fst THEN onset ELSE greatest(s - 0.06::DOUBLE, pe, 0) END AS t_in, CASE WHEN lst THEN fin ELSE least(e + 0.1::DOUBLE, greatest(ns - 0.02::DOUBLE, e)) END AS t_out, lst FROM near LEFT JOIN bl USING (conv_id, b)),
-    c AS (SELECT conv_id, i, (i // 10)::INT AS n, i % 30 = 1 AS teased, CASE WHEN i % 40 = 31 THEN 'nothing like it' ELSE concat_ws(' ', w, lead(w) OVER p, lead(w, 2) OVER p) END AS quote, count(*) OVER (PARTITION BY conv_id) AS words,
-          CASE WHEN i % 70 = 11 THEN [[i, i + 40]] WHEN i % 70 = 21 THEN [[i, i + 30], [i + 25, i + 60]] ELSE [[i, i + 30], [i + 31, i + 60]] END AS segs FROM w WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
-    d AS (SELECT *, (i % 25 + i % 11)::INT AS total_score, [x[1] FOR x IN segs] AS a, [x[2] FOR x IN segs] AS z, len(list_filter(segs, lambda x: x[2] > words)) + CASE WHEN teased AND i + 9 > words THEN 1 ELSE 0 END AS bad FROM c WHERE i % 10 = 1),
-    r AS (SELECT conv_id, n, 0 AS ord, i + 5 AS x, i + 9 AS y FROM d WHERE bad = 0 AND i % 70 <> 21 AND teased UNION ALL SELECT conv_id, n, unnest(range(1, len(segs) + 1)), unnest(a), unnest(z) FROM d WHERE bad = 0 AND i % 70 <> 21),
+    c AS (SELECT conv_id, i, turn::INT AS n, turn, opens, turn % 3 = 0 AS teased, CASE WHEN turn % 4 = 3 THEN 'nothing like it' ELSE concat_ws(' ', w, lead(w) OVER p, lead(w, 2) OVER p) END AS quote, count(*) OVER (PARTITION BY conv_id) AS words,
+          CASE WHEN turn % 7 = 1 THEN [[i, i + 40]] WHEN turn % 7 = 2 THEN [[i, i + 30], [i + 25, i + 60]] ELSE [[i, i + 30], [i + 31, i + 60]] END AS segs FROM w WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
+    d AS (SELECT *, (i % 25 + i % 11)::INT AS total_score, [x[1] FOR x IN segs] AS a, [x[2] FOR x IN segs] AS z, len(list_filter(segs, lambda x: x[2] > words)) + CASE WHEN teased AND i + 9 > words THEN 1 ELSE 0 END AS bad FROM c WHERE opens),
+    r AS (SELECT conv_id, n, 0 AS ord, i + 5 AS x, i + 9 AS y FROM d WHERE bad = 0 AND turn % 7 <> 2 AND teased UNION ALL SELECT conv_id, n, unnest(range(1, len(segs) + 1)), unnest(a), unnest(z) FROM d WHERE bad = 0 AND turn % 7 <> 2),
     f AS (SELECT r.*, floor(p.t_in * 30)::BIGINT AS fi, greatest(ceil(q.t_out * 30)::BIGINT + q.lst::INT, floor(p.t_in * 30)::BIGINT + 1) AS fo FROM r JOIN ed p ON p.conv_id = r.conv_id AND p.i = x JOIN ed q ON q.conv_id = r.conv_id AND q.i = y),
     g AS (SELECT *, CASE WHEN ord = 0 THEN fi ELSE greatest(fi, coalesce(lag(fo) OVER (PARTITION BY conv_id, n, ord = 0 ORDER BY ord), fi)) END AS ci FROM f),
     h AS (SELECT *, ci > fi AND fo - ci < 3 AS gone FROM g), m AS (SELECT *, max(gone::INT) OVER (PARTITION BY conv_id, n ORDER BY ord) = 1 AS cut FROM h),
     fr AS (SELECT conv_id, n, coalesce(sum(fo - ci) FILTER (WHERE ord > 0 AND NOT cut), 0)::BIGINT AS core_frames, coalesce(sum(fo - ci) FILTER (WHERE ord = 0), 0)::BIGINT AS teaser_frames, max(gone::INT) AS collapsed, min_by(x, ord) AS ox, min_by(y, ord) AS oy FROM m GROUP BY ALL),
     op AS (SELECT fr.*, {norm("string_agg(w.w, ' ' ORDER BY w.i)")} AS opening FROM fr JOIN w ON w.conv_id = fr.conv_id AND w.i BETWEEN ox AND oy GROUP BY ALL),
     j AS (SELECT d.*, {norm("quote")} AS q, core_frames, teaser_frames, collapsed, opening FROM d LEFT JOIN op USING (conv_id, n)),
-    v AS (SELECT *, CASE WHEN bad > 0 THEN bad WHEN i % 70 = 21 THEN 1 ELSE
-            (least(3, len(q), len(opening)) = 0 OR opening[1:least(3, len(q), len(opening))] <> q[1:least(3, len(q), len(opening))])::INT + coalesce(list_contains([{_list(BANNED_OPENERS)}], opening[1]), false)::INT
-            + coalesce((opening[1] = 'i' AND opening[2] = 'mean') OR (opening[1] = 'you' AND opening[2] = 'know'), false)::INT + (teased AND NOT teaser_frames / 30::DOUBLE BETWEEN 1 AND 4)::INT + collapsed + (core_frames / 30::DOUBLE < 15 * 0.9::DOUBLE)::INT + (core_frames / 30::DOUBLE > 60 * 1.08::DOUBLE)::INT END AS n_reasons FROM j)
-    SELECT conv_id, n, CASE WHEN n_reasons = 0 THEN 'kept' ELSE 'rejected' END AS status, n_reasons::INT AS n_reasons, total_score, core_frames, teaser_frames, a[1] AS first_word, list_max(z) AS last_word FROM v"""
-
-
-@query(_verdict_sql())
+    cl AS (SELECT conv_id, n, min('segment starting at word ' || x::VARCHAR || ' collapses after a ' || (ci - fi)::VARCHAR || '-frame join clamp') AS why FROM h WHERE gone GROUP BY ALL),
+    v AS (SELECT j.*, CASE WHEN bad > 0 THEN list_concat([CASE WHEN s[2] > words THEN 'bad word range ' || s[1]::VARCHAR || '-' || s[2]::VARCHAR END FOR s IN segs], [CASE WHEN teased AND i + 9 > words THEN 'bad word range ' || (i + 5)::VARCHAR || '-' || (i + 9)::VARCHAR END])
+            WHEN turn % 7 = 2 THEN ['segments overlap or are out of order']
+            ELSE [CASE WHEN least(3, len(q), len(opening)) = 0 OR opening[1:least(3, len(q), len(opening))] <> q[1:least(3, len(q), len(opening))]
+                       THEN 'hook_quote mismatch: clip opens ' || chr(39) || array_to_string(opening[1:5], ' ') || chr(39) || ' but hook_quote says ' || chr(39) || array_to_string(q[1:5], ' ') || chr(39) END,
+                  CASE WHEN list_contains([{_list(BANNED_OPENERS)}], opening[1]) THEN 'opens on continuation token ' || chr(39) || opening[1] || chr(39) END,
+                  CASE WHEN (opening[1] = 'i' AND opening[2] = 'mean') OR (opening[1] = 'you' AND opening[2] = 'know') THEN 'opens on ' || chr(39) || opening[1] || ' ' || opening[2] || chr(39) END,
+                  CASE WHEN teased AND NOT teaser_frames / 30::DOUBLE BETWEEN 1 AND 4 THEN printf('teaser is %.1fs', teaser_frames / 30::DOUBLE) END, cl.why,
+                  CASE WHEN core_frames / 30::DOUBLE < 15 * 0.9::DOUBLE THEN printf('core %.1fs under min 15s', core_frames / 30::DOUBLE) END, CASE WHEN core_frames / 30::DOUBLE > 60 * 1.08::DOUBLE THEN printf('core %.1fs over max 60s', core_frames / 30::DOUBLE) END] END AS why
+          FROM j LEFT JOIN cl USING (conv_id, n)),
+    judged AS (SELECT *, list_filter(why, lambda x: x IS NOT NULL) AS reasons FROM v)
+    {result}"""
+
+
+@query(_verdict_sql("SELECT conv_id, n, CASE WHEN len(reasons) = 0 THEN 'kept' ELSE 'rejected' END AS status, array_to_string(reasons, '; ') AS reasons, total_score, core_frames, teaser_frames, a[1] AS first_word, list_max(z) AS last_word FROM judged"))
 def candidate_verdicts(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 JON-07
     m = compiled_candidates(spark, sf)
-    return m.select("conv_id", "n", "status", F.size("reasons").alias("n_reasons"), "total_score", "core_frames", "teaser_frames", "first_word", "last_word")
+    return m.select("conv_id", "n", "status", F.array_join("reasons", "; ").alias("reasons"), "total_score", "core_frames", "teaser_frames", "first_word", "last_word")
+
+
+ORACLE_SQL["compiled_captions"] = _verdict_sql("""
+    , cu AS (SELECT m.conv_id, m.n, ord, ci / 30::DOUBLE AS t0, fo / 30::DOUBLE AS t1 FROM m JOIN judged USING (conv_id, n) WHERE len(reasons) = 0 AND (ord = 0 OR NOT cut)),
+    tl AS (SELECT *, coalesce(sum(t1 - t0) OVER (PARTITION BY conv_id, n ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tl FROM cu),
+    sh AS (SELECT conv_id, n, ord, w.i, w.w AS text, greatest(tl + w.s - t0, tl) AS start, least(tl + w.e - t0, tl + t1 - t0 - 0.001::DOUBLE) AS fin FROM tl JOIN w USING (conv_id) WHERE w.s >= t0 - 0.02::DOUBLE AND w.s < t1 - 0.005::DOUBLE),
+    en AS (SELECT * EXCLUDE fin, CASE WHEN fin - start > 4 THEN start + 2.5::DOUBLE ELSE fin END AS "end" FROM sh) SELECT * FROM en WHERE "end" > start""")
+
+
+from . import files  # noqa: E402, F401 - its queries register themselves

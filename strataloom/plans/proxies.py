@@ -40,11 +40,11 @@ BLOCKS = "b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY
 
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, i, text, start, end (seconds): the words of a conversation, 0.3 s each, 0.1 s apart, 3 s more after a turn and 9 s after every fourth."""
+    """conv_id, turn, opens (a turn's first word), i, text, start, end (seconds): the words of a conversation, 0.3 s each, 0.1 s apart, 3 s more after a turn and 9 s after every fourth."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("k", "text"))
     w = Window.partitionBy("conv_id").orderBy("turn", "k")
     rows = turns.withColumn("i", F.row_number().over(w) - 1).withColumn("tenths", F.col("i") * 4 + F.col("turn") * 30 + F.floor(F.col("turn") / 4) * 60)
-    return rows.select("conv_id", F.col("i").cast("long").alias("i"), "text", (F.col("tenths") / 10).alias("start"), ((F.col("tenths") + 3) / 10).alias("end"))
+    return rows.select("conv_id", "turn", (F.col("k") == 0).alias("opens"), F.col("i").cast("long").alias("i"), "text", (F.col("tenths") / 10).alias("start"), ((F.col("tenths") + 3) / 10).alias("end"))
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:

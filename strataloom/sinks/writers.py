@@ -17,7 +17,8 @@ def write_lines(df: DataFrame, path: str, keys: list[str], order: str) -> None:
 
 def as_document(df: DataFrame, keys: list[str], order: str, name: str, columns: list[str], header: DataFrame | None = None) -> DataFrame:
     """keys and value: a JSON document with the rows, in order, as the list `name`, and the header's columns beside it."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_r")))), lambda x: x["_r"])
+    by = lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)  # noqa: E731 - maps among the columns have no order
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_r"))), by), lambda x: x["_r"])
     docs = df.groupBy(*keys).agg(rows.alias(name))
     extra = [c for c in header.columns if c not in keys] if header is not None else []
     docs = docs.join(header, keys, "left") if header is not None else docs

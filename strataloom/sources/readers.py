@@ -60,11 +60,14 @@ def exploded(spark: SparkSession, path, schema: str, field: str) -> DataFrame:
 
 
 def container(spark: SparkSession, path) -> DataFrame:
-    """Duration, rate, size and sample rate from probed stream descriptions."""
-    docs = documents(spark, path, schemas.CONTAINER)
-    first = lambda kind: F.element_at(F.filter("streams", lambda s: s["codec_type"] == kind), 1)
+    """source_id, and duration, rate, size and sample rate from probed stream descriptions."""
+    return stream_facts(documents(spark, path, schemas.CONTAINER), "source_id")
+
+
+def stream_facts(docs: DataFrame, *keys: str) -> DataFrame:
+    first = lambda kind: F.get(F.filter("streams", lambda s: s["codec_type"] == kind), F.lit(0))
     v, a = first("video"), first("audio")
-    return docs.select("source_id", F.col("format.duration").cast("double").alias("duration"), rational(v["r_frame_rate"]).alias("fps"), v["width"].alias("width"), v["height"].alias("height"), F.coalesce(a["sample_rate"].cast("int"), F.when(a.isNotNull(), 48000)).alias("samplerate"))
+    return docs.select(*keys, F.col("format.duration").cast("double").alias("duration"), rational(v["r_frame_rate"]).alias("fps"), v["width"].alias("width"), v["height"].alias("height"), F.coalesce(a["sample_rate"].cast("int"), F.when(a.isNotNull(), 48000)).alias("samplerate"))
 
 
 def scraped(logs: DataFrame, pattern: str, column: str = "value", out: str = "x") -> DataFrame:
