@@ -858,4 +858,59 @@ ORACLE_SQL["compiled_captions"] = _verdict_sql("""
     en AS (SELECT * EXCLUDE fin, CASE WHEN fin - start > 4 THEN start + 2.5::DOUBLE ELSE fin END AS "end" FROM sh) SELECT * FROM en WHERE "end" > start""")
 
 
+def _thoughts_sql() -> str:
+    """CTEs: un, the thoughts of each conversation; cuts and topic starts are recursions over its words."""
+    from ..params import INCOMPLETE_TAILS, TOPIC_START, Thoughts
+
+    p = Thoughts()
+    pattern = TOPIC_START.replace("(?i)", "").replace("'", "''")
+    return rf"""
+    t AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS v FROM conversations),
+    k AS (SELECT conv_id, turn, unnest(v) AS w, generate_subscripts(v, 1) AS k FROM t),
+    o AS (SELECT conv_id, turn, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i FROM k),
+    w AS (SELECT conv_id, i, w, (i * 4 + turn * 30 + turn // 4 * 60) / 10::DOUBLE AS s, (i * 4 + turn * 30 + turn // 4 * 60 + 3) / 10::DOUBLE AS e,
+                 regexp_matches(w, '[.?!]$') AS stop, list_contains([{_list(INCOMPLETE_TAILS)}], regexp_replace(lower(w), '[^a-z0-9'']+', '', 'g')) AS tail FROM o),
+    x AS (SELECT *, s - lag(e) OVER p AS gap, lag(stop) OVER p AS stopped, lag(tail) OVER p AS tailed, max(i) OVER (PARTITION BY conv_id) + 1 AS n,
+                 string_agg(w, ' ') OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead FROM w WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
+    f AS (SELECT conv_id, i, i AS a FROM x WHERE i = 0
+          UNION ALL SELECT x.conv_id, x.i, CASE WHEN x.gap >= {p.scene} OR x.gap >= {p.breath} AND (x.stopped OR x.i - f.a >= 6 AND NOT x.tailed) THEN x.i ELSE f.a END FROM f JOIN x ON x.conv_id = f.conv_id AND x.i = f.i + 1),
+    th AS (SELECT conv_id, a, max(i) + 1 AS b FROM f GROUP BY ALL HAVING count(*) >= {p.min_words}),
+    topic AS (SELECT th.conv_id, a, b, x.i FROM th JOIN x ON x.conv_id = th.conv_id AND x.i BETWEEN a + 5 AND b - 4 WHERE b - a >= 12 AND regexp_matches(ahead, '{pattern}', 'i') AND (stopped OR x.i - a >= 6 AND NOT tailed)),
+    inner_cuts AS (SELECT conv_id, a, b, a AS i FROM th UNION ALL SELECT c.conv_id, c.a, c.b, (SELECT min(y.i) FROM topic y WHERE y.conv_id = c.conv_id AND y.a = c.a AND y.i >= c.i + 8) FROM inner_cuts c
+          WHERE EXISTS (SELECT 1 FROM topic y WHERE y.conv_id = c.conv_id AND y.a = c.a AND y.i >= c.i + 8)),
+    parts AS (SELECT conv_id, a, b, i AS p, coalesce(lead(i) OVER (PARTITION BY conv_id, a ORDER BY i), b) AS q, count(*) OVER (PARTITION BY conv_id, a) AS many FROM inner_cuts),
+    un AS (SELECT r.conv_id, row_number() OVER (PARTITION BY r.conv_id ORDER BY p)::INT AS unit, h.s AS start, l.e AS "end", (SELECT string_agg(w.w, ' ' ORDER BY w.i) FROM w WHERE w.conv_id = r.conv_id AND w.i >= p AND w.i < q) AS text,
+                  CASE WHEN q < b THEN 0.45::DOUBLE WHEN nx.s IS NULL THEN 0 ELSE nx.s - l.e END AS gap_after
+           FROM parts r JOIN w h ON h.conv_id = r.conv_id AND h.i = p JOIN w l ON l.conv_id = r.conv_id AND l.i = q - 1 LEFT JOIN w nx ON nx.conv_id = r.conv_id AND nx.i = b WHERE many = 1 OR q - p >= {p.min_words})"""
+
+
+def _thought_windows_sql() -> str:
+    from ..params import CONTINUE_START, INCOMPLETE_TAILS, MORE_STOPWORDS, TOPIC_START, Thoughts
+
+    p = Thoughts()
+    pattern = lambda x: x.replace("(?i)", "").replace("'", "''")
+    return rf"""WITH RECURSIVE {_thoughts_sql()},
+    du AS (SELECT conv_id, max(e) AS duration FROM w GROUP BY 1),
+    v AS (SELECT *, string_split_regex(text, '\s+') AS v FROM un),
+    c AS (SELECT *, list_filter(list_distinct(list_transform(v, lambda x: regexp_replace(lower(x), '[^a-z0-9'']+', '', 'g'))), lambda x: length(x) > 2 AND NOT list_contains([{_list(dict.fromkeys(INCOMPLETE_TAILS + MORE_STOPWORDS))}], x)) AS c,
+                 regexp_matches(v[-1], '[.?!]$') OR len(v) >= 6 AND NOT list_contains([{_list(INCOMPLETE_TAILS)}], regexp_replace(lower(v[-1]), '[^a-z0-9'']+', '', 'g')) AS done FROM v),
+    g AS (SELECT *, lead(text) OVER q AS nt, lead(c) OVER q AS nc, lead("end") OVER q AS after, coalesce(nullif(gap_after, 0), lead(start) OVER q - "end") AS gap FROM c WINDOW q AS (PARTITION BY conv_id ORDER BY unit)),
+    z AS (SELECT *, CASE WHEN len(c) = 0 OR len(coalesce(nc, [])) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(c, nc)) / len(list_distinct(list_concat(c, nc)))::DOUBLE END AS sim, coalesce(regexp_matches(nt, '{pattern(TOPIC_START)}', 'i'), false) AS topic FROM g),
+    sc AS (SELECT z.*, duration, (CASE WHEN gap >= {p.idea} THEN 2.2::DOUBLE ELSE 0 END) + (CASE WHEN gap >= {p.scene} THEN 2.5::DOUBLE ELSE 0 END) + (CASE WHEN topic THEN 2.4::DOUBLE ELSE 0 END)
+               - (CASE WHEN regexp_matches(nt, '{pattern(CONTINUE_START)}', 'i') THEN 2.2::DOUBLE ELSE 0 END) + (CASE WHEN sim < 0.08 AND len(c) > 0 AND len(nc) > 0 THEN 2.0::DOUBLE WHEN sim < 0.16 THEN 1.0::DOUBLE ELSE 0 END) + (CASE WHEN done THEN 0.6::DOUBLE ELSE -2.8::DOUBLE END) AS shift FROM z JOIN du USING (conv_id)),
+    pr AS (SELECT s.conv_id, s.unit AS i, e.unit AS j, greatest(0, s.start - 0.08::DOUBLE) AS a, e.duration, least(e.duration, e."end" + 0.12::DOUBLE) AS b, least(e.duration, e.after + 0.12::DOUBLE) AS b2, e.after IS NULL AS final, coalesce(e.gap, -1e9) AS gap, e.done, e.topic, e.shift
+           FROM sc s JOIN sc e ON e.conv_id = s.conv_id AND e.unit >= s.unit),
+    st AS (SELECT *, final OR b2 - a > {p.longest} OR (b - a >= {p.shortest} AND CASE WHEN b - a < {p.prefer} THEN gap >= {p.scene} OR (topic AND done)
+               ELSE gap >= {p.scene} OR done AND (gap >= 3.2 AND shift >= 2.8 OR topic OR b - a >= 120 AND gap >= {p.idea} OR b - a >= 155) END) AS stops FROM pr),
+    fi AS (SELECT conv_id, i, min(j) AS j FROM st WHERE stops GROUP BY ALL),
+    en AS (SELECT fi.conv_id, fi.i, fi.j, s.a, s.b, s.duration, (SELECT max(q.j) FROM pr q WHERE q.conv_id = fi.conv_id AND q.i = fi.i AND q.j > fi.i AND q.j <= fi.j AND q.b - q.a <= {p.longest} AND q.done) AS fit FROM fi JOIN pr s ON s.conv_id = fi.conv_id AND s.i = fi.i AND s.j = fi.j),
+    ch AS (SELECT conv_id, i, a, CASE WHEN b - a <= {p.longest} THEN b WHEN fit IS NULL THEN least(a + {p.longest}, duration) ELSE (SELECT q.b FROM pr q WHERE q.conv_id = en.conv_id AND q.i = en.i AND q.j = fit) END AS b, CASE WHEN b - a <= {p.longest} OR fit IS NULL THEN j ELSE fit END AS j FROM en),
+    go AS (SELECT * FROM ch WHERE i = 1 UNION ALL SELECT ch.* FROM go JOIN ch ON ch.conv_id = go.conv_id AND ch.i = go.j + 1)
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i)::INT AS "window", a AS start, b AS "end" FROM go WHERE b - a BETWEEN {p.shortest} AND {p.longest}"""
+
+
+ORACLE_SQL["thought_units"] = f"WITH RECURSIVE {_thoughts_sql()} SELECT * FROM un"
+ORACLE_SQL["thought_windows"] = _thought_windows_sql()
+
+
 from . import files  # noqa: E402, F401 - its queries register themselves
