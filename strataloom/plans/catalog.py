@@ -407,12 +407,17 @@ def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return w, blocks, sources, cands
 
 
-@query()
-def compiled_candidates(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 SET-05 SRT-02
+def _manifest(spark, sf) -> DataFrame:
     w, blocks, sources, cands = _transcript(spark, sf)
     return compiling.compile_candidates(cands, w, blocks, sources, ["conv_id"])[0]
 
 
+@query()
+def compiled_candidates(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 SET-05 SRT-02
+    lines = lambda c: F.array_join(c, "; ").alias(c)
+    return _manifest(spark, sf).select("conv_id", "n", "title", "status", lines("reasons"), lines("warnings"), "total_score", "core_frames", "teaser_frames", "first_word", "last_word")
+
+
 @query()
 def compiled_captions(spark, sf):  # JON-05 INT-09 SET-01 FLT-10
     w, blocks, sources, cands = _transcript(spark, sf)
@@ -841,16 +846,19 @@ def _verdict_sql(result: str) -> str:
                   CASE WHEN teased AND NOT teaser_frames / 30::DOUBLE BETWEEN 1 AND 4 THEN printf('teaser is %.1fs', teaser_frames / 30::DOUBLE) END, cl.why,
                   CASE WHEN core_frames / 30::DOUBLE < 15 * 0.9::DOUBLE THEN printf('core %.1fs under min 15s', core_frames / 30::DOUBLE) END, CASE WHEN core_frames / 30::DOUBLE > 60 * 1.08::DOUBLE THEN printf('core %.1fs over max 60s', core_frames / 30::DOUBLE) END] END AS why
           FROM j LEFT JOIN cl USING (conv_id, n)),
-    judged AS (SELECT *, list_filter(why, lambda x: x IS NOT NULL) AS reasons FROM v)
+    wn AS (SELECT conv_id, n, string_agg('join clamped ' || (ci - fi)::VARCHAR || ' frame(s): segment starting at word ' || x::VARCHAR, '; ' ORDER BY 'join clamped ' || (ci - fi)::VARCHAR || ' frame(s): segment starting at word ' || x::VARCHAR) AS clamps
+           FROM m WHERE ord > 0 AND ci > fi AND NOT cut GROUP BY ALL),
+    judged AS (SELECT v.*, CASE WHEN bad = 0 AND turn % 7 <> 2 THEN coalesce(clamps, '') END AS warnings, list_filter(why, lambda x: x IS NOT NULL) AS reasons FROM v LEFT JOIN wn USING (conv_id, n))
     {result}"""
 
 
 @query(_verdict_sql("SELECT conv_id, n, CASE WHEN len(reasons) = 0 THEN 'kept' ELSE 'rejected' END AS status, array_to_string(reasons, '; ') AS reasons, total_score, core_frames, teaser_frames, a[1] AS first_word, list_max(z) AS last_word FROM judged"))
 def candidate_verdicts(spark, sf):  # FLT-01..09 AGG-01 AGG-03 AGG-08 WIN-15 INT-04 JON-06 JON-07
-    m = compiled_candidates(spark, sf)
+    m = _manifest(spark, sf)
     return m.select("conv_id", "n", "status", F.array_join("reasons", "; ").alias("reasons"), "total_score", "core_frames", "teaser_frames", "first_word", "last_word")
 
 
+ORACLE_SQL["compiled_candidates"] = _verdict_sql("SELECT conv_id, n, 'clip ' || i::VARCHAR AS title, CASE WHEN len(reasons) = 0 THEN 'kept' ELSE 'rejected' END AS status, array_to_string(reasons, '; ') AS reasons, warnings, total_score, core_frames, teaser_frames, a[1] AS first_word, list_max(z) AS last_word FROM judged")
 ORACLE_SQL["compiled_captions"] = _verdict_sql("""
     , cu AS (SELECT m.conv_id, m.n, ord, ci / 30::DOUBLE AS t0, fo / 30::DOUBLE AS t1 FROM m JOIN judged USING (conv_id, n) WHERE len(reasons) = 0 AND (ord = 0 OR NOT cut)),
     tl AS (SELECT *, coalesce(sum(t1 - t0) OVER (PARTITION BY conv_id, n ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tl FROM cu),
