@@ -11,7 +11,7 @@ All arcs of one label lead to one state, and a state never loses an arc (only it
 as (state it was copied from, label taken away, number of the merge), and the automaton takes space in proportion to
 the merges. The transition table is filled in as words need it; a word is encoded by following, from each position
 reached, the arcs that spell what comes next. Since the automaton is deterministic and has one path for a word, each
-position is reached by at most one arc, and the path is read back from the end. Decoding emits the arcs' labels.
+position is reached by at most one arc, and the path is read back from the end as soon as that is reached. Decoding emits the arcs' labels.
 """
 
 from __future__ import annotations
@@ -135,6 +135,8 @@ class BpeAutomaton:
                         allowed = table[key] = self._allows(state, token)
                     if allowed:
                         arc[j], size[j] = token, j - i
+            if arc[n] >= 0:  # no other arc can end here
+                break
         out, i = [], n
         while i:
             out.append(arc[i])
