@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -83,16 +82,16 @@ class BpeAutomaton:
             leads.append(to)
         self.ids = [vocab[x] for x in self.labels]
         self.added = dict(added)
-        self.trie: dict[int, int] = {}  # node * 512 + symbol -> node
+        self.trie: list[dict[int, int]] = [{}]  # node -> symbol -> node
         self.ends: list[int] = [-1]  # node -> token
         for t, parts in enumerate(spelled):
             node = 0
             for s in parts:
-                key = node << 9 | s
-                if key not in self.trie:
-                    self.trie[key] = len(self.ends)
+                if s not in self.trie[node]:
+                    self.trie[node][s] = len(self.ends)
+                    self.trie.append({})
                     self.ends.append(-1)
-                node = self.trie[key]
+                node = self.trie[node][s]
             self.ends[node] = t
         self.table: dict[int, bool] = {}
 
@@ -121,9 +120,10 @@ class BpeAutomaton:
             state = leads[arc[i]] if i else 0
             node, j = 0, i
             while j < n:
-                node = trie.get(node << 9 | symbols[j], -1)
-                if node < 0:
+                at = trie[node]
+                if symbols[j] not in at:
                     break
+                node = at[symbols[j]]
                 j += 1
                 token = ends[node]
                 if token >= 0 and arc[j] < 0:
@@ -183,23 +183,25 @@ class Encoder:
         self.a = automaton
         self.words = word_pattern()
         self.added = re.compile("(" + "|".join(map(re.escape, automaton.added)) + ")") if automaton.added else None
-        self.symbols = byte_symbols()
+        self.ids = list(map(str, automaton.ids))
         self.word = Recent(self._word, CACHE_WORDS)
         self.chunk = Recent(self._chunk, CACHE_CHUNKS)
 
     def _word(self, word: str) -> tuple[str, str, int]:
         tokens = self.a.encode(word.encode())
-        return " ".join([str(self.a.ids[t]) for t in tokens]), " ".join([self.a.labels[t] for t in tokens]), len(tokens)
+        return " ".join([self.ids[t] for t in tokens]), " ".join([self.a.labels[t] for t in tokens]), len(tokens)
 
     def _chunk(self, text: str) -> tuple[str, str, int]:
         """ids joined by spaces, decoded text and number of tokens of a lower-cased text without white space."""
         words = self.words.findall(text)
         return self.word(words[0]) if len(words) == 1 else join(list(map(self.word, words)))
 
-    def _plain(self, text: str) -> Iterator[tuple[str, str, int]]:
+    def _plain(self, text: str) -> list[tuple[str, str, int]]:
         text = text.lower() if text.isascii() else lower(nfc(text))
-        odd = re.search("[\x1c-\x1f]", text)  # split() takes these for white space
-        return map(self.chunk, re.split(f"[{BLANK}]+", text) if odd else text.split())
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # split() takes these for white space
+        chunks = [x for x in re.split(f"[{BLANK}]+", text) if x] if odd else text.split()
+        known, chunk = self.chunk.new.get, self.chunk
+        return [known(x) or chunk(x) for x in chunks]
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """ids joined by one space, decoded text, number of tokens."""
@@ -216,7 +218,6 @@ class Encoder:
 
 
 def join(parts: list[tuple[str, str, int]]) -> tuple[str, str, int]:
-    parts = [x for x in parts if x[2]]
     return " ".join([x[0] for x in parts]), " ".join([x[1] for x in parts]), sum([x[2] for x in parts])
 
 

@@ -51,19 +51,20 @@ def char_class(kind: str) -> str:
 
 
 _UNMOVED = re.compile(f"([{_in_class(ranges(UNMOVED))}])")
+_UNMOVED_CHARS = frozenset(chr(c) for a, b in ranges(UNMOVED) for c in range(a, b + 1))
 _SMALL = {c: int(x.split(":")[1], 16) + c - a for x in CAPITALS.split() for a, b in ranges(x.split(":")[0]) for c in range(a, b + 1)} | {ord("\u03a3"): ord("\u03c3")}
-_CAPITALS = re.compile(f"[{''.join(map(chr, _SMALL))}]")
+_CAPITALS = frozenset(map(chr, _SMALL))
 
 
 def nfc(text: str) -> str:
     """Normal form C, in which UNMOVED characters stand for themselves."""
-    if not _UNMOVED.search(text):
+    if _UNMOVED_CHARS.isdisjoint(set(text)):
         return unicodedata.normalize("NFC", text)
     return "".join([x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(_UNMOVED.split(text))])
 
 
 def lower(text: str) -> str:
     """Lower case of each character by itself: a capital sigma has no form of its own at a word's end."""
-    if _CAPITALS.search(text):
+    if not _CAPITALS.isdisjoint(set(text)):
         text = text.translate(_SMALL)
     return text.lower()
