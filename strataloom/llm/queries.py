@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, lines, lm, pii, quality, rules, simhash, wordpiece
+from . import bpe, decontam, hardneg, html, lines, lm, pii, quality, rules, simhash, spelling, toxicity, wordpiece
 from .common import table
 
 
@@ -53,7 +53,21 @@ def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(hardneg.scaled(rows.withColumn("label", moved), "vec_id", "label", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_simhash": op3_simhash, "op4_decontam": op4_decontam, "op5_pii": op5_pii, "op6_lm": op6_lm, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_rules": op9_rules, "op10_wordpiece": op10_wordpiece, "op11_toxicity": op11_toxicity, "op12_spelling": op12_spelling, "op13_hardneg": op13_hardneg}
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -136,4 +150,48 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN chosen a ON f.lang = a.lang AND f.source = a.source AND a.s = 1
         LEFT JOIN chosen b ON f.lang = b.lang AND f.source = b.source AND b.s = 2
         LEFT JOIN chosen c ON f.lang = c.lang AND f.source = c.source AND c.s = 3""",
+    "op12_spelling": rf"""
+        WITH RECURSIVE tab AS (
+            SELECT list(v ORDER BY i) AS t FROM (
+                SELECT i, list_reduce([i::BIGINT] || list_transform(range(8), lambda k: 0::BIGINT), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) AS v FROM range(256) r(i))),
+        runs AS (
+            SELECT doc_id, {LOWER.format("run")} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{6,}}')) AS run FROM documents) GROUP BY ALL),
+        bytes AS (
+            SELECT run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM runs),
+        hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bytes, tab),
+        v AS (
+            SELECT word, sum(n)::BIGINT AS n FROM (
+                SELECT n, CASE WHEN h % 199 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+        places AS (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v),
+        masks AS (SELECT word, word[1 : p - 1] || '*' || word[p + 1 :] AS m FROM places),
+        fewer AS (SELECT DISTINCT word, word[1 : p - 1] || word[p + 1 :] AS m FROM places),
+        pairs AS (
+            SELECT a.word, b.word AS other FROM masks a JOIN masks b ON a.m = b.m AND a.word <> b.word
+            UNION SELECT f.word, v.word FROM fewer f JOIN v ON v.word = f.m
+            UNION SELECT v.word, f.word FROM fewer f JOIN v ON v.word = f.m),
+        near AS (
+            SELECT p.word, count(*) AS n_near, min({{'n': -v.n, 'w': other}}) AS top FROM pairs p JOIN v ON v.word = p.other GROUP BY 1),
+        forms AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 5 * v.n THEN top.w END AS form, CASE WHEN -top.n >= 5 * v.n THEN -top.n END AS form_n
+            FROM v LEFT JOIN near USING (word)),
+        chain AS (
+            SELECT word, form AS root, 1 AS depth FROM forms WHERE form IS NOT NULL
+            UNION ALL SELECT c.word, f.form, depth + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY 1)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)""",
+    "op13_hardneg": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+            FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS "rank", vec_id AS negative_id,
+               positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY "rank" <= 3""",
 }
