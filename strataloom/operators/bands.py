@@ -61,14 +61,15 @@ def first_onset(blocks: DataFrame, onsets: DataFrame, keys: list[str], start: st
     return blocks.join(first, blocks.columns, "left").select(*blocks.columns, F.coalesce("_first", start).alias(onset))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float) -> DataFrame:
-    """Pairs of open-overlapping intervals (b ends after a starts and starts before a ends), each once.
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, closed: bool = False) -> DataFrame:
+    """Pairs of overlapping intervals (b ends after a starts and starts before a ends; if closed, touching ones too), each once.
 
     Both sides are bucketed; a pair is kept only in the first bucket that they share.
     """
     spread = lambda d, s: d.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(s[0]), width), _bucket(F.col(s[1]), width))))
     p, q = spread(a.where(F.col(a_span[0]) <= F.col(a_span[1])), a_span).alias("p"), spread(b.where(F.col(b_span[0]) <= F.col(b_span[1])), b_span).alias("q")
-    meets = (F.col(b_span[1]) > F.col(a_span[0])) & (F.col(b_span[0]) < F.col(a_span[1])) & (F.col("p._bucket") == F.col("q._bucket"))
+    over = (F.col(b_span[1]) >= F.col(a_span[0])) & (F.col(b_span[0]) <= F.col(a_span[1])) if closed else (F.col(b_span[1]) > F.col(a_span[0])) & (F.col(b_span[0]) < F.col(a_span[1]))
+    meets = over & (F.col("p._bucket") == F.col("q._bucket"))
     meets = meets & (F.col("p._bucket") == F.greatest(_bucket(F.col(a_span[0]), width), _bucket(F.col(b_span[0]), width)))
     for k in keys:
         meets = meets & (F.col(f"p.{k}") == F.col(f"q.{k}"))
@@ -78,14 +79,24 @@ def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str,
 def nearest(a: DataFrame, b: DataFrame, keys: list[str], a_at: str, b_at: str, tolerance: float, tie: str, value: str) -> DataFrame:
     """a with value and distance of the row of b nearest in time within tolerance; of equally near rows, the least tie. Null if none.
 
-    b falls into buckets as wide as the tolerance, and is looked for in three.
+    An as-of lookup by union: no pair is made. Rows of a and b fall into wide time buckets, a row of b also into the neighbour that it is within tolerance of; in
+    each bucket one order in time gives the last row of b before each row of a and the first after it. A row of a without a time has no nearest.
     """
-    p = a.withColumn("_row", F.monotonically_increasing_id())
-    p3 = p.withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: _bucket(F.col(a_at), tolerance) + k)))
-    q = b.select(*keys, F.col(b_at).alias("_at"), F.col(tie).alias("_tie"), F.col(value).alias("_value")).withColumn("_bucket", _bucket(F.col("_at"), tolerance))
-    d = F.abs(F.col(a_at) - F.col("_at"))
-    hits = p3.join(q, [*keys, "_bucket"]).where(d <= tolerance).groupBy("_row").agg(F.min(F.struct(d.alias("distance"), "_tie", "_value")).alias("_best"))
-    return p.join(hits, "_row", "left").select(*a.columns, F.col("_best._value").alias(value), F.col("_best.distance").alias("distance"))
+    width = 32 * tolerance if tolerance else 1.0
+    at = F.col("_at")
+    of_a = a.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(a_at).alias("_at"), F.struct(*a.columns).alias("_row"))
+    timed = of_a.where(at.isNotNull()).withColumn("_bucket", _bucket(at, width))
+    of_b = b.where(F.col(b_at).isNotNull()).groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col(b_at).alias("_at")).agg(F.min(F.struct(F.col(tie).alias("tie"), F.col(value).alias("value"))).alias("_b"))
+    of_b = of_b.withColumn("_bucket", F.explode(F.array_distinct(F.array(_bucket(at - tolerance, width), _bucket(at, width), _bucket(at + tolerance, width)))))
+    both = timed.select("*", F.lit(None).cast(of_b.schema["_b"].dataType).alias("_b")).unionByName(of_b.select("*", F.lit(None).cast(of_a.schema["_row"].dataType).alias("_row")))
+    part = Window.partitionBy(*[f"_k{n}" for n in range(len(keys))], "_bucket")
+    seen = F.last(F.when(F.col("_b").isNotNull(), F.struct(at.alias("at"), "_b")), ignorenulls=True)
+    rows = both.withColumn("_back", seen.over(part.orderBy("_at", F.col("_b").isNull()).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_on", seen.over(part.orderBy(F.desc("_at"), F.col("_b").isNull()).rowsBetween(Window.unboundedPreceding, 0))).where("_row IS NOT NULL")
+    near = lambda c: F.when(F.abs(at - F.col(c)["at"]) <= tolerance, F.struct(F.abs(at - F.col(c)["at"]).alias("distance"), F.col(c)["_b"].alias("b")))
+    best = F.array_min(F.array_compact(F.array(near("_back"), near("_on"))))
+    found = rows.select("_row", best.alias("_best")).unionByName(of_a.where(at.isNull()).select("_row", F.lit(None).cast(rows.select(best.alias("x")).schema["x"].dataType).alias("_best")))
+    return found.select(*[F.col(f"_row.{c}").alias(c) for c in a.columns], F.col("_best.b.value").alias(value), F.col("_best.distance").alias("distance"))
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:

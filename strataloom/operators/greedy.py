@@ -1,7 +1,7 @@
 """Operators whose next step depends on the last: greedy choices and segmentations.
 
-Each works on one ordered group (a recording) at a time, as a grouped map over its rows, which is as far as the work can be parted: one recording doesn't parallelise
-within itself, any number of recordings do. Every order has a unique tie-break.
+Each works on one ordered group (a recording) at a time, as a grouped map over its rows, or, where a recording is too long for one task, as a scan over its pieces that hands
+on what is still undecided. Every order has a unique tie-break.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import Captions, Thoughts, Windows
+from ..shared import checkpointed
+from . import rounds, scans
 
 
 def per_source(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., Iterable[tuple]], fields: str) -> DataFrame:
@@ -32,25 +34,40 @@ def per_source(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return df.select(*keys, *dict.fromkeys([*order, *columns])).groupBy(*keys).applyInPandas(run, schema)
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., tuple[list[tuple], int]], number: str | None, fields: str, piece: int | None) -> DataFrame:
+    """keys, number (from 1) and fields: the rows of fn(*columns, ended), which also says the first row that it still needs.
+
+    piece None: each recording as a whole in one task, in one pass. Else recordings are scanned in pieces of about so many rows (see scans), at the price of
+    some passes more; for recordings too long for a task. The rows are the same.
+    """
+    if piece is not None:
+        return scans.scan(df, keys, order, columns, scans.tail(fn), fields, number, piece)
+    whole = lambda *c: numbered(fn(*c, True)[0]) if number else fn(*c, True)[0]
+    return per_source(df, keys, order, columns, whole, f"{number} int, {fields}" if number else fields)
+
+
 # -- spacing, suppression --------------------------------------------------------------------------------------------
 
 
-def minimum_spacing(points: DataFrame, keys: list[str], at: str, spacing, low=None, high=None) -> DataFrame:
-    """keys and at: the points kept when, in order, each must be spacing or more after the last kept, within [low, high]."""
+def minimum_spacing(points: DataFrame, keys: list[str], at: str, spacing, low=None, high=None, long: bool = False) -> DataFrame:
+    """keys and at: the points kept when, in order, each must be spacing or more after the last kept, within [low, high].
+
+    A fold over each group's ordered points. long: by pointer doubling (see rounds), for groups too large for a task; the rows are the same.
+    """
     ok = F.col(at).isNotNull()
     if low is not None:
         ok = ok & (F.col(at) >= low)
     if high is not None:
         ok = ok & (F.col(at) <= high)
-
-    def run(values: list) -> Iterable[tuple]:
-        last = None
-        for x in values:
-            if last is None or x - last >= spacing:
-                last = x
-                yield (x,)
-
-    return per_source(points.where(ok).select(*keys, at).distinct(), keys, [at], [at], run, f"{at} {points.schema[at].dataType.simpleString()}")
+    kind = points.schema[at].dataType
+    fit = points.where(ok)
+    if long:
+        own = checkpointed(fit.select(F.struct(*keys).alias("_key"), F.col(at).alias("at")).distinct())
+        return rounds.reachable(rounds.spacing_links(own, spacing)).select("_key.*", F.col("at").alias(at))
+    nothing = F.array().cast(T.ArrayType(kind))
+    step = lambda kept, x: F.when((F.size(kept) == 0) | (x - F.element_at(kept, -1) >= spacing), F.array_append(kept, x)).otherwise(kept)
+    ordered = fit.groupBy(*keys).agg(F.array_sort(F.collect_set(at)).alias("_points"))
+    return ordered.select(*keys, F.explode(F.aggregate("_points", nothing, step)).alias(at))
 
 
 def beaten_by(numbers: list, starts: list, ends: list) -> list:
@@ -74,13 +91,15 @@ def suppress_overlaps(clips: DataFrame, keys: list[str], score: str, number: str
     """clips with winner: null for those kept, else the number of the kept clip (closed overlap) that beat it.
 
     By falling score, then number; a clip goes if it meets one already kept. Every row comes back once, those with null keys as a group and repeated numbers too.
+    A clip with a null bound, or one that ends before it starts, meets nothing. A group in one task; rounds.suppress_by_rounds has no such bound.
     """
     schema = T.StructType([*clips.schema.fields, T.StructField("winner", clips.schema[number].dataType)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, number, start, end], ascending=[False, True, True, True], kind="stable")
-        winner = beaten_by(*(pdf[c].tolist() for c in (number, start, end)))
-        return pdf.assign(winner=pd.Series(winner, index=pdf.index, dtype=object))
+        fit = pdf[pdf[start].notna() & pdf[end].notna() & (pdf[start] <= pdf[end])]
+        winner = beaten_by(*(fit[c].tolist() for c in (number, start, end)))
+        return pdf.assign(winner=pd.Series(winner, index=fit.index, dtype=object).reindex(pdf.index).where(lambda x: x.notna(), None))
 
     return clips.groupBy(*keys).applyInPandas(run, schema)
 
@@ -88,8 +107,8 @@ def suppress_overlaps(clips: DataFrame, keys: list[str], score: str, number: str
 # -- windows ---------------------------------------------------------------------------------------------------------
 
 
-def snap_windows(starts: list, ends: list, length, overlap, stretch: float) -> list[tuple]:
-    """(number from 1, start, end): windows that begin and end with segments.
+def next_snapped(starts: list, ends: list, length, overlap, stretch: float, ended: bool) -> tuple[list[tuple], int]:
+    """(start, end) of windows that begin and end with segments, and the first segment of one that isn't decided yet.
 
     A window grows while it is shorter than length and the next segment keeps it within stretch * length. The next begins at the first
     later segment that starts at overlap before its end or after, else after its last.
@@ -99,30 +118,46 @@ def snap_windows(starts: list, ends: list, length, overlap, stretch: float) -> l
         begin, j = starts[i], i
         while j + 1 < n and ends[j] - begin < length and ends[j + 1] - begin <= length * stretch:
             j += 1
-        out.append((len(out) + 1, begin, ends[j]))
-        if j + 1 >= n:
+        onward = next((k for k in range(i + 1, n) if starts[k] >= ends[j] - overlap), None)
+        if not ended and (j + 1 >= n or onward is None):
             break
-        i = next((k for k in range(i + 1, n) if starts[k] >= ends[j] - overlap), j + 1)
-    return out
+        out.append((begin, ends[j]))
+        if j + 1 >= n:
+            return out, n
+        i = j + 1 if onward is None else onward
+    return out, i
+
+
+def snap_windows(starts: list, ends: list, length, overlap, stretch: float) -> list[tuple]:
+    """(number from 1, start, end) of a whole recording (see next_snapped)."""
+    return numbered(next_snapped(starts, ends, length, overlap, stretch, True)[0])
 
 
-def snapped_windows(segments: DataFrame, keys: list[str], order: list[str], start: str, end: str, p: Windows | None = None, length=None, overlap=None) -> DataFrame:
-    """keys, window, start and end of each recording's windows."""
+def snapped_windows(segments: DataFrame, keys: list[str], order: list[str], start: str, end: str, p: Windows | None = None, length=None, overlap=None, piece: int | None = None) -> DataFrame:
+    """keys, window, start and end of each recording's windows. piece: see in_order. Segments without a start or end are left out."""
     p = p or Windows()
     size, back = p.length if length is None else length, p.overlap if overlap is None else overlap
     kind = segments.schema[start].dataType.simpleString()
-    return per_source(segments, keys, order, [start, end], lambda a, b: snap_windows(a, b, size, back, p.stretch), f"window int, start {kind}, end {kind}")
+    timed = segments.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return in_order(timed, keys, order, [start, end], lambda a, b, ended: next_snapped(a, b, size, back, p.stretch, ended), "window", f"start {kind}, end {kind}", piece)
 
 
 # -- captions --------------------------------------------------------------------------------------------------------
 
 
-def group_cues(texts: list, starts: list, ends: list, p: Captions) -> list[tuple]:
-    """(cue, start, end, text) of words in order: lines of few words that break at pauses and sentence ends, and not after a dangler."""
+def numbered(rows: Iterable[tuple]) -> list[tuple]:
+    return [(k, *r) for k, r in enumerate(rows, 1)]
+
+
+def next_cues(texts: list, starts: list, ends: list, p: Captions, ended: bool) -> tuple[list[tuple], int]:
+    """(start, end, text) of the cues that words in order make: lines of few words that break at pauses and sentence ends, and not after a dangler.
+
+    Then the first word of no cue yet: unless the recording has ended, the last word's break waits for the word after it.
+    """
     from ..params import DANGLERS
 
     out, first, n = [], 0, len(texts)
-    for k in range(n):
+    for k in range(n if ended else n - 1):
         text = (texts[k] or "").strip()
         size = k - first + 1
         stays = text.lower().strip(".,?!;:\"'") in DANGLERS and text[-1:] not in (".", "?", "!", ",")
@@ -133,19 +168,29 @@ def group_cues(texts: list, starts: list, ends: list, p: Captions) -> list[tuple
         if not last:
             b = min(b, starts[k + 1])
         if b > a:
-            out.append((len(out) + 1, a, b, " ".join((x or "").strip() for x in texts[first : k + 1]).strip()))
+            out.append((a, b, " ".join((x or "").strip() for x in texts[first : k + 1]).strip()))
         first = k + 1
-    return out
+    return out, first
+
 
+def group_cues(texts: list, starts: list, ends: list, p: Captions) -> list[tuple]:
+    """(cue, start, end, text) of a whole recording (see next_cues)."""
+    return numbered(next_cues(texts, starts, ends, p, True)[0])
 
-def build_cues(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", p: Captions | None = None) -> DataFrame:
+
+def build_cues(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", p: Captions | None = None, piece: int | None = None) -> DataFrame:
+    """keys, cue, start, end and text. piece: see in_order. A word without a start or end is left out, as its cue can't be timed."""
     p = p or Captions()
     kind = words.schema[start].dataType.simpleString()
-    return per_source(words, keys, order, [text, start, end], lambda t, a, b: group_cues(t, a, b, p), f"cue int, start {kind}, end {kind}, text string")
+    timed = words.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return in_order(timed, keys, order, [text, start, end], lambda t, a, b, ended: next_cues(t, a, b, p, ended), "cue", f"start {kind}, end {kind}, text string", piece)
+
 
+def next_short_cues(texts: list, starts: list, ends: list, most: int, seconds, ended: bool) -> tuple[list[tuple], int]:
+    """(start, end, text, the next cue's start or None), and the first word still needed: at most `most` words or `seconds`, or to a sentence's end. Blank words are skipped.
 
-def group_short_cues(texts: list, starts: list, ends: list, most: int, seconds) -> list[tuple]:
-    """(cue, start, end, text): at most `most` words or `seconds`, or to a sentence's end. Blank words are skipped."""
+    Unless the recording has ended, the last cue waits for the word after it.
+    """
     groups: list[list[int]] = [[]]
     for k, t in enumerate(texts):
         if not (t or "").strip():
@@ -153,19 +198,20 @@ def group_short_cues(texts: list, starts: list, ends: list, most: int, seconds)
         groups[-1].append(k)
         if len(groups[-1]) >= most or ends[k] - starts[groups[-1][0]] >= seconds or t.strip()[-1] in ".!?":
             groups.append([])
-    return [(n, starts[g[0]], ends[g[-1]], " ".join(texts[k].strip() for k in g)) for n, g in enumerate([g for g in groups if g], 1)]
-
+    full = [g for g in groups if g]
+    shown = full if ended else full[:-1]
+    after = [starts[g[0]] for g in full[1:]] + [None]
+    return [(starts[g[0]], ends[g[-1]], " ".join(texts[k].strip() for k in g), b) for g, b in zip(shown, after, strict=False)], len(texts) if ended or not full else full[-1][0]
 
-def short_cues(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", most: int = 3, seconds=1.35, blank=0.45, shown=0.35) -> DataFrame:
-    """keys, cue, start, end and text. Ends are then set from the next cue's start only, which needs no recurrence."""
-    from pyspark.sql import Window
 
+def short_cues(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", most: int = 3, seconds=1.35, blank=0.45, shown=0.35, piece: int | None = None) -> DataFrame:
+    """keys, cue, start, end and text. Ends are set from the next cue's start. piece: see in_order. A word without a start or end is left out, as its cue can't be timed."""
     kind = words.schema[start].dataType.simpleString()
-    cues = per_source(words, keys, order, [text, start, end], lambda t, a, b: group_short_cues(t, a, b, most, seconds), f"cue int, start {kind}, end {kind}, text string")
+    timed = words.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    cues = in_order(timed, keys, order, [text, start, end], lambda t, a, b, ended: next_short_cues(t, a, b, most, seconds, ended), "cue", f"start {kind}, end {kind}, text string, _after {kind}", piece)
     own = F.when(F.col("end") <= F.col("start"), F.col("start") + blank).otherwise(F.col("end"))
-    after = F.lead("start").over(Window.partitionBy(*keys).orderBy("cue"))
-    ended = F.when(after.isNull(), own).otherwise(F.least(after, F.greatest(own, F.col("start") + shown)))
-    return cues.select(*keys, "cue", "start", ended.cast(kind).alias("end"), "text")
+    ends = F.when(F.col("_after").isNull(), own).otherwise(F.least("_after", F.greatest(own, F.col("start") + shown)))
+    return cues.select(*keys, "cue", "start", ends.cast(kind).alias("end"), "text")
 
 
 # -- thoughts --------------------------------------------------------------------------------------------------------
@@ -178,8 +224,8 @@ def finished(last: str, tokens: int) -> bool:
     return last[-1] in ".?!" or tokens >= 6 and "".join(c for c in last.lower() if c.isascii() and (c.isalnum() or c == "'")) not in INCOMPLETE_TAILS
 
 
-def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[tuple]:
-    """(unit, start, end, text, gap_after) of words in order.
+def next_thoughts(texts: list, starts: list, ends: list, p: Thoughts, ended: bool) -> tuple[list[tuple], int]:
+    """(start, end, text, gap_after) of the thoughts of words in order, and the first word of the thought that is still open (none once the recording has ended).
 
     A thought ends at a pause of `scene`, or one of `breath` once it is complete. Thoughts of under min_words words go. A long one is
     parted where a new topic begins in it: from its sixth word to its fourth last, after what is complete, eight or more words apart.
@@ -202,40 +248,63 @@ def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[t
             cuts.append(k)
             first = k
     out: list[tuple] = []
-    for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=False):  # no words: no cuts
+    for a, b in zip(cuts, [*cuts[1:], len(texts)] if ended else cuts[1:], strict=False):  # no words: no cuts
         if tokens[b] - tokens[a] < p.min_words:
             continue
         gap = starts[b] - ends[b - 1] if b < len(texts) else 0.0
         inner = [a]
         if b - a >= 12:
             for k in range(a + 5, b - 3):
-                if k - inner[-1] >= 8 and done(a, k) and topic.search(" ".join(texts[k : min(b, k + 8)])):
+                if k - inner[-1] >= 8 and done(a, k) and topic.search(" ".join(t or "" for t in texts[k : min(b, k + 8)])):
                     inner.append(k)
         for x, y in zip(inner, [*inner[1:], b], strict=True):
             if len(inner) == 1 or y - x >= p.min_words:
-                out.append((len(out) + 1, starts[x], ends[y - 1], " ".join(said[x:y]), gap if y == b else 0.45))
-    return out
+                out.append((starts[x], ends[y - 1], " ".join(said[x:y]), gap if y == b else 0.45))
+    return out, len(texts) if ended or not cuts else cuts[-1]
 
 
-def thoughts(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", p: Thoughts | None = None) -> DataFrame:
+def split_thoughts(texts: list, starts: list, ends: list, p: Thoughts) -> list[tuple]:
+    """(unit, start, end, text, gap_after) of a whole recording (see next_thoughts)."""
+    return numbered(next_thoughts(texts, starts, ends, p, True)[0])
+
+
+def thoughts(words: DataFrame, keys: list[str], order: list[str], text: str = "text", start: str = "start", end: str = "end", p: Thoughts | None = None, piece: int | None = None) -> DataFrame:
+    """keys, unit, start, end, text and gap_after. piece: see in_order. A word without a start or end is left out, as no pause can be measured at it."""
     p = p or Thoughts()
-    return per_source(words.withColumns({start: F.col(start).cast("double"), end: F.col(end).cast("double")}), keys, order, [text, start, end], lambda t, a, b: split_thoughts(t, a, b, p), "unit int, start double, end double, text string, gap_after double")
+    timed = words.withColumns({start: F.col(start).cast("double"), end: F.col(end).cast("double")}).where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return in_order(timed, keys, order, [text, start, end], lambda t, a, b, ended: next_thoughts(t, a, b, p, ended), "unit", "start double, end double, text string, gap_after double", piece)
 
 
-def scored_thoughts(units: DataFrame, keys: list[str], p: Thoughts | None = None) -> DataFrame:
-    """units with complete, next_topic, shift (to the next unit) and gap: all that choosing windows needs, by windows and expressions."""
+def scored_thoughts(units: DataFrame, keys: list[str], p: Thoughts | None = None, piece: int | None = None) -> DataFrame:
+    """units with complete, next_topic, shift (to the next unit) and gap: all that choosing windows needs, by windows (or, in pieces, a scan) and expressions."""
     from pyspark.sql import Window
 
     from ..functions.text import starts_topic, thought_complete, topic_shift
 
     p = p or Thoughts()
-    w = Window.partitionBy(*keys).orderBy("unit")
-    rows = units.withColumn("_next", F.lead("text").over(w)).withColumn("gap", F.coalesce(F.nullif(F.col("gap_after"), F.lit(0.0)), F.lead("start").over(w) - F.col("end")))
+    if piece is None:
+        w = Window.partitionBy(*keys).orderBy("unit")
+        rows = units.withColumn("_next", F.lead("text").over(w)).withColumn("_next_start", F.lead("start").over(w))
+    else:
+
+        def with_next(*columns) -> tuple[list[tuple], int]:
+            *columns, ended = columns
+            own = list(zip(*columns, strict=True))
+            after = [(r[3], r[1]) for r in own[1:]] + [(None, None)]  # text, start
+            return [(*r, *a) for r, a in zip(own if ended else own[:-1], after, strict=False)], len(own) if ended else max(0, len(own) - 1)
+
+        rows = in_order(units, keys, ["unit"], ["unit", "start", "end", "text", "gap_after"], with_next, None, "unit int, start double, end double, text string, gap_after double, _next string, _next_start double", piece)
+    rows = rows.withColumn("gap", F.coalesce(F.nullif(F.col("gap_after"), F.lit(0.0)), F.col("_next_start") - F.col("end")))
     return rows.select(*units.columns, "gap", thought_complete(F.col("text")).alias("complete"), starts_topic(F.col("_next"), p.topic_start).alias("next_topic"), topic_shift(F.col("text"), F.col("_next"), F.col("gap"), p.idea, p.scene, p.topic_start, p.continue_start).alias("shift"))
 
 
 def choose_windows(starts: list, ends: list, gaps: list, done: list, topics: list, shifts: list, duration: float, p: Thoughts) -> list[tuple]:
-    """(window, start, end): runs of thoughts from shortest to longest, broken at the strongest signs of a new subject."""
+    """(window, start, end) of a whole recording (see next_windows)."""
+    return numbered(next_windows(starts, ends, gaps, done, topics, shifts, duration, p, True)[0])
+
+
+def next_windows(starts: list, ends: list, gaps: list, done: list, topics: list, shifts: list, duration: float, p: Thoughts, ended: bool) -> tuple[list[tuple], int]:
+    """(start, end): runs of thoughts from shortest to longest, broken at the strongest signs of a new subject; and the first thought of a window that isn't decided yet."""
     out, i, n = [], 0, len(starts)
 
     def stops(a: float, j: int) -> bool:
@@ -255,24 +324,31 @@ def choose_windows(starts: list, ends: list, gaps: list, done: list, topics: lis
         j = i
         while j + 1 < n and not stops(a, j):
             j += 1
+        if j + 1 == n and not ended:
+            break
         b = min(duration, ends[j] + 0.12)
         if b - a > p.longest:
             fit = next((k for k in range(j, i, -1) if min(duration, ends[k] + 0.12) - a <= p.longest and done[k]), None)
             b = min(a + p.longest, duration) if fit is None else min(duration, ends[fit] + 0.12)
             j = j if fit is None else fit
         if p.shortest <= b - a <= p.longest:
-            out.append((len(out) + 1, a, b))
+            out.append((a, b))
         i = j + 1
-    return out
+    return out, i
 
 
-def thought_windows(units: DataFrame, keys: list[str], durations: DataFrame, duration: str = "duration", p: Thoughts | None = None) -> DataFrame:
-    """keys, window, start and end: the shorts of each recording."""
+def thought_windows(units: DataFrame, keys: list[str], durations: DataFrame, duration: str = "duration", p: Thoughts | None = None, piece: int | None = None) -> DataFrame:
+    """keys, window, start and end: the shorts of each recording. piece: see in_order."""
     p = p or Thoughts()
     own = durations.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(duration).cast("double").alias("_duration"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    rows = scored_thoughts(units, keys, p).join(own, same)
-    return per_source(rows, keys, ["unit"], ["start", "end", "gap", "complete", "next_topic", "shift", "_duration"], lambda a, b, g, c, t, s, d: choose_windows(a, b, [float("-inf") if x is None or x != x else x for x in g], c, t, [0.0 if x is None or x != x else x for x in s], d[0], p), "window int, start double, end double")
+    rows = scored_thoughts(units, keys, p, piece).join(own, same)
+    number = lambda v, none: [none if x is None or x != x else x for x in v]
+
+    def fn(a, b, g, c, t, s, d, ended):
+        return next_windows(a, b, number(g, float("-inf")), c, t, number(s, 0.0), d[0] if d else 0.0, p, ended)
+
+    return in_order(rows, keys, ["unit"], ["start", "end", "gap", "complete", "next_topic", "shift", "_duration"], fn, "window", "start double, end double", piece)
 
 
 # -- boxes -----------------------------------------------------------------------------------------------------------

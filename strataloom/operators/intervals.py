@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,13 +69,34 @@ def choose_map(plain: DataFrame, rescued: DataFrame, verdicts: DataFrame, keys:
     return a.unionByName(rescued.join(flag, keys).where(F.col("degenerate")).drop("degenerate").withColumn("rescued", F.lit(True)))
 
 
+def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: list[Callable[[Column], Column]]) -> DataFrame:
+    """keys, n and stats: the values at the places (from 0) that ranks give for a group of n, exactly; a place outside of 0 to n - 1 gives null.
+
+    Counts by bucket of the values' magnitude (64 to a doubling) say which bucket has a place; only that bucket's values are counted one by one, so no task ever
+    has a group's values, however many there are. Null values and NaN don't count.
+    """
+    v = F.col(value).cast("double")
+    size = F.when(F.abs(v) == float("inf"), 1_000_000).otherwise(F.floor(F.log2(F.abs(v)) * 64) + 100_000)
+    bucket = F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("long")
+    own = values.where(F.col(value).isNotNull() & ~F.isnan(v)).select(F.struct(*keys).alias("_key"), F.col(value).alias("_v"), bucket.alias("_bucket"))
+    along, whole = Window.partitionBy("_key").orderBy("_bucket"), Window.partitionBy("_key")
+    counts = own.groupBy("_key", "_bucket").agg(F.count("*").alias("_m")).withColumn("_below", F.coalesce(F.sum("_m").over(_before(along)), F.lit(0))).withColumn("n", F.sum("_m").over(whole))
+    places = F.array(*[r(F.col("n")).cast("long") for r in ranks])
+    wanted = counts.select("_key", "_bucket", "_below", "_m", "n", F.posexplode(places).alias("_i", "_place")).where((F.col("_place") >= F.col("_below")) & (F.col("_place") < F.col("_below") + F.col("_m")))
+    inside = own.join(wanted, ["_key", "_bucket"]).groupBy("_key", "_i", "_place", "_below", "_v").agg(F.count("*").alias("_same"))
+    upto = F.col("_below") + F.sum("_same").over(Window.partitionBy("_key", "_i").orderBy("_v"))
+    found = inside.withColumn("_upto", upto).where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_same")))
+    stats = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_stats"))
+    totals = counts.groupBy("_key").agg(F.first("n").alias("n"))
+    return totals.join(stats, "_key", "left").select("_key.*", "n", F.array(*[F.try_element_at("_stats", F.lit(k)) for k in range(len(ranks))]).alias("stats"))
+
+
 def thresholds(levels: DataFrame, keys: list[str], level: str, in_offset: float = 14, out_offset: float = 22, guard: float = 10) -> DataFrame:
     """keys, in_db and out_db from the 10th and 90th of a hundred ordered levels; -30 and -38 for under 20 levels."""
-    ranked = F.sort_array(F.collect_list(level))
-    at = levels.groupBy(*keys).agg(ranked.alias("v")).withColumn("n", F.size("v"))
-    pick = lambda q: F.get("v", F.floor(F.col("n") * F.lit(q)).cast("int"))
-    out_db = F.greatest(pick(0.9) - out_offset, pick(0.1) + guard)
-    in_db = F.greatest(pick(0.9) - in_offset, out_db + 6)
+    at = order_statistics(levels, keys, level, [lambda n: F.floor(n * F.lit(0.9)), lambda n: F.floor(n * F.lit(0.1))])
+    hi, lo = F.get("stats", F.lit(0)), F.get("stats", F.lit(1))
+    out_db = F.greatest(hi - out_offset, lo + guard)
+    in_db = F.greatest(hi - in_offset, out_db + 6)
     few = F.col("n") < 20
     return at.select(*keys, F.when(few, -30.0).otherwise(in_db).alias("in_db"), F.when(few, -38.0).otherwise(out_db).alias("out_db"))
 
@@ -188,7 +211,5 @@ def caption_holds(words: DataFrame, keys: list[str], order: str, fps: float, hol
 
 
 def percentile(values: DataFrame, keys: list[str], value: str, share: float, out: str) -> DataFrame:
-    """The value at the nearest rank round((n - 1) * share), half to even: ranks by a window, then one row for each keys."""
-    w = Window.partitionBy(*keys)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_at", F.bround((F.count("*").over(w) - 1) * F.lit(share)))
-    return ranked.where("_k = _at").select(*keys, F.col(value).alias(out))
+    """The value at the nearest rank round((n - 1) * share), half to even."""
+    return order_statistics(values, keys, value, [lambda n: F.bround((n - 1) * F.lit(share))]).select(*keys, F.get("stats", F.lit(0)).alias(out))

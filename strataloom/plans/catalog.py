@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import media, text
-from ..operators import bands, compiling, greedy, intervals, layout, registry, tracking
+from ..operators import bands, compiling, greedy, intervals, layout, registry, rounds, tracking
 from ..params import Captions
 from . import proxies as P
-from .proxies import BASE, BLOCKS, HOUR, RECTS, WORDS
+from .proxies import BASE, BLOCKS, HOUR, RECTS, STREAMS, WORDS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -194,7 +194,7 @@ def imputed_times(spark, sf):  # WIN-03
 
 # -- greedy ------------------------------------------------------------------------------------------------------------
 
-SPACED = f"""{WORDS}, nx AS (SELECT a.user_id, a.s, min(b.s) AS nxt FROM w a LEFT JOIN w b ON b.user_id = a.user_id AND b.s >= a.s + {3 * DAY} GROUP BY ALL),
+SPACED = f"""{WORDS}, nx AS MATERIALIZED (SELECT a.user_id, a.s, min(b.s) AS nxt FROM w a LEFT JOIN w b ON b.user_id = a.user_id AND b.s >= a.s + {3 * DAY} GROUP BY ALL),
     k AS (SELECT user_id, min(s) AS s FROM w GROUP BY 1 UNION ALL SELECT k.user_id, nxt FROM k JOIN nx USING (user_id, s) WHERE nxt IS NOT NULL)"""
 
 
@@ -212,11 +212,14 @@ def tiled_regions(spark, sf):  # INT-07
     return intervals.tile(ranges, cuts, U, "r")
 
 
-@query(f"""WITH RECURSIVE {WORDS}, o AS (SELECT user_id, event_id, s, s + {6 * HOUR} AS e, row_number() OVER (PARTITION BY user_id ORDER BY -floor(value * 100), event_id) AS k FROM w),
+SUPPRESSED = f"""WITH RECURSIVE {WORDS}, o AS (SELECT user_id, event_id, s, s + {6 * HOUR} AS e, row_number() OVER (PARTITION BY user_id ORDER BY -floor(value * 100), event_id) AS k FROM w),
     f AS (SELECT user_id, k, [{{'n': event_id, 'a': s, 'b': e}}] AS kept, event_id AS n, NULL::BIGINT AS winner FROM o WHERE k = 1
           UNION ALL SELECT o.user_id, o.k, CASE WHEN len(list_filter(kept, lambda x: x.a <= o.e AND o.s <= x.b)) = 0 THEN list_append(kept, {{'n': o.event_id, 'a': o.s, 'b': o.e}}) ELSE kept END, o.event_id, list_filter(kept, lambda x: x.a <= o.e AND o.s <= x.b)[1].n
                     FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
-    SELECT user_id, n AS event_id, winner FROM f""")
+    SELECT user_id, n AS event_id, winner FROM f"""
+
+
+@query(SUPPRESSED)
 def suppressed_overlaps(spark, sf):  # INT-05 SRT-03
     w = P.words(spark, sf).select("user_id", "event_id", F.floor(F.col("value") * 100).alias("score"), F.col("s").alias("a"), (F.col("s") + 6 * HOUR).alias("b"))
     return greedy.suppress_overlaps(w, U, "score", "event_id", "a", "b").select("user_id", "event_id", "winner")
@@ -229,13 +232,16 @@ def _said(w: DataFrame) -> DataFrame:
     return w.withColumn("t", F.when(F.col("event_id") % 4 == 0, F.concat("w", F.lit("."))).when(F.col("event_id") % 4 == 1, "the").otherwise(F.col("w")))
 
 
-@query(f"""WITH RECURSIVE {CUES},
+CAPTIONS = f"""WITH RECURSIVE {CUES},
     f AS (SELECT user_id, i, s AS a, e AS b, nxt, t, 1 AS k, t AS txt FROM n WHERE i = 1
           UNION ALL SELECT n.user_id, n.i, CASE WHEN brk THEN n.s ELSE g.a END, n.e, n.nxt, n.t, CASE WHEN brk THEN 1 ELSE g.k + 1 END, CASE WHEN brk THEN n.t ELSE g.txt || ' ' || n.t END
                     FROM (SELECT *, k >= CASE WHEN t = 'the' THEN 10 ELSE 7 END OR b - a >= {2 * DAY} OR nxt - b > {12 * HOUR} OR (t LIKE '%.' AND k >= 3) AS brk FROM f) g JOIN n ON n.user_id = g.user_id AND n.i = g.i + 1),
     c AS (SELECT *, k >= CASE WHEN t = 'the' THEN 10 ELSE 7 END OR b - a >= {2 * DAY} OR nxt IS NULL OR nxt - b > {12 * HOUR} OR (t LIKE '%.' AND k >= 3) AS brk FROM f),
     d AS (SELECT user_id, i, a AS start, least(CASE WHEN b - a < {HOUR} THEN a + {HOUR} ELSE b END, coalesce(nxt, 9000000000000000)) AS "end", txt FROM c WHERE brk)
-    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i)::INT AS cue, start, "end", txt AS text FROM d WHERE "end" > start""")
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i)::INT AS cue, start, "end", txt AS text FROM d WHERE "end" > start"""
+
+
+@query(CAPTIONS)
 def caption_cues(spark, sf):  # INT-10 SCL-08
     return greedy.build_cues(_said(P.words(spark, sf)), U, ["i"], "t", "s", "e", Captions(max_seconds=2 * DAY, pause=12 * HOUR, min_seconds=HOUR))
 
@@ -251,6 +257,32 @@ def short_cues(spark, sf):  # INT-11 WIN-08
     return greedy.short_cues(_said(P.words(spark, sf)), U, ["i"], "t", "s", "e", seconds=DAY, blank=450, shown=350)
 
 
+# -- recordings too long for one task: all events of a type are one ------------------------------------------------------
+
+PIECE = 2_000
+
+
+@query(CAPTIONS.replace(WORDS, STREAMS))
+def long_cues(spark, sf):  # INT-10, scanned in pieces
+    return greedy.build_cues(_said(P.streams(spark, sf)), U, ["i"], "t", "s", "e", Captions(max_seconds=2 * DAY, pause=12 * HOUR, min_seconds=HOUR), piece=PIECE)
+
+
+@query(f"WITH RECURSIVE {STREAMS}, {SPANS} SELECT user_id, n AS \"window\", s AS start, j_end AS \"end\" FROM spans")
+def long_windows(spark, sf):  # INT-02, scanned in pieces
+    return greedy.snapped_windows(P.streams(spark, sf), U, ["i"], "s", "e", length=DAY, overlap=8 * HOUR, piece=PIECE)
+
+
+@query(f"WITH RECURSIVE {SPACED.replace(WORDS, STREAMS).replace(str(3 * DAY), str(2 * HOUR))} SELECT * FROM k")
+def long_spacing(spark, sf):  # INT-06, by pointer doubling
+    return greedy.minimum_spacing(P.streams(spark, sf), U, "s", 2 * HOUR, long=True)
+
+
+@query(SUPPRESSED.replace(WORDS, STREAMS).replace(f"s + {6 * HOUR}", f"s + {HOUR // 2}"))
+def long_suppression(spark, sf):  # INT-05 SRT-03, by rounds
+    w = P.streams(spark, sf).select("user_id", "event_id", F.floor(F.col("value") * 100).alias("score"), F.col("s").alias("a"), (F.col("s") + HOUR // 2).alias("b"))
+    return rounds.suppress_by_rounds(w, U, "score", "event_id", "a", "b", HOUR).select("user_id", "event_id", "winner")
+
+
 @query()
 def thought_units(spark, sf):  # INT-12 INT-13
     return greedy.thoughts(P.spoken(spark, sf), ["conv_id"], ["i"])

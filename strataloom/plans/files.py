@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compiling, intervals, registry
 from ..params import Clips
+from ..shared import shared_root
 from ..sinks import writers as W
 from ..sources import readers as R
 from . import proxies as P
@@ -21,12 +22,7 @@ from .proxies import BASE, HOUR, WORDS
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
-        root = spark.conf.get("spark.sql.warehouse.dir")
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4()}"
+    return f"{shared_root(spark)}/files-{uuid.uuid4()}"
 
 
 def user_of(df: DataFrame) -> DataFrame:

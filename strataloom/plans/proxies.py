@@ -30,6 +30,15 @@ WORDS = """w AS (SELECT user_id, event_id, value, event_type AS w, epoch_us(ts)
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
 
 
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of words, with all events of a type as one recording: few and long ones. user_id is the type."""
+    w = words(spark, sf_dir)
+    return w.withColumn("user_id", F.col("w")).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("s", "event_id")).cast("long"))
+
+
+STREAMS = WORDS.replace("SELECT user_id, ", "SELECT event_type AS user_id, ").replace("PARTITION BY user_id ORDER BY ts", "PARTITION BY event_type ORDER BY epoch_us(ts) // 1000")
+
+
 def blocks(w: DataFrame, kind: str = "view") -> DataFrame:
     """user_id, b, b0, b1: the events of a kind."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("s", "event_id")) - 1
