@@ -201,7 +201,11 @@ def drop_common_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A line whose key (white space at its ends stripped, A-Z lower-cased) has MIN_CHARS code points or more and is found in
     min_docs documents stays only in the one with the largest id. A null or empty text is one empty line and stays
     as it is, and so do rows with a null id, which count for no line. Rows that share an id are one document, each with its own lines; an empty table gives none.
+    Ids are whole numbers (tinyint to bigint): the largest id is the keeper, and other kinds would be cut to numbers that several
+    documents share. An id column of another type raises a TypeError before any data is read; such ids can be numbered first.
     """
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number, not {df.schema[id_col].dataType.simpleString()}")
     spark = df.sparkSession
     small_batches(spark)
     common = checkpointed(common_lines(df, id_col, text_col, min_docs))

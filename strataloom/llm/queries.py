@@ -133,11 +133,11 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT 1, lang, '', s, b, sum(n) FROM sketch GROUP BY ALL
             UNION ALL SELECT 2, '', '', s, b, sum(n) FROM sketch GROUP BY ALL),
         ranked AS (
-            SELECT *, sum(n) OVER (PARTITION BY level, lang, source, s ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, s) AS docs FROM levels),
-        mids AS (
-            SELECT level, lang, source, s, docs, min(b) FILTER (WHERE below >= ceil(docs * 0.5)) AS mid, min(b) FILTER (WHERE below >= ceil(docs * {rules.LOW})) AS low
+            SELECT *, sum(n) OVER o AS below, sum(n) OVER (PARTITION BY level, lang, source, s) AS docs, lead(b) OVER o AS nxt, (nxt + {rules.SUB}) / (b + {rules.SUB})::DOUBLE AS ratio
+            FROM levels WINDOW o AS (PARTITION BY level, lang, source, s ORDER BY b)),
+        limits AS (
+            SELECT level, lang, source, s, docs, (max({{'ratio': ratio, 'b': -b, 'most': (b + nxt) // 2}}) FILTER (WHERE 10 * below >= {10 - rules.TAIL_TENTHS} * docs AND ratio >= {rules.GAP})).most AS most
             FROM ranked GROUP BY ALL),
-        limits AS (SELECT level, lang, source, s, docs, mid + greatest([{", ".join(map(str, rules.SIGNALS.values()))}][s], {rules.SPREAD} * (mid - low)) AS most FROM mids),
         chosen AS (
             SELECT o.lang, o.source, o.s, CASE WHEN o.docs >= {rules.MIN_DOCS} THEN o.most WHEN l.docs >= {rules.MIN_DOCS} THEN l.most ELSE e.most END AS most
             FROM (SELECT * FROM limits WHERE level = 0) o

@@ -5,9 +5,10 @@ distribution is kept as a quantile sketch: a histogram whose buckets are exact u
 bits, so that a quantile is off by less than one part in SUB / 2. A sketch is the counts of its buckets: sketches
 merge by adding counts, in any order and with the same result, and have a few hundred buckets at most. A group with
 fewer than MIN_DOCS documents takes the thresholds of its language, and a language with fewer those of all rows; those
-sketches are merged from the groups'. A threshold is the median plus the wider of a least width and SPREAD times the
-distance from the low quantile to the median: junk sits in the upper tail, so only the lower half says how widely a
-group's ordinary documents vary. The thresholds are then joined to the documents, which are filtered.
+sketches are merged from the groups'. Junk sits in a cluster of its own in the upper tail: a threshold lies in the middle of
+the widest gap (by ratio, counted from one sketch's exact part on) of the group's own sketch above which TAIL of the documents
+or fewer lie, if the gap's ends are GAP times apart or more; a group without such a gap has no junk of that kind and no
+threshold. No cutoff is fixed. The thresholds are then joined to the documents, which are filtered.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ LETTERS = UPPER + bytes(range(97, 123))
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SUB = 64
 MIN_DOCS = 100
-SPREAD, LOW = 4, 0.1
-#: Signals and the least distance of their thresholds from the median, per thousand.
-SIGNALS = {"symbol_rate": 100, "shout_rate": 100, "upper_rate": 300}
+#: A gap's least ratio, its ends counted from -SUB (below SUB a sketch is exact, so lesser differences are noise), and the greatest part of the documents above it, in tenths.
+GAP, TAIL_TENTHS = 2, 3
+#: Signals, per thousand.
+SIGNALS = ("symbol_rate", "shout_rate", "upper_rate")
 #: Groups whose thresholds are broadcast at most; beyond, the join is left to Spark.
 BROADCAST_GROUPS = 100_000
 
@@ -104,11 +106,11 @@ def thresholds(stats: DataFrame) -> DataFrame:
     levels.append(sketch.groupBy("signal", "b").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "signal", "b", "n"))
     merged = levels[0].unionByName(levels[1]).unionByName(levels[2])
     whole = Window.partitionBy("level", "lang", "source", "signal")
-    ranked = merged.withColumn("below", F.sum("n").over(whole.orderBy("b"))).withColumn("docs", F.sum("n").over(whole))
-    least = F.create_map(*[F.lit(x) for kv in SIGNALS.items() for x in kv])
-    quantile = lambda q: F.min(F.when(F.col("below") >= F.ceil(F.col("docs") * F.lit(q)), F.col("b")))
-    limits = ranked.groupBy("level", "lang", "source", "signal", "docs").agg(quantile(0.5).alias("mid"), quantile(LOW).alias("low"))
-    limits = limits.select("level", "lang", "source", "docs", "signal", (F.col("mid") + F.greatest(least[F.col("signal")].cast("long"), SPREAD * (F.col("mid") - F.col("low")))).alias("most"))
+    ordered = whole.orderBy("b")
+    ranked = merged.withColumn("below", F.sum("n").over(ordered)).withColumn("docs", F.sum("n").over(whole)).withColumn("next", F.lead("b").over(ordered))
+    ratio = (F.col("next") + SUB) / (F.col("b") + SUB)
+    gap = F.when((10 * F.col("below") >= (10 - TAIL_TENTHS) * F.col("docs")) & (ratio >= GAP), F.struct(ratio.alias("ratio"), (-F.col("b")).alias("b"), F.floor((F.col("b") + F.col("next")) / 2).alias("most")))
+    limits = ranked.groupBy("level", "lang", "source", "signal", "docs").agg(F.max(gap)["most"].alias("most"))
     wide = limits.groupBy("level", "lang", "source", "docs").agg(*[F.max(F.when(F.col("signal") == k, F.col("most"))).alias(f"most_{k}") for k in SIGNALS])
     own, lang, everything = (wide.where(F.col("level") == k) for k in range(3))
     lang = lang.select(F.col("lang").alias("lang1"), F.col("docs").alias("docs1"), *[F.col(f"most_{k}").alias(f"lang_{k}") for k in SIGNALS])

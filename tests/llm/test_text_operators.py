@@ -796,6 +796,32 @@ def test_rules_adapt_to_the_group(spark):
     assert all(got[k] for k in range(600)) and not got[900] and got[901]
 
 
+def test_thresholds_are_set_by_their_groups(spark):
+    """On all of sf0.1: thresholds lie in gaps of the groups' own sketches, differ between groups, and reject no good document beyond the base rule."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    stats = rules.apply_rules(docs).cache()
+    limits = [tuple(r)[2:] for r in rules.thresholds(stats).collect()]
+    assert len(limits) == 80 and sum(x is not None for r in limits for x in r) >= 200
+    assert all(len({r[k] for r in limits}) > 10 for k in range(3))
+    judged = stats.where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    assert {r.quality: r.kept for r in judged}[1] == 1 and {r.quality: r.kept for r in judged}[0] < 0.1
+    stats.unpersist()
+
+
+def test_a_sketch_without_a_gap_sets_no_threshold(spark):
+    rows = [("en", "s", 100, k % 60, 0, 10 * (k % 30)) for k in range(400)]
+    limits = rules.thresholds(spark.createDataFrame(rows, "lang string, source string, n_words long, symbol_rate long, shout_rate long, upper_rate long")).collect()
+    assert [tuple(r) for r in limits] == [("en", "s", None, None, None)]
+    more = rows + [("en", "s", 100, 900, 0, 0)] * 20
+    assert rules.thresholds(spark.createDataFrame(more, "lang string, source string, n_words long, symbol_rate long, shout_rate long, upper_rate long")).first().limit_symbol_rate == (59 + 896) // 2
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(10,1)", "double"])
+def test_lines_need_whole_ids(spark, kind):
+    with pytest.raises(TypeError, match="whole number"):
+        lines.drop_common_lines(spark.range(3).select(F.col("id").cast(kind).alias("doc_id"), F.lit("a line").alias("text")))
+
+
 def test_clashing_names(spark):
     """Columns named as the operators name their own stay as they are."""
     text = "\n".join(" ".join(f"w{k}of{j}" for j in range(8)) for k in range(12))
