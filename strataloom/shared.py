@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,8 +18,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy of df in the shared folder, which survives the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_root(df.sparkSession) + "/checkpoints")
-    return df.checkpoint()
+    """A copy of df in a table of its own in the shared folder, which survives the loss of any executor.
+
+    A written table, not checkpoint(): what is read back has the size of its files, while a checkpoint keeps the estimate of the plan it was made by, which loops that join
+    with themselves square in each round.
+    """
+    path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

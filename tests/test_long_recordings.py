@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import bands, greedy, intervals, rounds, scans
-from strataloom.params import Captions, Thoughts
+from strataloom.params import Captions, Framing, Thoughts
 
 
 def said(seed=1, sizes=(240, 0, 1, 2, 45), pauses=(0.05,) * 20 + (0.8, 2.5, 9.0)):
@@ -151,3 +151,30 @@ def test_order_statistics(spark):
     assert {r.k: (r.n, *r.stats) for r in got.collect()} == {k: (len(v), (s := sorted(v))[int(len(v) * 0.9)], s[int(len(v) * 0.1)], s[-1], None, s[0]) for k, v in values.items()}
     whole = intervals.percentile(spark.createDataFrame([(1, x) for x in (5, 1, 4, 2, 2)], "k int, v int"), ["k"], "v", 0.5, "p")
     assert [tuple(r) for r in whole.collect()] == [(1, 2)]
+
+
+def test_framing_in_pieces(spark):
+    """plan_long gives plan_framing's plans and paths, whatever the pieces."""
+    from strataloom.operators import tracking
+    from strataloom.operators.long_framing import plan_long
+
+    r = random.Random(7)
+    rows = []
+    for key, (n, size) in enumerate([(200, (1920, 1080)), (60, (1080, 1920)), (150, (1920, 1080)), (1, (1920, 1080)), (90, (1920, 1080)), (70, (1920, 1080))]):
+        x = 600.0
+        for f in range(n):
+            x = min(1700.0, max(50.0, x + r.gauss(0, 24 if key != 4 else 400)))
+            two = key == 2 and f % 40 > 6 or key == 4
+            faces = [(x, 200.0, 90.0, 100.0, 0.9)] + ([(x + 420.0, 210.0, 85.0 + 60 * (f // 60 % 2), 110.0, 0.8)] if two else [])
+            if key == 5 and f % 3:
+                faces = []
+            rows.append((key, f, 640.0, 360.0, [tuple(v / 3 if i < 4 else v for i, v in enumerate(b)) for b in faces if key == 2 or r.random() > 0.05], [(x / 3, 60.0, 50.0, 120.0, 0.7)], *size))
+    d = spark.createDataFrame(rows, f"k int, frame long, width double, height double, faces array<{tracking.BOX}>, humans array<{tracking.BOX}>, src_w int, src_h int")
+    sampled, durations = tracking.samples(d).cache(), d.groupBy("k").agg((F.max("frame") / 3.0).alias("duration"))
+    p = Framing(fast_median=0.5, fast_p90=5.0, jumps=2.0)
+    whole = {x.k: x for x in tracking.plan_framing(sampled, ["k"], durations, p).collect()}
+    assert {x["mode"] for x in whole.values()} == {"track", "jump", "letterbox"}, [(k, x["mode"], x.reason, x.switches, round(x.median_px_s), round(x.p90_px_s)) for k, x in whole.items()]
+    plans, paths = plan_long(sampled, ["k"], durations, p, piece=150)
+    assert {tuple(x) for x in plans.collect()} == {tuple(x)[:-1] for x in whole.values()}
+    got = {k: sorted((x.t, x.x) for x in paths.where(F.col("k") == k).collect()) for k in whole}
+    assert got == {k: [tuple(y) for y in x.crop_keys] for k, x in whole.items()}
