@@ -98,3 +98,11 @@ def xml_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def url_encode(text: Column) -> Column:
+    """Percent-encoded UTF-8 but for letters, digits and - . _ ~ (a space is %20, not a plus)."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out

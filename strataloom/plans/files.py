@@ -16,7 +16,7 @@ from ..shared import shared_root
 from ..sinks import writers as W
 from ..sources import readers as R
 from . import proxies as P
-from .catalog import STATS, U, _stats, query
+from .catalog import STATS, SUPPRESSED, U, _stats, query
 from .proxies import BASE, HOUR, WORDS
 
 
@@ -218,3 +218,62 @@ def verified_files(spark, sf):  # SNK-08: plans with a structural fault are held
     verdict = F.when((F.col("w") == "error") & (F.col("value") > 95), "STRUCTURAL").otherwise(F.col("w"))
     W.write_verified_plan(w.select("user_id", "event_id", verdict.alias("verdict")), path := scratch(spark), U)
     return spark.read.schema("user_id bigint, event_id bigint, verdict string").json(path)
+
+
+# -- documents of the later stages ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {WORDS}, {SEC}, v AS (SELECT user_id, max(i) AS n FROM w GROUP BY 1),
+    q AS (SELECT w.user_id, i, CASE WHEN event_id % 2 = 0 THEN 0.5::DOUBLE WHEN w.user_id % 3 = 0 THEN 0.61::DOUBLE ELSE 0.73::DOUBLE END AS y, event_id % 90 + 1 AS f FROM w),
+    r AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY i) IS DISTINCT FROM y AS opens FROM q WHERE user_id % 5 <> 0),
+    t AS (SELECT user_id, count(*) FILTER (WHERE opens)::INT AS n_track, sum(f) / 30.0::DOUBLE AS track_end FROM r GROUP BY 1)
+    SELECT v.user_id, CASE WHEN user_id % 4 = 0 THEN '#00FF' || lpad((user_id % 100)::VARCHAR, 2, '0') ELSE '#7C5CFF' END AS color, CASE WHEN user_id % 7 <> 0 AND user_id % 6 = 0 THEN 600 ELSE 800 END AS font_weight,
+           CASE WHEN user_id % 7 = 0 OR user_id % 3 <> 0 THEN 0.73::DOUBLE ELSE 0.61::DOUBLE END AS caption_y, CASE WHEN user_id % 7 = 0 OR user_id % 2 <> 0 THEN '' ELSE 'Clip "' || user_id || '"' END AS title, 3.0::DOUBLE AS title_sec,
+           n::INT AS n_words, (SELECT w FROM sec WHERE sec.user_id = v.user_id AND sec.i = 1) AS first_text, (SELECT z FROM sec WHERE sec.user_id = v.user_id AND sec.i = v.n) AS last_end, n_track, track_end
+    FROM v LEFT JOIN t USING (user_id)""".replace("CASE WHEN user_id % 4 = 0 THEN '#00FF'", "CASE WHEN user_id % 7 <> 0 AND user_id % 4 = 0 THEN '#00FF'").replace("WHEN w.user_id % 3 = 0 THEN 0.61", "WHEN w.user_id % 7 <> 0 AND w.user_id % 3 = 0 THEN 0.61"))
+def render_props(spark, sf):  # SNK-13 SRC-10 SET-07 WIN-09, by VARIANT
+    u = F.col("user_id")
+    w = P.words(spark, sf)
+    when = lambda test, value: F.when(test, value)
+    settings = F.to_json(F.struct(
+        when(u % 4 == 0, F.concat(F.lit("#00FF"), F.lpad((u % 100).cast("string"), 2, "0"))).alias("color"), when(u % 6 == 0, 600).alias("fontWeight"), when(u % 3 == 0, 0.61).alias("captionY"),
+        when(u % 2 == 0, F.concat(F.lit('Clip "'), u.cast("string"), F.lit('"'))).alias("title"), F.lit("soon").alias("titleSec"), F.struct(u.alias("nested")).alias("others"),
+    ))
+    settings = F.when(u % 7 == 0, "{not json").otherwise(settings)
+    fps = F.lit(30.0)
+    videos = w.groupBy("user_id").agg(F.lit("clip.mp4").alias("file"), F.lit(1080).alias("width"), F.lit(1920).alias("height"), fps.alias("fps"), (F.max("e") / 1000.0).alias("duration")).withColumn("settings", settings)
+    high = F.when((u % 7 != 0) & (u % 3 == 0), 0.61).otherwise(0.73)
+    regions = w.where(u % 5 != 0).select("user_id", "i", (F.col("i") * 100).alias("in_frame"), (F.col("i") * 100 + F.col("event_id") % 90 + 1).alias("out_frame"), F.when(F.col("event_id") % 2 == 0, "split").otherwise("crop").alias("mode"), fps.alias("fps"), high.alias("caption_y"))
+    spoken = w.select("user_id", "i", F.col("w").alias("text"), seconds("s").alias("start"), seconds("e").alias("end"))
+    path = written(spark, W.render_props(spoken, videos, W.caption_track(regions, U, "i"), U, "i"))
+    read = spark.read.option("wholetext", True).text(path).withColumn("p", F.parse_json("value"))
+    get = lambda at, kind: F.variant_get("p", at, kind)
+    got = read.select("user_id", get("$.words", "array<struct<text:string,start:double,end:double>>").alias("words"), get("$.track", "array<struct<start:double,end:double,y:double>>").alias("track"), get("$.chip.color", "string").alias("color"), get("$.fontWeight", "int").alias("font_weight"), get("$.captionY", "double").alias("caption_y"), get("$.title.text", "string").alias("title"), get("$.title.sec", "double").alias("title_sec"))
+    last = lambda a, f: F.get(a, F.size(a) - 1)[f]
+    return got.select(F.col("user_id").cast("long").alias("user_id"), "color", "font_weight", "caption_y", "title", "title_sec", F.size("words").alias("n_words"), F.get("words", F.lit(0))["text"].alias("first_text"), last("words", "end").alias("last_end"), F.when(F.col("track").isNotNull(), F.size("track")).alias("n_track"), last("track", "end").alias("track_end"))
+
+
+@query(f"WITH {WORDS}, {SEC} SELECT user_id, (i - 1)::INT AS n, w AS text, a AS start, z AS \"end\" FROM sec")
+def caption_word_files(spark, sf):  # SNK-09: a document for each clip, here a user's words
+    w = P.words(spark, sf).select("user_id", "i", F.col("w").alias("text"), seconds("s").alias("start"), seconds("e").alias("end"))
+    W.write_documents(W.as_document(w, U, "i", "words", ["text", "start", "end"]), path := scratch(spark), U)
+    read = spark.read.schema("words array<struct<text:string,start:double,end:double>>, user_id long").option("multiLine", True).json(path)
+    return read.select("user_id", F.posexplode("words").alias("n", "x")).select("user_id", "n", "x.text", "x.start", "x.end")
+
+
+@query(SUPPRESSED + " WHERE winner IS NULL")
+def kept_clip_files(spark, sf):  # SNK-06 INT-05: what lost is never written
+    from ..operators import greedy
+
+    clips = P.words(spark, sf).select("user_id", "event_id", F.floor(F.col("value") * 100).alias("score"), F.col("s").alias("a"), (F.col("s") + 6 * HOUR).alias("b"))
+    kept = W.kept_only(greedy.suppress_overlaps(clips, U, "score", "event_id", "a", "b"))
+    W.write_documents(W.as_document(kept, U, "event_id", "clips", ["event_id", "score", "a", "b"]), path := scratch(spark), U)
+    read = spark.read.schema("clips array<struct<event_id:long,score:long,a:long,b:long>>, user_id long").option("multiLine", True).json(path)
+    return read.select("user_id", F.explode("clips").alias("x")).select("user_id", "x.event_id", F.lit(None).cast("long").alias("winner"))
+
+
+@query("SELECT page_id, url_encode(url) AS encoded, url_encode(substr(html, 1, 200)) AS head FROM pages")
+def encoded_names(spark, sf):  # SCL-33
+    from ..functions.text import url_encode
+
+    return P.table(spark, sf, "pages").select("page_id", url_encode(F.col("url")).alias("encoded"), url_encode(F.substring("html", 1, 200)).alias("head"))

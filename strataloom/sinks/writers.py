@@ -99,3 +99,44 @@ def write_verified_plan(verified: DataFrame, path: str, keys: list[str]) -> Data
 def write_revived(rows: DataFrame, path: str) -> None:
     """clip, mode, status, score, dur, hook_mode, title, reason as CSV with a header."""
     rows.select("clip", "mode", "status", "score", "dur", "hook_mode", "title", "reason").write.option("header", True).csv(path)
+
+
+#: Fixed values of the caption renderer: what a package's settings overlay.
+RENDER_DEFAULTS = {"color": "#7C5CFF", "fontWeight": 800, "title": "", "titleSec": 3.0, "captionY": 0.73}
+SEAM = 0.5
+
+
+def caption_track(regions: DataFrame, keys: list[str], order: str, fps: str = "fps", caption_y: str = "caption_y") -> DataFrame:
+    """keys and track: where captions stand (y) from start to end on the output timeline; on the seam over splits. Regions of equal height are one.
+
+    regions: in_frame, out_frame and mode in order, with fps and the height of captions over all but splits.
+    """
+    from ..operators.intervals import merge_equal, running_offsets
+
+    y = F.when(F.col("mode") == "split", F.lit(SEAM)).otherwise(F.col(caption_y))
+    placed = running_offsets(regions, keys, order, F.col("out_frame") - F.col("in_frame")).select(*keys, order, y.alias("y"), (F.col("timeline_start") / F.col(fps)).alias("start"), (F.col("timeline_end") / F.col(fps)).alias("end"))
+    runs = merge_equal(placed, keys, order, "y", "start", "end")
+    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "y"))).alias("track"))
+
+
+def render_props(words: DataFrame, videos: DataFrame, tracks: DataFrame, keys: list[str], order: str, settings: str = "settings") -> DataFrame:
+    """keys and value: the document that the caption renderer reads: video, words, chip, fontWeight, captionY, track and title.
+
+    words: text, start, end in order; videos: a row for each keys with file, width, height, fps, duration and settings, JSON text of any keys. It is parsed to a VARIANT: known
+    keys of the right type overlay RENDER_DEFAULTS, others are left alone, and text that isn't JSON overlays nothing. tracks: see caption_track; without one, track is null.
+    """
+    own = F.try_parse_json(F.col(settings))
+    kinds = {"color": "string", "fontWeight": "int", "title": "string", "titleSec": "double", "captionY": "double"}
+    known = {k: F.coalesce(F.try_variant_get(own, f"$.{k}", kind), F.lit(RENDER_DEFAULTS[k]).cast(kind)) for k, kind in kinds.items()}
+    spoken = words.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.struct("text", "start", "end").alias("w")))), lambda x: x["w"]).alias("words"))
+    rows = videos.join(spoken, keys, "left").join(tracks, keys, "left").withColumns({f"_{k}": v for k, v in known.items()})
+    document = F.struct(
+        F.struct("file", "width", "height", "fps", "duration").alias("video"), F.coalesce("words", F.array().cast("array<struct<text:string,start:double,end:double>>")).alias("words"), F.struct(F.col("_color").alias("color")).alias("chip"),
+        F.col("_fontWeight").alias("fontWeight"), F.col("_captionY").alias("captionY"), "track", F.struct(F.col("_title").alias("text"), F.col("_titleSec").alias("sec")).alias("title"),
+    )
+    return rows.select(*keys, F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def kept_only(clips: DataFrame) -> DataFrame:
+    """The clips that suppression kept (winner null): a loser's files are never written, so there are none to delete."""
+    return clips.where("winner IS NULL").drop("winner")
