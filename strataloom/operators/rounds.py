@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,31 +49,32 @@ def spacing_links(points: DataFrame, spacing) -> DataFrame:
 def suppress_by_rounds(clips: DataFrame, keys: list[str], score: str, number: str, start: str, end: str, width: float) -> DataFrame:
     """As greedy.suppress_overlaps, for keys with any number of clips.
 
-    Overlaps of different spans are edges from the worse to the better clip, by a join on time buckets of width. In each round clips that no undecided better one
-    overlaps are kept, and what they overlap goes, until all are decided: as many rounds as the longest chain of clips that wait for each other. Clips of
-    the same span count once: the best of them speaks for all.
+    In each round a clip that is the best undecided one in every time bucket that it touches is kept (whatever overlaps it touches one of them, so nothing better can come),
+    and what it overlaps goes; until all are decided. A bucket has one such clip at most, so every step is an aggregation by bucket or a join with one row of each,
+    and no pair of clips is made but of a clip and those kept, which are apart from each other. The best clip left is always kept; the rounds are as many as
+    the longest chain of clips that wait for each other. Clips of the same span count once: the best of them speaks for all.
+
+    width is the buckets' size; about the clips' usual length is best.
     """
     rank = F.struct((-F.col(score)).alias("s"), F.col(number).alias("n"), F.col(start).alias("a"), F.col(end).alias("b"))
     rows = clips.withColumn("_key", F.struct(*keys)).withColumn("_rank", rank).withColumn("_fit", F.coalesce(F.col(start) <= F.col(end), F.lit(False)))
     spans = checkpointed(rows.where("_fit").groupBy("_key", F.col(start).alias("_a"), F.col(end).alias("_b")).agg(F.min("_rank").alias("_r")))
-    other = spans.select("_key", F.col("_a").alias("_a2"), F.col("_b").alias("_b2"), F.col("_r").alias("_better"))
-    edges = overlap_join(spans, other, ["_key"], ("_a", "_b"), ("_a2", "_b2"), width, closed=True).where(F.col("_better") < F.col("_r")).select("_key", "_r", "_better")
-    edges = every = checkpointed(edges)
-    undecided, kept = spans.select("_key", "_r"), None
+    touched = F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))
+    undecided, kept = spans.withColumn("_bucket", F.explode(touched)), []
     while True:
-        won = checkpointed(undecided.join(edges, ["_key", "_r"], "left_anti"))
-        kept = won if kept is None else kept.unionByName(won)
-        best = won.withColumnRenamed("_r", "_better")
-        lost = checkpointed(edges.join(best, ["_key", "_better"], "left_semi").select("_key", "_r").distinct())
-        edges = checkpointed(edges.join(lost, ["_key", "_r"], "left_anti").join(lost.withColumnRenamed("_r", "_better"), ["_key", "_better"], "left_anti"))
-        undecided = checkpointed(undecided.join(won, ["_key", "_r"], "left_anti").join(lost, ["_key", "_r"], "left_anti"))
+        best = undecided.groupBy("_key", "_bucket").agg(F.min("_r").alias("_w"))
+        won = checkpointed(undecided.join(best, ["_key", "_bucket"]).groupBy("_key", "_r", "_a", "_b").agg(F.min((F.col("_w") == F.col("_r")).cast("int")).alias("_won")).where("_won = 1").drop("_won"))
+        kept.append(won)
+        there = won.withColumn("_bucket", F.explode(touched)).select("_key", "_bucket", F.col("_a").alias("_wa"), F.col("_b").alias("_wb"))
+        lost = undecided.join(there, ["_key", "_bucket"]).where((F.col("_wa") <= F.col("_b")) & (F.col("_a") <= F.col("_wb"))).select("_key", "_r").distinct()  # the winners themselves too
+        undecided = checkpointed(undecided.join(lost, ["_key", "_r"], "left_anti"))
         if undecided.isEmpty():
             break
-    by = every.join(kept.withColumnRenamed("_r", "_better"), ["_key", "_better"], "left_semi").groupBy("_key", "_r").agg(F.min("_better").alias("_by"))
-    decided = spans.join(by, ["_key", "_r"], "left").select("_key", F.col("_a").alias(start), F.col("_b").alias(end), "_r", "_by")
+    chosen = reduce(DataFrame.unionByName, kept).select("_key", F.col("_a").alias("_wa"), F.col("_b").alias("_wb"), F.col("_r").alias("_w"))
+    by = overlap_join(spans, chosen, ["_key"], ("_a", "_b"), ("_wa", "_wb"), width, closed=True).groupBy("_key", "_r").agg(F.min("_w").alias("_by"))
+    decided = spans.join(by, ["_key", "_r"]).select("_key", F.col("_a").alias(start), F.col("_b").alias(end), "_by")
     fit = rows.where("_fit").join(decided, ["_key", start, end])
     again = F.row_number().over(Window.partitionBy("_key", "_rank").orderBy("_rank")) > 1
-    winner = F.when(F.col("_by").isNotNull(), F.col("_by.n")).when((F.col("_rank") != F.col("_r")) | F.col("_again"), F.col("_r.n"))
-    beaten = fit.withColumn("_again", again).withColumn("winner", winner)
+    beaten = fit.withColumn("_again", again).withColumn("winner", F.when((F.col("_rank") != F.col("_by")) | F.col("_again"), F.col("_by.n")))
     alone = rows.where("NOT _fit").withColumn("winner", F.lit(None).cast(clips.schema[number].dataType))
     return beaten.select(*clips.columns, "winner").unionByName(alone.select(*clips.columns, "winner"))
