@@ -1,8 +1,11 @@
 """Interval joins: points in intervals, overlapping intervals, nearest matches.
 
-A bare range predicate plans as a nested loop. These add an equality on time buckets instead: the intervals are put in
-every bucket they touch, with the join's own tolerances, the points in one, and the exact predicate stays. The result is
-a hash or sort-merge join on (key, bucket), which shuffles evenly, keeps no product and leaves skew to AQE.
+A bare range predicate plans as a nested loop. These add an equality on time buckets instead: an interval is put in every
+bucket that it touches, with the join's own tolerances, a point in the one that holds it, and the exact predicate stays. The result is
+a hash or sort-merge join on (key, level, bucket), which shuffles evenly, keeps no product and leaves skew to AQE.
+
+Buckets come in levels, each FAN times as wide as the one below. An interval uses the first level at which it touches FAN + 2 at most, however long
+it is; points are looked up on the levels that some interval uses (a scalar subquery finds them), mostly one.
 """
 
 from __future__ import annotations
@@ -15,29 +18,67 @@ def _bucket(at: Column, width) -> Column:
     return F.floor(at / width).cast("long")
 
 
-def band_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, before: float = 0, after: float = 0, closed: bool = False, how: str = "inner") -> DataFrame:
-    """Each point with every interval of its keys where start - before <= at < end + after (<= if closed).
+#: How many times wider each level's buckets are.
+FAN = 16
 
-    width is the buckets' size; about the intervals' usual length is best. Columns other than keys must differ. how: inner,
-    left, left_semi or left_anti. An interval with a null bound, like a point without a time, meets nothing.
-    """
+
+def _level(length: Column, width) -> Column:
+    """The first level at which an interval of the length touches FAN + 2 buckets at most."""
+    over = length.cast("double") / (FAN * width)
+    return F.when(over > 1, F.ceil(F.log2(over) / F.log2(F.lit(FAN)))).otherwise(0).cast("int")
+
+
+def _at(x: Column, width, level: Column) -> Column:
+    """The bucket of x on a level. Dividing keeps the order, so an interval's buckets are those between its ends'."""
+    return F.floor(x / (F.lit(float(width)) * F.pow(F.lit(float(FAN)), level))).cast("long")
+
+
+def _used(*levels: DataFrame) -> Column:
+    """The levels (column _own) in use, as an array from a scalar subquery."""
+    every = levels[0].select("_own")
+    for d in levels[1:]:
+        every = every.unionByName(d.select("_own"))
+    return F.coalesce(every.agg(F.array_sort(F.collect_set("_own")).alias("levels")).scalar(), F.array(F.lit(0)))
+
+
+def _leveled(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, before: float, after: float, closed: bool, how: str) -> DataFrame:
+    """The join of band_join on every level in use: of the rows that a point gets on its levels, only those of a match mean something if how is left."""
     lo, hi = F.col(start) - F.lit(before), F.col(end) + F.lit(after)
-    spread = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (lo <= hi))
-    spread = spread.withColumn("_bucket", F.explode(F.sequence(_bucket(lo, width), _bucket(hi, width))))
+    own = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (lo <= hi)).withColumn("_own", _level(hi - lo, width))
+    spread = own.withColumn("_bucket", F.explode(F.sequence(_at(lo, width, F.col("_own")), _at(hi, width, F.col("_own"))))).withColumnRenamed("_own", "_level")
+    p = points.withColumn("_level", F.explode(_used(own))).withColumn("_bucket", _at(F.col(at), width, F.col("_level"))).alias("p")
     inside = (F.col(at) >= lo) & (F.col(at) <= hi if closed else F.col(at) < hi)
-    p, q = points.withColumn("_bucket", _bucket(F.col(at), width)).alias("p"), spread.alias("q")
-    same = (F.col("p._bucket") == F.col("q._bucket")) & inside
+    same = (F.col("p._level") == F.col("q._level")) & (F.col("p._bucket") == F.col("q._bucket")) & inside
     for k in keys:
         same = same & (F.col(f"p.{k}") == F.col(f"q.{k}"))
-    out = p.join(q, same, how)
-    left = [F.col(f"p.{c}") for c in points.columns]
-    return out.select(*left, *([] if how in ("left_semi", "left_anti") else [F.col(f"q.{c}") for c in intervals.columns if c not in keys]))
+    out = p.join(spread.alias("q"), same, how)
+    return out.select(*[F.col(f"p.{c}") for c in points.columns], *([] if how == "left_semi" else [F.col(f"q.{c}") for c in intervals.columns if c not in keys]), *([] if how == "left_semi" else [F.col("q._bucket").isNotNull().alias("_met")]))
+
+
+def band_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, before: float = 0, after: float = 0, closed: bool = False, how: str = "inner") -> DataFrame:
+    """Each point with every interval of its keys where start - before <= at < end + after (<= if closed).
+
+    width is the narrowest buckets' size; about the intervals' usual length is best. Columns other than keys must differ. how: inner,
+    left, left_semi or left_anti. An interval with a null bound, like a point without a time, meets nothing.
+    """
+    find = lambda p, kind: _leveled(p, intervals, keys, at, start, end, width, before, after, closed, kind)
+    if how == "inner":
+        return find(points, "inner").drop("_met")
+    tagged = points.withColumn("_point", F.monotonically_increasing_id())
+    point = F.struct(*points.columns)
+    if how == "left_semi":
+        return find(tagged, "left_semi").groupBy("_point").agg(F.first(point).alias("_row")).select("_row.*")
+    others = [c for c in intervals.columns if c not in keys]
+    met = find(tagged, "left").groupBy("_point").agg(F.first(point).alias("_row"), F.collect_list(F.when(F.col("_met"), F.struct(*others) if others else F.struct("_met"))).alias("_hits"))
+    if how == "left_anti":
+        return met.where(F.size("_hits") == 0).select("_row.*")
+    return met.select("_row", F.explode_outer("_hits").alias("_hit")).select("_row.*", *[F.col(f"_hit.{c}").alias(c) for c in others])
 
 
 def first_block(points: DataFrame, blocks: DataFrame, keys: list[str], at: str, start: str, end: str, number: str, out: str, width: float, before: float = 0.15, after: float = 0.05) -> DataFrame:
     """points with column out: the least number of the blocks that hold them, or -1. Repeated points are rows of their own."""
     tagged = points.withColumn("_point", F.monotonically_increasing_id())
-    hit = band_join(tagged, blocks.select(*keys, start, end, number), keys, at, start, end, width, before, after, how="left")
+    hit = _leveled(tagged, blocks.select(*keys, start, end, number), keys, at, start, end, width, before, after, False, "left")
     best = hit.groupBy("_point").agg(F.first(F.struct(*points.columns)).alias("_row"), F.coalesce(F.min(number), F.lit(-1)).alias(out))
     return best.select(*[F.col(f"_row.{c}").alias(c) for c in points.columns], out)
 
@@ -64,13 +105,20 @@ def first_onset(blocks: DataFrame, onsets: DataFrame, keys: list[str], start: st
 def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: float, closed: bool = False) -> DataFrame:
     """Pairs of overlapping intervals (b ends after a starts and starts before a ends; if closed, touching ones too), each once.
 
-    Both sides are bucketed; a pair is kept only in the first bucket that they share.
+    Both sides are put in the buckets of their own level and of those above it that are in use, two or so on each. A pair is kept on the higher of its two levels, and there in the
+    first bucket that it shares. Intervals with a null bound, or that end before they start, meet nothing.
     """
-    spread = lambda d, s: d.withColumn("_bucket", F.explode(F.sequence(_bucket(F.col(s[0]), width), _bucket(F.col(s[1]), width))))
-    p, q = spread(a.where(F.col(a_span[0]) <= F.col(a_span[1])), a_span).alias("p"), spread(b.where(F.col(b_span[0]) <= F.col(b_span[1])), b_span).alias("q")
+    leveled = [(d.where(F.col(x) <= F.col(y)).withColumn("_own", _level(F.col(y) - F.col(x), width)), x, y) for d, (x, y) in ((a, a_span), (b, b_span))]
+    levels = _used(*[d for d, _, _ in leveled])
+
+    def spread(d: DataFrame, x: str, y: str) -> DataFrame:
+        on = d.withColumn("_level", F.explode(levels)).where(F.col("_level") >= F.col("_own"))
+        return on.withColumn("_bucket", F.explode(F.sequence(_at(F.col(x), width, F.col("_level")), _at(F.col(y), width, F.col("_level")))))
+
+    p, q = (spread(*t).alias(n) for t, n in zip(leveled, "pq", strict=True))
     over = (F.col(b_span[1]) >= F.col(a_span[0])) & (F.col(b_span[0]) <= F.col(a_span[1])) if closed else (F.col(b_span[1]) > F.col(a_span[0])) & (F.col(b_span[0]) < F.col(a_span[1]))
-    meets = over & (F.col("p._bucket") == F.col("q._bucket"))
-    meets = meets & (F.col("p._bucket") == F.greatest(_bucket(F.col(a_span[0]), width), _bucket(F.col(b_span[0]), width)))
+    meets = (F.col("p._level") == F.col("q._level")) & (F.col("p._bucket") == F.col("q._bucket")) & over & (F.col("p._level") == F.greatest(F.col("p._own"), F.col("q._own")))
+    meets = meets & (F.col("p._bucket") == F.greatest(_at(F.col(a_span[0]), width, F.col("p._level")), _at(F.col(b_span[0]), width, F.col("q._level"))))
     for k in keys:
         meets = meets & (F.col(f"p.{k}") == F.col(f"q.{k}"))
     return p.join(q, meets).select(*[F.col(f"p.{c}") for c in a.columns], *[F.col(f"q.{c}") for c in b.columns if c not in keys])
@@ -116,5 +164,6 @@ def as_of_segment(points: DataFrame, track: DataFrame, keys: list[str], at: str,
     """points with the value of the first track segment that holds them, else of the last segment; null without a track."""
     last = track.groupBy(*keys).agg(F.max_by(value, order).alias("_last"))
     tagged = points.withColumn("_point", F.monotonically_increasing_id())
-    hits = band_join(tagged, track.select(*keys, start, end, value, order), keys, at, start, end, width).groupBy("_point").agg(F.min_by(value, order).alias("_hit"), F.lit(True).alias("_any"))
-    return tagged.join(hits, "_point", "left").join(last, keys, "left").select(*points.columns, F.when(F.col("_any"), F.col("_hit")).otherwise(F.col("_last")).alias(value))
+    met = _leveled(tagged, track.select(*keys, start, end, F.col(value).alias("_value"), F.col(order).alias("_order")), keys, at, start, end, width, 0, 0, False, "left")
+    hits = met.groupBy("_point").agg(F.first(F.struct(*points.columns)).alias("_row"), F.min_by("_value", F.when(F.col("_met"), F.col("_order"))).alias("_hit"), F.max("_met").alias("_any"))
+    return hits.select("_row.*", "_hit", "_any").join(last, keys, "left").select(*points.columns, F.when(F.col("_any"), F.col("_hit")).otherwise(F.col("_last")).alias(value))

@@ -50,8 +50,8 @@ def snapped_windows(spark, sf):  # INT-02
     return _windows(P.words(spark, sf))
 
 
-def _stats(w: DataFrame, *more) -> DataFrame:
-    spans = _windows(w).select("user_id", "window", F.col("start").alias("w0"), F.col("end").alias("w1"))
+def _stats(w: DataFrame, *more, segments: DataFrame | None = None) -> DataFrame:
+    spans = _windows(w if segments is None else segments).select("user_id", "window", F.col("start").alias("w0"), F.col("end").alias("w1"))
     hits = bands.band_join(w, spans, U, "s", "w0", "w1", DAY, before=10)
     speech = F.sum(F.greatest(F.lit(0), F.least("e", "w1") - F.col("s")))
     stats = hits.groupBy("user_id", "window", "w0", "w1").agg(F.count("*").alias("n_words"), F.min("i").alias("first_word"), F.max("i").alias("last_word"), speech.alias("speech_ms"), bands.ordered_text("i", "w").alias("text"), *more)
@@ -77,7 +77,7 @@ def window_stats(spark, sf):  # JON-04 AGG-02 AGG-12 SCL-19
 def ranked_windows(spark, sf):  # the flagship: JON-01 INT-02 AGG-02 SRT-01
     w = P.words(spark, sf)
     tagged = bands.first_block(w.select("user_id", "i", "s", "e", "w"), P.blocks(w), U, "s", "b0", "b1", "b", "in_b", DAY, before=150, after=50)
-    return _stats(tagged, F.sum((F.col("in_b") >= 0).cast("long")).alias("n_in_blocks")).orderBy(F.desc("density"), "user_id", "window").limit(10)  # a top-k report
+    return _stats(tagged, F.sum((F.col("in_b") >= 0).cast("long")).alias("n_in_blocks"), segments=w).orderBy(F.desc("density"), "user_id", "window").limit(10)  # a top-k report
 
 
 @query(f"WITH {WORDS}, {BLOCKS} SELECT w.user_id, w.i, w.s, coalesce(min(b.b), -1) AS in_b FROM w LEFT JOIN b ON w.user_id = b.user_id AND w.s >= b0 - 150 AND w.s < b1 + 50 GROUP BY ALL")

@@ -144,3 +144,27 @@ def test_empty_tables(spark):
     assert greedy.snapped_windows(w, ["k"], ["i"], "s", "e").count() == 0
     assert greedy.build_cues(w, ["k"], ["i"], "w", "s", "e").count() == 0
     assert intervals.percentile(w, ["k"], "s", 0.5, "p").count() == 0
+
+
+def test_long_intervals_take_few_buckets(spark):
+    """An interval of a million widths beside short ones: few rows, every kind of join right, and still an equality join."""
+    r = random.Random(8)
+    points = [(r.choice([1, 2]), r.randint(-50, 2_000_000), n) for n in range(150)] + [(1, None, 900), (2, 77, 901), (2, 77, 901)]
+    spans = [(r.choice([1, 2]), a, a + r.choice([0, 1, 3, 40, 700, 90_000, 1_000_000]), n) for n, a in enumerate(r.randint(-20, 1_500_000) for _ in range(60))] + [(1, 5, None, 99), (1, 9, 3, 98)]
+    p, q = spark.createDataFrame(points, "k int, t int, n int"), spark.createDataFrame(spans, "k int, a int, b int, m int")
+    pairs = sorted((n, m) for k, t, n in points for j, a, b, m in spans if t is not None and b is not None and j == k and a <= t < b)
+    own = lambda how: bands.band_join(p, q, ["k"], "t", "a", "b", 1.0, how=how)
+    assert sorted((x.n, x.m) for x in own("inner").collect()) == pairs and pairs
+    hit = {n for n, _ in pairs}
+    assert sorted((x.n, x.m) for x in own("left").where("m IS NOT NULL").collect()) == pairs
+    assert sorted(x.n for x in own("left").where("m IS NULL").collect()) == sorted(n for _, _, n in points if n not in hit) == sorted(x.n for x in own("left_anti").collect())
+    assert sorted(x.n for x in own("left_semi").collect()) == sorted(n for _, _, n in points if n in hit)
+    a, b = q.toDF("k", "a0", "a1", "x"), q.toDF("k", "b0", "b1", "y")
+    for closed in (False, True):
+        got = sorted((x.x, x.y) for x in bands.overlap_join(a, b, ["k"], ("a0", "a1"), ("b0", "b1"), 1.0, closed).collect())
+        fit = [s for s in spans if s[2] is not None and s[1] <= s[2]]
+        assert got == sorted((s[3], u[3]) for s in fit for u in fit if s[0] == u[0] and (u[2] >= s[1] and u[1] <= s[2] if closed else u[2] > s[1] and u[1] < s[2]))
+    one = spark.createDataFrame([(1, 0, 1_000_000, 1)], "k int, a int, b int, m int").withColumn("_own", bands._level(F.col("b") - F.col("a"), 1.0))
+    assert one.select(F.size(F.sequence(bands._at(F.col("a"), 1.0, F.col("_own")), bands._at(F.col("b"), 1.0, F.col("_own")))).alias("n")).first().n < 50
+    plan = own("inner")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
