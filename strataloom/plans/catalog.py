@@ -771,17 +771,50 @@ def copy_faults(spark, sf):  # PRS-05 PRS-06
     return p.select("p_partkey", F.array_join(registry.copy_faults(F.col("p_name"), headline, why, tags, ("An",)), ";").alias("faults"))
 
 
-@query()
+INSIDE = "{x} BETWEEN {r}[1] AND {r}[1] + {r}[3] AND {y} BETWEEN {r}[2] AND {r}[2] + {r}[4]"
+SHARED = "greatest(0::DOUBLE, least({a}[1] + {a}[3], {b}[1] + {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0::DOUBLE, least({a}[2] + {a}[4], {b}[2] + {b}[4]) - greatest({a}[2], {b}[2]))"
+HOLDS = f"({{b}}[3] * {{b}}[4] > 0 AND {SHARED} / ({{b}}[3] * {{b}}[4]) >= 0.8::DOUBLE)"
+
+
+@query(f"""WITH {RECTS}, f AS (SELECT vec_id // 8 AS region, [a[1], a[2], a[3] - a[3] % 2, a[4]] AS box, vec_id % 3 + 1 AS hits, vec_id % 7 AS motion FROM r),
+    bl AS (SELECT vec_id // 8 AS region, vec_id AS number, b AS box, b[1] + b[3] / 2 AS cx, b[2] + b[4] / 2 AS cy, b[3] * b[4] AS area FROM r),
+    fr AS (SELECT *, box[1] + box[3] / 2 AS cx, box[2] + box[4] / 2 AS cy, box[3] * box[4] AS area FROM f),
+    fd AS (SELECT *, least(sqrt(cx * cx + cy * cy), sqrt((cx - 1000) * (cx - 1000) + cy * cy), sqrt(cx * cx + (cy - 600) * (cy - 600)), sqrt((cx - 1000) * (cx - 1000) + (cy - 600) * (cy - 600))) AS d FROM fr),
+    small AS (SELECT * FROM fd WHERE box[4] < 144 QUALIFY row_number() OVER (PARTITION BY region ORDER BY motion DESC, d, hits DESC, area DESC, box) = 1),
+    big AS (SELECT region, round((box[1] + box[3] / 2) / 1000, 3) AS full_face_x FROM fd WHERE box[4] >= 144 QUALIFY row_number() OVER (PARTITION BY region ORDER BY hits DESC, area DESC, box) = 1),
+    held AS (SELECT s.region, s.box, s.hits, arg_min(bl.box, bl.number) AS blob FROM small s LEFT JOIN bl ON bl.region = s.region AND {INSIDE.format(x="s.cx", y="s.cy", r="bl.box")} GROUP BY ALL),
+    pt AS (SELECT region, box, hits, coalesce(blob, [greatest(0, floor(box[1] - box[3] * 0.9::DOUBLE)), greatest(0, floor(box[2] - box[4] * 0.8::DOUBLE)), floor(box[3] * 2.8::DOUBLE), floor(box[4] * 3.2::DOUBLE)]) AS b FROM held),
+    xy AS (SELECT region, box, hits, b, greatest(0, b[1] - 4) AS x, greatest(0, b[2] - 3) AS y FROM pt),
+    own AS (SELECT region, [x, y, least(b[3] + 8, 1000 - x), least(b[4] + 7, 600 - y)] AS cam, box AS cam_face, hits / 3::DOUBLE AS conf FROM xy),
+    corner AS (SELECT region, arg_min(box, number) AS corner FROM bl WHERE (box[1] < 20 OR box[1] + box[3] > 980) AND (box[2] < 12 OR box[2] + box[4] > 588)
+               AND area / 600000 BETWEEN 0.015::DOUBLE AND 0.14::DOUBLE AND box[3] / box[4] BETWEEN 0.7::DOUBLE AND 2.4::DOUBLE GROUP BY 1),
+    cams AS (SELECT region, coalesce(cam, corner) AS cam, cam_face, coalesce(conf, CASE WHEN corner IS NOT NULL THEN 0.3::DOUBLE END) AS conf, full_face_x FROM own FULL JOIN corner USING (region) FULL JOIN big USING (region)),
+    outer_ AS (SELECT bl.* FROM bl LEFT JOIN cams USING (region) WHERE cam IS NULL OR NOT ({INSIDE.format(x="cx", y="cy", r="cam")})),
+    top AS (SELECT region, box AS best, cx AS bx FROM outer_ QUALIFY row_number() OVER (PARTITION BY region ORDER BY area * (0.35::DOUBLE + least(cx / 1000, 1 - cx / 1000)) DESC, number) = 1),
+    hull AS (SELECT region, min(box[1]) AS x, min(box[2]) AS y, max(box[1] + box[3]) AS x2, max(box[2] + box[4]) AS y2 FROM outer_ JOIN top USING (region) WHERE box = best OR abs(cx - bx) < best[3] * 0.75::DOUBLE GROUP BY 1),
+    moving AS (SELECT region, [x, y, x2 - x, y2 - y] AS motion FROM hull),
+    regions AS (SELECT * FROM cams FULL JOIN moving USING (region)),
+    panels AS (SELECT region, number, box FROM outer_ WHERE box[1] >= 20 AND box[1] + box[3] <= 980 AND area <= 510000),
+    ranked AS (SELECT region, p.box AS panel, coalesce({HOLDS.format(a="p.box", b="motion")}, false) AS holds, number FROM regions JOIN panels p USING (region)),
+    chosen AS (SELECT region, panel, holds FROM ranked QUALIFY row_number() OVER (PARTITION BY region ORDER BY holds DESC, number) = 1),
+    z AS (SELECT regions.*, panel, panel IS NOT NULL AND (motion IS NULL OR holds) AS use_panel FROM regions LEFT JOIN chosen USING (region)),
+    o AS (SELECT *, CASE WHEN use_panel THEN panel ELSE motion END AS content FROM z),
+    t AS (SELECT region, conf, full_face_x, motion IS NULL AND panel IS NULL AS void, CASE WHEN use_panel THEN 'panel' WHEN motion IS NOT NULL THEN 'motion' END AS content_source, cam, cam_face, motion, panel, content FROM o)
+    SELECT region, conf, full_face_x, void, content_source, {", ".join(f"array_to_string(list_transform({c}, lambda v: v::BIGINT), ',') AS {c}" for c in ("cam", "cam_face", "motion", "panel", "content"))},
+           CASE WHEN full_face_x IS NOT NULL THEN 'crop face_x=' || full_face_x WHEN void AND cam IS NOT NULL THEN 'zoom on cam' WHEN cam IS NOT NULL AND content IS NOT NULL THEN 'split' ELSE 'full' END AS suggest FROM t""")
 def probe_choices(spark, sf):  # GEO-11 GEO-13 JON-13 AGG-09 SRT-06 SRT-08
-    r = P.rects(spark, sf)
-    k = ["label"]
+    """A region for each eight vectors: their first rectangles are its faces, their second its moving parts and panels."""
+    r = P.rects(spark, sf).withColumn("region", F.floor(F.col("vec_id") / 8))
+    k = ["region"]
     size = lambda d: d.withColumn("width", F.lit(1000)).withColumn("height", F.lit(600))
-    faces = size(r.select("label", F.col("a").alias("box"), (F.col("vec_id") % 3 + 1).alias("hits"), F.lit(3).alias("frames"), (F.col("vec_id") % 7 / 10).alias("motion")))
-    blobs = size(r.select("label", F.col("vec_id").alias("number"), F.col("b").alias("box")))
+    even = F.transform("a", lambda x, n: F.when(n == 2, x - F.pmod(x, F.lit(2.0))).otherwise(x))  # centres at whole pixels
+    faces = size(r.select("region", even.alias("box"), (F.col("vec_id") % 3 + 1).alias("hits"), F.lit(3).alias("frames"), (F.col("vec_id") % 7 / 10).alias("motion")))
+    blobs = size(r.select("region", F.col("vec_id").alias("number"), F.col("b").alias("box")))
     cams = layout.choose_camera(faces, blobs, k)
     motion = layout.choose_motion(blobs, cams, k)
-    panels = blobs.where(G.is_panel(G.Rect.of(F.col("box")), F.col("width"), F.col("height"))).select("label", "number", "box")
-    return layout.choose_content(cams.join(motion, k, "full"), panels, k)
+    panels = blobs.where(G.is_panel(G.Rect.of(F.col("box")), F.col("width"), F.col("height"))).select("region", "number", "box")
+    listed = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",").alias(c)
+    return layout.choose_content(cams.join(motion, k, "full"), panels, k).select("region", "conf", "full_face_x", "void", "content_source", "suggest", *[listed(c) for c in ("cam", "cam_face", "motion", "panel", "content")])
 
 
 @query(f"""WITH RECURSIVE {WORDS}, d AS (SELECT user_id, max(i) * 0.37::DOUBLE + 1.3::DOUBLE AS duration FROM w GROUP BY 1),
