@@ -627,9 +627,92 @@ def _plan(spark, sf) -> tuple[DataFrame, DataFrame]:
     return plan, probe
 
 
-@query()
+INSIDE = "{x} BETWEEN {r}[1] AND {r}[1] + {r}[3] AND {y} BETWEEN {r}[2] AND {r}[2] + {r}[4]"
+SHARED = "greatest(0::DOUBLE, least({a}[1] + {a}[3], {b}[1] + {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0::DOUBLE, least({a}[2] + {a}[4], {b}[2] + {b}[4]) - greatest({a}[2], {b}[2]))"
+HOLDS = f"({{b}}[3] * {{b}}[4] > 0 AND {SHARED} / ({{b}}[3] * {{b}}[4]) >= 0.8::DOUBLE)"
+
+
+def _verify_sql() -> str:
+    """The rules of plan verification over the frame of 1000 x 600, as one SELECT for each step; rectangles are lists."""
+    W, H, PANE, COLUMN = "1000::DOUBLE", "600::DOUBLE", "1.125::DOUBLE", "(600 * 0.5625::DOUBLE)"
+    px = lambda r: f"[{r}[1] * {W}, {r}[2] * {H}, {r}[3] * {W}, {r}[4] * {H}]"
+    places = lambda x, of: f"round_even((({x} / {of})::VARCHAR::DECIMAL(38, 20) * 10000)::DOUBLE, 0) / 10000"  # noqa: E731 - a tie is one of the decimals that are printed, as in Spark
+    share = lambda r: "[" + ", ".join(places(f"{r}[{k}]", W if k % 2 else H) for k in (1, 2, 3, 4)) + "]"
+    whole = lambda r: "[" + ", ".join(places(f"floor({r}[{k}])", W if k % 2 else H) for k in (1, 2, 3, 4)) + "]"
+    clamp = lambda v, lo, hi: f"greatest({lo}, least({v}, {hi}))"
+    shared = lambda a, b: SHARED.format(a=a, b=b)
+    area = lambda r: f"({r}[3] * {r}[4])"
+    iou = lambda a, b: f"CASE WHEN {area(a)} + {area(b)} - {shared(a, b)} <> 0 THEN {shared(a, b)} / ({area(a)} + {area(b)} - {shared(a, b)}) ELSE 0::DOUBLE END"
+
+    def grown(r: str, aspect: str) -> str:
+        def along(at, size, other_at, other, wanted, other_of, room, other_room):
+            need = f"({wanted} - {size})"
+            f = f"({at} + {size} / 2)"
+            moved = f"({at} - {need} * (1 - {clamp(f'({f} - {at}) / {size}', '0.3::DOUBLE', '0.7::DOUBLE')}))"
+            fits = f"{wanted} <= {room}"
+            return (f"CASE WHEN {fits} THEN least(greatest({moved}, 0), {room} - {wanted}) ELSE 0 END", f"CASE WHEN {fits} THEN {wanted} ELSE {room} END",
+                    f"CASE WHEN {fits} THEN {other_at} ELSE least(greatest({other_at} + {other} / 2 - {other_of} / 2, 0), {other_room} - {other_of}) END", f"CASE WHEN {fits} THEN {other} ELSE {other_of} END")
+
+        x, y, w, h = (f"{r}[{k}]" for k in (1, 2, 3, 4))
+        wx, ww, wy, wh = along(x, w, y, h, f"({h} * {aspect})", f"({W} / {aspect})", W, H)
+        hy, hh, hx, hw = along(y, h, x, w, f"({w} / {aspect})", f"({H} * {aspect})", H, W)
+        pick = lambda a, b, c: f"CASE WHEN {w} / {h} < {aspect} THEN {a} WHEN {w} / {h} > {aspect} THEN {b} ELSE {c} END"
+        return f"[{pick(wx, hx, x)}, {pick(wy, hy, y)}, {pick(ww, hw, w)}, {pick(wh, hh, h)}]"
+
+    def window(cam: str, face: str, has: str) -> str:
+        fh, fx, fy = f"CASE WHEN {has} THEN {face}[4] ELSE {cam}[4] * 0.35::DOUBLE END", f"CASE WHEN {has} THEN {face}[1] + {face}[3] / 2 ELSE {cam}[1] + {cam}[3] / 2 END", f"CASE WHEN {has} THEN {face}[2] + {face}[4] / 2 ELSE {cam}[2] + {cam}[4] / 2 END"
+        h = f"greatest({clamp(f'({fh}) * 3.3::DOUBLE', f'({H} * 0.22::DOUBLE)', f'({H} * 0.36::DOUBLE)')}, {cam}[4])"
+        w = f"({h} * {PANE})"
+        x = clamp(f"({fx}) - {w} / 2", "0", f"greatest(0, {W} - {w})")
+        y = f"CASE WHEN {cam}[2] + {cam}[4] >= {H} * 0.96::DOUBLE THEN {H} - {h} ELSE {clamp(f'({fy}) - {h} * 0.42::DOUBLE', '0', f'greatest(0, {H} - {h})')} END"
+        return f"[{x}, {y}, least({w}, {W}), least({h}, {H})]"
+
+    inside = lambda x, y, r, m="0": f"({x} BETWEEN {r}[1] + {r}[3] * {m} AND {r}[1] + {r}[3] - {r}[3] * {m} AND {y} BETWEEN {r}[2] + {r}[4] * {m} AND {r}[2] + {r}[4] - {r}[4] * {m})"
+    v = "win"
+    wide, vw, vh = f"{v}[3] / {v}[4] > {PANE}", f"({v}[4] * {PANE})", f"({v}[3] / {PANE})"
+    visible = f"[CASE WHEN {wide} THEN {v}[1] + ({v}[3] - {vw}) / 2 ELSE {v}[1] END, CASE WHEN {wide} THEN {v}[2] ELSE {v}[2] + ({v}[4] - {vh}) / 2 END, CASE WHEN {wide} THEN {vw} ELSE {v}[3] END, CASE WHEN {wide} THEN {v}[4] ELSE {vh} END]"
+    fcx, fcy = "(face[1] + face[3] / 2)", "(face[2] + face[4] / 2)"
+    centre = clamp(f"face_x * {W}", f"{COLUMN} / 2", f"{W} - {COLUMN} / 2")
+    text = lambda test, said: f"CASE WHEN {test} THEN '{said}' END"
+    notes = ", ".join([
+        text("split_out AND void", "content pane is VOID (screen idle)"), text("split_out AND NOT void", "no cam / no face measured"), text("structural", "plan inset [] and measured cam [] are different objects"),
+        text("mode = 'split' AND NOT split_out AND NOT structural AND measured AND agree < 0.35::DOUBLE", "inset corrected: plan [] -> measured cam []"),
+        text("mode = 'split' AND hand", "rects_from=still: plan inset honoured (aspect-expand only)"), text("mode = 'split' AND hand AND (elsewhere OR NOT has_face)", "face check skipped (hand-drawn rects)"),
+        text("face_lost", "face outside the streamer pane after centering"), text("mode = 'split' AND NOT split_out AND NOT structural AND NOT face_lost AND grew", "content expanded to pane aspect"),
+        text("crop_out", "no full-frame face measured"), text("leaving", "face_x corrected (face was leaving the column)"), text("mode = 'zoom' AND hand", "rects_from=still: zone honoured (tall-widen only)"),
+        text("on_cam", "zoom-on-cam: zone snapped to measured cam"), text("zoom_out", "zoom zone is VOID"), text("tall", "tall zone widened to 1:1+"),
+        text("demoted AND full_face_x IS NOT NULL", "demoted -> crop"), text("demoted AND full_face_x IS NULL", "demoted -> full"),
+    ])
+    tenths = lambda r: f"array_to_string(list_transform({r}, lambda t: round(t * 10000)::BIGINT), ',')"
+    return f"""WITH {RECTS}, sh AS (SELECT label, vec_id, [a[1] / 1000, a[2] / 600, a[3] / 1000, a[4] / 600] AS a, [b[1] / 1000, b[2] / 600, b[3] / 1000, b[4] / 600] AS b FROM r),
+    rows AS (SELECT label, vec_id AS region, ['split', 'crop', 'zoom', 'full'][vec_id % 4 + 1] AS mode, 0.4::DOUBLE AS face_x, a AS inset, b AS content, a AS zone, vec_id % 9 = 0 AS hand, vec_id % 17 <> 3 AS probed,
+        CASE WHEN vec_id % 17 <> 3 AND vec_id % 5 <> 0 THEN CASE WHEN vec_id % 3 = 0 THEN b ELSE list_transform(a, lambda x: x + 0.01::DOUBLE) END END AS cam, CASE WHEN vec_id % 17 <> 3 AND vec_id % 7 <> 0 THEN list_transform(a, lambda x: x + 0.01::DOUBLE) END AS cam_face,
+        CASE WHEN vec_id % 17 <> 3 AND vec_id % 2 = 0 THEN 0.7::DOUBLE END AS full_face_x, CASE WHEN vec_id % 17 <> 3 THEN vec_id % 3 END AS n_faces, vec_id % 17 <> 3 AND vec_id % 11 = 0 AS void FROM sh),
+    m AS (SELECT *, cam IS NOT NULL AS has_cam, cam IS NOT NULL AND cam_face IS NOT NULL AS has_face, {px("cam")} AS c, {px("cam_face")} AS face, {px("inset")} AS ins, {px("zone")} AS z, {px("content")} AS con, {iou("inset", "cam")} AS agree, {iou("zone", "cam")} AS zone_agree FROM rows),
+    n AS (SELECT *, has_cam AND NOT hand AS measured, mode = 'split' AND NOT hand AND (void OR (NOT has_cam AND coalesce(n_faces, 0) = 0)) AS split_out, CASE WHEN has_cam AND NOT hand THEN c ELSE ins END AS seed,
+        hand AND has_face AND NOT coalesce({inside(fcx, fcy, "ins")}, false) AS elsewhere, {grown("con", PANE)} AS g, {grown("z", "1.0::DOUBLE")} AS gz, {window("c", "face", "has_face")} AS cw FROM m),
+    o AS (SELECT *, {window("seed", "face", "(has_face AND NOT elsewhere)")} AS win FROM n),
+    q AS (SELECT *, coalesce({inside(fcx, fcy, visible, "0.06::DOUBLE")}, false) AS seen, mode = 'split' AND NOT split_out AND measured AND agree < 0.05::DOUBLE AS structural FROM o),
+    s AS (SELECT *, mode = 'split' AND NOT split_out AND NOT structural AND has_face AND NOT elsewhere AND NOT seen AS face_lost, {" OR ".join(f"round_even(g[{k}], 0) <> round_even(con[{k}], 0)" for k in (1, 2, 3, 4))} AS grew,
+        mode = 'crop' AND full_face_x IS NULL AS crop_out, coalesce(mode = 'crop' AND full_face_x IS NOT NULL AND NOT (full_face_x * {W} BETWEEN {centre} - {COLUMN} / 2 + {COLUMN} * 0.12::DOUBLE AND {centre} - {COLUMN} / 2 + {COLUMN} * 0.88::DOUBLE), false) AS leaving,
+        coalesce(mode = 'zoom' AND NOT hand AND has_cam AND (zone_agree >= 0.5::DOUBLE OR ({area("c")} > 0 AND coalesce({shared("z", "c")} / {area("c")} >= 0.7::DOUBLE, false))), false) AS on_cam FROM q),
+    u AS (SELECT *, mode = 'zoom' AND NOT hand AND NOT on_cam AND void AS zoom_out FROM s),
+    x AS (SELECT *, mode = 'zoom' AND NOT on_cam AND NOT zoom_out AND z[3] / z[4] < 1 AS tall, split_out OR face_lost OR crop_out OR zoom_out AS demoted FROM u),
+    y AS (SELECT *, list_filter([{notes}], lambda t: t IS NOT NULL) AS said, probed AND NOT structural AS act FROM x),
+    res AS (SELECT label, region, CASE WHEN act AND demoted THEN CASE WHEN full_face_x IS NOT NULL THEN 'crop' ELSE 'full' END ELSE mode END AS mode, CASE WHEN act AND (demoted OR leaving) THEN full_face_x ELSE face_x END AS face_x,
+        CASE WHEN act AND mode = 'split' AND NOT demoted THEN {whole("win")} WHEN NOT (act AND demoted) THEN inset END AS inset, CASE WHEN act AND mode = 'split' AND NOT demoted THEN {share("g")} WHEN NOT (act AND demoted) THEN content END AS content,
+        CASE WHEN act AND on_cam THEN {whole("cw")} WHEN act AND tall THEN {share("gz")} WHEN NOT (act AND demoted) THEN zone END AS zone, CASE WHEN hand AND NOT (act AND demoted) THEN 'still' END AS rects_from,
+        CASE WHEN NOT probed THEN 'NO-PROBE' WHEN structural THEN 'STRUCTURAL' WHEN demoted THEN 'DEMOTED' WHEN len(said) > 0 THEN 'FIXED' ELSE 'OK' END AS verdict, CASE WHEN NOT probed THEN 'no probe data for this region' ELSE array_to_string(said, '; ') END AS notes FROM y)
+    SELECT label, region, region * 100 AS in_frame, region * 100 + 100 AS out_frame, mode, face_x, {tenths("inset")} AS inset, {tenths("content")} AS content, {tenths("zone")} AS zone, rects_from, verdict, notes FROM res"""
+
+
+@query(_verify_sql())
 def verified_plans(spark, sf):  # GEO-12 JON-08 SNK-08
-    return layout.verify_plan(*_plan(spark, sf), ["label"])
+    """Rectangles in ten-thousandths of the frame; numbers in notes are left out."""
+    got = layout.verify_plan(*_plan(spark, sf), ["label"])
+    parts = lambda c: F.array_join(F.transform(c, lambda t: F.round(t * 10000).cast("long").cast("string")), ",").alias(c)
+    said = F.regexp_replace(F.array_join("notes", "; "), r"\[[^\]]*\]", "[]").alias("notes")
+    return got.select("label", "region", "in_frame", "out_frame", "mode", "face_x", parts("inset"), parts("content"), parts("zone"), "rects_from", "verdict", said)
 
 
 @query(f"""WITH {WORDS}, s AS (SELECT user_id, i, 100 * i AS c, 100 * i + 60 AS d FROM w)
@@ -771,11 +854,6 @@ def copy_faults(spark, sf):  # PRS-05 PRS-06
     return p.select("p_partkey", F.array_join(registry.copy_faults(F.col("p_name"), headline, why, tags, ("An",)), ";").alias("faults"))
 
 
-INSIDE = "{x} BETWEEN {r}[1] AND {r}[1] + {r}[3] AND {y} BETWEEN {r}[2] AND {r}[2] + {r}[4]"
-SHARED = "greatest(0::DOUBLE, least({a}[1] + {a}[3], {b}[1] + {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0::DOUBLE, least({a}[2] + {a}[4], {b}[2] + {b}[4]) - greatest({a}[2], {b}[2]))"
-HOLDS = f"({{b}}[3] * {{b}}[4] > 0 AND {SHARED} / ({{b}}[3] * {{b}}[4]) >= 0.8::DOUBLE)"
-
-
 @query(f"""WITH {RECTS}, f AS (SELECT vec_id // 8 AS region, [a[1], a[2], a[3] - a[3] % 2, a[4]] AS box, vec_id % 3 + 1 AS hits, vec_id % 7 AS motion FROM r),
     bl AS (SELECT vec_id // 8 AS region, vec_id AS number, b AS box, b[1] + b[3] / 2 AS cx, b[2] + b[4] / 2 AS cy, b[3] * b[4] AS area FROM r),
     fr AS (SELECT *, box[1] + box[3] / 2 AS cx, box[2] + box[4] / 2 AS cy, box[3] * box[4] AS area FROM f),
