@@ -748,10 +748,62 @@ def framing_stats(spark, sf):  # AGG-05 AGG-10 AGG-11 TRK-05 JON-17
     return tracking.framing_stats(tracking.samples(_detections(spark, sf)), U)
 
 
-@query()
+def _framing_sql() -> str:
+    """Framing by recursion: the subject frame by frame, the targets pick by pick, the camera on its grid."""
+    d = lambda x: f"{x}::DOUBLE"
+    within = lambda x, most: f"greatest(-({most}), least({most}, {x}))"
+    dead, sticky, force, speed = (f"({d(k)} * 405)" for k in (0.055, 0.11, 0.16, 0.085))
+    crop = lambda c: f"greatest(0, least(875, round_even({c} - 202.5, 0)))"
+    leaps = f"(jumps AND best.s >= m.s * {d(1.28)} AND t - since >= {d(0.85)})"
+    pull = within(f"{d(2.6)} * {d(2.6)} * (g.goal - p.x) - 2 * {d(1.15)} * {d(2.6)} * p.v", force)
+    return f"""WITH RECURSIVE {WORDS}, n AS (SELECT user_id, event_id, i - 1 AS frame, event_id % 3 + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS c, {d(60)} + event_id % 40 AS fw FROM w),
+    f AS (SELECT user_id, frame, k, CASE WHEN user_id % 3 = 0 THEN 500::DOUBLE + event_id % 20 + 5 * k ELSE (event_id * (31 + 7 * k)) % 700 + 100::DOUBLE * k END + fw / 2 AS cx, fw * (70 + 10 * k + event_id % 25) AS s FROM n, (SELECT unnest([0, 1, 2]) AS k) WHERE k < c),
+    fg AS (SELECT *, floor(cx / (1280 * {d(0.18)})) AS g FROM f),
+    per AS (SELECT n.user_id, n.frame, c, count(DISTINCT g) AS g, coalesce((max(cx) - min(cx)) / 1280, 0) AS span FROM n LEFT JOIN fg USING (user_id, frame) GROUP BY ALL),
+    st AS (SELECT user_id, avg((c > 0)::INT) AS hit, avg(g) AS mean, avg((g >= 2)::INT) AS multi, avg((g >= 3)::INT) AS three, avg((span >= {d(0.52)})::INT) AS wide, greatest({d(0.2)}, max(frame) / 3::DOUBLE) AS duration FROM per GROUP BY 1),
+    facts AS (SELECT *, CASE WHEN hit < {d(0.28)} THEN 'few-faces' WHEN three >= {d(0.22)} THEN 'crowd' WHEN wide >= {d(0.45)} AND multi >= {d(0.5)} THEN 'wide-action' END AS early, multi >= {d(0.32)} AND mean >= {d(1.25)} AS jumps FROM st),
+    seen AS (SELECT user_id, frame / 3::DOUBLE AS t, jumps, list({{'c': cx, 's': s, 'g': g}} ORDER BY k) AS faces, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS q FROM fg JOIN facts USING (user_id) WHERE early IS NULL GROUP BY user_id, frame, jumps),
+    fb AS (SELECT *, list_filter(faces, lambda x: x.s = list_max(list_transform(faces, lambda y: y.s)))[1] AS best FROM seen),
+    fo AS (SELECT user_id, q, t, best AS own, t AS since, 0 AS changes FROM fb WHERE q = 1
+           UNION ALL SELECT user_id, q, t, CASE WHEN best.g = own.g OR m IS NULL THEN best WHEN {leaps} THEN best ELSE m END, CASE WHEN best.g <> own.g AND m IS NOT NULL AND {leaps} THEN t ELSE since END,
+                            changes + (CASE WHEN best.g = own.g THEN false WHEN m IS NULL OR {leaps} THEN true ELSE false END)::INT
+                     FROM (SELECT *, list_filter(mine, lambda x: x.s = list_max(list_transform(mine, lambda y: y.s)))[1] AS m
+                           FROM (SELECT b.user_id, b.q, b.t, b.jumps, b.best, p.own, p.since, p.changes, list_filter(b.faces, lambda x: x.g = p.own.g) AS mine FROM fo p JOIN fb b ON b.user_id = p.user_id AND b.q = p.q + 1))),
+    pk AS (SELECT user_id, q, t, own.c AS centre, changes AS epoch FROM fo),
+    md AS (SELECT *, median(centre) OVER (PARTITION BY user_id, epoch ORDER BY q ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS med, coalesce(epoch > lag(epoch) OVER o, false) AS changed, lag(t) OVER o AS t0, lag(centre) OVER o AS c0 FROM pk WINDOW o AS (PARTITION BY user_id ORDER BY q)),
+    mv AS (SELECT user_id, q, t, med AS held, {crop("med")} AS spot, {crop("med")} AS told, true AS says FROM md WHERE q = 1
+           UNION ALL SELECT user_id, q, t, CASE WHEN go THEN med ELSE held END, CASE WHEN go THEN {crop("med")} ELSE spot END, CASE WHEN go AND abs({crop("med")} - told) >= 2 THEN {crop("med")} ELSE told END, go AND abs({crop("med")} - told) >= 2
+                     FROM (SELECT m.user_id, m.q, m.t, m.med, p.held, p.spot, p.told, m.changed OR (abs(m.med - p.held) >= {dead} AND abs(m.med - (p.spot + 202.5)) >= {sticky}) AS go FROM mv p JOIN md m ON m.user_id = p.user_id AND m.q = p.q + 1)),
+    goals AS (SELECT user_id, t, told AS x FROM mv WHERE says),
+    gn AS (SELECT user_id, count(*) AS n_goals, arg_min(x, t) AS first_x FROM goals GROUP BY 1),
+    sp AS (SELECT user_id, list_sort(list(abs(centre - c0) / (t - t0))) AS v FROM md WHERE t0 > 0 AND t - t0 >= {d(0.25)} AND abs(centre - c0) >= {dead} GROUP BY 1),
+    rk AS (SELECT user_id, v[1 + round_even((len(v) - 1) * {d(0.5)}, 0)::INT] AS med, v[1 + round_even((len(v) - 1) * {d(0.9)}, 0)::INT] AS p90 FROM sp),
+    dec AS (SELECT f.*, coalesce(c.changes, 0) AS changes, coalesce(n_goals, 0) AS n_goals, first_x, coalesce(med, 0) AS med, coalesce(p90, 0) AS p90,
+                   coalesce(early, CASE WHEN coalesce(med, 0) > {d(0.22)} * 405 OR coalesce(p90, 0) > {d(0.55)} * 405 THEN 'too-fast' WHEN jumps AND coalesce(c.changes, 0) / duration > {d(0.38)} THEN 'jump-too-often' END) AS why
+            FROM facts f LEFT JOIN (SELECT user_id, max(epoch) AS changes FROM pk GROUP BY 1) c USING (user_id) LEFT JOIN gn USING (user_id) LEFT JOIN rk USING (user_id)),
+    tk AS (SELECT 0 AS k, 0::DOUBLE AS t UNION ALL SELECT k + 1, t + 1 / 24::DOUBLE FROM tk WHERE t <= (SELECT max(duration) FROM facts) + 1),
+    gr AS (SELECT user_id, k, tk.t, first_x FROM dec JOIN tk ON tk.t <= duration + 1e-6::DOUBLE WHERE why IS NULL AND n_goals > 0),
+    gg AS (SELECT gr.user_id, gr.k, gr.t, gr.first_x, coalesce(goals.x, gr.first_x) AS goal FROM gr ASOF LEFT JOIN goals ON gr.user_id = goals.user_id AND gr.t >= goals.t),
+    cam AS (SELECT user_id, -1 AS k, 0::DOUBLE AS t, first_x::DOUBLE AS x, 0::DOUBLE AS v FROM gg WHERE k = 0
+            UNION ALL SELECT user_id, k, t, greatest(0, least(875, CASE WHEN still THEN goal ELSE x + nv * (1 / 24::DOUBLE) END)), CASE WHEN still THEN 0 ELSE nv END
+                      FROM (SELECT g.user_id, g.k, g.t, g.goal, p.x, abs(g.goal - p.x) <= 405 * {d(0.012)} AND abs(p.v) <= 405 * {d(0.015)} AS still, {within(f"p.v + {pull} * (1 / 24::DOUBLE)", speed)} AS nv FROM cam p JOIN gg g ON g.user_id = p.user_id AND g.k = p.k + 1)),
+    px AS (SELECT user_id, k, t, round_even(x, 0)::INT AS x, lag(round_even(x, 0)::INT) OVER (PARTITION BY user_id ORDER BY k) AS before FROM cam WHERE k >= 0),
+    told AS (SELECT user_id, round(t * 1000)::BIGINT AS ms, x FROM px WHERE before IS NULL OR before <> x),
+    ends AS (SELECT user_id, round(duration * 1000)::BIGINT AS ms, x FROM (SELECT user_id, max(ms) AS ms, arg_max(x, ms) AS x FROM told GROUP BY 1) JOIN dec USING (user_id) WHERE ms / 1000::DOUBLE < duration),
+    path AS (SELECT user_id, string_agg(ms || ':' || x, ',' ORDER BY ms) AS path FROM (FROM told UNION ALL FROM ends) GROUP BY 1)
+    SELECT user_id, CASE WHEN why IS NOT NULL THEN 'letterbox' WHEN jumps THEN 'jump' ELSE 'track' END AS mode, coalesce(why, CASE WHEN jumps THEN 'two-faces-' || changes || 'jumps' WHEN mean < {d(1.2)} THEN 'one-face' ELSE 'primary-face' END) AS reason,
+           CASE WHEN early IS NULL THEN changes ELSE 0 END AS switches, CASE WHEN early IS NULL THEN n_goals ELSE 0 END AS retargets, CASE WHEN early IS NULL THEN med ELSE 0 END AS median_px_s, CASE WHEN early IS NULL THEN p90 ELSE 0 END AS p90_px_s,
+           CASE WHEN why IS NOT NULL THEN '' ELSE coalesce(path, '0:437') END AS path
+    FROM dec LEFT JOIN path USING (user_id)"""
+
+
+@query(_framing_sql())
 def framing_plans(spark, sf):  # TRK-01..03 TRK-06 FLT-17 WIN-12 WIN-13
+    """The path as text: milliseconds and x."""
     d = _detections(spark, sf)
-    return tracking.plan_framing(tracking.samples(d), U, d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration")))
+    got = tracking.plan_framing(tracking.samples(d), U, d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration")))
+    key = lambda k: F.concat_ws(":", F.round(k["t"] * 1000).cast("long"), k["x"])
+    return got.withColumn("path", F.array_join(F.transform("crop_keys", key), ",")).drop("crop_keys")
 
 
 def _paths(spark, sf) -> DataFrame:
