@@ -748,6 +748,21 @@ def framing_stats(spark, sf):  # AGG-05 AGG-10 AGG-11 TRK-05 JON-17
     return tracking.framing_stats(tracking.samples(_detections(spark, sf)), U)
 
 
+def _moving(spark, sf) -> DataFrame:
+    """A short for each user, with a sample for each event: of every four, one with faces anywhere, one drifting, two that take turns in size, one fast and at times away."""
+    n, frame, way = F.col("event_id"), F.col("i") - 1, F.col("user_id") % 4
+    pick = lambda *of: F.when(way == 0, of[0]).when(way == 1, of[1]).when(way == 2, of[2]).otherwise(of[3]).cast("double")
+
+    def face(k: int):
+        x = pick((n * (31 + 7 * k)) % 700 + 100 * k, 200 + 4 * (frame % 150), 300 + 26 * (frame % 2) + 400 * k, 100 + 9 * (frame % 100))
+        size = F.when(F.floor(frame / 20) % 2 == k, 120).otherwise(80)
+        return F.struct(x.alias("x"), F.lit(100.0).alias("y"), pick(60 + n % 40, F.lit(90), size, F.lit(90)).alias("w"), F.lit(100.0).alias("h"), F.lit(0.9).alias("conf"))
+
+    count = pick(n % 3, F.lit(1), F.lit(2), (frame % 7 != 0).cast("int")).cast("int")
+    faces = F.slice(F.array(face(0), face(1), face(2)), 1, count)
+    return P.words(spark, sf).select("user_id", frame.alias("frame"), F.lit(1280.0).alias("width"), F.lit(720.0).alias("height"), faces.alias("faces"), F.array().cast(f"array<{tracking.BOX}>").alias("humans"), F.lit(1280).alias("src_w"), F.lit(720).alias("src_h"))
+
+
 def _framing_sql() -> str:
     """Framing by recursion: the subject frame by frame, the targets pick by pick, the camera on its grid."""
     d = lambda x: f"{x}::DOUBLE"
@@ -756,8 +771,10 @@ def _framing_sql() -> str:
     crop = lambda c: f"greatest(0, least(875, round_even({c} - 202.5, 0)))"
     leaps = f"(jumps AND best.s >= m.s * {d(1.28)} AND t - since >= {d(0.85)})"
     pull = within(f"{d(2.6)} * {d(2.6)} * (g.goal - p.x) - 2 * {d(1.15)} * {d(2.6)} * p.v", force)
-    return f"""WITH RECURSIVE {WORDS}, n AS (SELECT user_id, event_id, i - 1 AS frame, event_id % 3 + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 1 END AS c, {d(60)} + event_id % 40 AS fw FROM w),
-    f AS (SELECT user_id, frame, k, CASE WHEN user_id % 3 = 0 THEN 500::DOUBLE + event_id % 20 + 5 * k ELSE (event_id * (31 + 7 * k)) % 700 + 100::DOUBLE * k END + fw / 2 AS cx, fw * (70 + 10 * k + event_id % 25) AS s FROM n, (SELECT unnest([0, 1, 2]) AS k) WHERE k < c),
+    return f"""WITH RECURSIVE {WORDS}, n AS (SELECT user_id, event_id, i - 1 AS frame, CASE user_id % 4 WHEN 0 THEN event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE ((i - 1) % 7 <> 0)::INT END AS c FROM w),
+    kf AS (SELECT *, CASE user_id % 4 WHEN 0 THEN (event_id * (31 + 7 * k)) % 700 + 100 * k WHEN 1 THEN 200 + 4 * (frame % 150) WHEN 2 THEN 300 + 26 * (frame % 2) + 400 * k ELSE 100 + 9 * (frame % 100) END AS x,
+                  CASE user_id % 4 WHEN 0 THEN 60 + event_id % 40 WHEN 2 THEN CASE WHEN k = (frame // 20) % 2 THEN 120 ELSE 80 END ELSE 90 END AS fw FROM n, (SELECT unnest([0, 1, 2]) AS k) WHERE k < c),
+    f AS (SELECT user_id, frame, k, x + fw / {d(2)} AS cx, fw * {d(100)} AS s FROM kf),
     fg AS (SELECT *, floor(cx / (1280 * {d(0.18)})) AS g FROM f),
     per AS (SELECT n.user_id, n.frame, c, count(DISTINCT g) AS g, coalesce((max(cx) - min(cx)) / 1280, 0) AS span FROM n LEFT JOIN fg USING (user_id, frame) GROUP BY ALL),
     st AS (SELECT user_id, avg((c > 0)::INT) AS hit, avg(g) AS mean, avg((g >= 2)::INT) AS multi, avg((g >= 3)::INT) AS three, avg((span >= {d(0.52)})::INT) AS wide, greatest({d(0.2)}, max(frame) / 3::DOUBLE) AS duration FROM per GROUP BY 1),
@@ -800,7 +817,7 @@ def _framing_sql() -> str:
 @query(_framing_sql())
 def framing_plans(spark, sf):  # TRK-01..03 TRK-06 FLT-17 WIN-12 WIN-13
     """The path as text: milliseconds and x."""
-    d = _detections(spark, sf)
+    d = _moving(spark, sf)
     got = tracking.plan_framing(tracking.samples(d), U, d.groupBy("user_id").agg((F.max("frame") / 3.0).alias("duration")))
     key = lambda k: F.concat_ws(":", F.round(k["t"] * 1000).cast("long"), k["x"])
     return got.withColumn("path", F.array_join(F.transform("crop_keys", key), ",")).drop("crop_keys")
