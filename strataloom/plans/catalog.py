@@ -11,6 +11,7 @@ from ..functions import geometry as G
 from ..functions import media, text
 from ..operators import bands, compiling, greedy, intervals, layout, registry, rounds, tracking
 from ..params import Captions
+from ..shared import checkpointed
 from . import proxies as P
 from .proxies import BASE, BLOCKS, HOUR, RECTS, STREAMS, WORDS
 
@@ -51,7 +52,7 @@ def snapped_windows(spark, sf):  # INT-02
 
 
 def _stats(w: DataFrame, *more, segments: DataFrame | None = None) -> DataFrame:
-    spans = _windows(w if segments is None else segments).select("user_id", "window", F.col("start").alias("w0"), F.col("end").alias("w1"))
+    spans = checkpointed(_windows(w if segments is None else segments).select("user_id", "window", F.col("start").alias("w0"), F.col("end").alias("w1")))  # read twice by the join
     hits = bands.band_join(w, spans, U, "s", "w0", "w1", DAY, before=10)
     speech = F.sum(F.greatest(F.lit(0), F.least("e", "w1") - F.col("s")))
     stats = hits.groupBy("user_id", "window", "w0", "w1").agg(F.count("*").alias("n_words"), F.min("i").alias("first_word"), F.max("i").alias("last_word"), speech.alias("speech_ms"), bands.ordered_text("i", "w").alias("text"), *more)
@@ -75,7 +76,7 @@ def window_stats(spark, sf):  # JON-04 AGG-02 AGG-12 SCL-19
     inside AS (SELECT d.user_id, d."window", count(*) FILTER (WHERE wb.b >= 0) AS n_in_blocks FROM dense d JOIN wb ON wb.user_id = d.user_id AND wb.i BETWEEN first_word AND last_word GROUP BY ALL)
     SELECT d.*, n_in_blocks FROM dense d JOIN inside USING (user_id, "window") ORDER BY density DESC, user_id, "window" LIMIT 10""")
 def ranked_windows(spark, sf):  # the flagship: JON-01 INT-02 AGG-02 SRT-01
-    w = P.words(spark, sf)
+    w = checkpointed(P.words(spark, sf))  # points, blocks and segments
     tagged = bands.first_block(w.select("user_id", "i", "s", "e", "w"), P.blocks(w), U, "s", "b0", "b1", "b", "in_b", DAY, before=150, after=50)
     return _stats(tagged, F.sum((F.col("in_b") >= 0).cast("long")).alias("n_in_blocks"), segments=w).orderBy(F.desc("density"), "user_id", "window").limit(10)  # a top-k report
 
