@@ -10,6 +10,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -354,20 +355,68 @@ def thought_windows(units: DataFrame, keys: list[str], durations: DataFrame, dur
 # -- boxes -----------------------------------------------------------------------------------------------------------
 
 
-def box_iou(a, b) -> float:
-    across = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
-    union = a[2] * a[3] + b[2] * b[3] - across
-    return across / union if union else 0.0
+def box_ious(box, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of a box with each of others (rows x, y, w, h); 0 where the union is."""
+    low, high = np.maximum(others[:, :2], box[:2]), np.minimum(others[:, :2] + others[:, 2:], np.add(box[:2], box[2:]))
+    both = np.maximum(high - low, 0).prod(1)
+    union = others[:, 2] * others[:, 3] + box[2] * box[3] - both
+    return np.divide(both, union, out=np.zeros(len(others)), where=union != 0)
+
+
+class BoxGrid:
+    """Numbered boxes by the grid cells that they touch: boxes that overlap share one."""
+
+    def __init__(self, cell: float):
+        self.cell = max(1.0, cell)
+        self.boxes = np.zeros((16, 4))
+        self.spans: list[tuple[int, ...]] = []
+        self.cells: dict[tuple[int, int], set[int]] = {}
+
+    def span(self, box) -> tuple[int, ...]:
+        x, y, w, h = box
+        return tuple(int(v // self.cell) for v in (x, y, x + max(w, 0), y + max(h, 0)))
+
+    @staticmethod
+    def within(span: tuple[int, ...]) -> Iterable[tuple[int, int]]:
+        return ((i, j) for i in range(span[0], span[2] + 1) for j in range(span[1], span[3] + 1))
+
+    def first(self, box, threshold: float) -> int | None:
+        """The lowest number of a box that overlaps this one by more than threshold."""
+        near = np.array(sorted(set().union(*(self.cells.get(c, ()) for c in self.within(self.span(box))))), np.int64)
+        over = near[box_ious(box, self.boxes[near]) > threshold] if len(near) else near
+        return int(over[0]) if len(over) else None
+
+    def put(self, box, number: int | None = None) -> None:
+        """A new box, or a new place of an old one."""
+        span = self.span(box)
+        if number is None:
+            number = len(self.spans)
+            if number == len(self.boxes):
+                self.boxes = np.concatenate([self.boxes, np.zeros_like(self.boxes)])
+            self.spans.append(())
+        if self.spans[number] != span:
+            for c in self.within(self.spans[number]) if self.spans[number] else ():
+                self.cells[c].discard(number)
+            for c in self.within(span):
+                self.cells.setdefault(c, set()).add(number)
+            self.spans[number] = span
+        self.boxes[number] = box
+
+
+def cell_size(rects: list) -> float:
+    """About a box's side, so that a box touches few cells and a cell few boxes; the largest boxes touch some hundred cells."""
+    sides = np.array([max(r[2], r[3]) for r in rects] or [1.0], float)
+    return max(float(np.median(sides)), float(sides.max()) / 16)
 
 
 def merge_boxes(boxes: DataFrame, keys: list[str], number: str, box: str, threshold: float = 0.35) -> DataFrame:
-    """keys and number of the boxes that stay: by falling area, those that overlap no box already kept by more than threshold."""
+    """keys and number of the boxes that stay: by falling area, those that overlap no box already kept by more than threshold (0 or more). Kept boxes are found by a grid."""
 
     def run(numbers: list, rects: list) -> Iterable[tuple]:
-        kept: list = []
+        kept = BoxGrid(cell_size(rects))
         for n, r in zip(numbers, rects, strict=True):
-            if all(box_iou(r, x) <= threshold for x in kept):
-                kept.append(r)
+            if kept.first(r, threshold) is None:
+                kept.put(r)
                 yield (n,)
 
     ranked = boxes.withColumn("_area", -F.get(box, F.lit(2)) * F.get(box, F.lit(3)))
@@ -375,18 +424,27 @@ def merge_boxes(boxes: DataFrame, keys: list[str], number: str, box: str, thresh
 
 
 def cluster_boxes(boxes: DataFrame, keys: list[str], frame: str, number: str, box: str, threshold: float = 0.3) -> DataFrame:
-    """keys, cluster (by hits, then area), box (mean so far, in whole pixels) and hits: each box joins the first cluster it overlaps."""
+    """keys, cluster (by hits, then area), box (mean so far, in whole pixels) and hits: each box joins the first cluster whose box it overlaps by more than threshold (0 or more).
+
+    Clusters are found by a grid of their boxes, so a box meets only those near it, however many there are.
+    """
 
     def run(rects: list) -> Iterable[tuple]:
-        found: list[list] = []
+        grid = BoxGrid(cell_size(rects))
+        means: list[tuple[int, ...]] = []
+        hits: list[int] = []
         for r in rects:
-            r = [int(x) for x in r]
-            c = next((c for c in found if box_iou(r, c[0]) > threshold), None)
-            if c is None:
-                found.append([r, 1])
+            own = tuple(int(v) for v in r)
+            at = grid.first(own, threshold)
+            if at is None:
+                means.append(own)
+                hits.append(1)
+                grid.put(own)
             else:
-                c[0], c[1] = [(x * c[1] + y) // (c[1] + 1) for x, y in zip(c[0], r, strict=True)], c[1] + 1
-        found.sort(key=lambda c: (-c[1], -c[0][2] * c[0][3]))
-        return [(k, *c) for k, c in enumerate(found)]
+                hits[at] += 1
+                means[at] = tuple(m + (v - m) // hits[at] for m, v in zip(means[at], own, strict=True))
+                grid.put(means[at], at)
+        order = sorted(range(len(hits)), key=lambda k: (-hits[k], -means[k][2] * means[k][3], k))
+        return [(n, list(means[k]), hits[k]) for n, k in enumerate(order)]
 
     return per_source(boxes, keys, [frame, number], [box], run, "cluster int, box array<long>, hits int")

@@ -217,3 +217,38 @@ def test_registry(spark):
     row = spark.createDataFrame([("A title", "ONE TWO THREE", "why", ["#a", "#b", "#c"]), ("x" * 39, "one two", "y" * 81, [])], "t string, h string, w string, g array<string>")
     faults = [r.f for r in row.select(registry.copy_faults(F.col("t"), F.col("h"), F.col("w"), F.col("g")).alias("f")).collect()]
     assert faults[0] == [] and len(faults[1]) == 5
+
+
+def test_box_grids_against_every_box(spark):
+    """Merging and clustering as if each box met each kept one, in the order they come."""
+    import random
+
+    r = random.Random(11)
+    rows = [(k % 2, k // 3, k, [float(r.randint(-20, 300)), float(r.randint(0, 200)), float(r.choice([0, 3, 40, 60, 250])), float(r.choice([0, 5, 50, 70]))]) for k in range(400)]
+
+    def iou(a, b):
+        both = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        union = a[2] * a[3] + b[2] * b[3] - both
+        return both / union if union else 0
+
+    merged, clusters = set(), {}
+    for key in (0, 1):
+        own = [x for x in rows if x[0] == key]
+        kept, found = [], []
+        for _, _, n, box in sorted(own, key=lambda x: (-x[3][2] * x[3][3], x[2])):
+            if all(iou(box, k) <= 0.35 for k in kept):
+                kept.append(box)
+                merged.add((key, n))
+        for _, _, _, box in sorted(own, key=lambda x: (x[1], x[2])):
+            hit = next((c for c in found if iou(box, c[0]) > 0.3), None)
+            if hit:
+                hit[0], hit[1] = [(m * hit[1] + int(v)) // (hit[1] + 1) for m, v in zip(hit[0], box, strict=True)], hit[1] + 1
+            else:
+                found.append([[int(v) for v in box], 1])
+        clusters[key] = sorted((-h, -b[2] * b[3], b) for b, h in found)
+    df = spark.createDataFrame(rows, "k int, frame int, n int, box array<double>")
+    from strataloom.operators import greedy
+
+    assert {tuple(x) for x in greedy.merge_boxes(df, ["k"], "n", "box").collect()} == merged
+    got = greedy.cluster_boxes(df, ["k"], "frame", "n", "box").collect()
+    assert {k: sorted((-x.hits, -x.box[2] * x.box[3], list(x.box)) for x in got if x.k == k) for k in (0, 1)} == clusters
