@@ -425,8 +425,8 @@ def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """words, blocks, sources and candidates from conversations: a candidate for each turn, from its first word, of one or two segments."""
     w = P.spoken(spark, sf).select("conv_id", "turn", "opens", (F.col("i") + 1).alias("i"), F.col("text").alias("w"), F.col("start").alias("s"), F.col("end").alias("e"))
     b = F.floor((F.col("i") - 1) / 25).cast("long")
-    w = w.withColumn("b", F.when(F.col("i") % 50 == 0, F.lit(-1).cast("long")).otherwise(b))
-    blocks = w.where("b >= 0").groupBy("conv_id", "b").agg(F.min("s").alias("onset"), F.max("e").alias("end")).withColumnRenamed("b", "i")
+    w = checkpointed(w.withColumn("b", F.when(F.col("i") % 50 == 0, F.lit(-1).cast("long")).otherwise(b)))  # each stage reads words, blocks and candidates again
+    blocks = checkpointed(w.where("b >= 0").groupBy("conv_id", "b").agg(F.min("s").alias("onset"), F.max("e").alias("end")).withColumnRenamed("b", "i"))
     sources = w.select("conv_id").distinct().withColumn("fps", F.lit(30.0))
     r = lambda a, z: F.struct(a.cast("long").alias("start_word"), z.cast("long").alias("end_word"))
     i = F.col("i")
@@ -437,7 +437,7 @@ def _transcript(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         F.when(t % 3 == 0, r(i + 5, i + 9)).alias("teaser"), F.when(t % 7 == 1, F.array(r(i, i + 40))).when(t % 7 == 2, F.array(r(i, i + 30), r(i + 25, i + 60))).otherwise(F.array(r(i, i + 30), r(i + 31, i + 60))).alias("segments"),
         F.create_map(F.lit("hook"), (i % 25).cast("int"), F.lit("value"), (i % 11).cast("int")).alias("scores"),
     )
-    return w, blocks, sources, cands
+    return w, blocks, sources, checkpointed(cands)
 
 
 def _manifest(spark, sf) -> DataFrame:
