@@ -54,9 +54,15 @@ def to_px(r: Rect, width: Column, height: Column) -> Rect:
     return Rect(r.x * width, r.y * height, r.w * width, r.h * height)
 
 
+def four_places(x: Column) -> Column:
+    """x to four places, ties to even. What is a tie is decided on ten thousand times the decimal that x prints as, as a double: 0.12374999999999999, a product's error below 0.12375, is one."""
+    ten_thousandths = (x.cast("string").try_cast("decimal(28,20)") * F.lit(10000).cast("decimal(5,0)")).cast("double")
+    return F.coalesce(F.bround(ten_thousandths) / 10000, F.bround(x, 4))
+
+
 def to_share(r: Rect, width: Column, height: Column) -> Rect:
     """Shares of the frame, to four places."""
-    return Rect(*[F.bround(a / b, 4) for a, b in zip(r, (width, height, width, height), strict=True)])
+    return Rect(*[four_places((a / b).cast("double")) for a, b in zip(r, (width, height, width, height), strict=True)])
 
 
 def point_in(x: Column, y: Column, r: Rect, margin: float = 0.0) -> Column:

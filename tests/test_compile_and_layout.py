@@ -252,3 +252,13 @@ def test_box_grids_against_every_box(spark):
     assert {tuple(x) for x in greedy.merge_boxes(df, ["k"], "n", "box").collect()} == merged
     got = greedy.cluster_boxes(df, ["k"], "frame", "n", "box").collect()
     assert {k: sorted((-x.hits, -x.box[2] * x.box[3], list(x.box)) for x in got if x.k == k) for k in (0, 1)} == clusters
+
+
+def test_shares_round_as_the_sql_does(spark):
+    """A pane's width of 110 pixels by 9 / 8 is 123.75, and a product's error below that no other number."""
+    from strataloom.functions.geometry import Rect, to_share
+
+    values = [123.74999999999999, 123.75, 123.85, 123.74, 0.0, -123.75, 1e12, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.x[0] for r in df.select(to_share(Rect(*[F.col("v")] * 4), F.lit(1000.0), F.lit(600.0)).array().alias("x")).collect()]
+    assert got[:7] == [0.1238, 0.1238, 0.1238, 0.1237, 0.0, -0.1238, 1e9] and got[7] != got[7]
