@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..params import Captions, Thoughts, Windows
 from ..shared import checkpointed
-from . import rounds, scans
+from . import rounds, scans, snapping
 
 
 def per_source(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., Iterable[tuple]], fields: str) -> DataFrame:
@@ -135,11 +135,14 @@ def snap_windows(starts: list, ends: list, length, overlap, stretch: float) -> l
 
 
 def snapped_windows(segments: DataFrame, keys: list[str], order: list[str], start: str, end: str, p: Windows | None = None, length=None, overlap=None, piece: int | None = None) -> DataFrame:
-    """keys, window, start and end of each recording's windows. piece: see in_order. Segments without a start or end are left out."""
+    """keys, window, start and end of each recording's windows. piece: as in in_order, but by links (see snapping). Segments without a start or end are left out."""
     p = p or Windows()
     size, back = p.length if length is None else length, p.overlap if overlap is None else overlap
     kind = segments.schema[start].dataType.simpleString()
     timed = segments.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    numbers = all(isinstance(segments.schema[c].dataType, T.IntegralType | T.FractionalType) and not isinstance(segments.schema[c].dataType, T.DecimalType) for c in (start, end))
+    if piece is not None and numbers and p.stretch >= 1:
+        return snapping.snapped_by_links(timed, keys, order, start, end, size, back, p.stretch, piece)
     return in_order(timed, keys, order, [start, end], lambda a, b, ended: next_snapped(a, b, size, back, p.stretch, ended), "window", f"start {kind}, end {kind}", piece)
 
 

@@ -178,3 +178,23 @@ def test_framing_in_pieces(spark):
     assert {tuple(x) for x in plans.collect()} == {tuple(x)[:-1] for x in whole.values()}
     got = {k: sorted((x.t, x.x) for x in paths.where(F.col("k") == k).collect()) for k in whole}
     assert got == {k: [tuple(y) for y in x.crop_keys] for k, x in whole.items()}
+
+
+def test_windows_of_many_pieces(spark):
+    """Windows far longer than a piece, whose chains from different beginnings don't meet; segments inside others, ends out of order, and the last window."""
+    r = random.Random(7)
+    for kind in ("long", "double"):
+        scale = 1 if kind == "long" else 0.1
+        rows = []
+        for key, n in ((1, 900), (2, 1), (None, 150), (3, 40)):
+            t = 0
+            for i in range(n):
+                t += r.choice((0, 1, 2, 3, 30 if key == 3 else 2))
+                rows.append((key, i, t * scale, (t + r.choice((1, 2, 5, 9, 40, 90 if i % 97 == 0 else 3))) * scale) if kind == "double" else (key, i, t, t + r.choice((1, 2, 5, 9, 40, 90 if i % 97 == 0 else 3))))
+        df = spark.createDataFrame(rows, f"k int, i int, s {kind}, e {kind}").repartition(3)
+        for length, overlap in ((60, 20), (7, 3), (100_000, 5), (300, 290)):
+            go = lambda **x: greedy.snapped_windows(df, ["k"], ["i"], "s", "e", length=length * scale, overlap=overlap * scale, **x)  # noqa: B023, E731
+            whole = go()
+            assert whole.count() >= 4
+            same(go(piece=11), whole)
+    assert greedy.snapped_windows(df.where("false"), ["k"], ["i"], "s", "e", length=6.0, overlap=2.0, piece=11).collect() == []
