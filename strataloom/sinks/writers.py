@@ -30,6 +30,17 @@ def write_documents(docs: DataFrame, path: str, keys: list[str]) -> None:
     docs.repartition(*keys).write.partitionBy(*keys).text(path)
 
 
+def write_packs(files: DataFrame, path: str, keys: list[str], order: str | None = None) -> None:
+    """Many small files as few large ones: JSON lines of source_id (a folder for each keys, as above), length (bytes) and value (the file's text, or a line of it).
+
+    A file of its own for each of a million recordings is a million calls of the file system to write it, and as many to read it; packs are as many as tasks wrote, whatever the
+    number of keys. order: the lines of one source_id stay together and sorted. sources.readers reads packs as it reads the files.
+    """
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for k in keys])
+    laid = files if order is None else files.repartition(*keys).sortWithinPartitions(*keys, order)
+    laid.select(folder.alias("source_id"), F.octet_length("value").cast("long").alias("length"), "value").write.json(path)
+
+
 def srt(cues: DataFrame, keys: list[str], order: str = "cue", start: str = "start", end: str = "end", text: str = "text") -> DataFrame:
     """keys and value: the cues (seconds) as SubRip text, numbered from 1."""
     ms = lambda c: F.bround(F.col(c) * 1000).cast("long")

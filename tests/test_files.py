@@ -70,3 +70,28 @@ def test_streams(spark, tmp_path):
     assert {r.k: r.v for r in spark.table("latest").collect()} == {0: 18, 1: 19, 2: 17}
     live.run_once(live.sessions(stream, "k", "t", "40 minutes", "1 minute"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 0
+
+
+def test_packs_read_as_the_files(spark, tmp_path):
+    """Few files whatever the number of keys, and the readers give what they give for a file for each key."""
+    from strataloom import schemas
+    from strataloom.plans import files
+
+    n = 300
+    rows = spark.range(2 * n).select((F.col("id") % n).alias("user_id"), F.col("id").alias("i"), F.concat(F.lit('a "b"\n'), F.col("id").cast("string")).alias("text")).unionByName(spark.createDataFrame([(None, 7, "é")], "user_id long, i long, text string"))
+    docs = writers.as_document(rows, ["user_id"], "i", "clips", ["i", "text"])
+    writers.write_packs(docs, path := str(tmp_path / "docs"), ["user_id"])
+    assert len(list((tmp_path / "docs").glob("*.json"))) < 20
+    got = files.user_of(readers.documents(spark, path, "clips array<struct<i:long,text:string>>", True)).select("user_id", F.explode("clips").alias("x")).select("user_id", "x.i", "x.text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.select("user_id", "i", "text").collect()))
+    listed = readers.listing(spark, path, "user_id=1*", True).collect()
+    size = {f"user_id={r.user_id}": len(r.value.encode()) for r in docs.where("user_id IS NOT NULL").collect()}
+    assert {r.file: r.size for r in listed} == {k: v for k, v in size.items() if k.startswith("user_id=1")} and all(r.modified for r in listed)
+    assert readers.listing(spark, path, "*.txt", True).count() == 0
+    log = spark.createDataFrame([(1, "RMS_level=-31.5 | pts_time:3.2 | mean_volume: -40.1 dB\nRMS_level=-2"), (2, None), (3, "")], "user_id long, value string")
+    writers.write_packs(log, path := str(tmp_path / "log"), ["user_id"])
+    assert sorted((r.source_id, r.what, r.x) for r in readers.measures(readers.log_lines(spark, path, True)).collect()) == [("user_id=1", "level", -31.5), ("user_id=1", "level", -2.0), ("user_id=1", "scene", 3.2), ("user_id=1", "volume", -40.1)]
+    lines = rows.select("user_id", "i", F.to_json(F.struct("i", F.col("text").alias("w"))).alias("value"))
+    writers.write_packs(lines, path := str(tmp_path / "lines"), ["user_id"], "i")
+    got = files.user_of(readers.json_lines(spark, path, schemas.WORD, True)).select("user_id", "i", F.col("w").alias("text"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
