@@ -262,3 +262,17 @@ def test_shares_round_as_the_sql_does(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r.x[0] for r in df.select(to_share(Rect(*[F.col("v")] * 4), F.lit(1000.0), F.lit(600.0)).array().alias("x")).collect()]
     assert got[:7] == [0.1238, 0.1238, 0.1238, 0.1237, 0.0, -0.1238, 1e9] and got[7] != got[7]
+
+
+def test_paths_of_many_shorts_a_few_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1001))})
+    parts = list(tracking.few_rows([batch, batch.slice(0, 0), batch.slice(5, 3)]))
+    assert max(p.num_rows for p in parts) <= tracking.SHORTS
+    assert [v for p in parts for v in p.column("k").to_pylist()] == [*range(1001), 5, 6, 7]
+
+
+def test_resampled_takes_paths_without_keys(spark):
+    df = spark.createDataFrame([(1, [(0.0, 10), (0.3, 40)], 0.3), (2, [], 1.0), (3, None, 1.0)], "k int, crop_keys array<struct<t:double,x:int>>, duration double")
+    assert [(r.k, r.t, r.x) for r in tracking.resampled(df, ["k"]).collect()] == [(1, 0.0, 10), (1, 0.12, 22), (1, 0.24, 34)]
