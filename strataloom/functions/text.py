@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import CONTINUE_START, DANGLERS, INCOMPLETE_TAILS, MORE_STOPWORDS, TOPIC_START
@@ -29,7 +29,8 @@ def norm_token(token: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """The set of a text's words that aren't stopwords and have over two characters."""
     stop = strings(dict.fromkeys(INCOMPLETE_TAILS + MORE_STOPWORDS))
-    return F.array_distinct(F.filter(F.transform(tokens(text), norm_token), lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t)))
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9'\s]+", ""), r"\s+")
+    return F.filter(F.array_except(words, stop), lambda t: F.length(t) > 2)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -41,24 +42,38 @@ def starts_topic(text: Column, pattern: str = TOPIC_START) -> Column:
     return F.coalesce(text, F.lit("")).rlike(pattern)
 
 
-def thought_complete(text: Column) -> Column:
-    """Ends in a full stop, or has six words or more of which the last may end a thought."""
-    words = tokens(text)
+def thought_complete(text: Column, words: Column | None = None) -> Column:
+    """Ends in a full stop, or has six words or more of which the last may end a thought. words: the text's tokens, where a column has them."""
+    words = tokens(text) if words is None else words
     last = norm_token(F.element_at(words, -1))
     return F.when(F.size(words) == 0, F.lit(False)).when(F.element_at(words, -1).rlike("[.?!]$"), F.lit(True)).otherwise((F.size(words) >= 6) & ~F.array_contains(strings(INCOMPLETE_TAILS), last))
 
 
 def topic_shift(before: Column, after: Column, gap: Column, idea: float = 2.15, scene: float = 8.5, topic: str = TOPIC_START, goes_on: str = CONTINUE_START) -> Column:
-    """Additive score that a new topic begins between two texts, gap seconds apart."""
+    """Additive score that a new topic begins between two texts, gap seconds apart. For tables of any size see with_topic_shift."""
     a, b = content_tokens(before), content_tokens(after)
-    alike = jaccard(a, b)
-    both = (F.size(a) > 0) & (F.size(b) > 0)
+    return _shift(jaccard(a, b), (F.size(a) > 0) & (F.size(b) > 0), thought_complete(before), starts_topic(after, topic), starts_topic(after, goes_on), gap, idea, scene)
+
+
+def _shift(alike: Column, both: Column, complete: Column, begins: Column, continues: Column, gap: Column, idea: float, scene: float) -> Column:
     return (
-        F.when(gap >= idea, 2.2).otherwise(0.0) + F.when(gap >= scene, 2.5).otherwise(0.0) + F.when(starts_topic(after, topic), 2.4).otherwise(0.0) - F.when(starts_topic(after, goes_on), 2.2).otherwise(0.0)
-        + F.when((alike < 0.08) & both, 2.0).when(alike < 0.16, 1.0).otherwise(0.0) + F.when(thought_complete(before), 0.6).otherwise(-2.8)
+        F.when(gap >= idea, 2.2).otherwise(0.0) + F.when(gap >= scene, 2.5).otherwise(0.0) + F.when(begins, 2.4).otherwise(0.0) - F.when(continues, 2.2).otherwise(0.0)
+        + F.when((alike < 0.08) & both, 2.0).when(alike < 0.16, 1.0).otherwise(0.0) + F.when(complete, 0.6).otherwise(-2.8)
     )
 
 
+def with_content(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with complete and _content: what with_topic_shift needs of each text, found once for it."""
+    return rows.withColumns({"_content": content_tokens(F.col(text)), "_tokens": tokens(F.col(text))}).withColumn("complete", thought_complete(F.col(text), F.col("_tokens"))).drop("_tokens")
+
+
+def with_topic_shift(rows: DataFrame, after: str, content_after: str, gap: Column, idea: float = 2.15, scene: float = 8.5, topic: str = TOPIC_START, goes_on: str = CONTINUE_START) -> DataFrame:
+    """Rows of with_content, each with the text after it and that text's content (null: none), with next_topic and shift, as topic_shift: each step is a column, so that it is worked out once."""
+    rows = rows.withColumns({"_content_after": F.coalesce(content_after, F.array().cast("array<string>")), "next_topic": starts_topic(F.col(after), topic)})
+    rows = rows.withColumns({"_alike": jaccard(F.col("_content"), F.col("_content_after")), "_both": (F.size("_content") > 0) & (F.size("_content_after") > 0)})
+    return rows.withColumn("shift", _shift(F.col("_alike"), F.col("_both"), F.col("complete"), F.col("next_topic"), starts_topic(F.col(after), goes_on), gap, idea, scene)).drop("_content_after", "_alike", "_both")
+
+
 def dangles(token: Column) -> Column:
     """A word that a line shouldn't end on: a dangler without closing punctuation."""
     return F.array_contains(strings(DANGLERS), F.btrim(F.lower(F.trim(token)), F.lit(".,?!;:\"'"))) & ~F.trim(token).rlike("[.?!,]$")

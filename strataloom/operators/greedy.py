@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..params import Captions, Thoughts, Windows
+from ..params import INCOMPLETE_TAILS, Captions, Thoughts, Windows
 from ..shared import checkpointed
 from . import rounds, scans, snapping
 
@@ -35,6 +37,59 @@ def per_source(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return df.select(*keys, *dict.fromkeys([*order, *columns])).groupBy(*keys).applyInPandas(run, schema)
 
 
+def per_run(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., Iterable[tuple]], fields: str) -> DataFrame:
+    """As per_source, for columns of numbers, strings and booleans: a task's groups come one after another in its Arrow batches, so that a small group costs no data frames of its own.
+
+    A task holds a batch and the group that goes on beyond it.
+    """
+    own = T.StructType.fromDDL(fields)
+    schema = T.StructType([*[df.schema[k] for k in keys], *own.fields])
+    along = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    laid = df.select(*dict.fromkeys([*keys, *order, *columns])).withColumn("_first", F.row_number().over(along) == 1)
+    key_names, whole_numbers = [f"_k{n}" for n in range(len(keys))], [isinstance(f.dataType, T.IntegralType) for f in own]
+
+    def values(column: pa.ChunkedArray) -> list:
+        if pa.types.is_floating(column.type) or pa.types.is_integer(column.type) and not column.null_count:
+            return column.to_numpy().tolist()  # a null double is NaN, as in a data frame
+        return column.to_pylist()
+
+    def results(found: list, kind: pa.DataType, whole: bool) -> pa.Array:
+        if whole:
+            return pa.array([None if x is None or x != x else int(x) for x in found], kind)
+        return pa.Array.from_pandas(pd.Series(found), type=kind, safe=False)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        kinds = to_arrow_schema(own).types
+
+        def groups(parts: list[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            starts = np.flatnonzero(table.column("_first").to_numpy())
+            lists = [values(table.column(f"_c{n}")) for n in range(len(columns))]
+            rows, of = [], []
+            for a, b in zip(starts, [*starts[1:], len(table)], strict=True):
+                made = list(fn(*(c[a:b] for c in lists)))
+                rows += made
+                of.append(len(made))
+            if rows:
+                at = pa.array(np.repeat(starts, of))
+                data = [table.column(k).take(at) for k in key_names] + [results(list(c), t, w) for c, t, w in zip(zip(*rows, strict=True), kinds, whole_numbers, strict=True)]
+                yield from pa.table(data, names=schema.names).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(batch.schema.get_field_index("_first")).to_numpy(zero_copy_only=False))
+            cut = int(starts[-1]) if len(starts) else 0
+            if len(starts) and (held or cut):
+                yield from groups([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from groups(held)
+
+    given = [F.col(k).alias(n) for k, n in zip(keys, key_names, strict=True)] + [F.col(c).alias(f"_c{n}") for n, c in enumerate(columns)]
+    return laid.select(*given, "_first").mapInArrow(run, schema)
+
+
 def in_order(df: DataFrame, keys: list[str], order: list[str], columns: list[str], fn: Callable[..., tuple[list[tuple], int]], number: str | None, fields: str, piece: int | None) -> DataFrame:
     """keys, number (from 1) and fields: the rows of fn(*columns, ended), which also says the first row that it still needs.
 
@@ -44,7 +99,8 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], columns: list[str
     if piece is not None:
         return scans.scan(df, keys, order, columns, scans.tail(fn), fields, number, piece)
     whole = lambda *c: numbered(fn(*c, True)[0]) if number else fn(*c, True)[0]
-    return per_source(df, keys, order, columns, whole, f"{number} int, {fields}" if number else fields)
+    plain = all(isinstance(df.schema[c].dataType, T.NumericType | T.StringType | T.BooleanType) for c in columns)
+    return (per_run if plain else per_source)(df, keys, order, columns, whole, f"{number} int, {fields}" if number else fields)
 
 
 # -- spacing, suppression --------------------------------------------------------------------------------------------
@@ -221,11 +277,16 @@ def short_cues(words: DataFrame, keys: list[str], order: list[str], text: str =
 # -- thoughts --------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(1 << 16)
+def ends_with(last: str) -> tuple[bool, bool]:
+    """Does a text end in a full stop with this token, and may the token end a long one?"""
+    return last[-1] in ".?!", "".join(c for c in last.lower() if c.isascii() and (c.isalnum() or c == "'")) not in INCOMPLETE_TAILS
+
+
 def finished(last: str, tokens: int) -> bool:
     """As functions.text.thought_complete, for a text by its last token and the number of them."""
-    from ..params import INCOMPLETE_TAILS
-
-    return last[-1] in ".?!" or tokens >= 6 and "".join(c for c in last.lower() if c.isascii() and (c.isalnum() or c == "'")) not in INCOMPLETE_TAILS
+    stop, may = ends_with(last)
+    return stop or tokens >= 6 and may
 
 
 def next_thoughts(texts: list, starts: list, ends: list, p: Thoughts, ended: bool) -> tuple[list[tuple], int]:
@@ -238,7 +299,8 @@ def next_thoughts(texts: list, starts: list, ends: list, p: Thoughts, ended: boo
     import re
 
     topic = re.compile(p.topic_start)
-    said = [(t or "").strip() for t in texts]
+    plain = [t or "" for t in texts]
+    said = [t.strip() for t in plain]
     tokens, last = [0], [""]  # of the words before each
     for x in said:
         own = x.split()
@@ -259,7 +321,7 @@ def next_thoughts(texts: list, starts: list, ends: list, p: Thoughts, ended: boo
         inner = [a]
         if b - a >= 12:
             for k in range(a + 5, b - 3):
-                if k - inner[-1] >= 8 and done(a, k) and topic.search(" ".join(t or "" for t in texts[k : min(b, k + 8)])):
+                if k - inner[-1] >= 8 and done(a, k) and topic.search(" ".join(plain[k : min(b, k + 8)])):
                     inner.append(k)
         for x, y in zip(inner, [*inner[1:], b], strict=True):
             if len(inner) == 1 or y - x >= p.min_words:
@@ -281,14 +343,12 @@ def thoughts(words: DataFrame, keys: list[str], order: list[str], text: str = "t
 
 def scored_thoughts(units: DataFrame, keys: list[str], p: Thoughts | None = None, piece: int | None = None) -> DataFrame:
     """units with complete, next_topic, shift (to the next unit) and gap: all that choosing windows needs, by windows (or, in pieces, a scan) and expressions."""
-    from pyspark.sql import Window
-
-    from ..functions.text import starts_topic, thought_complete, topic_shift
+    from ..functions.text import content_tokens, with_content, with_topic_shift
 
     p = p or Thoughts()
     if piece is None:
         w = Window.partitionBy(*keys).orderBy("unit")
-        rows = units.withColumn("_next", F.lead("text").over(w)).withColumn("_next_start", F.lead("start").over(w))
+        rows = with_content(units).withColumns({"_next": F.lead("text").over(w), "_next_start": F.lead("start").over(w), "_next_content": F.lead("_content").over(w)})
     else:
 
         def with_next(*columns) -> tuple[list[tuple], int]:
@@ -298,8 +358,10 @@ def scored_thoughts(units: DataFrame, keys: list[str], p: Thoughts | None = None
             return [(*r, *a) for r, a in zip(own if ended else own[:-1], after, strict=False)], len(own) if ended else max(0, len(own) - 1)
 
         rows = in_order(units, keys, ["unit"], ["unit", "start", "end", "text", "gap_after"], with_next, None, "unit int, start double, end double, text string, gap_after double, _next string, _next_start double", piece)
+        rows = with_content(rows).withColumn("_next_content", content_tokens(F.col("_next")))
     rows = rows.withColumn("gap", F.coalesce(F.nullif(F.col("gap_after"), F.lit(0.0)), F.col("_next_start") - F.col("end")))
-    return rows.select(*units.columns, "gap", thought_complete(F.col("text")).alias("complete"), starts_topic(F.col("_next"), p.topic_start).alias("next_topic"), topic_shift(F.col("text"), F.col("_next"), F.col("gap"), p.idea, p.scene, p.topic_start, p.continue_start).alias("shift"))
+    rows = with_topic_shift(rows, "_next", "_next_content", F.col("gap"), p.idea, p.scene, p.topic_start, p.continue_start)
+    return rows.select(*units.columns, "gap", "complete", "next_topic", "shift")
 
 
 def choose_windows(starts: list, ends: list, gaps: list, done: list, topics: list, shifts: list, duration: float, p: Thoughts) -> list[tuple]:

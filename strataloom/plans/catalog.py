@@ -291,8 +291,7 @@ def thought_units(spark, sf):  # INT-12 INT-13
 
 @query()
 def thought_windows(spark, sf):  # INT-14 FLT-11 FLT-12
-    w = P.spoken(spark, sf)
-    return greedy.thought_windows(greedy.thoughts(w, ["conv_id"], ["i"]), ["conv_id"], w.groupBy("conv_id").agg(F.max("end").alias("duration")))
+    return greedy.thought_windows(greedy.thoughts(P.spoken(spark, sf), ["conv_id"], ["i"]), ["conv_id"], P.spoken_until(spark, sf))
 
 
 # -- joins -------------------------------------------------------------------------------------------------------------
@@ -500,9 +499,10 @@ def _topic_sql() -> str:
 
 @query(_topic_sql())
 def topic_shifts(spark, sf):  # SCL-02..07 SET-03 SET-04
-    t = P.table(spark, sf, "conversations").withColumn("nt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = text.with_content(P.table(spark, sf, "conversations").select("conv_id", "turn", "text")).withColumns({"nt": F.lead("text").over(w), "nc": F.lead("_content").over(w)}).where("nt IS NOT NULL")
     gap = F.when(F.col("turn") % 9 == 0, 9.0).when(F.col("turn") % 3 == 0, 3.0).otherwise(1.0)
-    return t.where("nt IS NOT NULL").select("conv_id", "turn", text.thought_complete(F.col("text")).alias("complete"), text.topic_shift(F.col("text"), F.col("nt"), gap).alias("shift"))
+    return text.with_topic_shift(t, "nt", "nc", gap).select("conv_id", "turn", "complete", "shift")
 
 
 @query(f"""WITH {WORDS}, t AS (SELECT event_id, s - {BASE} AS ms FROM w) SELECT event_id, lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 3600000)::VARCHAR))::INT, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS srt FROM t""")

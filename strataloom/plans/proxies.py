@@ -7,7 +7,7 @@ embeddings make rectangles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -48,14 +48,29 @@ def blocks(w: DataFrame, kind: str = "view") -> DataFrame:
 BLOCKS = "b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) - 1 AS b, s AS b0, e AS b1 FROM w WHERE w = 'view')"
 
 
+def _spoken_words() -> Column:
+    return F.filter(F.split("text", r"\s+"), lambda x: x != "")
+
+
+def _tenths(i: Column, turn: str) -> Column:
+    return i * 4 + F.col(turn) * 30 + F.floor(F.col(turn) / 4) * 60
+
+
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, opens (a turn's first word), i, text, start, end (seconds): the words of a conversation, 0.3 s each, 0.1 s apart, 3 s more after a turn and 9 s after every fourth."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("k", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(_spoken_words()).alias("k", "text"))
     w = Window.partitionBy("conv_id").orderBy("turn", "k")
-    rows = turns.withColumn("i", F.row_number().over(w) - 1).withColumn("tenths", F.col("i") * 4 + F.col("turn") * 30 + F.floor(F.col("turn") / 4) * 60)
+    rows = turns.withColumn("i", F.row_number().over(w) - 1).withColumn("tenths", _tenths(F.col("i"), "turn"))
     return rows.select("conv_id", "turn", (F.col("k") == 0).alias("opens"), F.col("i").cast("long").alias("i"), "text", (F.col("tenths") / 10).alias("start"), ((F.col("tenths") + 3) / 10).alias("end"))
 
 
+def spoken_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, duration: the end of the last word of spoken, which is the latest, by the number of words and the last turn that has any."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(_spoken_words()).cast("long").alias("n")).where("n > 0")
+    whole = turns.groupBy("conv_id").agg(F.sum("n").alias("n"), F.max("turn").alias("turn"))
+    return whole.select("conv_id", ((_tenths(F.col("n") - 1, "turn") + 3) / 10).alias("duration"))
+
+
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label and a (from floats 1-4) and b (from 5-8): rectangles of whole pixels in a 1000 x 600 frame."""
     px = lambda k, lo, n: F.lit(lo).cast("long") + F.pmod(F.floor(F.abs(F.get("embedding", F.lit(k))).cast("double") * 10000).cast("long"), F.lit(n))
